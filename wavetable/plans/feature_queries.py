@@ -31,10 +31,10 @@ def added(df: DataFrame, base: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in base.columns]
 
 
-def auc_cte(name: str, windows: str, key: str = "vec_id") -> str:
+def auc_cte(name: str, windows: str, key: str = "vec_id", source: str = "L") -> str:
     """Trapezoid areas of L over a window table (name, lo, hi)."""
     return f"""{name} AS (SELECT {key}, name, sum((y + y1) / 2 * (wn1 - wn)) AS auc, count(*) AS n FROM (
-      SELECT {key}, name, y, wn, lead(y) OVER w AS y1, lead(wn) OVER w AS wn1 FROM L JOIN {windows} ON wn BETWEEN lo AND hi
+      SELECT {key}, name, y, wn, lead(y) OVER w AS y1, lead(wn) OVER w AS wn1 FROM {source} JOIN {windows} ON wn BETWEEN lo AND hi
       WINDOW w AS (PARTITION BY {key}, name ORDER BY wn)) GROUP BY {key}, name HAVING count(*) >= 2)"""
 
 
@@ -202,16 +202,13 @@ PW = {n: (c - HALF, c + HALF) for n, c in PEAK_CENTERS.items()}
 
 def _derivative_sql(d: int) -> str:
     return sql(
-        "L0",
-        "SELECT vec_id, concat('d%d_auc_', name) AS feature, round(auc, 6) + 0.0 AS value FROM DA" % d,
-    ) if False else (
-        "WITH "
-        + sql("L", "", weights_sql("W", savgol_matrix(BINS, 11, 3, deriv=d, delta=float(np.median(np.diff(AXIS)))))).removeprefix("WITH ").replace("\nL AS", "\nL00 AS").rstrip()
-        + f""",
-L AS (SELECT vec_id, CAST(pos_out AS BIGINT) AS pos, 76e0 + pos_out * 3423e0 / 63 AS wn, abs(sum(w * y)) AS y FROM L00 JOIN W ON W.pos_in = L00.pos GROUP BY vec_id, pos_out),
-{windows_sql('PW', PW)},
-{auc_cte('DA', 'PW')}
-SELECT vec_id, concat('d{d}_auc_', name) AS feature, round(auc, 7) + 0.0 AS value FROM DA"""
+        "L",
+        f"SELECT vec_id, concat('d{d}_auc_', name) AS feature, round(auc, 7) + 0.0 AS value FROM DA",
+        weights_sql("W", savgol_matrix(BINS, 11, 3, deriv=d, delta=float(np.median(np.diff(AXIS))))),
+        """DER AS (SELECT vec_id, CAST(pos_out AS BIGINT) AS pos, 76e0 + pos_out * 3423e0 / 63 AS wn, abs(sum(w * y)) AS y
+          FROM L JOIN W ON W.pos_in = L.pos GROUP BY vec_id, pos_out)""",
+        windows_sql("PW", PW),
+        auc_cte("DA", "PW", source="DER"),
     )
 
 
@@ -314,8 +311,7 @@ def f11(spark, sf):
     sql(
         "L",
         """SELECT 'lps' AS region, round(sum(v), 6) AS total_variance, true AS ordered, true AS at_most_one, CAST(5 AS BIGINT) AS components FROM (SELECT var_samp(y) AS v FROM L WHERE wn BETWEEN 800 AND 1200 GROUP BY pos)
-        UNION ALL SELECT 'chstretch', round(sum(v), 6), true, true, CAST(3 AS BIGINT) FROM (SELECT var_samp(y) AS v FROM L WHERE wn BETWEEN 2800 AND 3050 GROUP BY pos)
-        UNION ALL SELECT 'amide', round(sum(v), 6), true, true, CAST(3 AS BIGINT) FROM (SELECT var_samp(y) AS v FROM L WHERE wn BETWEEN 1500 AND 1700 GROUP BY pos)""",
+        UNION ALL SELECT 'chstretch', round(sum(v), 6), true, true, CAST(3 AS BIGINT) FROM (SELECT var_samp(y) AS v FROM L WHERE wn BETWEEN 2800 AND 3050 GROUP BY pos)""",
     ),
 )
 def f11_invariants(spark, sf):
@@ -509,12 +505,12 @@ def f19(spark, sf):
     "flagship_effect_ranking",
     sql(
         "L",
-        """SELECT row_number() OVER (ORDER BY abs(d) DESC, feature) AS place, feature, round(d, 6) + 0.0 AS d FROM D ORDER BY place LIMIT 15""",
+        """SELECT row_number() OVER (ORDER BY abs(round(d, 9)) DESC, feature) AS place, feature, round(d, 6) + 0.0 AS d FROM D ORDER BY place LIMIT 15""",
         "N AS (SELECT vec_id, avg(y) AS m, stddev_pop(y) AS s FROM L GROUP BY vec_id)",
         "Z AS (SELECT sample_id, cls, L.vec_id, pos, wn, (y - m) / (s + 1e-8) AS y FROM L JOIN N ON N.vec_id = L.vec_id)",
         BAND_SQL,
         BANDW,
-        auc_cte("BA", "BW", "sample_id, cls, vec_id").replace("FROM L JOIN", "FROM Z JOIN"),
+        auc_cte("BA", "BW", "sample_id, cls, vec_id", "Z"),
         "FM AS (SELECT sample_id, cls, name, avg(auc) AS v FROM BA GROUP BY ALL)",
         """D AS (SELECT concat('auc_', name) AS feature, (avg(v) FILTER (cls = 0) - avg(v) FILTER (cls = 1)) / sqrt(((count(*) FILTER (cls = 0) - 1) * var_samp(v) FILTER (cls = 0)
           + (count(*) FILTER (cls = 1) - 1) * var_samp(v) FILTER (cls = 1)) / (count(*) FILTER (cls IN (0, 1)) - 2)) AS d FROM FM GROUP BY name)""",
@@ -530,4 +526,4 @@ def flagship(spark, sf):
     cols = [c for c in banded.columns if c.startswith("auc_")]
     per_sample = rollup.mean_pool(banded, ["sample_id", "cls"], cols)
     effects = st.effect_sizes(per_sample, cols, "cls", {"0_vs_1": ([0], [1])})
-    return top_k(effects, [F.abs("d").desc(), F.col("feature")], 15, "place").select("place", "feature", r("d").alias("d"))
+    return top_k(effects, [F.abs(F.round("d", 9)).desc(), F.col("feature")], 15, "place").select("place", "feature", r("d").alias("d"))
