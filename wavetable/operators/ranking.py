@@ -112,3 +112,29 @@ def top_two(df: DataFrame, probabilities: Sequence[str]) -> DataFrame:
         F.col("_v")[1]["p"].alias("second_p"),
         (F.col("_v")[0]["p"] - F.col("_v")[1]["p"]).alias("margin"),
     )
+
+
+def waterfall(df: DataFrame, stage: str, y: str, step: float) -> DataFrame:
+    """Lift the i-th staged series by i steps.  The table holds the few series staged for display."""
+    w = Window.orderBy(stage)
+    lifted = df.withColumn("_i", F.row_number().over(w) - 1)
+    return lifted.withColumn(y, F.transform(y, lambda v: v + F.col("_i") * step)).drop("_i")
+
+
+def intensity_order(df: DataFrame, file: str, key: str, score: Column) -> DataFrame:
+    """Rows of every file ordered by a score, highest first, then key.
+
+    Ties share a running count, and inside a tie the key decides, so a file is ranked bucket by bucket.
+    """
+    from wavetable.operators.scale import null_safe_join, running_totals
+
+    d = df.withColumn("_neg", -score)
+    t = running_totals(d, [file], "_neg", {"_k": F.lit(1).cast("long")}).select(file, "_neg", "_k_before")
+    within = Window.partitionBy(file, "_neg").orderBy(key)
+    return null_safe_join(d, t, [file, "_neg"]).withColumn("place", F.col("_k_before") + F.row_number().over(within)).drop("_neg", "_k_before")
+
+
+def consensus(chosen: DataFrame, feature: str, k: int) -> DataFrame:
+    """Most often chosen features over folds."""
+    n = chosen.groupBy(feature).agg(F.count(F.lit(1)).alias("n"))
+    return top_k(n, [F.col("n").desc(), F.col(feature)], k)

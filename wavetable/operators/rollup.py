@@ -173,17 +173,21 @@ def spatial_frame(df: DataFrame, file: str, y: str, axis, half_width: float = 10
     return spatial_spread(df, file, y, axis).join(moments.select(*kept), file)
 
 
-def breakdown(df: DataFrame, cls: str, sub: str, file: str, n: str, rate: str, order: Sequence[str], no_sub: str) -> DataFrame:
-    """Files, estimated kept rows and member list per (class, subclass), in class order then label.
-
-    The member list is what the report shows: one entry per file of the group.
-    """
+def breakdown(df: DataFrame, cls: str, sub: str, n: str, rate: str, order: Sequence[str], no_sub: str) -> DataFrame:
+    """Files and estimated kept rows per (class, subclass), in class order then label."""
     from pyspark.sql import Window
 
     g = df.withColumn(sub, F.coalesce(sub, F.lit(no_sub))).groupBy(cls, sub).agg(
-        F.count(F.lit(1)).alias("n_files"),
-        F.sum(F.col(n) * F.col(rate)).alias("est_kept"),
-        F.array_join(F.sort_array(F.collect_list(file)), ",").alias("members"),
+        F.count(F.lit(1)).alias("n_files"), F.sum(F.col(n) * F.col(rate)).alias("est_kept")
     )
     rank = F.coalesce(*[F.when(F.col(cls) == v, F.lit(i)) for i, v in enumerate(order)], F.lit(len(order)))
+    # one row per label of the vocabulary is numbered here
     return g.withColumn("place", F.row_number().over(Window.orderBy(rank, cls, sub)).cast("long"))
+
+
+def breakdown_members(df: DataFrame, cls: str, sub: str, file: str, no_sub: str, chunk: int = 65_536) -> DataFrame:
+    """The member list of every (class, subclass) as rows with their place, so no list is collected."""
+    from wavetable.operators.scale import ranked
+
+    d = df.select(cls, F.coalesce(sub, F.lit(no_sub)).alias(sub), file)
+    return ranked(d, [cls, sub], [F.col(file)], F.floor(F.col(file) / chunk), "member")

@@ -186,18 +186,26 @@ def a15_peaks(spark, sf):
     return ru.histogram(top, "wn", 0.0, 3500.0, 35, ["cls"])
 
 
+def _docs(spark, sf):
+    return table(spark, sf, "documents").select(
+        "doc_id", "lang", F.when(F.col("source") != "src0", F.col("source")).alias("source"), "n_chars",
+        F.when(F.col("n_chars") > 300, 0.75).otherwise(0.5).alias("pass_rate"),
+    )
+
+
 @query(
     "a16_breakdown",
-    """SELECT row_number() OVER (ORDER BY CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END, lang, source) AS place, lang, source, n_files, est_kept, members FROM (
-      SELECT lang, coalesce(nullif(source, 'src0'), 'none') AS source, count(*) AS n_files, round(sum(n_chars * CASE WHEN n_chars > 300 THEN 0.75 ELSE 0.5 END), 4) AS est_kept,
-      md5(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS members FROM documents GROUP BY ALL)""",
+    """SELECT row_number() OVER (ORDER BY CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END, lang, source) AS place, lang, source, n_files, est_kept FROM (
+      SELECT lang, coalesce(nullif(source, 'src0'), 'none') AS source, count(*) AS n_files, round(sum(n_chars * CASE WHEN n_chars > 300 THEN 0.75e0 ELSE 0.5e0 END), 4) AS est_kept FROM documents GROUP BY ALL)""",
 )
 def a16(spark, sf):
-    from wavetable.operators.rollup import breakdown
+    b = ru.breakdown(_docs(spark, sf), "lang", "source", "n_chars", "pass_rate", ["en", "fr", "de"], "none")
+    return b.select("place", "lang", "source", "n_files", F.round("est_kept", 4).alias("est_kept"))
 
-    d = table(spark, sf, "documents").select(
-        "doc_id", "lang", F.when(F.col("source") != "src0", F.col("source")).alias("source"), "n_chars",
-        F.when(F.col("n_chars") > 300, 0.75).otherwise(0.5).alias("pass_rate"),
-    )
-    b = breakdown(d, "lang", "source", "doc_id", "n_chars", "pass_rate", ["en", "fr", "de"], "none")
-    return b.select("place", "lang", "source", "n_files", F.round("est_kept", 4).alias("est_kept"), F.md5("members").alias("members"))
+
+@query(
+    "a16_breakdown_members",
+    "SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS member FROM (SELECT doc_id, lang, coalesce(nullif(source, 'src0'), 'none') AS source FROM documents)",
+)
+def a16_members(spark, sf):
+    return ru.breakdown_members(_docs(spark, sf), "lang", "source", "doc_id", "none", 256)
