@@ -40,7 +40,8 @@ def two_group_moments(long_df: DataFrame, keys: Sequence[str], value: str = "val
     return long_df.groupBy(*keys).agg(*aggs)
 
 
-MOMENT_ARGS = tuple(c(x) for x in ("ma", "va", "na", "mb", "vb", "nb"))
+def moment_args() -> tuple[Column, ...]:
+    return tuple(c(x) for x in ("ma", "va", "na", "mb", "vb", "nb"))
 
 
 def effect_sizes(df: DataFrame, features: Sequence[str], by: str, contrasts: dict[str, tuple[Sequence, Sequence]]) -> DataFrame:
@@ -48,14 +49,14 @@ def effect_sizes(df: DataFrame, features: Sequence[str], by: str, contrasts: dic
     m = two_group_moments(sides(unpivot(df, [by], features), by, contrasts), ["feature", "contrast"])
     return m.select(
         "feature", "contrast",
-        fx.cohens_d(*MOMENT_ARGS).alias("d"), fx.cohens_d_unweighted(*MOMENT_ARGS).alias("d_unweighted"), "na", "nb",
+        fx.cohens_d(*moment_args()).alias("d"), fx.cohens_d_unweighted(*moment_args()).alias("d_unweighted"), "na", "nb",
     )
 
 
 def welch(long_df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Welch t and its degrees of freedom per key; needs a ``side`` column."""
     m = two_group_moments(long_df, keys, value)
-    return m.select(*keys, fx.welch_t(*MOMENT_ARGS).alias("t"), fx.welch_df(c("va"), c("na"), c("vb"), c("nb")).alias("df"))
+    return m.select(*keys, fx.welch_t(*moment_args()).alias("t"), fx.welch_df(c("va"), c("na"), c("vb"), c("nb")).alias("df"))
 
 
 def rank_sums(long_df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:

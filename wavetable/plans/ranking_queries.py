@@ -54,7 +54,7 @@ def w2(spark, sf):
     m = st.two_group_moments(s.select("contrast", "side", F.posexplode("y").alias("pos", "value")), ["contrast", "pos"])
     from wavetable.functions.stats import cohens_d
 
-    d = m.select("contrast", F.col("pos").cast("long").alias("pos"), cohens_d(*st.MOMENT_ARGS).alias("d"))
+    d = m.select("contrast", F.col("pos").cast("long").alias("pos"), cohens_d(*st.moment_args()).alias("d"))
     top = rk.top_k_per(d, ["contrast"], [F.abs(F.round("d", 9)).desc(), F.col("pos")], 10)
     return top.select("contrast", "place", "pos", r("d").alias("d"))
 
