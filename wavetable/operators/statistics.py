@@ -238,3 +238,9 @@ def overlap_interval(df: DataFrame, by: str, value: str, a, b) -> DataFrame:
     return df.crossJoin(F.broadcast(edges)).groupBy("lo", "hi").agg(  # edges: one row
         F.count_if((c(by) == a) & inside).alias("n_a"), F.count_if((c(by) == b) & inside).alias("n_b")
     )
+
+
+def verdict(df: DataFrame, clear: Column, by: Sequence[str], wanted: int) -> DataFrame:
+    """A when every wanted row is clear, B when some are, C when none is."""
+    g = df.groupBy(*by).agg(F.count_if(clear).alias("n_clear"))
+    return g.withColumn("branch", F.when(c("n_clear") >= wanted, "A").when(c("n_clear") > 0, "B").otherwise("C"))

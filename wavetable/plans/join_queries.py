@@ -70,9 +70,11 @@ def j5(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", "o_custkey").join(c, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
 
 
-@query("j6_anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("j6_anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def j6(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey").join(table(spark, sf, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti")
+    return table(spark, sf, "customer").select("c_custkey").join(
+        table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'"), F.col("o_custkey") == F.col("c_custkey"), "left_anti"
+    )
 
 
 @query(
