@@ -20,6 +20,7 @@ from wavetable.operators.rollup import exploded, unpivot
 from wavetable.operators.scale import exact_percentiles, hash_bucket, hash_key, null_safe_join, ranked, running_totals
 
 c = F.col
+DRAW_CHUNK = 65_536
 
 
 def sides(df: DataFrame, by: str, contrasts: dict[str, tuple[Sequence, Sequence]]) -> DataFrame:
@@ -114,8 +115,8 @@ def mutual_information(df: DataFrame, features: Sequence[str], label: str, bins:
     cells = u.groupBy("feature", "bin", label).agg(F.count(F.lit(1)).alias("n"))
     # the contingency table is at most bins x labels per feature
     wf, wb, wl = Window.partitionBy("feature"), Window.partitionBy("feature", "bin"), Window.partitionBy("feature", label)
-    t = cells.select("feature", "n", F.sum("n").over(wf).alias("N"), F.sum("n").over(wb).alias("nb"), F.sum("n").over(wl).alias("nl"))
-    return t.groupBy("feature").agg(F.sum(c("n") / c("N") * F.log(c("n") * c("N") / (c("nb") * c("nl")))).alias("mi"))
+    t = cells.select("feature", "n", F.sum("n").over(wf).alias("nt"), F.sum("n").over(wb).alias("nb"), F.sum("n").over(wl).alias("nl"))
+    return t.groupBy("feature").agg(F.sum(c("n") / c("nt") * F.log(c("n") * c("nt") / (c("nb") * c("nl")))).alias("mi"))
 
 
 def correlations(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -205,7 +206,11 @@ def bootstrap_means(df: DataFrame, keys: Sequence[str], order: str, value: str,
     rows = ranked(h, keys, [c("_h"), c(order)], hash_bucket(c("_h")), "_row").select(*keys, (c("_row") - 1).alias("_pick"), value)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     picks = sizes.select(*keys, "_n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
-    picks = picks.repartition(*keys, "b").select(*keys, "b", "_n", F.explode(F.sequence(F.lit(0).cast("long"), c("_n") - 1)).alias("_i"))
+    # draws are generated in chunks, so neither an array nor a task grows with the number of rows
+    chunk = F.sequence(F.lit(0).cast("long"), F.floor((c("_n") - 1) / DRAW_CHUNK))
+    picks = picks.select(*keys, "b", "_n", F.explode(chunk).alias("_c")).repartition(*keys, "b", "_c")
+    last = F.least(c("_n"), (c("_c") + 1) * DRAW_CHUNK) - 1
+    picks = picks.select(*keys, "b", "_n", F.explode(F.sequence(c("_c") * DRAW_CHUNK, last)).alias("_i"))
     m = F.lit(2_147_483_647)
     step = F.pmod(F.pmod(c("b").cast("long") * 1_000_003 + c("_i") * 7_919 + F.lit(seed * 104_729 + 12_345), m) * 48_271, m)
     picks = picks.select(*keys, "b", F.pmod(F.pmod(step * 48_271, m), c("_n")).alias("_pick"))
