@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -31,12 +33,27 @@ c = F.col
 ABSTAIN_BELOW = 0.55
 
 
+# Rows an iterative fit should find in one partition; below it, per-iteration job cost dominates.
+ROWS_PER_PARTITION = 20_000
+# Folds or trials fitted at the same time from the driver.
+PARALLEL_FITS = 4
+
+
 def balanced(df: DataFrame, label: str) -> DataFrame:
-    """Weight n / (classes * class size) per row."""
+    """Weight n / (classes * class size) per row, in partitions sized by the row count."""
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     total = n.agg(F.sum("_n").alias("_t"), F.count(F.lit(1)).alias("_k")).first()
     w = n.select(label, (F.lit(float(total["_t"])) / (c("_n") * F.lit(total["_k"]))).alias("weight"))
-    return df.join(checked_broadcast(w), label)
+    parts = max(1, -(-int(total["_t"]) // ROWS_PER_PARTITION))
+    out = df.join(checked_broadcast(w), label)
+    # few rows: merge small partitions; many rows: keep the input's partitioning
+    return out.coalesce(parts) if parts < df.sparkSession.sparkContext.defaultParallelism else out
+
+
+def in_parallel(items: Sequence, fn: Callable) -> list:
+    """Run independent fits from a few driver threads, so their jobs share the cluster."""
+    with ThreadPool(min(PARALLEL_FITS, max(1, len(items)))) as pool:
+        return pool.map(inheritable_thread_target(fn), items)
 
 
 def standardised_components(df: DataFrame, y: str, k: int) -> tuple[DataFrame, list[float]]:
@@ -182,10 +199,12 @@ def macro_f1(scored: DataFrame, k: int) -> float:
 def random_search(train: DataFrame, valid: DataFrame, make: Callable[[dict], Pipeline], trials: Sequence[dict], k: int) -> tuple[list[tuple[dict, float]], object]:
     """Fit every trial on the inner training side, rank by macro F1 on the validation side, refit the best on both."""
     train, valid = train.cache(), valid.cache()  # read once per trial
-    results = []
-    for hp in trials:
+
+    def trial(hp: dict) -> tuple[dict, float]:
         scored = make(hp).fit(train).transform(valid).withColumn("pred", c("prediction").cast("long")).withColumn("y_true", c("label").cast("long"))
-        results.append((hp, macro_f1(scored, k)))
+        return hp, macro_f1(scored, k)
+
+    results = in_parallel(list(trials), trial)
     best = max(results, key=lambda t: t[1])[0]
     model = make(best).fit(train.unionByName(valid))
     train.unpersist()
@@ -213,7 +232,8 @@ def templates_by_fold(df: DataFrame, y: str, label: str, fold: str) -> dict:
 
 def per_fold(folds: Iterable, fit_and_score: Callable[[object], DataFrame]) -> DataFrame:
     """Union of the held-out predictions of every fold; each fold is fitted on its training side only."""
-    return reduce(lambda a, b: a.unionByName(b), [fit_and_score(f).withColumn("fold", F.lit(f)) for f in folds])
+    parts = in_parallel(list(folds), lambda f: fit_and_score(f).withColumn("fold", F.lit(f)))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def score_files(scored: DataFrame, file: str, k: int, abstain_below: float = ABSTAIN_BELOW) -> DataFrame:
@@ -279,7 +299,7 @@ def stack_per_fold(wide: DataFrame, features: Sequence[str], k: int, reg: float
         out = probabilities(m.transform(d.where(c("fold_id") == f)), k)
         return with_prediction(out, k).select("fold_id", "file_id", "subclass", "y_true", *[f"p{i}" for i in range(k)], "pred")
 
-    return reduce(lambda a, b: a.unionByName(b), [one(f) for f in folds])
+    return reduce(lambda a, b: a.unionByName(b), in_parallel(folds, one))
 
 
 def mixture_curve(means: DataFrame, label: str, y: str, pairs: Sequence[tuple], alphas: Sequence[float]) -> DataFrame:

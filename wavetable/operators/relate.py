@@ -87,7 +87,7 @@ def nearest_band(df: DataFrame, position: str, bands: dict[str, float] | DataFra
     if isinstance(bands, DataFrame):
         rows = bands.select("name", "center").limit(CATALOG_ROWS + 1).collect()
         if len(rows) > CATALOG_ROWS:
-            return _nearest_by_cells(df, position, bands, tolerance)
+            return nearest_band_by_cells(df, position, bands, tolerance)
         bands = {r["name"]: r["center"] for r in rows}
     cat = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(n).alias("n")) for n, c in bands.items()])
     scored = F.transform(cat, lambda b: F.struct(F.abs(b["c"] - F.col(position)).alias("distance"), b["n"].alias("band")))
@@ -95,7 +95,7 @@ def nearest_band(df: DataFrame, position: str, bands: dict[str, float] | DataFra
     return df.withColumn("_best", best).select(*df.columns, F.col("_best.band").alias("band"), F.col("_best.distance").alias("distance"))
 
 
-def _nearest_by_cells(df: DataFrame, position: str, bands: DataFrame, tolerance: float) -> DataFrame:
+def nearest_band_by_cells(df: DataFrame, position: str, bands: DataFrame, tolerance: float) -> DataFrame:
     cell = F.floor(F.col("center") / tolerance)
     near = bands.select("name", "center", F.explode(F.array(cell - 1, cell, cell + 1)).alias("_cell"))
     spots = df.select(F.col(position).alias("_p")).distinct().withColumn("_cell", F.floor(F.col("_p") / tolerance))

@@ -152,5 +152,5 @@ def j11(spark, sf):
 @query("j11_nearest_band_by_cells", NEAREST)
 def j11_cells(spark, sf):
     bands = spark.createDataFrame(list(CENTERS.items()), "name string, center double")
-    n = relate._nearest_by_cells(_tops(spark, sf), "wn", bands, 25.0)
+    n = relate.nearest_band_by_cells(_tops(spark, sf), "wn", bands, 25.0)
     return n.select("vec_id", F.round("wn", 4).alias("wn"), "band", F.round("distance", 4).alias("distance"))

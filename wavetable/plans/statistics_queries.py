@@ -96,7 +96,7 @@ def s6(spark, sf):
     sql(
         "L",
         """SELECT feature, round(mi, 6) AS mi, row_number() OVER (ORDER BY round(mi, 9) DESC, feature) AS mi_rank FROM (
-        SELECT feature, sum(n / N * ln(n * N / (nb * nl))) AS mi FROM (SELECT feature, n, sum(n) OVER (PARTITION BY feature) * 1e0 AS N, sum(n) OVER (PARTITION BY feature, bin) AS nb, sum(n) OVER (PARTITION BY feature, cls) AS nl FROM CELLS) GROUP BY feature)""",
+        SELECT feature, sum(n / nt * ln(n * nt / (nb * nl))) AS mi FROM (SELECT feature, n, sum(n) OVER (PARTITION BY feature) * 1e0 AS nt, sum(n) OVER (PARTITION BY feature, bin) AS nb, sum(n) OVER (PARTITION BY feature, cls) AS nl FROM CELLS) GROUP BY feature)""",
         *WIDE,
         "ED AS (SELECT feature, " + ", ".join(f"quantile_cont(value, {i / 10}) AS e{i}" for i in range(11)) + " FROM LW GROUP BY feature)",
         "CELLS AS (SELECT feature, bin, cls, count(*) AS n FROM (SELECT feature, cls, least(9, " + " + ".join(f"CASE WHEN value >= e{i} THEN 1 ELSE 0 END" for i in range(1, 10)) + ") AS bin FROM LW JOIN ED USING (feature)) GROUP BY ALL)",
