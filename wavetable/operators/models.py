@@ -18,7 +18,7 @@ from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegressi
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavetable.functions.linear import linear_map
@@ -50,10 +50,13 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     return out.coalesce(parts) if parts < df.sparkSession.sparkContext.defaultParallelism else out
 
 
-def in_parallel(items: Sequence, fn: Callable) -> list:
-    """Run independent fits from a few driver threads, so their jobs share the cluster."""
+def in_parallel(spark: SparkSession, items: Sequence, fn: Callable) -> list:
+    """Run independent fits from a few driver threads, so their jobs share the cluster.
+
+    Not for fits with a PCA stage: its driver-side SVD is not safe to run in two threads.
+    """
     with ThreadPool(min(PARALLEL_FITS, max(1, len(items)))) as pool:
-        return pool.map(inheritable_thread_target(fn), items)
+        return pool.map(inheritable_thread_target(spark)(fn), items)
 
 
 def standardised_components(df: DataFrame, y: str, k: int) -> tuple[DataFrame, list[float]]:
@@ -204,7 +207,7 @@ def random_search(train: DataFrame, valid: DataFrame, make: Callable[[dict], Pip
         scored = make(hp).fit(train).transform(valid).withColumn("pred", c("prediction").cast("long")).withColumn("y_true", c("label").cast("long"))
         return hp, macro_f1(scored, k)
 
-    results = in_parallel(list(trials), trial)
+    results = [trial(hp) for hp in trials]
     best = max(results, key=lambda t: t[1])[0]
     model = make(best).fit(train.unionByName(valid))
     train.unpersist()
@@ -232,8 +235,7 @@ def templates_by_fold(df: DataFrame, y: str, label: str, fold: str) -> dict:
 
 def per_fold(folds: Iterable, fit_and_score: Callable[[object], DataFrame]) -> DataFrame:
     """Union of the held-out predictions of every fold; each fold is fitted on its training side only."""
-    parts = in_parallel(list(folds), lambda f: fit_and_score(f).withColumn("fold", F.lit(f)))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return reduce(lambda a, b: a.unionByName(b), [fit_and_score(f).withColumn("fold", F.lit(f)) for f in folds])
 
 
 def score_files(scored: DataFrame, file: str, k: int, abstain_below: float = ABSTAIN_BELOW) -> DataFrame:
@@ -281,9 +283,14 @@ def permute_labels(df: DataFrame, key: str, label: str, seed: int) -> DataFrame:
 def permuted_importance(df: DataFrame, features: Sequence[str], label: str, key: str, seed: int, drop_at: float = 0.5) -> DataFrame:
     """Forest importance with shuffled labels over importance with real labels; high ratios are suspect."""
     def importance(d: DataFrame) -> np.ndarray:
-        return forest(seed=seed).fit(balanced(assembled(d, features, label), "label")).stages[0].featureImportances.toArray()
+        train = balanced(assembled(d, features, label), "label").cache()
+        out = forest(seed=seed).fit(train).stages[0].featureImportances.toArray()
+        train.unpersist()
+        return out
 
+    df = df.select(key, label, *features).cache()  # two fits, each with several passes
     real, fake = importance(df), importance(permute_labels(df, key, label, seed))
+    df.unpersist()
     rows = [(f, float(a), float(b), float(b / a) if a > 0 else None) for f, a, b in zip(features, real, fake)]
     t = df.sparkSession.createDataFrame(rows, "feature string, real double, shuffled double, ratio double")
     return t.withColumn("drop", F.coalesce(c("ratio") >= drop_at, F.lit(True)))
@@ -299,7 +306,7 @@ def stack_per_fold(wide: DataFrame, features: Sequence[str], k: int, reg: float
         out = probabilities(m.transform(d.where(c("fold_id") == f)), k)
         return with_prediction(out, k).select("fold_id", "file_id", "subclass", "y_true", *[f"p{i}" for i in range(k)], "pred")
 
-    return reduce(lambda a, b: a.unionByName(b), in_parallel(folds, one))
+    return reduce(lambda a, b: a.unionByName(b), in_parallel(wide.sparkSession, folds, one))
 
 
 def mixture_curve(means: DataFrame, label: str, y: str, pairs: Sequence[tuple], alphas: Sequence[float]) -> DataFrame:

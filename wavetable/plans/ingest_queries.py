@@ -87,13 +87,13 @@ def i2(spark, sf):
 
 @query(
     "i3_header_fields",
-    sql("S", """SELECT DISTINCT file_path, CASE WHEN sample_id % 9 <> 3 THEN 5 END AS header_numx, 4 AS header_numy, '785nm' AS laser, CAST(sample_id * 10 AS DOUBLE) AS exposure_ms, '2026-03-01' AS acquisition_date,
+    sql("S", """SELECT DISTINCT file_path, CAST(CASE WHEN sample_id % 9 <> 3 THEN 5 ELSE -1 END AS INTEGER) AS header_numx, 4 AS header_numy, '785nm' AS laser, CAST(sample_id * 10 AS DOUBLE) AS exposure_ms, '2026-03-01' AS acquisition_date,
        CAST(NULL AS DOUBLE) AS xsize, CASE WHEN sample_id % 9 = 3 THEN 'missing_numx_header' ELSE '' END AS warnings FROM FP""", PATHS),
 )
 def i3(spark, sf):
     t = lines(spark, sf)
     h = ins.header_fields(ins.header_entries(t, ins.body_start(t)))
-    return h.select("file_path", "header_numx", "header_numy", "laser", "exposure_ms", "acquisition_date", "xsize", F.array_join("header_warnings", ",").alias("warnings"))
+    return h.select("file_path", F.coalesce("header_numx", F.lit(-1)).alias("header_numx"), "header_numy", "laser", "exposure_ms", "acquisition_date", "xsize", F.array_join("header_warnings", ",").alias("warnings"))
 
 
 @query("i4_date_from_text", sql("S", "SELECT DISTINCT file_path, CASE WHEN sample_id % 4 = 1 THEN 'manual' ELSE concat(lpad(CAST(sample_id % 7 + 1 AS VARCHAR), 2, '0'), '.03.2026 07:48:36') END AS ac_calibration_date FROM FP", PATHS))

@@ -27,7 +27,10 @@ TAB = "\t"
 # ---------------------------------------------------------------- reading
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
-    """All export files under a root: path, size, modification time.  The content column is pruned."""
+    """All export files under a root: path, size, modification time.  The content column is pruned.
+
+    Spark's file sources do not list files of zero bytes, so those never appear.
+    """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", GLOB).load(root)
     return f.select(c("path").alias("file_path"), c("length").alias("file_size_bytes"), c("modificationTime").alias("file_mtime"))
 
@@ -235,7 +238,7 @@ def metadata(files: DataFrame, lines: DataFrame, n_bins: int, cap: int | None =
         files.join(axes.select("file_path", "axis_error", F.element_at("axis", 1).alias("wn_start"), F.element_at("axis", -1).alias("wn_end"), F.lit(True).alias("_read")), "file_path", "left")
         .join(head, "file_path", "left").join(grid(parsed), "file_path", "left").join(bad, "file_path", "left")
     )
-    empty = F.when(c("_read").isNull(), F.lit("empty_file"))
+    empty = F.when(c("_read").isNull(), F.lit("empty_file"))  # listed, but without a single line
     none = F.when(c("_read") & c("axis_error").isNull() & c("n_pixels").isNull(), F.lit("no_valid_pixel_rows"))
     capped = F.when(c("n_pixels") > cap, F.concat(F.lit("pixel_capped:"), c("n_pixels").cast("string"), F.lit(f"->{cap}"))) if cap else F.lit(None).cast("string")
     null = F.array().cast("array<string>")

@@ -22,7 +22,7 @@ def stream_lines(spark: SparkSession, root: str, files_per_batch: int | None = N
     t = r.load(root)
     return t.select(
         F.col("_metadata.file_path").alias("file_path"),
-        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no")).alias("ord"),
+        F.col("_metadata.file_block_start").alias("block"),
         F.col("value").alias("line"),
     )
 
@@ -33,7 +33,10 @@ def ingest_new_files(
     """Process everything new under ``root`` once and stop."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        # line numbers exist only on the finished batch, not on the stream
+        order = F.struct("block", F.monotonically_increasing_id().alias("line_no"))
+        lines = batch.select("file_path", order.alias("ord"), "line")
+        transform(lines).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     q = (
         stream_lines(spark, root, files_per_batch)
