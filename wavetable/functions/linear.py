@@ -135,8 +135,8 @@ def resample_matrix(source: Sequence[float], target: Sequence[float]) -> np.ndar
     return np.stack([np.interp(np.asarray(target), source, e) for e in np.eye(len(source))])
 
 
-def savgol(c: Column | str, *, window: int, polyorder: int, deriv: int = 0, delta: float = 1.0) -> Column:
-    """Savitzky-Golay filter of each series: shifted sums inside, polynomial rows at both ends."""
+def savgol_kernel(window: int, polyorder: int, deriv: int = 0, delta: float = 1.0):
+    """Matrix kernel of the filter: shifted sums inside, polynomial rows at both ends."""
     window += 1 - window % 2
     half = window // 2
     m = savgol_matrix(2 * window, window, polyorder, deriv=deriv, delta=delta)
@@ -149,4 +149,9 @@ def savgol(c: Column | str, *, window: int, polyorder: int, deriv: int = 0, delt
         inner = sum(t * x[:, k : k + n] for k, t in enumerate(taps))
         return np.concatenate([x[:, :window] @ head, inner, x[:, -window:] @ tail], axis=1)
 
-    return row_map(kernel)(c)
+    return kernel
+
+
+def savgol(c: Column | str, *, window: int, polyorder: int, deriv: int = 0, delta: float = 1.0) -> Column:
+    """Savitzky-Golay filter of each series."""
+    return row_map(savgol_kernel(window, polyorder, deriv, delta))(c)

@@ -1,31 +1,44 @@
 """Per-series features.  Catalogs are dict arguments; results are new columns in the same row.
 
-The axis is a plan-time list, so every integral is a fixed dot product and nothing shuffles.
-Only the corpus-level fits (mean series, class templates, region components) aggregate rows, and
-what they bring to the driver has the size of the axis times the number of classes.
+The axis is a plan-time list, so every integral is a fixed dot product and nothing shuffles.  A
+feature family is a matrix kernel with column names; a frame of many families runs them in one Arrow
+pass, so a series is handed to Python once.  Only the corpus-level fits (mean series, class templates,
+region components) aggregate rows; what they bring to the driver has axis size times class count.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavetable import catalog
-from wavetable.functions.linear import (
-    dot, is_narrow, linear_map, savgol, trapezoid_weights, wavelet_bank, window_mask,
-)
+from wavetable.functions.linear import dot, is_narrow, linear_map, savgol_kernel, trapezoid_weights, wavelet_bank, window_mask
 from wavetable.functions.series import row_map
 from wavetable.functions.stats import safe_ratio, signed_ratio
-from wavetable.operators.clean import crop, kept_runs
+from wavetable.operators.moments import mean_vector, second_moments
 
 MAX_TEMPLATES = 10_000
 
 
+@dataclass(frozen=True)
+class Family:
+    """Feature columns computed together: (n, B) series to (n, len(names)) values; NaN means null."""
+
+    names: list[str]
+    kernel: Callable[[np.ndarray], np.ndarray]
+
+
+def with_families(df: DataFrame, y: str, families: Sequence[Family]) -> DataFrame:
+    """Add the columns of all families in one pass over the series."""
+    kernels = [f.kernel for f in families]
+    packed = row_map(lambda x: np.concatenate([k(x) for k in kernels], axis=1))(y)
+    return _columns_from_array(df, packed, [n for f in families for n in f.names])
+
+
 def _columns_from_array(df: DataFrame, packed: Column, names: Sequence[str]) -> DataFrame:
     """Spread an array column over named columns; NaN becomes null."""
     df = df.withColumn("_packed", packed)
@@ -35,27 +48,42 @@ def _columns_from_array(df: DataFrame, packed: Column, names: Sequence[str]) ->
     )
 
 
-def integrate(df: DataFrame, y: str, axis: Sequence[float], windows: dict[str, tuple[float, float]], prefix: str = "auc_") -> DataFrame:
-    """Trapezoid area over each window; null where fewer than two axis points fall in it."""
-    weights = {n: trapezoid_weights(axis, lo, hi) for n, (lo, hi) in windows.items()}
-    usable = {n: w for n, w in weights.items() if w is not None}
-    if usable and is_narrow(np.stack(list(usable.values()), axis=1)):
-        return df.withColumns(
-            {f"{prefix}{n}": dot(y, w) if w is not None else F.lit(None).cast("double") for n, w in weights.items()}
-        )
-    matrix = np.stack([w if w is not None else np.full(len(axis), np.nan) for w in weights.values()], axis=1)
-    return _columns_from_array(df, row_map(lambda x: x @ matrix)(y), [f"{prefix}{n}" for n in weights])
+def linear_family(weights: dict[str, np.ndarray | None], size: int) -> Family:
+    """Weighted sums; a missing weight vector gives a null column."""
+    matrix = np.stack([w if w is not None else np.full(size, np.nan) for w in weights.values()], axis=1)
+    return Family(list(weights), lambda x: x @ matrix)
+
 
+# ---------------------------------------------------------------- areas and ratios
 
 def band_windows(bands: dict[str, float], half_width: float) -> dict[str, tuple[float, float]]:
     return {n: (c - half_width, c + half_width) for n, c in bands.items()}
 
 
-def band_auc(df, y, axis, bands: dict | None = None, half_width: float = 10.0) -> DataFrame:
+def area_weights(axis: Sequence[float], windows: dict[str, tuple[float, float]], prefix: str = "auc_") -> dict:
+    return {f"{prefix}{n}": trapezoid_weights(axis, lo, hi) for n, (lo, hi) in windows.items()}
+
+
+def integrate(df: DataFrame, y: str, axis: Sequence[float], windows: dict[str, tuple[float, float]], prefix: str = "auc_") -> DataFrame:
+    """Trapezoid area over each window; null where fewer than two axis points fall in it."""
+    weights = area_weights(axis, windows, prefix)
+    usable = [w for w in weights.values() if w is not None]
+    if usable and is_narrow(np.stack(usable, axis=1)):
+        return df.withColumns({n: dot(y, w) if w is not None else F.lit(None).cast("double") for n, w in weights.items()})
+    return with_families(df, y, [linear_family(weights, len(axis))])
+
+
+def on_axis(bands: dict[str, float], axis: Sequence[float]) -> dict[str, float]:
+    return {n: c for n, c in bands.items() if axis[0] <= c <= axis[-1]}
+
+
+def _centers(names=None) -> dict[str, float]:
+    return {n: catalog.BANDS[n][0] for n in (names or catalog.BANDS)}
+
+
+def band_auc(df, y, axis, bands: dict[str, float] | None = None, half_width: float = 10.0) -> DataFrame:
     """Area of every catalog band whose center lies on the axis."""
-    bands = bands or {n: c for n, (c, _) in catalog.BANDS.items()}
-    on_axis = {n: c for n, c in bands.items() if axis[0] <= c <= axis[-1]}
-    return integrate(df, y, axis, band_windows(on_axis, half_width))
+    return integrate(df, y, axis, band_windows(on_axis(bands or _centers(), axis), half_width))
 
 
 def window_sum(df: DataFrame, y: str, axis: Sequence[float], windows: dict[str, tuple[float, float]], prefix: str = "sum_") -> DataFrame:
@@ -64,23 +92,25 @@ def window_sum(df: DataFrame, y: str, axis: Sequence[float], windows: dict[str,
     return _columns_from_array(df, linear_map(y, np.stack(list(masks.values()), axis=1)), [f"{prefix}{n}" for n in masks])
 
 
-def group_vector(df, y, axis, bands=None, groups=None, regions=None, half_width: float = 10.0) -> DataFrame:
-    """Summed band areas per group, and the area of each continuous region cut to the axis."""
+def group_weights(axis, bands=None, groups=None, regions=None, half_width: float = 10.0) -> dict:
     bands, groups = bands or catalog.BANDS, groups or catalog.GROUPS
     regions = catalog.CONTINUOUS_REGIONS if regions is None else regions
-    outs: dict[str, np.ndarray] = {}
+    outs: dict = {}
     for name, code in groups.items():
         ws = [
             trapezoid_weights(axis, c - half_width, c + half_width)
             for c, g in bands.values()
             if g == code and axis[0] <= c <= axis[-1]
         ]
-        outs[name] = np.sum(ws, axis=0) if ws and all(w is not None for w in ws) else np.full(len(axis), np.nan)
+        outs[f"auc_{name}"] = np.sum(ws, axis=0) if ws and all(w is not None for w in ws) else None
     for name, (lo, hi) in regions.items():
-        w = trapezoid_weights(axis, max(lo, axis[0]), min(hi, axis[-1]))
-        outs[name] = w if w is not None else np.full(len(axis), np.nan)
-    matrix = np.stack(list(outs.values()), axis=1)
-    return _columns_from_array(df, row_map(lambda x: x @ matrix)(y), [f"auc_{n}" for n in outs])
+        outs[f"auc_{name}"] = trapezoid_weights(axis, max(lo, axis[0]), min(hi, axis[-1]))
+    return outs
+
+
+def group_vector(df, y, axis, bands=None, groups=None, regions=None, half_width: float = 10.0) -> DataFrame:
+    """Summed band areas per group, and the area of each continuous region cut to the axis."""
+    return with_families(df, y, [linear_family(group_weights(axis, bands, groups, regions, half_width), len(axis))])
 
 
 def named_ratios(df: DataFrame, ratios: dict | None = None, eps: float = 1e-9) -> DataFrame:
@@ -91,12 +121,16 @@ def named_ratios(df: DataFrame, ratios: dict | None = None, eps: float = 1e-9) -
     )
 
 
-def composition_ratios(df: DataFrame, y: str, axis: Sequence[float], half_width: float = 10.0) -> DataFrame:
-    """Thirteen fixed composition features in five families."""
-    base = integrate(df, y, axis, band_windows({f"{int(c)}": c for c in catalog.COMPOSITION_CENTERS}, half_width), "_a")
+def composition_family(axis, half_width: float = 10.0) -> Family:
+    """Hidden areas ``_a<center>`` the composition ratios read."""
+    windows = band_windows({f"{int(c)}": c for c in catalog.COMPOSITION_CENTERS}, half_width)
+    return linear_family(area_weights(axis, windows, "_a"), len(axis))
+
+
+def composition_columns() -> dict[str, Column]:
     a = lambda c: F.col(f"_a{c}")
     indole = a(759) + a(1552)
-    out = {
+    return {
         "bio_cyt_pyrrole_ratio": safe_ratio(a(752), a(1004)),
         "bio_cyt_ox_state": safe_ratio(a(1356), a(1372)),
         "bio_cyt_total": a(752) + a(1127) + a(1585),
@@ -111,7 +145,12 @@ def composition_ratios(df: DataFrame, y: str, axis: Sequence[float], half_width:
         "bio_na_a_form_fraction": safe_ratio(a(815), a(815) + a(835)),
         "bio_rna_dna_ratio": safe_ratio(a(813), a(788)),
     }
-    return base.select(*df.columns, *[c.alias(n) for n, c in out.items()])
+
+
+def composition_ratios(df: DataFrame, y: str, axis: Sequence[float], half_width: float = 10.0) -> DataFrame:
+    """Thirteen fixed composition features in five families."""
+    base = with_families(df, y, [composition_family(axis, half_width)])
+    return base.select(*df.columns, *[c.alias(n) for n, c in composition_columns().items()])
 
 
 # ---------------------------------------------------------------- moments and peaks
@@ -139,13 +178,17 @@ def _moments(x: np.ndarray, axis: np.ndarray) -> np.ndarray:
     return np.stack([mean, np.sqrt(m2), skew, kurt, (x * axis).sum(1) / s, -(p * np.log(p + eps)).sum(1)], axis=1)
 
 
-def roi_moments(df: DataFrame, y: str, axis: Sequence[float], rois: dict | None = None) -> DataFrame:
-    """Mean, population sd, bias-corrected skew and excess kurtosis, centroid and entropy per region."""
+def moments_family(axis: Sequence[float], rois: dict | None = None) -> Family:
     rois = rois or catalog.ROIS
     axis = np.asarray(axis)
     masks = [window_mask(axis, lo, hi) for lo, hi in rois.values()]
-    packed = row_map(lambda x: np.concatenate([_moments(x[:, m], axis[m]) for m in masks], axis=1))(y)
-    return _columns_from_array(df, packed, [f"roi_{n}_{s}" for n in rois for s in MOMENTS])
+    names = [f"roi_{n}_{s}" for n in rois for s in MOMENTS]
+    return Family(names, lambda x: np.concatenate([_moments(x[:, m], axis[m]) for m in masks], axis=1))
+
+
+def roi_moments(df: DataFrame, y: str, axis: Sequence[float], rois: dict | None = None) -> DataFrame:
+    """Mean, population sd, bias-corrected skew and excess kurtosis, centroid and entropy per region."""
+    return with_families(df, y, [moments_family(axis, rois)])
 
 
 PEAK_STATS = ("position", "height", "centre", "width", "area", "residual")
@@ -166,28 +209,30 @@ def _peak(x: np.ndarray, axis: np.ndarray) -> np.ndarray:
     return np.stack([axis[top], h.max(1), centre, width, area, np.sqrt((h**2).mean(1))], axis=1)
 
 
-def peak_descriptors(df: DataFrame, y: str, axis: Sequence[float], bands: dict[str, float], window: float = 30.0) -> DataFrame:
-    """Six shape numbers per band above the straight line through the window's end points."""
+def peak_family(axis: Sequence[float], bands: dict[str, float], window: float = 30.0) -> Family:
     axis = np.asarray(axis)
     masks = [window_mask(axis, c - window, c + window) for c in bands.values()]
-    packed = row_map(lambda x: np.concatenate([_peak(x[:, m], axis[m]) for m in masks], axis=1))(y)
-    return _columns_from_array(df, packed, [f"peak_{n}_{s}" for n in bands for s in PEAK_STATS])
+    names = [f"peak_{n}_{s}" for n in bands for s in PEAK_STATS]
+    return Family(names, lambda x: np.concatenate([_peak(x[:, m], axis[m]) for m in masks], axis=1))
 
 
-def derivative_auc(
-    df: DataFrame, y: str, axis: Sequence[float], bands: dict[str, float], deriv: int,
-    half_width: float = 10.0, window: int = 11, polyorder: int = 3,
-) -> DataFrame:
+def peak_descriptors(df: DataFrame, y: str, axis: Sequence[float], bands: dict[str, float], window: float = 30.0) -> DataFrame:
+    """Six shape numbers per band above the straight line through the window's end points."""
+    return with_families(df, y, [peak_family(axis, bands, window)])
+
+
+def derivative_family(axis, bands: dict[str, float], deriv: int, half_width: float = 10.0, window: int = 11, polyorder: int = 3) -> Family:
+    slope = savgol_kernel(window, polyorder, deriv, float(np.median(np.diff(axis))))
+    areas = linear_family(area_weights(axis, band_windows(bands, half_width), f"d{deriv}_auc_"), len(axis))
+    return Family(areas.names, lambda x: areas.kernel(np.abs(slope(x))))
+
+
+def derivative_auc(df, y, axis, bands: dict[str, float], deriv: int, half_width: float = 10.0, window: int = 11, polyorder: int = 3) -> DataFrame:
     """Area of the absolute Savitzky-Golay derivative over each band."""
-    delta = float(np.median(np.diff(axis)))
-    slope = savgol(y, window=window, polyorder=polyorder, deriv=deriv, delta=delta)
-    ws = [trapezoid_weights(axis, lo, hi) for lo, hi in band_windows(bands, half_width).values()]
-    matrix = np.stack([w if w is not None else np.full(len(axis), np.nan) for w in ws], axis=1)
-    return _columns_from_array(df, row_map(lambda x: np.abs(x) @ matrix)(slope), [f"d{deriv}_auc_{n}" for n in bands])
+    return with_families(df, y, [derivative_family(axis, bands, deriv, half_width, window, polyorder)])
 
 
-def wavelet_features(df: DataFrame, y: str, n: int, levels: int = 6) -> DataFrame:
-    """Energy and entropy of the detail coefficients per level (1 = finest)."""
+def wavelet_family(n: int, levels: int = 6) -> Family:
     bank = wavelet_bank(n, levels)
     eps = 1e-12
 
@@ -201,28 +246,33 @@ def wavelet_features(df: DataFrame, y: str, n: int, levels: int = 6) -> DataFram
             out += [energy, np.where(energy < eps, 0.0, -(safe * np.log(safe)).sum(1))]
         return np.stack(out, axis=1)
 
-    names = [f"dwt_{s}_L{k}" for k in range(1, levels + 1) for s in ("energy", "entropy")]
-    return _columns_from_array(df, row_map(kernel)(y), names)
+    return Family([f"dwt_{s}_L{k}" for k in range(1, levels + 1) for s in ("energy", "entropy")], kernel)
+
+
+def wavelet_features(df: DataFrame, y: str, n: int, levels: int = 6) -> DataFrame:
+    """Energy and entropy of the detail coefficients per level (1 = finest)."""
+    return with_families(df, y, [wavelet_family(n, levels)])
 
 
 # ---------------------------------------------------------------- corpus-level fits
 
-def mean_vector(df: DataFrame, y: str = "y") -> np.ndarray:
-    """Mean series of a table.  Partial sums per (position) leave each task; the result has axis length."""
-    rows = df.select(F.posexplode(y).alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("m")).orderBy("pos").collect()
-    return np.array([r.m for r in rows])
+def scatter_design(axis: Sequence[float], reference: np.ndarray, degree: int = 2) -> np.ndarray:
+    x = np.asarray(axis)
+    x = (x - x.mean()) / (x.std() + 1e-9)
+    return np.stack([np.ones(len(x)), reference, *[x**k for k in range(1, degree + 1)]], axis=1)
+
+
+def scatter_family(axis, reference: np.ndarray, degree: int = 2) -> Family:
+    solve = np.linalg.pinv(scatter_design(axis, reference, degree)).T
+    return Family(["emsc_a", "emsc_b", *[f"emsc_c{k}" for k in range(1, degree + 1)]], lambda x: x @ solve)
 
 
 def emsc(df: DataFrame, y: str, axis: Sequence[float], reference: np.ndarray | None = None, degree: int = 2) -> DataFrame:
     """Regress each series on [1, reference, x, x^2, ...]; adds the coefficients and the residual series."""
     reference = mean_vector(df, y) if reference is None else reference
-    x = np.asarray(axis)
-    x = (x - x.mean()) / (x.std() + 1e-9)
-    design = np.stack([np.ones(len(x)), reference, *[x**k for k in range(1, degree + 1)]], axis=1)
+    design = scatter_design(axis, reference, degree)
     solve = np.linalg.pinv(design).T
-    coefs = linear_map(y, solve)
-    names = ["emsc_a", "emsc_b", *[f"emsc_c{k}" for k in range(1, degree + 1)]]
-    out = _columns_from_array(df, coefs, names)
+    out = with_families(df, y, [scatter_family(axis, reference, degree)])
     return out.withColumn("emsc_residual", row_map(lambda v: v - (v @ solve) @ design.T)(y))
 
 
@@ -236,8 +286,7 @@ def fit_templates(df: DataFrame, y: str, label: str) -> dict:
     return {r[label]: np.array([p.m for p in r.s]) for r in sorted(rows, key=lambda r: r[label])}
 
 
-def angles(df: DataFrame, y: str, templates: dict, prefix: str, axis=None, region: tuple[float, float] | None = None) -> DataFrame:
-    """Angle in radians between each series and each template, on the whole axis or one region."""
+def angle_family(templates: dict, prefix: str, axis=None, region: tuple[float, float] | None = None) -> Family:
     m = np.stack(list(templates.values()))
     mask = window_mask(axis, *region) if region else np.ones(m.shape[1], dtype=bool)
     m = m[:, mask]
@@ -247,32 +296,58 @@ def angles(df: DataFrame, y: str, templates: dict, prefix: str, axis=None, regio
         x = x[:, mask]
         return np.arccos(np.clip((x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9)) @ m, -1.0, 1.0))
 
-    return _columns_from_array(df, row_map(kernel)(y), [f"{prefix}{k}" for k in templates])
+    return Family([f"{prefix}{k}" for k in templates], kernel)
+
+
+def angles(df: DataFrame, y: str, templates: dict, prefix: str, axis=None, region: tuple[float, float] | None = None) -> DataFrame:
+    """Angle in radians between each series and each template, on the whole axis or one region."""
+    return with_families(df, y, [angle_family(templates, prefix, axis, region)])
+
+
+@dataclass(frozen=True)
+class RegionComponents:
+    """Principal components of one region; ``axes`` is None where the region is too short."""
+
+    name: str
+    size: int
+    mask: np.ndarray
+    axes: np.ndarray | None = None
+    mean: np.ndarray | None = None
+    explained: np.ndarray | None = None
 
 
-def fit_region_components(df: DataFrame, y: str, axis: Sequence[float], regions: dict | None = None) -> dict:
-    """Principal components per region.  None where the region is too short."""
-    fitted = {}
+def fit_region_components(df: DataFrame, y: str, axis: Sequence[float], regions: dict | None = None) -> list[RegionComponents]:
+    """Components of every region from one pass over the series: the region blocks of the covariance matrix.
+
+    The sign of a component is free; the largest loading is made positive.
+    """
+    _, mean, _, moments = second_moments(df, y)
+    cov = moments - np.outer(mean, mean)
+    out = []
     for name, (lo, hi, k) in (regions or catalog.PCA_REGIONS).items():
-        if int(window_mask(axis, lo, hi).sum()) < k + 1:
-            fitted[name] = (lo, hi, k, None, None, None)
+        mask = window_mask(axis, lo, hi)
+        if mask.sum() < k + 1:
+            out.append(RegionComponents(name, k, mask))
             continue
-        part = df.select(crop(y, axis, ((lo, hi),)).alias("v"))
-        model = PCA(k=k, inputCol="f", outputCol="s").fit(part.select(array_to_vector("v").alias("f")))
-        fitted[name] = (lo, hi, k, model.pc.toArray(), model.explainedVariance.toArray(), mean_vector(part, "v"))
-    return fitted
+        block = cov[np.ix_(mask, mask)]
+        values, vectors = np.linalg.eigh(block)
+        pc = vectors[:, ::-1][:, :k]
+        pc = pc * np.sign(pc[np.abs(pc).argmax(0), np.arange(k)])
+        out.append(RegionComponents(name, k, mask, pc, mean[mask], values[::-1][:k] / np.trace(block)))
+    return out
 
 
-def region_scores(df: DataFrame, y: str, axis: Sequence[float], fitted: dict) -> DataFrame:
+def component_family(fitted: Sequence[RegionComponents]) -> Family:
+    def scores(x, f):
+        return (x[:, f.mask] - f.mean) @ f.axes if f.axes is not None else np.full((len(x), f.size), np.nan)
+
+    names = [f"pca_{f.name}_PC{i + 1}" for f in fitted for i in range(f.size)]
+    return Family(names, lambda x: np.concatenate([scores(x, f) for f in fitted], axis=1))
+
+
+def region_scores(df: DataFrame, y: str, axis: Sequence[float], fitted: Sequence[RegionComponents]) -> DataFrame:
     """Scores of the fitted components: a linear map of the centred region."""
-    for name, (lo, hi, k, pc, _, mean) in fitted.items():
-        names = [f"pca_{name}_PC{i + 1}" for i in range(k)]
-        if pc is None:
-            df = df.withColumns({n: F.lit(None).cast("double") for n in names})
-        else:
-            (a, b), = kept_runs(axis, ((lo, hi),))
-            df = _columns_from_array(df, row_map(lambda x, a=a, b=b, pc=pc, mean=mean: (x[:, a:b] - mean) @ pc)(y), names)
-    return df
+    return with_families(df, y, [component_family(fitted)])
 
 
 # ---------------------------------------------------------------- whole frames
@@ -282,22 +357,24 @@ def band_frame(
     ratios=True, peaks=True, rois=True, scatter=True, derivatives=True, composition=True, reference=None,
 ) -> DataFrame:
     """All band-level features, families switchable."""
-    out = band_auc(group_vector(df, y, axis, half_width=half_width), y, axis, half_width=half_width)
-    picked = {n: catalog.BANDS[n][0] for n in catalog.PEAK_BANDS if axis[0] <= catalog.BANDS[n][0] <= axis[-1]}
-    if ratios:
-        out = named_ratios(out)
+    picked = on_axis(_centers(catalog.PEAK_BANDS), axis)
+    areas = area_weights(axis, band_windows(on_axis(_centers(), axis), half_width))
+    families = [linear_family({**group_weights(axis, half_width=half_width), **areas}, len(axis))]
     if peaks:
-        out = peak_descriptors(out, y, axis, picked, window)
+        families.append(peak_family(axis, picked, window))
     if rois:
-        out = roi_moments(out, y, axis)
+        families.append(moments_family(axis))
     if scatter:
-        out = emsc(out, y, axis, reference if reference is not None else mean_vector(df, y)).drop("emsc_residual")
+        families.append(scatter_family(axis, mean_vector(df, y) if reference is None else reference))
     if derivatives:
-        for d in (1, 2):
-            out = derivative_auc(out, y, axis, picked, d, half_width)
+        families += [derivative_family(axis, picked, d, half_width) for d in (1, 2)]
     if composition:
-        out = composition_ratios(out, y, axis, half_width)
-    return out
+        families.append(composition_family(axis, half_width))
+    out = with_families(df, y, families)
+    if ratios:
+        out = named_ratios(out)
+    extra = composition_columns() if composition else {}
+    return out.select(*[c for c in out.columns if not c.startswith("_a")], *[c.alias(n) for n, c in extra.items()])
 
 
 def spectral_frame(
@@ -305,12 +382,12 @@ def spectral_frame(
     wavelet=True, components=True, levels: int = 6, fitted=None, templates=None,
 ) -> DataFrame:
     """Wavelet, region-component and template-angle features, families switchable."""
-    out = wavelet_features(df, y, len(axis), levels) if wavelet else df
+    families = [wavelet_family(len(axis), levels)] if wavelet else []
     if components:
-        out = region_scores(out, y, axis, fitted or fit_region_components(df, y, axis))
+        families.append(component_family(fitted or fit_region_components(df, y, axis)))
     for kind, name in (("class", label), ("sub", sublabel)):
         if name:
             t = (templates or {}).get(kind) or fit_templates(df, y, name)
-            out = angles(out, y, t, f"sam_{kind}_")
-            out = angles(out, y, t, f"sam_lps_{kind}_", axis, catalog.ANGLE_REGION)
-    return out
+            families.append(angle_family(t, f"sam_{kind}_"))
+            families.append(angle_family(t, f"sam_lps_{kind}_", axis, catalog.ANGLE_REGION))
+    return with_families(df, y, families)

@@ -27,7 +27,7 @@ from wavetable.operators import features as ft
 from wavetable.operators.evaluate import class_metrics, confusion, soft_vote, summary_metrics, with_prediction
 from wavetable.operators.scale import checked_broadcast, hash_bucket, hash_key, ranked
 from wavetable.operators.splits import stratified_folds
-from wavetable.operators.unmix import second_moments
+from wavetable.operators.moments import second_moments
 
 c = F.col
 ABSTAIN_BELOW = 0.55

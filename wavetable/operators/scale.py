@@ -91,69 +91,49 @@ def exact_percentiles(
     """Linear-interpolation percentiles per group; nulls and NaN are ignored.
 
     Pass 1 keeps a bounded sketch per group, whose rank error is at most n/accuracy, and asks it for
-    a value below and above each wanted rank.  Pass 2 counts the rows outside each bracket and keeps
-    only the distinct values inside it (about 4n/accuracy per quantile), where the rank is exact.
+    a value below and above each wanted rank.  Pass 2 keeps the distinct values inside these brackets
+    (about 4n/accuracy per quantile) with their counts, and of every gap between brackets its count,
+    minimum and maximum.  In value order the running counts give the exact rank of each.
     """
     names = list(quantiles)
     delta = 2.0 / accuracy
     probes = [p for q in quantiles.values() for p in (max(q - delta, 0.0), min(q + delta, 1.0))]
     v = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    v = v.withColumn("_v", F.col("_v") + F.lit(0.0))
+    v = v.withColumn("_v", F.col("_v") + F.lit(0.0))  # one zero, not two
     sketch = v.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", probes, accuracy).alias("_e")
     )
-    lo = [F.col("_e")[2 * i] for i in range(len(names))]
-    hi = [F.col("_e")[2 * i + 1] for i in range(len(names))]
-    inside = reduce(lambda a, b: a | b, [F.col("_v").between(a, b) for a, b in zip(lo, hi)])
-    per_value = (
+    brackets = [(F.col("_e")[2 * i], F.col("_e")[2 * i + 1]) for i in range(len(names))]
+    inside = reduce(lambda a, b: a | b, [F.col("_v").between(lo, hi) for lo, hi in brackets])
+    gap = reduce(lambda a, b: a + b, [F.when(F.col("_v") > hi, 1).otherwise(0) for _, hi in brackets])
+    runs = (
         null_safe_join(v, sketch, keys)
-        .groupBy(*keys, F.when(inside, F.col("_v")).alias("_x"))
-        .agg(
-            F.first("_n").alias("_n"),
-            F.first("_e").alias("_e"),
-            F.count(F.lit(1)).alias("_c"),
-            *[F.count_if(F.col("_v") < lo[i]).alias(f"_below{i}") for i in range(len(names))],
-            *[F.max(F.when(F.col("_v") < lo[i], F.col("_v"))).alias(f"_prev{i}") for i in range(len(names))],
-            *[F.min(F.when(F.col("_v") > hi[i], F.col("_v"))).alias(f"_next{i}") for i in range(len(names))],
-        )
-    )
-    part = keys or [F.lit(0)]
-    whole = Window.partitionBy(*part)
-    upto = Window.partitionBy(*part).orderBy(F.col("_x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    staged = per_value
-    for i in range(len(names)):
-        here = F.when(F.col("_x").between(lo[i], hi[i]), F.col("_c")).otherwise(F.lit(0))
-        staged = staged.withColumn(f"_in{i}", here)
-    staged = staged.select(
-        "*",
-        *[F.sum(f"_below{i}").over(whole).alias(f"_b{i}") for i in range(len(names))],
-        *[F.sum(f"_in{i}").over(upto).alias(f"_end{i}") for i in range(len(names))],
+        .groupBy(*keys, "_n", F.when(inside, F.col("_v")).alias("_x"), F.when(~inside, gap).alias("_g"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     )
+    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_lo").rowsBetween(Window.unboundedPreceding, 0)
+    runs = runs.withColumn("_end", F.sum("_c").over(order)).withColumn("_start", F.col("_end") - F.col("_c"))
+    lost = F.raise_error(F.lit("percentile rank outside its bracket")).cast("double")
+
+    def value_at(k: Column) -> Column:
+        at = (
+            F.when(F.col("_x").isNotNull(), F.col("_x"))
+            .when(k == F.col("_start"), F.col("_lo"))
+            .when(k == F.col("_end") - 1, F.col("_hi"))
+            .otherwise(lost)
+        )
+        return F.max(F.when((F.col("_start") <= k) & (k < F.col("_end")), at))
+
     aggs = []
     for i, name in enumerate(names):
-        rank = F.col("_n").cast("double") - 1.0
-        rank = rank * quantiles[name]
-        start, end = F.col(f"_b{i}") + F.col(f"_end{i}") - F.col(f"_in{i}"), F.col(f"_b{i}") + F.col(f"_end{i}")
-        for side, k in (("l", F.floor(rank)), ("h", F.ceil(rank))):
-            hit = (F.col(f"_in{i}") > 0) & (start <= k) & (k < end)
-            aggs.append(F.max(F.when(hit, F.col("_x"))).alias(f"_{side}{i}"))
-            aggs.append(F.max(F.when(k < F.col(f"_b{i}"), F.lit(1)).otherwise(F.lit(0))).alias(f"_{side}under{i}"))
+        rank = (F.col("_n").cast("double") - 1.0) * quantiles[name]
+        aggs += [value_at(F.floor(rank)).alias(f"_l{i}"), value_at(F.ceil(rank)).alias(f"_h{i}")]
         aggs.append(F.max(rank - F.floor(rank)).alias(f"_f{i}"))
-        aggs.append(F.max(f"_prev{i}").alias(f"_p{i}"))
-        aggs.append(F.min(f"_next{i}").alias(f"_q{i}"))
-    picked = staged.groupBy(*keys).agg(*aggs)
-
-    def value_at(side: str, i: int) -> Column:
-        near = F.when(F.col(f"_{side}under{i}") == 1, F.col(f"_p{i}")).otherwise(F.col(f"_q{i}"))
-        return F.coalesce(F.col(f"_{side}{i}"), near)
-
-    return picked.select(
-        *keys,
-        *[
-            (value_at("l", i) + (value_at("h", i) - value_at("l", i)) * F.col(f"_f{i}")).alias(name)
-            for i, name in enumerate(names)
-        ],
-    )
+    blend = [
+        (F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.col(f"_f{i}")).alias(name)
+        for i, name in enumerate(names)
+    ]
+    return runs.groupBy(*keys).agg(*aggs).select(*keys, *blend)
 
 
 def with_percentiles(

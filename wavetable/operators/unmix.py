@@ -11,12 +11,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavetable.functions.series import ARRAY, _by_width, row_map, row_reduce
+from wavetable.functions.series import _by_width, row_map, row_reduce
+from wavetable.operators.moments import second_moments
 from wavetable.operators.scale import exact_percentiles
 
 
@@ -26,16 +25,6 @@ def shift_non_negative(df: DataFrame, y: str) -> DataFrame:
     return df.withColumn(y, row_map(lambda x: x - low)(y))
 
 
-def second_moments(df: DataFrame, y: str) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """Row count, mean, population sd and cross-moment matrix X'X / n of a series table (B x B)."""
-    v = df.select(array_to_vector(y).alias("v"))
-    s = v.select(Summarizer.metrics("count", "mean", "variance").summary(F.col("v")).alias("s")).first()["s"]
-    n, mean = int(s["count"]), s["mean"].toArray()
-    sd = np.sqrt(s["variance"].toArray() * (n - 1) / n)
-    corr = np.nan_to_num(Correlation.corr(v, "v").first()[0].toArray())
-    return n, mean, sd, corr * np.outer(sd, sd) + np.outer(mean, mean)
-
-
 def purest_variables(df: DataFrame, y: str, components: int, offset_pct: float = 5.0) -> tuple[np.ndarray, list[int]]:
     """Greedy pick of the positions that vary most independently, and a start spectrum for each.
 

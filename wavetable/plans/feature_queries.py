@@ -319,9 +319,10 @@ def f11_invariants(spark, sf):
     fitted = ft.fit_region_components(s, "y", AXIS)
     scores = ft.region_scores(s, "y", AXIS, fitted)
     out = None
-    for name, (lo, hi, k, pc, ratio, _) in fitted.items():
-        if pc is None:
+    for f in fitted:
+        if f.axes is None:
             continue
+        name, k, ratio = f.name, f.size, f.explained
         # score variance / explained share must give the region's total variance back
         var = sum((F.var_samp(f"pca_{name}_PC{i + 1}") for i in range(k)), F.lit(0.0))
         row = scores.agg(

@@ -147,20 +147,39 @@ def parse_pixels(lines: DataFrame, axes: DataFrame) -> DataFrame:
     return d.select("file_path", "ord", "x_um", "y_um", "y", reason.alias("reject"))
 
 
+REJECT_REASONS = ("bad_coord_row", "truncated_pixel_row", "nan_in_raw_spectrum")
+
+
+def file_stats(parsed: DataFrame) -> DataFrame:
+    """Per file in one pass: accepted rows, distinct coordinates, rows per reject reason.
+
+    Spark counts the distinct values per (file, value) first, so a file's values never meet in a task.
+    """
+    ok = c("reject").isNull()
+    g = parsed.groupBy("file_path").agg(
+        F.count_if(ok).alias("n_pixels"),
+        F.count_distinct(F.when(ok, c("x_um"))).alias("grid_nx"),
+        F.count_distinct(F.when(ok, c("y_um"))).alias("grid_ny"),
+        *[F.count_if(c("reject") == reason).alias(f"n_{reason}") for reason in REJECT_REASONS],
+    )
+    full = c("grid_nx") * c("grid_ny")
+    entry = lambda reason: F.when(c(f"n_{reason}") > 0, F.concat(F.lit(f"{reason}:"), c(f"n_{reason}").cast("string")))
+    return g.withColumn("is_complete_scan", c("n_pixels") >= full).select(
+        "*",
+        F.when(c("n_pixels") < full, F.concat(F.lit("partial_scan:"), c("n_pixels").cast("string"), F.lit("/"), full.cast("string"))).alias("scan_warning"),
+        F.array_compact(F.array(*[entry(reason) for reason in REJECT_REASONS])).alias("row_warnings"),
+    )
+
+
 def rejects(parsed: DataFrame) -> DataFrame:
+    """Rows per file and reject reason."""
     return parsed.where("reject is not null").groupBy("file_path", "reject").agg(F.count(F.lit(1)).alias("n"))
 
 
 def grid(parsed: DataFrame) -> DataFrame:
-    """Grid size from distinct coordinates (counted in two steps), pixel count, completeness."""
-    ok = parsed.where("reject is null")
-    side = lambda col, out: ok.select("file_path", col).distinct().groupBy("file_path").agg(F.count(F.lit(1)).alias(out))
-    n = ok.groupBy("file_path").agg(F.count(F.lit(1)).alias("n_pixels"))
-    g = n.join(side("x_um", "grid_nx"), "file_path").join(side("y_um", "grid_ny"), "file_path")
-    full = c("grid_nx") * c("grid_ny")
-    return g.withColumn("is_complete_scan", c("n_pixels") >= full).withColumn(
-        "scan_warning", F.when(c("n_pixels") < full, F.concat(F.lit("partial_scan:"), c("n_pixels").cast("string"), F.lit("/"), full.cast("string")))
-    )
+    """Grid size from distinct coordinates, pixel count and completeness of the files with accepted rows."""
+    g = file_stats(parsed).where("n_pixels > 0")
+    return g.select("file_path", "n_pixels", "grid_nx", "grid_ny", "is_complete_scan", "scan_warning")
 
 
 def cap_rows(parsed: DataFrame, cap: int, seed: int = 0) -> DataFrame:
@@ -232,14 +251,12 @@ def metadata(files: DataFrame, lines: DataFrame, n_bins: int, cap: int | None =
     axes = parse_axis(starts, n_bins)
     parsed = parse_pixels(lines, axes)
     head = header_fields(header_entries(lines, starts))
-    # one entry per reject reason: "<reason>:<rows>"
-    bad = rejects(parsed).groupBy("file_path").agg(F.collect_list(F.concat_ws(":", "reject", c("n").cast("string"))).alias("row_warnings"))
     m = (
         files.join(axes.select("file_path", "axis_error", F.element_at("axis", 1).alias("wn_start"), F.element_at("axis", -1).alias("wn_end"), F.lit(True).alias("_read")), "file_path", "left")
-        .join(head, "file_path", "left").join(grid(parsed), "file_path", "left").join(bad, "file_path", "left")
+        .join(head, "file_path", "left").join(file_stats(parsed).drop(*[f"n_{x}" for x in REJECT_REASONS]), "file_path", "left")
     )
     empty = F.when(c("_read").isNull(), F.lit("empty_file"))  # listed, but without a single line
-    none = F.when(c("_read") & c("axis_error").isNull() & c("n_pixels").isNull(), F.lit("no_valid_pixel_rows"))
+    none = F.when(c("_read") & c("axis_error").isNull() & (F.coalesce("n_pixels", F.lit(0)) == 0), F.lit("no_valid_pixel_rows"))
     capped = F.when(c("n_pixels") > cap, F.concat(F.lit("pixel_capped:"), c("n_pixels").cast("string"), F.lit(f"->{cap}"))) if cap else F.lit(None).cast("string")
     null = F.array().cast("array<string>")
     m = m.withColumns({
