@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 def mean_vector(df: DataFrame, y: str = "y") -> np.ndarray:
     """Mean series of a table.  Partial sums per position leave each task."""
-    rows = df.select(F.posexplode(y).alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("m")).orderBy("pos").collect()
-    return np.array([r.m for r in rows])
+    rows = df.select(F.posexplode(y).alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("m")).collect()
+    return np.array([r.m for r in sorted(rows, key=lambda r: r.pos)])
 
 
 def second_moments(df: DataFrame, y: str) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wavetable.functions.linear import window_mask
 from wavetable.functions.series import mad, row_reduce
 from wavetable.operators.scale import exact_percentiles, null_safe_join
+from wavetable.session import materialise
 
 
 def with_snr(
@@ -29,15 +30,24 @@ def with_background(
     """Mark rows that are both dim (band sum in the file's lowest share) and flat (small spread)."""
     m = window_mask(axis, *band)
     d = df.withColumn("intensity", row_reduce(lambda x: x[:, m].sum(1))(y)).withColumn("spread", mad(y))
-    scalars = d.select(file, "intensity", "spread")
-    dim = exact_percentiles(scalars, [file], "intensity", {"_dim": pct})
-    flat = exact_percentiles(scalars, [file], "spread", {"_flat": 0.5})
-    sizes = scalars.groupBy(file).agg(F.count(F.lit(1)).alias("_rows"))
-    limits = null_safe_join(null_safe_join(dim, flat, [file]), sizes, [file])
+    limits = _file_limits(materialise(d.select(file, "intensity", "spread"), "qc"), file, pct)
     marked = (F.col("_rows") >= min_rows) & (F.col("intensity") <= F.col("_dim")) & (F.col("spread") < flatness * F.col("_flat"))
     return null_safe_join(d, limits, [file]).withColumn("background", marked).drop("_dim", "_flat", "_rows")
 
 
+def _file_limits(scalars: DataFrame, file: str, pct: float) -> DataFrame:
+    """Dimness limit, median spread and row count per file, from two scalars per series.
+
+    The series themselves are read twice (here and for the mask) and never shuffled.
+    """
+    both = F.explode(F.array(*[F.struct(F.lit(n).alias("what"), F.col(n).alias("v")) for n in ("intensity", "spread")]))
+    flat = scalars.select(file, both.alias("e")).select(file, "e.what", "e.v")
+    p = exact_percentiles(flat, [file, "what"], "v", {"dim": pct, "mid": 0.5})
+    pick = lambda what, col: F.max(F.when(F.col("what") == what, F.col(col)))
+    limits = p.groupBy(file).agg(pick("intensity", "dim").alias("_dim"), pick("spread", "mid").alias("_flat"))
+    return null_safe_join(limits, scalars.groupBy(file).agg(F.count(F.lit(1)).alias("_rows")), [file])
+
+
 def with_keep(df: DataFrame, file: str, y: str, axis: Sequence[float], *, snr_threshold: float = 5.0, drop_background: bool = True, **bands) -> DataFrame:
     """The full mask: enough signal and not background."""
     d = with_snr(df, y, axis, **bands)

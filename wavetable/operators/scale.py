@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavetable.session import materialise
+
 BROADCAST_ROWS = 10_000
 
 
@@ -64,7 +66,7 @@ def running_totals(
     df: DataFrame, keys: list[str], value: str, measures: dict[str, Column], buckets: int = 256
 ) -> DataFrame:
     """One row per (keys, value) with each measure summed, and ``<measure>_before`` over smaller values."""
-    per_value = df.groupBy(*keys, value).agg(*[F.sum(c).alias(m) for m, c in measures.items()])
+    per_value = materialise(df.groupBy(*keys, value).agg(*[F.sum(c).alias(m) for m, c in measures.items()]), "totals")
     probes = [i / buckets for i in range(1, buckets)]
     edges = per_value.groupBy(*keys).agg(F.percentile_approx(value, probes, 10_000).alias("_edges"))
     b = null_safe_join(per_value, edges, keys).withColumn(

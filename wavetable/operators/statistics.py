@@ -18,6 +18,7 @@ from wavetable.functions import stats as fx
 from wavetable.functions.series import norm
 from wavetable.operators.rollup import exploded, unpivot
 from wavetable.operators.scale import exact_percentiles, hash_bucket, hash_key, null_safe_join, ranked, running_totals
+from wavetable.session import materialise
 
 c = F.col
 DRAW_CHUNK = 65_536
@@ -111,7 +112,8 @@ def mutual_information(df: DataFrame, features: Sequence[str], label: str, bins:
     """Mutual information (nats) between each feature, cut into exact quantile bins, and the label."""
     from wavetable.operators.ranking import quantile_bins
 
-    u = quantile_bins(unpivot(df, [label], features).where("value is not null and not isnan(value)"), "value", bins, ["feature"])
+    flat = materialise(unpivot(df, [label], features).where("value is not null and not isnan(value)"), "mi")
+    u = quantile_bins(flat, "value", bins, ["feature"])
     cells = u.groupBy("feature", "bin", label).agg(F.count(F.lit(1)).alias("n"))
     # the contingency table is at most bins x labels per feature
     wf, wb, wl = Window.partitionBy("feature"), Window.partitionBy("feature", "bin"), Window.partitionBy("feature", label)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from wavetable.functions.series import _by_width, row_map, row_reduce
 from wavetable.operators.moments import second_moments
 from wavetable.operators.scale import exact_percentiles
+from wavetable.session import materialise
 
 
 def shift_non_negative(df: DataFrame, y: str) -> DataFrame:
@@ -88,8 +89,8 @@ def _products(df: DataFrame, y: str, spectra: np.ndarray) -> tuple[np.ndarray, n
                 total[-1] += float((d * d).sum())
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "v"])
 
-    sums = df.select(y).mapInArrow(partial, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
-    flat = np.array([r.v for r in sums])
+    sums = df.select(y).mapInArrow(partial, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    flat = np.array([r.v for r in sorted(sums, key=lambda r: r.i)])  # K x (K + B) numbers
     return flat[: k * k].reshape(k, k), flat[k * k : -1].reshape(k, b), flat[-1]
 
 
@@ -147,5 +148,6 @@ def partial_reconstruction(df: DataFrame, y: str, spectra: np.ndarray, keep: Seq
 def abundance_summary(df: DataFrame, file: str, c: str = "c") -> DataFrame:
     """Mean, sample sd, max and 90th percentile of every component per file."""
     flat = df.select(file, F.posexplode(c).alias("k", "v")).select(file, (F.col("k") + 1).cast("long").alias("component"), "v")
+    flat = materialise(flat, "abundance")  # three passes read it; the non-negative solve runs once
     stats = flat.groupBy(file, "component").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.max("v").alias("max"))
     return stats.join(exact_percentiles(flat, [file, "component"], "v", {"p90": 0.9}), [file, "component"])

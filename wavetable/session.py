@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -38,3 +40,15 @@ def shared_folder(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="wavetable-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write a narrow intermediate table to the shared folder and read it back.
+
+    For results that several later steps read and that are costly to compute again.  The table outlives
+    lost executors, keeps column pruning, and ends the lineage.  The caller's job owns the folder.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
