@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavetable.functions.series import norm, roll, row_reduce
-from wavetable.operators.scale import hash_bucket, hash_key, ranked
+from wavetable.operators.scale import hash_bucket, hash_key, ranked, with_totals
 
 M = 2_147_483_647
 
@@ -64,7 +64,7 @@ def mixup(df: DataFrame, key: str, label: str, y: str, *, lam: float, seed: int)
     rows = ranked(df.select(key, label, y).withColumn("_h", order), [], [F.col("_h"), F.col(key)], hash_bucket(F.col("_h"))).drop("_h")
     n = df.agg(F.count(F.lit(1)).alias("_n"))
     partner = rows.select(F.col("rn").alias("_rn"), F.col(label).alias("label_b"), F.col(y).alias("_y2"))
-    nxt = rows.crossJoin(F.broadcast(n)).withColumn("_rn", F.col("rn") % F.col("_n") + 1)  # n: one row
+    nxt = with_totals(rows, n).withColumn("_rn", F.col("rn") % F.col("_n") + 1)
     return nxt.join(partner, "_rn").select(
         key, F.col(label).alias("label_a"), "label_b", F.zip_with(y, "_y2", lambda a, b: lam * a + (1 - lam) * b).alias(y)
     )

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavetable.operators.scale import null_safe_join
+from wavetable.operators.scale import with_totals
 from wavetable.operators.sets import set_checks
 
 c = F.col
@@ -49,7 +49,7 @@ def width(df: DataFrame, y: str, n: int) -> DataFrame:
 
 
 def rows_match(a: DataFrame, b: DataFrame, gate: str = "rows_match") -> DataFrame:
-    g = a.agg(F.count(F.lit(1)).alias("a")).crossJoin(b.agg(F.count(F.lit(1)).alias("b")))  # 1 x 1 row
+    g = with_totals(a.agg(F.count(F.lit(1)).alias("a")), b.agg(F.count(F.lit(1)).alias("b")))
     return row(g, gate, c("a") == c("b"), text(c("a"), "rows and", c("b")))
 
 
@@ -66,7 +66,7 @@ def funnel_reconciles(funnel: DataFrame, masked: DataFrame | None = None) -> Dat
     f = funnel if "n_drop_both" in funnel.columns else funnel.withColumn("n_drop_both", F.lit(0))
     ok = c("n_input") - c("n_drop_snr") - c("n_drop_bg") + c("n_drop_both") == c("n_keep")
     if masked is not None:
-        f = f.crossJoin(masked.agg(F.count(F.lit(1)).alias("_rows"), F.count_if("keep").alias("_kept")))  # 1 x 1 row
+        f = with_totals(f, masked.agg(F.count(F.lit(1)).alias("_rows"), F.count_if("keep").alias("_kept")))
         ok = ok & (c("_rows") == c("n_input")) & (c("_kept") == c("n_keep"))
     return row(f, "funnel_reconciles", ok, text(c("n_input"), "-", c("n_drop_snr"), "-", c("n_drop_bg"), "+", c("n_drop_both"), "=", c("n_keep")))
 

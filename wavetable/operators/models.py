@@ -26,8 +26,9 @@ from wavetable.functions.series import row_map
 from wavetable.operators import features as ft
 from wavetable.operators.evaluate import class_metrics, confusion, soft_vote, summary_metrics, with_prediction
 from wavetable.operators.scale import checked_broadcast, hash_bucket, hash_key, ranked
-from wavetable.operators.splits import stratified_folds
+from wavetable.operators.splits import MAX_FOLDS
 from wavetable.operators.moments import second_moments
+from wavetable.session import materialise
 
 c = F.col
 ABSTAIN_BELOW = 0.55
@@ -219,8 +220,10 @@ def templates_by_fold(df: DataFrame, y: str, label: str, fold: str) -> dict:
     """Class means on the training side of every fold from one aggregation: total minus the held-out part."""
     e = df.select(label, fold, F.posexplode(y).alias("pos", "v")).groupBy(label, fold, "pos").agg(F.sum("v").alias("s"), F.count("v").alias("n"))
     total = e.groupBy(label, "pos").agg(F.sum("s").alias("_s"), F.sum("n").alias("_n"))
-    folds = e.select(c(fold).alias("_fold")).distinct()
-    grid = total.crossJoin(checked_broadcast(folds, 1_000))  # one small table per fold
+    ids = [r[0] for r in e.select(fold).distinct().limit(MAX_FOLDS + 1).collect()]
+    if len(ids) > MAX_FOLDS:
+        raise ValueError(f"more than {MAX_FOLDS} folds")
+    grid = total.withColumn("_fold", F.explode(F.array(*[F.lit(i) for i in ids])))
     j = grid.join(e.withColumnRenamed(fold, "_fold"), [label, "pos", "_fold"], "left")
     m = j.select(label, "_fold", "pos", F.try_divide(c("_s") - F.coalesce("s", F.lit(0.0)), c("_n") - F.coalesce("n", F.lit(0))).alias("m"))
     packed = m.where("m is not null").groupBy("_fold", label).agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("t"))
@@ -298,7 +301,8 @@ def permuted_importance(df: DataFrame, features: Sequence[str], label: str, key:
 
 def stack_per_fold(wide: DataFrame, features: Sequence[str], k: int, reg: float = 0.01) -> DataFrame:
     """Logistic on the models' file probabilities, each fold predicted by a fit on the other folds."""
-    d = balanced(assembled(wide, features, "y_true"), "label").cache()  # read once per fold
+    wide = materialise(wide, "stack")  # read once per fold
+    d = balanced(assembled(wide, features, "y_true"), "label")
     folds = [r[0] for r in d.select("fold_id").distinct().orderBy("fold_id").collect()]  # one row per fold
 
     def one(f):

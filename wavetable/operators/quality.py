@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wavetable.functions.linear import window_mask
 from wavetable.functions.series import mad, row_reduce
-from wavetable.operators.scale import exact_percentiles, null_safe_join
+from wavetable.operators.scale import checked_broadcast, exact_percentiles, null_safe_join
 from wavetable.session import materialise
 
 
@@ -32,7 +32,8 @@ def with_background(
     d = df.withColumn("intensity", row_reduce(lambda x: x[:, m].sum(1))(y)).withColumn("spread", mad(y))
     limits = _file_limits(materialise(d.select(file, "intensity", "spread"), "qc"), file, pct)
     marked = (F.col("_rows") >= min_rows) & (F.col("intensity") <= F.col("_dim")) & (F.col("spread") < flatness * F.col("_flat"))
-    return null_safe_join(d, limits, [file]).withColumn("background", marked).drop("_dim", "_flat", "_rows")
+    # the limits are one row per file; broadcasting them keeps the series where they are
+    return null_safe_join(d, checked_broadcast(limits, 100_000), [file]).withColumn("background", marked).drop("_dim", "_flat", "_rows")
 
 
 def _file_limits(scalars: DataFrame, file: str, pct: float) -> DataFrame:

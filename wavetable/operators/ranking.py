@@ -121,17 +121,18 @@ def waterfall(df: DataFrame, stage: str, y: str, step: float) -> DataFrame:
     return lifted.withColumn(y, F.transform(y, lambda v: v + F.col("_i") * step)).drop("_i")
 
 
-def intensity_order(df: DataFrame, file: str, key: str, score: Column) -> DataFrame:
-    """Rows of every file ordered by a score, highest first, then key.
+def intensity_order(df: DataFrame, file: str, key: str, score: Column, chunk: int = 65_536) -> DataFrame:
+    """Rows of every file ordered by a score, highest first, then by the integer key.
 
-    Ties share a running count, and inside a tie the key decides, so a file is ranked bucket by bucket.
+    The score gives a running count over the file, the key a row number among equal scores; both are
+    computed in parts, so a large file or one very common score does not end up in one task.
     """
     from wavetable.operators.scale import null_safe_join, running_totals
 
     d = df.withColumn("_neg", -score)
     t = running_totals(d, [file], "_neg", {"_k": F.lit(1).cast("long")}).select(file, "_neg", "_k_before")
-    within = Window.partitionBy(file, "_neg").orderBy(key)
-    return null_safe_join(d, t, [file, "_neg"]).withColumn("place", F.col("_k_before") + F.row_number().over(within)).drop("_neg", "_k_before")
+    tied = ranked(d, [file, "_neg"], [F.col(key)], F.floor(F.col(key) / chunk), "_tie")
+    return null_safe_join(tied, t, [file, "_neg"]).withColumn("place", F.col("_k_before") + F.col("_tie")).drop("_neg", "_k_before", "_tie")
 
 
 def consensus(chosen: DataFrame, feature: str, k: int) -> DataFrame:

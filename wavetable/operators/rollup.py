@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from wavetable import catalog
 from wavetable.functions.stats import corrected_kurtosis, corrected_skew
 from wavetable.operators import features as ft
-from wavetable.operators.scale import exact_percentiles, null_safe_join
+from wavetable.operators.scale import checked_broadcast, exact_percentiles, null_safe_join, ranked, with_totals
 
 
 def mean_pool(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -92,7 +92,7 @@ def standardised_means(df: DataFrame, features: Sequence[str], by: Sequence[str]
         second = F.sum(F.col("n") * (F.col(f"v_{f}") + F.col(f"m_{f}") * F.col(f"m_{f}"))) / total
         glob += [mean.alias(f"gm_{f}"), F.sqrt(second - mean * mean).alias(f"gs_{f}")]
     one = g.agg(*glob)
-    return g.crossJoin(F.broadcast(one)).select(  # one row of global moments
+    return with_totals(g, one).select(
         *by, *[F.try_divide(F.col(f"m_{f}") - F.col(f"gm_{f}"), F.col(f"gs_{f}")).alias(f) for f in features]
     )
 
@@ -107,7 +107,7 @@ def box_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Quartiles, and whiskers at the last value within 1.5 times the interquartile range."""
     keys = list(keys)
     q = exact_percentiles(df, keys, value, {"q1": 0.25, "med": 0.5, "q3": 0.75})
-    j = null_safe_join(df, q, keys)
+    j = null_safe_join(df, checked_broadcast(q), keys)
     span = 1.5 * (F.col("q3") - F.col("q1"))
     v = F.col(value)
     return j.groupBy(*keys, "q1", "med", "q3").agg(
@@ -187,7 +187,5 @@ def breakdown(df: DataFrame, cls: str, sub: str, n: str, rate: str, order: Seque
 
 def breakdown_members(df: DataFrame, cls: str, sub: str, file: str, no_sub: str, chunk: int = 65_536) -> DataFrame:
     """The member list of every (class, subclass) as rows with their place, so no list is collected."""
-    from wavetable.operators.scale import ranked
-
     d = df.select(cls, F.coalesce(sub, F.lit(no_sub)).alias(sub), file)
     return ranked(d, [cls, sub], [F.col(file)], F.floor(F.col(file) / chunk), "member")

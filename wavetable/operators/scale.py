@@ -3,7 +3,7 @@
 ``ranked``            row numbers inside a group, computed bucket by bucket
 ``running_totals``    running sums by value inside a group (rank sums, cumulative counts)
 ``exact_percentiles`` interpolated percentiles: a sketch brackets each rank, a second pass finds it
-``checked_broadcast`` broadcast hint only after counting the rows
+``checked_broadcast`` broadcast of a table whose row count was checked
 
 A plain ``row_number() over (partition by key)`` or ``percentile`` would pull a whole group into one
 task; here a task sees one bucket of a group, plus at most a few hundred bucket totals.
@@ -24,15 +24,25 @@ BROADCAST_ROWS = 10_000
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join that matches null keys to null keys and keeps the left copy of the keys."""
     if not keys:
-        return left.crossJoin(right)  # the right side is one row of global totals
+        return with_totals(left, right)  # without keys the right side is a global aggregate
     renamed = right.select(*[F.col(k).alias(f"_rk_{k}") if k in keys else F.col(k) for k in right.columns])
     cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_rk_{k}")) for k in keys])
     return left.join(renamed, cond, how).drop(*[f"_rk_{k}" for k in keys])
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if the table has at most ``max_rows`` rows; else leave the choice to Spark."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    """Compute a small table once and broadcast it, if it has at most ``max_rows`` rows.
+
+    Never more than ``max_rows`` + 1 rows are fetched.  A larger table is returned as it is, and Spark
+    joins it by shuffling (with its run-time skew handling).
+    """
+    head = df.limit(max_rows + 1).toArrow()
+    return F.broadcast(df.sparkSession.createDataFrame(head, df.schema)) if head.num_rows <= max_rows else df
+
+
+def with_totals(df: DataFrame, totals: DataFrame) -> DataFrame:
+    """Attach a global aggregate, which has exactly one row, to every row."""
+    return df.crossJoin(F.broadcast(totals))
 
 
 def hash_key(*cols: Column | str, seed: int = 0) -> Column:
@@ -69,7 +79,7 @@ def running_totals(
     per_value = materialise(df.groupBy(*keys, value).agg(*[F.sum(c).alias(m) for m, c in measures.items()]), "totals")
     probes = [i / buckets for i in range(1, buckets)]
     edges = per_value.groupBy(*keys).agg(F.percentile_approx(value, probes, 10_000).alias("_edges"))
-    b = null_safe_join(per_value, edges, keys).withColumn(
+    b = null_safe_join(per_value, checked_broadcast(edges), keys).withColumn(
         "_bucket", F.size(F.filter("_edges", lambda e: e < F.col(value)))
     ).drop("_edges")
     totals = b.groupBy(*keys, "_bucket").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
@@ -109,7 +119,7 @@ def exact_percentiles(
     inside = reduce(lambda a, b: a | b, [F.col("_v").between(lo, hi) for lo, hi in brackets])
     gap = reduce(lambda a, b: a + b, [F.when(F.col("_v") > hi, 1).otherwise(0) for _, hi in brackets])
     runs = (
-        null_safe_join(v, sketch, keys)
+        null_safe_join(v, checked_broadcast(sketch), keys)
         .groupBy(*keys, "_n", F.when(inside, F.col("_v")).alias("_x"), F.when(~inside, gap).alias("_g"))
         .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     )
@@ -142,4 +152,4 @@ def with_percentiles(
     df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], how: str = "left"
 ) -> DataFrame:
     """Attach group percentiles to every row of the group."""
-    return null_safe_join(df, exact_percentiles(df, keys, value, quantiles), keys, how)
+    return null_safe_join(df, checked_broadcast(exact_percentiles(df, keys, value, quantiles)), keys, how)

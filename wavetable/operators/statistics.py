@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from wavetable.functions import stats as fx
 from wavetable.functions.series import norm
 from wavetable.operators.rollup import exploded, unpivot
-from wavetable.operators.scale import exact_percentiles, hash_bucket, hash_key, null_safe_join, ranked, running_totals
+from wavetable.operators.scale import exact_percentiles, hash_bucket, hash_key, null_safe_join, ranked, running_totals, with_totals
 from wavetable.session import materialise
 
 c = F.col
@@ -167,7 +167,7 @@ def batch_effect(df: DataFrame, batch: str, y: str = "y") -> DataFrame:
     )
     same = F.try_divide(c("inside"), c("pairs_in"))
     other = F.try_divide(c("all") - c("inside"), c("pairs_all") - c("pairs_in"))
-    return inner.crossJoin(total).select(same.alias("same_batch"), other.alias("other_batch"), F.try_divide(same, other).alias("ratio"))  # 1 x 1 row
+    return with_totals(inner, total).select(same.alias("same_batch"), other.alias("other_batch"), F.try_divide(same, other).alias("ratio"))
 
 
 def silhouette(df: DataFrame, key: str, by: str, y: str = "y", max_clusters: int = 1_000) -> DataFrame:
@@ -242,7 +242,7 @@ def overlap_interval(df: DataFrame, by: str, value: str, a, b) -> DataFrame:
     v = lambda k: F.when(c(by) == k, c(value))
     edges = df.agg(F.greatest(F.min(v(a)), F.min(v(b))).alias("lo"), F.least(F.max(v(a)), F.max(v(b))).alias("hi"))
     inside = c(value).between(c("lo"), c("hi"))
-    return df.crossJoin(F.broadcast(edges)).groupBy("lo", "hi").agg(  # edges: one row
+    return with_totals(df, edges).groupBy("lo", "hi").agg(
         F.count_if((c(by) == a) & inside).alias("n_a"), F.count_if((c(by) == b) & inside).alias("n_b")
     )
 

@@ -123,7 +123,7 @@ def m7_templates(spark, sf):
 @query("m7_per_fold_refit")
 def m7(spark, sf):
     """Region components and a logistic, both fitted on each fold's training side only."""
-    s = series(spark, sf).withColumn("fold_id", F.col("sample_id") % 5).withColumn("label", F.col("cls").cast("double")).cache()
+    s = series(spark, sf).withColumn("fold_id", F.col("sample_id") % 5).withColumn("label", F.col("cls").cast("double"))
     regions = {"low": (400.0, 1200.0, 3)}
 
     def one(f):

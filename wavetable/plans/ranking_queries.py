@@ -9,6 +9,7 @@ from wavetable.functions import series as fs
 from wavetable.operators import ranking as rk
 from wavetable.operators import rollup as ru
 from wavetable.operators import statistics as st
+from wavetable.operators.scale import with_totals
 from wavetable.plans.registry import query
 from wavetable.plans.rollup_queries import COLS, WIDE, areas
 from wavetable.plans.tables import AXIS, P_SQL, long, prediction, r, series, sql, table
@@ -122,8 +123,7 @@ def _points(df, key):
 def w7(spark, sf):
     s = series(spark, sf)
     ref = ru.mean_series(s.where("subclass = 0"), ["subclass"]).select(F.slice("y", 1, 60).alias("ref"))
-    # the reference is one series
-    return _points(s.select("vec_id", "y").crossJoin(F.broadcast(ref)).select("vec_id", fs.subtract_series("y", "ref").alias("y")), "vec_id")
+    return _points(with_totals(s.select("vec_id", "y"), ref).select("vec_id", fs.subtract_series("y", "ref").alias("y")), "vec_id")
 
 
 @query(

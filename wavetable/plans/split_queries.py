@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wavetable.operators import splits as sp
+from wavetable.operators.scale import with_totals
 from wavetable.plans.quality_queries import MASK_CTES, masked
 from wavetable.plans.registry import query
 from wavetable.plans.tables import series, sql
@@ -71,7 +72,7 @@ def k5(spark, sf):
 def k6(spark, sf):
     n = sp.fingerprint(series(spark, sf), "vec_id", ["cls", "subclass"]).select("n_rows")
     seeds = kfold(spark, sf).select("fold").distinct().select("fold", sp.fold_seed(F.col("fold")).alias("fold_seed"))
-    return seeds.crossJoin(F.broadcast(n))  # n: one row
+    return with_totals(seeds, n)
 
 
 @query("k6_fingerprint")

@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 from wavetable import catalog
 from wavetable.functions.series import ARRAY, _by_width
 from wavetable.operators.ranking import top_k_per
-from wavetable.operators.scale import checked_broadcast, hash_key, null_safe_join, ranked
+from wavetable.operators.scale import checked_broadcast, hash_key, ranked
+from wavetable.session import materialise
 
 c = F.col
 GLOB = "*.{xls,txt}"
@@ -39,8 +40,11 @@ def read_lines(spark: SparkSession, root: str) -> DataFrame:
     """Lines of all export files.
 
     Order inside a file is (block start, line number inside the block); blocks of one file are read in
-    offset order whatever the partitioning.
+    offset order whatever the partitioning.  Later steps compare this order between two scans, so the
+    split size is pinned: unpinned, Spark derives it from the cores the cluster has at that moment.
     """
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     t = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", GLOB).text(root)
     return t.select(
         c("_metadata.file_path").alias("file_path"),
@@ -84,7 +88,7 @@ def body_start(lines: DataFrame) -> DataFrame:
 
 def header_entries(lines: DataFrame, starts: DataFrame) -> DataFrame:
     """(file, key, value) of `#KEY=<tab>VALUE` lines before the body; the last entry of a key wins."""
-    h = lines.where(F.startswith("line", F.lit("#"))).join(starts.select("file_path", "axis_ord"), "file_path")
+    h = lines.where(F.startswith("line", F.lit("#"))).join(checked_broadcast(starts.select("file_path", "axis_ord"), 100_000), "file_path")
     h = h.where(c("axis_ord").isNull() | (c("ord") < c("axis_ord"))).where(F.contains("line", F.lit("=")))
     body = F.ltrim(c("line"), F.lit("#"))
     key = F.trim(F.substring_index(body, "=", 1))
@@ -132,7 +136,8 @@ def parse_axis(starts: DataFrame, n: int | None) -> DataFrame:
 def parse_pixels(lines: DataFrame, axes: DataFrame) -> DataFrame:
     """Every data line as x, y, values or a reject reason.  Blank and one-cell lines are ignored."""
     good = axes.where("axis_error is null").select("file_path", "axis_ord", F.size("axis").alias("_n"))
-    d = lines.join(good, "file_path").where((c("ord") > c("axis_ord")) & (F.trim(F.replace("line", F.lit(TAB), F.lit(" "))) != ""))
+    # one short row per file: broadcast it if the number of files allows, else Spark shuffles by file
+    d = lines.join(checked_broadcast(good, 100_000), "file_path").where((c("ord") > c("axis_ord")) & (F.trim(F.replace("line", F.lit(TAB), F.lit(" "))) != ""))
     d = d.withColumn("_t", F.split("line", TAB)).where(F.size("_t") >= 3)
     d = d.select(
         "file_path", "ord", number(c("_t")[0]).alias("x_um"), number(c("_t")[1]).alias("y_um"), F.size("_t").alias("_cells"), "_n",
@@ -218,9 +223,10 @@ def resample(rows: DataFrame, axes: DataFrame, target: Sequence[float], y: str =
                 out[r] = {"i": order[k] + 1, "j": order[nxt] + 1, "w": w}
         return pa.array(out, type=pa.struct([("i", pa.list_(pa.int32())), ("j", pa.list_(pa.int32())), ("w", pa.list_(pa.float64()))]))
 
-    plans = axes.select("axis").distinct().withColumn("_plan", search("axis"))
-    per_file = axes.select("file_path", "axis").join(plans, "axis").select("file_path", "_plan")
-    j = rows.join(checked_broadcast(per_file), "file_path")
+    # files share few axes: rows first look up their axis, then the plan of that axis
+    known = axes.where("axis is not null").select("file_path", F.md5(F.array_join(c("axis").cast("array<string>"), ",")).alias("_axis"), "axis")
+    plans = known.groupBy("_axis").agg(F.first("axis").alias("axis")).select("_axis", search("axis").alias("_plan"))
+    j = rows.join(checked_broadcast(known.select("file_path", "_axis"), 100_000), "file_path").join(checked_broadcast(plans, 200), "_axis").drop("_axis")
     blend = F.zip_with(
         F.arrays_zip(c("_plan.i").alias("i"), c("_plan.j").alias("j")), c("_plan.w"),
         lambda ij, w: F.element_at(y, ij["i"]) + w * (F.element_at(y, ij["j"]) - F.element_at(y, ij["i"])),
@@ -248,9 +254,9 @@ def two_column_series(lines: DataFrame, starts: DataFrame) -> DataFrame:
 def metadata(files: DataFrame, lines: DataFrame, n_bins: int, cap: int | None = 200) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Metadata per file, accepted parsed rows, and axes.  ``files`` comes from ``classify``."""
     starts = body_start(lines)
-    axes = parse_axis(starts, n_bins)
+    axes = materialise(parse_axis(starts, n_bins), "axes")  # one row per file, read by every later step
     parsed = parse_pixels(lines, axes)
-    head = header_fields(header_entries(lines, starts))
+    head = header_fields(header_entries(lines, axes))
     m = (
         files.join(axes.select("file_path", "axis_error", F.element_at("axis", 1).alias("wn_start"), F.element_at("axis", -1).alias("wn_end"), F.lit(True).alias("_read")), "file_path", "left")
         .join(head, "file_path", "left").join(file_stats(parsed).drop(*[f"n_{x}" for x in REJECT_REASONS]), "file_path", "left")
