@@ -8,11 +8,11 @@ an aggregate used inside a ``transform`` lambda, which turns a linear pass into
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -166,6 +166,17 @@ def remove_baseline(c: Column | str, *, half_width: int = 50, quantile: float =
     return row_map(kernel)(c)
 
 
+# ---------------------------------------------------------------- long form
+
+def exploded(df: DataFrame, keys: Sequence[str], y: str = "y", pos: str = "pos", v: str = "v") -> DataFrame:
+    """One row per (key, position).
+
+    The outer form on purpose: for the plain one Catalyst adds a "size > 0" filter and pushes it below
+    the projection, where it computes a Python-made series a second time.
+    """
+    return df.select(*keys, F.posexplode_outer(y).alias(pos, v)).where(F.col(pos).isNotNull())
+
+
 # ---------------------------------------------------------------- scalars per series
 
 def mad(c: Column | str) -> Column:

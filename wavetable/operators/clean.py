@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import groupby
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,11 +54,17 @@ def clean(
     With ``keep_stages`` every intermediate series stays as a column ``stage_<step>``.
     """
     chosen = [s for s in STEPS if s in steps]
+    regions = opts.get("regions", catalog.CROP_REGIONS)
     current: Column | str = y
     for step in chosen:
-        current = step_column(step, current, axis, **opts)
+        if step == "crop" and len(chosen) > 1 and not keep_stages:
+            # between matrix steps the crop is one too, so the chain is a single Arrow pass
+            mask = np.array([catalog.in_regions(x, regions) for x in axis])
+            current = fs.row_map(lambda x: x[:, mask])(current)
+        else:
+            current = step_column(step, current, axis, **opts)
         if keep_stages:
             df = df.withColumn(f"stage_{step}", current)
             current = f"stage_{step}"
-    out_axis = catalog.crop_axis(axis, opts.get("regions", catalog.CROP_REGIONS)) if "crop" in chosen else list(axis)
+    out_axis = catalog.crop_axis(axis, regions) if "crop" in chosen else list(axis)
     return df.withColumn(y, F.col(current) if isinstance(current, str) else current), out_axis

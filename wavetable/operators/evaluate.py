@@ -120,3 +120,15 @@ def held_out_recall(metrics: DataFrame, summary: DataFrame, held: DataFrame, by:
     """Recall of the fold's held-out parent class, or balanced accuracy where the class does not occur."""
     m = held.join(metrics.where("support > 0"), [*by, "cls"], "left").select(*by, "recall")
     return m.join(summary, list(by)).select(*by, F.coalesce("recall", "balanced_accuracy").alias("score"))
+
+
+def seed_summary(per_fold: DataFrame, metric: str, algo: str, seed: str) -> DataFrame:
+    """Mean over folds per seed, then mean and sd over seeds."""
+    per_seed = per_fold.groupBy(algo, seed).agg(F.avg(metric).alias("_m"))
+    return per_seed.groupBy(algo).agg(F.avg("_m").alias("mean"), F.stddev_samp("_m").alias("sd"), F.count(F.lit(1)).alias("seeds"))
+
+
+def best_algorithm(summary: DataFrame, algo: str) -> DataFrame:
+    """The algorithm with the highest mean; ties go to the lower name."""
+    best = F.min_by(F.struct(algo, "mean"), F.struct(-F.round("mean", 12), algo))
+    return summary.agg(best.alias("b")).select(f"b.{algo}", "b.mean")

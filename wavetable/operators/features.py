@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from wavetable import catalog
 from wavetable.functions.linear import dot, is_narrow, linear_map, savgol_kernel, trapezoid_weights, wavelet_bank, window_mask
-from wavetable.functions.series import row_map
+from wavetable.functions.series import exploded, row_map
 from wavetable.functions.stats import safe_ratio, signed_ratio
 from wavetable.operators.moments import mean_vector, second_moments
 
@@ -278,7 +278,7 @@ def emsc(df: DataFrame, y: str, axis: Sequence[float], reference: np.ndarray | N
 
 def fit_templates(df: DataFrame, y: str, label: str) -> dict:
     """Mean series per label.  The number of labels is checked before anything reaches the driver."""
-    means = df.select(label, F.posexplode(y).alias("pos", "v")).groupBy(label, "pos").agg(F.avg("v").alias("m"))
+    means = exploded(df, [label], y).groupBy(label, "pos").agg(F.avg("v").alias("m"))
     packed = means.groupBy(label).agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("s"))
     rows = packed.limit(MAX_TEMPLATES + 1).collect()
     if len(rows) > MAX_TEMPLATES:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavetable.functions.linear import linear_map
-from wavetable.functions.series import row_map
+from wavetable.functions.series import exploded, row_map
 from wavetable.operators import features as ft
 from wavetable.operators.evaluate import class_metrics, confusion, soft_vote, summary_metrics, with_prediction
 from wavetable.operators.scale import checked_broadcast, hash_bucket, hash_key, ranked
@@ -218,7 +218,7 @@ def random_search(train: DataFrame, valid: DataFrame, make: Callable[[dict], Pip
 
 def templates_by_fold(df: DataFrame, y: str, label: str, fold: str) -> dict:
     """Class means on the training side of every fold from one aggregation: total minus the held-out part."""
-    e = df.select(label, fold, F.posexplode(y).alias("pos", "v")).groupBy(label, fold, "pos").agg(F.sum("v").alias("s"), F.count("v").alias("n"))
+    e = exploded(df, [label, fold], y).groupBy(label, fold, "pos").agg(F.sum("v").alias("s"), F.count("v").alias("n"))
     total = e.groupBy(label, "pos").agg(F.sum("s").alias("_s"), F.sum("n").alias("_n"))
     ids = [r[0] for r in e.select(fold).distinct().limit(MAX_FOLDS + 1).collect()]
     if len(ids) > MAX_FOLDS:
@@ -251,7 +251,7 @@ def contributions(df: DataFrame, y: str, weights: np.ndarray, names: Sequence, k
     """Per-position share of a linear score for every class: weight times value, in long form."""
     per_class = [F.struct(F.lit(n).alias("cls"), F.zip_with(y, F.array(*[F.lit(float(v)) for v in w]), lambda a, b: a * b).alias("z")) for n, w in zip(names, weights)]
     e = df.select(key, F.explode(F.array(*per_class)).alias("e"))
-    return e.select(key, "e.cls", F.posexplode("e.z").alias("pos", "contribution"))
+    return exploded(e.select(key, "e.cls", "e.z"), [key, "cls"], "z", v="contribution")
 
 
 def top_coefficients(spark, weights: np.ndarray, names: Sequence, n: int = 11) -> DataFrame:

@@ -8,10 +8,12 @@ from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavetable.functions.series import exploded
+
 
 def mean_vector(df: DataFrame, y: str = "y") -> np.ndarray:
     """Mean series of a table.  Partial sums per position leave each task."""
-    rows = df.select(F.posexplode(y).alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("m")).collect()
+    rows = exploded(df, [], y).groupBy("pos").agg(F.avg("v").alias("m")).collect()
     return np.array([r.m for r in sorted(rows, key=lambda r: r.pos)])
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavetable import catalog
+from wavetable.functions.series import exploded
 from wavetable.functions.stats import corrected_kurtosis, corrected_skew
 from wavetable.operators import features as ft
 from wavetable.operators.scale import checked_broadcast, exact_percentiles, null_safe_join, ranked, with_totals
@@ -29,10 +30,6 @@ def group_constant(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame
     return g.where(F.when(F.col(column).eqNullSafe(F.col("_hi")), F.lit(True)).otherwise(bad)).drop("_hi")
 
 
-def exploded(df: DataFrame, keys: Sequence[str], y: str = "y") -> DataFrame:
-    return df.select(*keys, F.posexplode(y).alias("pos", "v"))
-
-
 def mean_series(df: DataFrame, keys: Sequence[str], y: str = "y") -> DataFrame:
     """Vector mean per key as an array in position order (group size is the axis length)."""
     m = exploded(df, keys, y).groupBy(*keys, "pos").agg(F.avg("v").alias("m"))
@@ -42,7 +39,7 @@ def mean_series(df: DataFrame, keys: Sequence[str], y: str = "y") -> DataFrame:
 
 def mean_series_kept(df: DataFrame, keys: Sequence[str], keep: str, y: str = "y") -> DataFrame:
     """As :func:`mean_series` over kept rows, or over all rows of a key that kept none. One pass."""
-    e = df.select(*keys, keep, F.posexplode(y).alias("pos", "v"))
+    e = exploded(df, [*keys, keep], y)
     m = e.groupBy(*keys, "pos").agg(F.coalesce(F.avg(F.when(F.col(keep), F.col("v"))), F.avg("v")).alias("m"))
     packed = m.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("s"))
     return packed.select(*keys, F.transform("s", lambda p: p["m"]).alias(y))

@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavetable.functions import stats as fx
-from wavetable.functions.series import norm
-from wavetable.operators.rollup import exploded, unpivot
+from wavetable.functions.series import exploded, norm
+from wavetable.operators.rollup import unpivot
 from wavetable.operators.scale import exact_percentiles, hash_bucket, hash_key, null_safe_join, ranked, running_totals, with_totals
 from wavetable.session import materialise
 
@@ -140,7 +140,7 @@ def class_cosine(df: DataFrame, by: str, y: str = "y") -> DataFrame:
 
     With unit rows u, the sum of all cosines between classes a and b is <sum_a u, sum_b u>.
     """
-    e = _unit(df, [by], y).select(by, F.posexplode("u").alias("pos", "v"))
+    e = exploded(_unit(df, [by], y), [by], "u")
     s = e.groupBy(by, "pos").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"))
     a = s.select(c(by).alias("a"), "pos", c("s").alias("sa"), c("n").alias("na"))
     b = s.select(c(by).alias("b"), "pos", c("s").alias("sb"), c("n").alias("nb"))

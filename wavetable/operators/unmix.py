@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavetable.functions.series import _by_width, row_map, row_reduce
+from wavetable.functions.series import _by_width, exploded, row_map, row_reduce
 from wavetable.operators.moments import second_moments
 from wavetable.operators.scale import exact_percentiles
 from wavetable.session import materialise
@@ -147,7 +147,7 @@ def partial_reconstruction(df: DataFrame, y: str, spectra: np.ndarray, keep: Seq
 
 def abundance_summary(df: DataFrame, file: str, c: str = "c") -> DataFrame:
     """Mean, sample sd, max and 90th percentile of every component per file."""
-    flat = df.select(file, F.posexplode(c).alias("k", "v")).select(file, (F.col("k") + 1).cast("long").alias("component"), "v")
+    flat = exploded(df, [file], c, "k").select(file, (F.col("k") + 1).cast("long").alias("component"), "v")
     flat = materialise(flat, "abundance")  # three passes read it; the non-negative solve runs once
     stats = flat.groupBy(file, "component").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.max("v").alias("max"))
     return stats.join(exact_percentiles(flat, [file, "component"], "v", {"p90": 0.9}), [file, "component"])

@@ -213,8 +213,19 @@ def e17(spark, sf):
     sql("P", "SELECT algo, round(avg(m), 6) AS mean, round(stddev_samp(m), 6) AS sd, count(*) AS seeds FROM (SELECT fold_id % 2 AS algo, model, avg(acc) AS m FROM AC GROUP BY ALL) GROUP BY algo", FV, ACC),
 )
 def e18(spark, sf):
-    per_seed = fold_accuracy(spark, sf).withColumn("algo", F.col("fold_id") % 2).groupBy("algo", "model").agg(F.avg("acc").alias("m"))
-    return per_seed.groupBy("algo").agg(F.round(F.avg("m"), 6).alias("mean"), F.round(F.stddev_samp("m"), 6).alias("sd"), F.count(F.lit(1)).alias("seeds"))
+    return seeds(spark, sf).select("algo", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "seeds")
+
+
+def seeds(spark, sf):
+    return ev.seed_summary(fold_accuracy(spark, sf).withColumn("algo", F.col("fold_id") % 2), "acc", "algo", "model")
+
+
+@query(
+    "e18_best_algorithm",
+    sql("P", "SELECT algo, round(m, 6) AS mean FROM (SELECT algo, avg(m) AS m FROM (SELECT fold_id % 2 AS algo, model, avg(acc) AS m FROM AC GROUP BY ALL) GROUP BY algo) ORDER BY m DESC, algo LIMIT 1", FV, ACC),
+)
+def e18_best(spark, sf):
+    return ev.best_algorithm(seeds(spark, sf), "algo").withColumn("mean", F.round("mean", 6))
 
 
 @query("e19_temperature_range", sql("P", "SELECT model, round(avg(temperature), 6) AS mean, min(temperature) AS min, max(temperature) AS max FROM TM GROUP BY model", LOSS, TEMP))

@@ -373,7 +373,7 @@ def f14(spark, sf):
     s = unmix.shift_non_negative(series(spark, sf).select(*SPEC), "y")
     fit = unmix.fit(s, "y", 4, max_iter=10)
     out = unmix.concentrations(s, "y", fit.spectra)
-    return out.select("vec_id", F.posexplode("c").alias("component", "v")).select("vec_id", F.col("component").cast("long").alias("component"), r("v").alias("c"))
+    return out.select("vec_id", F.posexplode_outer("c").alias("component", "v")).select("vec_id", F.col("component").cast("long").alias("component"), r("v").alias("c"))
 
 
 @query(
@@ -449,7 +449,7 @@ def f16(spark, sf):
 )
 def f16b(spark, sf):
     out = unmix.partial_reconstruction(block_concentrations(spark, sf), "y", block_spectra(), [0, 2])
-    return out.select("vec_id", F.posexplode("reconstruction").alias("pos", "v")).select("vec_id", F.col("pos").cast("long").alias("pos"), r("v").alias("y"))
+    return out.select("vec_id", F.posexplode_outer("reconstruction").alias("pos", "v")).select("vec_id", F.col("pos").cast("long").alias("pos"), r("v").alias("y"))
 
 
 @query(

@@ -31,6 +31,12 @@ def g1(spark, sf):
 CROPPED = [x for x in AXIS if catalog.in_regions(x)]
 
 
+@query("g1_cropped_axis", sql("L", gate_sql("cropped_axis", "count(*) = 30 AND min(wn) >= 399 AND max(wn) <= 3051", "concat('points ', count(*))", "FROM (SELECT DISTINCT pos, wn FROM L WHERE wn BETWEEN 400 AND 1800 OR wn BETWEEN 2800 AND 3050)")))
+def g1_cropped(spark, sf):
+    axis = long(series(spark, sf)).select("pos", "wn").distinct().where("wn between 400 and 1800 or wn between 2800 and 3050")
+    return gt.cropped_axis(axis, len(CROPPED), 400.0, 3050.0)
+
+
 @query("g2_series_width", gate_sql("series_width", "count(*) FILTER (len(embedding) <> 64) = 0", "concat('bad rows ', count(*) FILTER (len(embedding) <> 64), ' of ', count(*))", "FROM embeddings"))
 def g2(spark, sf):
     return gt.width(series(spark, sf), "y", 64)

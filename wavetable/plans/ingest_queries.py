@@ -143,7 +143,7 @@ RESAMPLED = """RS AS (SELECT file_path, pixel_idx, pos, CASE WHEN sample_id % 3
 def i8(spark, sf):
     p, axes = parsed(spark, sf)
     out = ins.resample(p.where("reject is null"), axes, AXIS)
-    return out.select("file_path", (F.col("ord") - 100).alias("pixel_idx"), F.posexplode("y").alias("pos", "v")).select("file_path", "pixel_idx", F.col("pos").cast("long").alias("pos"), F.round("v", 4).alias("y"))
+    return out.select("file_path", (F.col("ord") - 100).alias("pixel_idx"), F.posexplode_outer("y").alias("pos", "v")).select("file_path", "pixel_idx", F.col("pos").cast("long").alias("pos"), F.round("v", 4).alias("y"))
 
 
 @query(
@@ -155,7 +155,7 @@ def i8b(spark, sf):
     falling = F.array(*[F.lit(a) for a in reversed(AXIS)])
     axes = s.select("file_path").distinct().withColumn("axis", falling)
     out = ins.resample(s, axes, AXIS)
-    return out.select("vec_id", F.posexplode("y").alias("pos", "v")).select("vec_id", F.col("pos").cast("long").alias("pos"), r("v").alias("y"))
+    return out.select("vec_id", F.posexplode_outer("y").alias("pos", "v")).select("vec_id", F.col("pos").cast("long").alias("pos"), r("v").alias("y"))
 
 
 @query("i9_cap_rows", """SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY md5(concat('0|', user_id, '|{"ord":', event_id, '}')), event_id) AS rn FROM events) WHERE rn <= 20""")
@@ -173,13 +173,13 @@ def i9_index(spark, sf):
 
 @query("i10_two_column_series", sql("S", "SELECT vec_id, p.pos AS pos, 76e0 + p.pos * 3423e0 / 63 AS wn, round(1500 + 5000 * CAST(embedding[p.pos + 1] AS DOUBLE), 2) AS y FROM S, range(64) p(pos)"))
 def i10(spark, sf):
-    s = series(spark, sf).select(F.col("vec_id").cast("string").alias("file_path"), F.posexplode("y").alias("pos", "v"))
+    s = series(spark, sf).select(F.col("vec_id").cast("string").alias("file_path"), F.posexplode_outer("y").alias("pos", "v"))
     wn = F.lit(76.0) + F.col("pos") * F.lit(3423.0) / F.lit(63)
     # points come in falling order and must be sorted
     t = s.select("file_path", (F.lit(1000) - F.col("pos")).alias("ord"), F.concat_ws(TAB, wn.cast("string"), F.format_number(F.round(1500 + 5000 * F.col("v"), 2), 2)).alias("line"))
     t = t.unionByName(s.select("file_path").distinct().select("file_path", F.lit(0).alias("ord"), F.lit("#Laser=\t785nm").alias("line")))
     out = ins.two_column_series(t, ins.body_start(t))
-    return out.select(F.col("file_path").cast("long").alias("vec_id"), F.posexplode(F.arrays_zip("axis", "y")).alias("pos", "e")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("e.axis").alias("wn"), F.col("e.y").alias("y"))
+    return out.select(F.col("file_path").cast("long").alias("vec_id"), F.posexplode_outer(F.arrays_zip("axis", "y")).alias("pos", "e")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("e.axis").alias("wn"), F.col("e.y").alias("y"))
 
 
 @query("i11_region_coverage", "SELECT o_orderkey, round(greatest(0, least(1800, hi) - greatest(400, lo)) / 1400e0 * 100, 6) AS fingerprint, round(greatest(0, least(3050, hi) - greatest(2800, lo)) / 250e0 * 100, 6) AS ch FROM (SELECT o_orderkey, 300 + o_orderkey % 900 AS lo, 1500 + o_orderkey % 1700 AS hi FROM orders)")

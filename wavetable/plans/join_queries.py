@@ -46,8 +46,8 @@ def j3(spark, sf):
     o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("last_order"))
     c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
     return (
-        c.join(checked_broadcast(n.select("n_nationkey", "n_name")), c.c_nationkey == n.n_nationkey, "left")
-        .join(o, c.c_custkey == o.o_custkey, "left")
+        c.join(checked_broadcast(n.select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+        .join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
         .select("c_custkey", "n_name", "n_orders", "last_order")
     )
 
@@ -128,7 +128,7 @@ def j10(spark, sf):
     n, g = table(spark, sf, "nation"), table(spark, sf, "region")
     look = n.join(g, n.n_regionkey == g.r_regionkey).select("n_nationkey", "n_name", "r_name")
     s = table(spark, sf, "supplier")
-    return s.join(checked_broadcast(look), s.s_nationkey == look.n_nationkey).select("s_suppkey", "n_name", "r_name")
+    return s.join(checked_broadcast(look), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name", "r_name")
 
 
 NEAREST = sql(

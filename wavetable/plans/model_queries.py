@@ -57,7 +57,7 @@ def m1b_mean(spark, sf):
     m = ml.fit_latent(train, "y", "cls", 5)
     beta = m.rotation @ m.loadings.T
     bias = m.class_share - m.mean @ beta
-    d = train.select(linear_map("y", beta).alias("z")).select(F.posexplode("z").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("v"))
+    d = train.select(linear_map("y", beta).alias("z")).select(F.posexplode_outer("z").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("v"))
     shift = F.element_at(F.array(*[F.lit(float(b)) for b in bias]), F.col("k") + 1)
     label = F.element_at(F.array(*[F.lit(int(k)).cast("long") for k in m.classes]), F.col("k") + 1)
     return d.select(label.alias("cls"), F.round(F.col("v") + shift, 6).alias("mean_score"))

@@ -52,7 +52,7 @@ def w1_hits(spark, sf):
 def w2(spark, sf):
     contrasts = {f"c{k}_vs_rest": ([k], [j for j in range(4) if j != k]) for k in range(4)}
     s = st.sides(series(spark, sf).select("cls", "y"), "cls", contrasts)
-    m = st.two_group_moments(s.select("contrast", "side", F.posexplode("y").alias("pos", "value")), ["contrast", "pos"])
+    m = st.two_group_moments(s.select("contrast", "side", F.posexplode_outer("y").alias("pos", "value")), ["contrast", "pos"])
     from wavetable.functions.stats import cohens_d
 
     d = m.select("contrast", F.col("pos").cast("long").alias("pos"), cohens_d(*st.moment_args()).alias("d"))
@@ -113,7 +113,7 @@ def w6(spark, sf):
 
 
 def _points(df, key):
-    return df.select(key, F.posexplode("y").alias("pos", "v")).select(key, F.col("pos").cast("long").alias("pos"), r("v").alias("y"))
+    return df.select(key, F.posexplode_outer("y").alias("pos", "v")).select(key, F.col("pos").cast("long").alias("pos"), r("v").alias("y"))
 
 
 @query(
@@ -150,7 +150,7 @@ def w9(spark, sf):
 def w10(spark, sf):
     s = series(spark, sf).where("cls in (0, 1)").select("vec_id", "cls", "y")
     folds = s.withColumn("fold", F.explode(F.array_except(F.array(*[F.lit(k).cast("long") for k in range(5)]), F.array(F.col("vec_id") % 5))))
-    m = folds.select("fold", "cls", F.posexplode("y").alias("pos", "v")).groupBy("fold", "pos").agg(
+    m = folds.select("fold", "cls", F.posexplode_outer("y").alias("pos", "v")).groupBy("fold", "pos").agg(
         (F.avg(F.when(F.col("cls") == 0, F.col("v"))) - F.avg(F.when(F.col("cls") == 1, F.col("v")))).alias("d")
     )
     chosen = rk.top_k_per(m, ["fold"], [F.abs(F.round("d", 9)).desc(), F.col("pos")], 10)

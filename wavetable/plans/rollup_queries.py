@@ -45,7 +45,7 @@ def _mean_sql(key: str) -> str:
 
 
 def _points(df, key):
-    return df.select(key, F.posexplode("y").alias("pos", "v")).select(key, F.col("pos").cast("long").alias("pos"), r("v").alias("y"))
+    return df.select(key, F.posexplode_outer("y").alias("pos", "v")).select(key, F.col("pos").cast("long").alias("pos"), r("v").alias("y"))
 
 
 @query("a3_mean_series_per_file", _mean_sql("file_id"))

@@ -19,7 +19,7 @@ REGIONS = {"fingerprint": (400.0, 1800.0), "ch_stretch": (2800.0, 3050.0), "lps"
 
 def points(df: DataFrame, y="y", key=("vec_id",), digits=6) -> DataFrame:
     """Exploded result: key, pos, rounded value."""
-    return df.select(*key, F.posexplode(y).alias("pos", "v")).select(
+    return df.select(*key, F.posexplode_outer(y).alias("pos", "v")).select(
         *key, F.col("pos").cast("long").alias("pos"), r("v", digits).alias("y")
     )
 
@@ -56,7 +56,7 @@ def p1(spark, sf):
 def p2(spark, sf):
     df = series(spark, sf).select("vec_id", *[fs.normalise("y", m).alias(f"y_{m}") for m in fs.NORMALISERS])
     z = F.arrays_zip(*[f"y_{m}" for m in fs.NORMALISERS])
-    return df.select("vec_id", F.posexplode(z).alias("pos", "z")).select(
+    return df.select("vec_id", F.posexplode_outer(z).alias("pos", "z")).select(
         "vec_id", F.col("pos").cast("long").alias("pos"), *[r(f"z.y_{m}").alias(f"y_{m}") for m in fs.NORMALISERS]
     )
 

@@ -78,7 +78,7 @@ def s4(spark, sf):
 )
 def s5(spark, sf):
     s = st.sides(series(spark, sf).select("cls", "y"), "cls", {"1_vs_2": ([1], [2])})
-    w = st.welch(s.select("side", F.posexplode("y").alias("pos", "value")), ["pos"])
+    w = st.welch(s.select("side", F.posexplode_outer("y").alias("pos", "value")), ["pos"])
     return w.select(F.col("pos").cast("long").alias("pos"), r("t", 5).alias("t"), F.round("df", 4).alias("df"))
 
 

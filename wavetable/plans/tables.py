@@ -42,7 +42,7 @@ def long(df: DataFrame, y: str = "y", axis: list[float] = AXIS) -> DataFrame:
     """Long form: one row per (key, pos) with its axis value."""
     keep = [c for c in df.columns if c != y]
     step = (axis[-1] - axis[0]) / (len(axis) - 1)
-    return df.select(*keep, F.posexplode(y).alias("pos", "y")).withColumn(
+    return df.select(*keep, F.posexplode_outer(y).alias("pos", "y")).withColumn(
         "wn", F.lit(axis[0]) + F.col("pos") * F.lit(3423.0) / F.lit(63) if axis is AXIS else F.lit(axis[0]) + F.col("pos") * step
     )
 

@@ -36,6 +36,11 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     return f.select(c("path").alias("file_path"), c("length").alias("file_size_bytes"), c("modificationTime").alias("file_mtime"))
 
 
+def plain_path() -> Column:
+    """Path of the file a row comes from, spelled as :func:`discover` spells it (not percent-encoded)."""
+    return F.url_decode(F.replace(c("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("file_path")
+
+
 def read_lines(spark: SparkSession, root: str) -> DataFrame:
     """Lines of all export files.
 
@@ -47,7 +52,7 @@ def read_lines(spark: SparkSession, root: str) -> DataFrame:
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     t = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", GLOB).text(root)
     return t.select(
-        c("_metadata.file_path").alias("file_path"),
+        plain_path(),
         F.struct(c("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no")).alias("ord"),
         c("value").alias("line"),
     )
@@ -57,7 +62,8 @@ def classify(files: DataFrame, root: str = "", class_of: dict[str, str] | None =
     """Class and subclass from the folders of ``file_path``; an unknown layout becomes a fatal error."""
     class_of = class_of or catalog.CLASS_OF_FOLDER
     with_subclass = with_subclass or catalog.FOLDERS_WITH_SUBCLASS
-    rel = F.replace(F.regexp_replace("file_path", "^" + root.rstrip("/") + "/", ""), F.lit("%20"), F.lit(" ")) if root else c("file_path")
+    prefix = root.rstrip("/") + "/" if root else ""
+    rel = F.when(F.startswith("file_path", F.lit(prefix)), F.substr("file_path", F.lit(len(prefix) + 1))).otherwise(c("file_path"))
     parts = F.split(rel, "/")
     top = parts[0]
     known = F.coalesce(*[F.when(top == k, v) for k, v in class_of.items()], F.lit(None).cast("string"))

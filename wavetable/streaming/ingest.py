@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavetable.sources.instrument import GLOB
+from wavetable.sources.instrument import GLOB, plain_path
 
 
 def stream_lines(spark: SparkSession, root: str, files_per_batch: int | None = None) -> DataFrame:
@@ -21,7 +21,7 @@ def stream_lines(spark: SparkSession, root: str, files_per_batch: int | None = N
         r = r.option("maxFilesPerTrigger", files_per_batch)
     t = r.load(root)
     return t.select(
-        F.col("_metadata.file_path").alias("file_path"),
+        plain_path(),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("value").alias("line"),
     )
