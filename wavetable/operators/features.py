@@ -44,7 +44,7 @@ def _columns_from_array(df: DataFrame, packed: Column, names: Sequence[str]) ->
     df = df.withColumn("_packed", packed)
     return df.select(
         *[c for c in df.columns if c != "_packed"],
-        *[F.nanvl(F.col("_packed")[i], F.lit(None).cast("double")).alias(n) for i, n in enumerate(names)],
+        *[F.expr(f"nanvl(_packed[{i}], CAST(NULL AS DOUBLE)) AS `{n}`") for i, n in enumerate(names)],
     )
 
 

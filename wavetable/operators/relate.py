@@ -32,7 +32,7 @@ def name_family(name: str, *, prefixes: dict[str, str] | None = None, keywords:
     return reduce(lambda acc, t: acc.when(t[0], t[1]), tests[1:], F.when(*tests[0])).otherwise(default)
 
 
-def search_catalog(df: DataFrame, *, families: Sequence[str] | None = None, text: str = "", sort: str = "effect", limit: int = 1000) -> DataFrame:
+def search_catalog(df: DataFrame, *, families: Sequence[str] | None = None, text: str = "", sort: str = "effect") -> DataFrame:
     """Filter a feature catalog by family and text and number the hits in the chosen order."""
     from pyspark.sql import Window
 
@@ -43,8 +43,8 @@ def search_catalog(df: DataFrame, *, families: Sequence[str] | None = None, text
         "mi": [F.col("mi_rank").asc_nulls_last(), F.col("feature")],
         "name": [F.col("feature")],
     }[sort]
-    page = hits.orderBy(*order).limit(limit)  # a result page: at most ``limit`` rows are numbered
-    return page.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    # one row per feature column of the store, so the numbering is over a schema-sized table
+    return hits.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def sanitise(df: DataFrame, columns: Sequence[str], fill: float = 0.0) -> DataFrame:

@@ -20,7 +20,7 @@ from wavetable.operators.scale import checked_broadcast, exact_percentiles, null
 
 def mean_pool(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Mean of every feature column per key."""
-    return df.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in columns])
+    return df.groupBy(*keys).agg(*[F.expr(f"avg(`{c}`) AS `{c}`") for c in columns])
 
 
 def group_constant(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
@@ -61,8 +61,9 @@ def feature_stats(df: DataFrame, features: Sequence[str], by: str) -> DataFrame:
 
 
 def unpivot(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
-    parts = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features]))
-    return df.select(*keys, parts.alias("_e")).select(*keys, "_e.feature", "_e.value")
+    """Feature columns to (keys, feature, value)."""
+    pairs = ", ".join(f"'{f}', CAST(`{f}` AS DOUBLE)" for f in features)
+    return df.select(*keys, F.expr(f"stack({len(features)}, {pairs}) AS (feature, value)"))
 
 
 def value_counts(df: DataFrame, column: str, within: Sequence[str] = ()) -> DataFrame:

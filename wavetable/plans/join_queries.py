@@ -39,7 +39,7 @@ def j2(spark, sf):
 
 @query(
     "j3_left_joins",
-    """SELECT c_custkey, n_name, n_orders, last_order FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey
+    """SELECT c_custkey, n_name, coalesce(n_orders, 0) AS n_orders, last_order FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey
     LEFT JOIN (SELECT o_custkey, count(*) AS n_orders, strftime(max(o_orderdate), '%Y-%m-%d') AS last_order FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey""",
 )
 def j3(spark, sf):
@@ -48,7 +48,7 @@ def j3(spark, sf):
     return (
         c.join(checked_broadcast(n.select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"), "left")
         .join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
-        .select("c_custkey", "n_name", "n_orders", "last_order")
+        .select("c_custkey", "n_name", F.coalesce("n_orders", F.lit(0)).alias("n_orders"), "last_order")
     )
 
 
