@@ -52,18 +52,22 @@ def purest_variables(df: DataFrame, y: str, components: int, offset_pct: float =
 
 
 def solve_non_negative(d: np.ndarray, spectra: np.ndarray, sweeps: int = 500, tol: float = 1e-10) -> np.ndarray:
-    """Rows c >= 0 minimising |d - c S|, all rows at once, by cyclic coordinate descent (a convex problem)."""
+    """Rows c >= 0 minimising |d - c S|, by cyclic coordinate descent (a convex problem).
+
+    Starts from the clipped least-squares solution; rows leave the sweep once they stop moving.
+    """
     gram, target = spectra @ spectra.T, d @ spectra.T
-    c = np.zeros_like(target)
+    c = np.maximum(target @ np.linalg.pinv(gram), 0.0)
+    rows = np.arange(len(c))
     for _ in range(sweeps):
-        change = 0.0
+        x, t = c[rows], target[rows]
+        before = x.copy()
         for k in range(len(gram)):
-            if gram[k, k] <= 0:
-                continue
-            new = np.maximum(0.0, c[:, k] + (target[:, k] - c @ gram[:, k]) / gram[k, k])
-            change = max(change, float(np.abs(new - c[:, k]).max(initial=0.0)))
-            c[:, k] = new
-        if change < tol:
+            if gram[k, k] > 0:
+                x[:, k] = np.maximum(0.0, x[:, k] + (t[:, k] - x @ gram[:, k]) / gram[k, k])
+        c[rows] = x
+        rows = rows[np.abs(x - before).max(1, initial=0.0) > tol]
+        if not len(rows):
             break
     return c
 
@@ -95,7 +99,10 @@ def _products(df: DataFrame, y: str, spectra: np.ndarray) -> tuple[np.ndarray, n
 
 
 def fit(df: DataFrame, y: str, components: int, *, max_iter: int = 100, tol: float = 1e-7, offset_pct: float = 5.0) -> Unmixing:
-    """Alternate exact non-negative solves for C (per row, on the executors) and S (K x B, on the driver)."""
+    """Alternate exact non-negative solves for C (per row, on the executors) and S (K x B, on the driver).
+
+    Every iteration reads ``df`` once; give it a stored table, not a long chain of steps.
+    """
     spectra, variables = purest_variables(df, y, components, offset_pct)
     out = Unmixing(spectra, variables)
     for _ in range(max_iter):
