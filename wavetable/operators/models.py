@@ -223,7 +223,7 @@ def templates_by_fold(df: DataFrame, y: str, label: str, fold: str) -> dict:
     ids = [r[0] for r in e.select(fold).distinct().limit(MAX_FOLDS + 1).collect()]
     if len(ids) > MAX_FOLDS:
         raise ValueError(f"more than {MAX_FOLDS} folds")
-    grid = total.withColumn("_fold", F.explode(F.array(*[F.lit(i) for i in ids])))
+    grid = total.withColumn("_fold", F.explode(F.array(*[F.lit(i).cast(df.schema[fold].dataType) for i in ids])))
     j = grid.join(e.withColumnRenamed(fold, "_fold"), [label, "pos", "_fold"], "left")
     m = j.select(label, "_fold", "pos", F.try_divide(c("_s") - F.coalesce("s", F.lit(0.0)), c("_n") - F.coalesce("n", F.lit(0))).alias("m"))
     packed = m.where("m is not null").groupBy("_fold", label).agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("t"))

@@ -59,7 +59,7 @@ def leave_one_subclass_out(files: DataFrame, file: str, cls: str, sub: str, alwa
     subs = [r[0] for r in eligible.where(c(sub).isNotNull()).select(sub).distinct().orderBy(sub).limit(MAX_FOLDS + 1).collect()]
     if len(subs) > MAX_FOLDS:
         raise ValueError(f"more than {MAX_FOLDS} subclasses")
-    fold = F.explode(F.array(*[F.lit(s) for s in subs])).alias("fold")
+    fold = F.explode(F.array(*[F.lit(s).cast(files.schema[sub].dataType) for s in subs])).alias("fold")
     test = (c(sub).eqNullSafe(c("fold"))) & (~c(cls).isin(list(always_train)) if always_train else F.lit(True))
     return files.select(file, cls, sub, fold).select(F.lit("loso").alias("protocol"), "fold", file, F.when(test, "test").otherwise("train").alias("role"))
 
