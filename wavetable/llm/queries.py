@@ -1,6 +1,6 @@
 """All queries of this folder; importing it registers them."""
 
-from wavetable.llm import mixing, sharding  # noqa: F401
+from wavetable.llm import mixing, sharding, warc  # noqa: F401
 from wavetable.llm.common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
