@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +22,8 @@ from wavetable.llm.common import text_bytes
 
 BLOCK_BYTES = 8 << 20
 LAST = (1 << 63) - 1  # stands for a null id, which comes after all others
-ASKED = "bucket int, block int, data binary"
-ANSWERED = "block int, bucket int, data binary"
+ASKED = "bucket int, block int, carried boolean, data binary"
+ANSWERED = "block int, bucket int, carried boolean, data binary"
 LONG_WORD = 1024
 
 _SPACE = np.zeros(256, bool)
@@ -105,46 +106,77 @@ class Block:
         return mix(h[inside]), inside
 
 
-def ask(block: int, hashes: np.ndarray, buckets: int, extra: np.ndarray | None = None) -> pa.Table:
-    """Send distinct sorted hashes (their lower 32 bits, and 64 bits of ``extra``) to their buckets."""
-    bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    cut = np.flatnonzero(np.diff(bucket)) + 1
-    begin, end = np.append(0, cut), np.append(cut, len(hashes))
-    if not len(hashes):
-        begin = end = np.zeros(0, np.int64)
-    low = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    data = [low[a:b].tobytes() + (b"" if extra is None else extra[a:b].tobytes()) for a, b in zip(begin, end, strict=True)]
-    return pa.table({"bucket": pa.array(bucket[begin].astype(np.int32)), "block": pa.array(np.full(len(begin), block, np.int32)), "data": pa.array(data, pa.binary())})
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-def answer(asked: DataFrame, reply: Callable[[np.ndarray, np.ndarray, np.ndarray | None], np.ndarray], extra: bool = False) -> DataFrame:
-    """In each bucket ``reply(low, block, extra)`` gives a yes or no to every fingerprint sent there."""
+def ask(block: int, hashes: np.ndarray, buckets: int, extra: np.ndarray | None = None, carry: bytes | None = None) -> pa.Table:
+    """Send sorted hashes (their lower 32 bits) and a fixed-width ``extra`` for each to their buckets.
+
+    ``carry`` comes back to the block as it is, with the answers.
+    """
+    bucket = _bucket(hashes, buckets)
+    begin = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets))) if len(hashes) else np.zeros(0, np.int64)
+    end = np.append(begin[1:], len(hashes))[: len(begin)]
+    low = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    data = [low[a:b].tobytes() + (b"" if extra is None else extra[a:b].tobytes()) for a, b in zip(begin, end, strict=True)]
+    to = bucket[begin].astype(np.int32)
+    more = [] if carry is None else [carry]
+    return pa.table(
+        {
+            "bucket": pa.array(np.append(to, [block % buckets] * len(more)).astype(np.int32)),
+            "block": pa.array(np.full(len(data) + len(more), block, np.int32)),
+            "carried": pa.array([False] * len(data) + [True] * len(more), pa.bool_()),
+            "data": pa.array(data + more, pa.binary()),
+        }
+    )
+
+
+def answer(asked: DataFrame, reply: Callable, extra: str | None = None) -> DataFrame:
+    """In each bucket ``reply(low, block, extra)`` answers every fingerprint sent there: booleans or small integers.
+
+    ``extra``: NumPy type of what came with the fingerprints.
+    """
 
     def bucket(t: pa.Table) -> pa.Table:
-        width = 12 if extra else 4
+        back = t.filter(t["carried"]).select(["block", "bucket", "carried", "data"]).combine_chunks()
+        t = t.filter(pa.compute.invert(t["carried"])).combine_chunks()
+        if not len(t):
+            return back
+        kind = np.dtype(extra or "V0")
         data = [x.as_py() for x in t["data"]]
-        sizes = np.array([len(x) // width for x in data])
+        sizes = np.array([len(x) // (4 + kind.itemsize) for x in data])
         low = np.concatenate([np.frombuffer(x, np.uint32, n) for x, n in zip(data, sizes, strict=True)])
-        more = np.concatenate([np.frombuffer(x, np.uint64, n, 4 * n) for x, n in zip(data, sizes, strict=True)]) if extra else None
-        yes = reply(low, np.repeat(t["block"].to_numpy(), sizes), more)
-        bits = [np.packbits(x).tobytes() for x in np.split(yes, np.cumsum(sizes)[:-1])]
-        return pa.table({"block": t["block"].combine_chunks(), "bucket": t["bucket"].combine_chunks(), "data": pa.array(bits, pa.binary())})
+        more = np.concatenate([np.frombuffer(x, kind, n, 4 * n) for x, n in zip(data, sizes, strict=True)]) if extra else None
+        said = reply(low, np.repeat(t["block"].to_numpy(), sizes), more)
+        parts = np.split(said, np.cumsum(sizes)[:-1])
+        out = [(np.packbits(x) if said.dtype == bool else x).tobytes() for x in parts]
+        return pa.concat_tables([back, pa.table([t["block"], t["bucket"], t["carried"], pa.array(out, pa.binary())], back.schema.names).cast(back.schema)])
 
     return asked.groupBy("bucket").applyInArrow(bucket, ANSWERED)
 
 
-def answers(t: pa.Table, hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """The answers of all buckets, aligned with the distinct sorted hashes that were sent."""
-    t = t.sort_by("bucket")
-    bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    sizes = np.diff(np.searchsorted(bucket, np.append(t["bucket"].to_numpy(), buckets).astype(np.uint64)))
-    parts = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n) for x, n in zip(t["data"], sizes, strict=True)]
-    out = np.concatenate([np.zeros(0, np.uint8), *parts]).astype(bool)
+def answers(t: pa.Table, hashes: np.ndarray, buckets: int, kind: type = bool) -> np.ndarray:
+    """The answers of all buckets, aligned with the sorted hashes that were sent."""
+    t = t.filter(pa.compute.invert(t["carried"])).sort_by("bucket")
+    if not len(t):
+        out = np.zeros(0, kind)
+    else:
+        bucket = _bucket(hashes, buckets)
+        sizes = np.diff(np.searchsorted(bucket, np.append(t["bucket"].to_numpy(), buckets).astype(np.uint64)))
+        if kind is bool:
+            out = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n) for x, n in zip(t["data"], sizes, strict=True)]).astype(bool)
+        else:
+            out = np.concatenate([np.frombuffer(x.as_py(), kind) for x in t["data"]])
     if len(out) != len(hashes):
         raise RuntimeError("answers do not match what the block asked")
     return out
 
 
+def carried(t: pa.Table) -> bytes:
+    return t.filter(t["carried"])["data"][0].as_py()
+
+
 def elsewhere(low: np.ndarray, block: np.ndarray, _extra=None) -> np.ndarray:
     """Yes for a fingerprint that more than one block sent."""
     order = np.argsort(low, kind="stable")

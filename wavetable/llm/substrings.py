@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavetable.llm.blocks import ASKED, LAST, Block, answer, answers, ask, blocked, elsewhere, mix
+from wavetable.llm.blocks import ASKED, LAST, Block, answer, answers, ask, blocked, carried, elsewhere, mix
 from wavetable.llm.common import query, table
 
 WORDS = 13
@@ -37,11 +37,6 @@ def _edges(b: Block, k: int):
     return wh, h, at, distinct, index
 
 
-def _solid(told: pa.Table, distinct: np.ndarray, index: np.ndarray, buckets: int) -> np.ndarray:
-    """Of the distinct edges, those that occur twice, here or in another block."""
-    return answers(told, distinct, buckets) | (np.bincount(index, minlength=len(distinct)) > 1)
-
-
 def _sides(b: Block, wh: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     """A tag of the words before and behind each edge."""
     border = np.uint64(0x243F6A8885A308D3)
@@ -63,12 +58,12 @@ def paths(base: DataFrame, blocks: int, k: int) -> DataFrame:
             return ask(-1, np.zeros(0, np.uint64), blocks, np.zeros(0, np.uint64))
         b = Block(t)
         wh, _, at, distinct, index = _edges(b, k)
-        solid = _solid(told, distinct, index, blocks)
+        solid = answers(told, distinct, blocks) | (np.bincount(index, minlength=len(distinct)) > 1)
         tag = _sides(b, wh, at, k)
         low, high = np.full(len(distinct), np.uint64(2**64 - 1)), np.zeros(len(distinct), np.uint64)
         np.minimum.at(low, index, tag)
         np.maximum.at(high, index, tag)
-        return ask(b.number, distinct[solid], blocks, np.where(low == high, low, MIXED)[solid])
+        return ask(b.number, distinct[solid], blocks, np.where(low == high, low, MIXED)[solid], np.packbits(solid).tobytes())
 
     def one_tag(low: np.ndarray, _block: np.ndarray, tag: np.ndarray) -> np.ndarray:
         order = np.lexsort((tag, low))
@@ -86,10 +81,9 @@ def paths(base: DataFrame, blocks: int, k: int) -> DataFrame:
             return schema.empty_table()
         b = Block(t)
         _, _, at, distinct, index = _edges(b, k)
-        kind = told["kind"].to_numpy()
-        solid = _solid(told.filter(pa.array(kind == 0)), distinct, index, blocks)
+        solid = np.unpackbits(np.frombuffer(carried(told), np.uint8), count=len(distinct)).astype(bool)
         plain = np.zeros(len(distinct), bool)
-        plain[solid] = answers(told.filter(pa.array(kind == 1)), distinct[solid], blocks)
+        plain[solid] = answers(told, distinct[solid], blocks)
         on = np.flatnonzero(solid[index])
         place, straight = at[on], plain[index[on]]
         cut = np.ones(len(on), bool)
@@ -109,9 +103,8 @@ def paths(base: DataFrame, blocks: int, k: int) -> DataFrame:
 
     solid = answer(base.groupBy("block").applyInArrow(send_edges, ASKED), elsewhere)
     sides = base.groupBy("block").cogroup(solid.groupBy("block")).applyInArrow(send_sides, ASKED)
-    plain = answer(sides, one_tag, extra=True)
-    told = solid.select("*", F.lit(0).alias("kind")).unionByName(plain.select("*", F.lit(1).alias("kind")))
-    return base.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(walk, PATHS)
+    plain = answer(sides, one_tag, "u8")
+    return base.groupBy("block").cogroup(plain.groupBy("block")).applyInArrow(walk, PATHS)
 
 
 def repeated_spans(walked: DataFrame) -> DataFrame:
@@ -120,9 +113,9 @@ def repeated_spans(walked: DataFrame) -> DataFrame:
     The owner of a path is found by a pre-aggregated count; its row meets the walks in ``SALTS`` parts, so a path
     that a third of all documents walk is no single task's work.
     """
-    owners = walked.groupBy("path").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner < last")
+    salted = walked.withColumn("salt", F.pmod(F.xxhash64("block", "row", "first"), F.lit(SALTS)).cast("int")).repartition("path", "salt")
+    owners = salted.groupBy("path").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner < last")
     owners = owners.select("path", "owner", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = walked.withColumn("salt", F.pmod(F.xxhash64("block", "row", "first"), F.lit(SALTS)).cast("int"))
     return salted.join(owners, ["path", "salt"]).where("id > owner").select("block", "row", "first", "n")
 
 
