@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavetable.llm.common import fresh, query, table, text_bytes
-
-TAIL = 1e-12
+from wavetable.session import materialise
 
 
 def uniform(*parts: Column) -> Column:
@@ -20,20 +19,24 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("~")) for p in parts])), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def poisson_count(rate: Column, u: Column) -> Column:
-    """Inverse of the Poisson distribution: the number of k with P(X <= k) <= u.
+def poisson_steps(rate: Column) -> Column:
+    """P(X <= k) of a Poisson distribution for k = 0, 1, ...; a rate of 0 has none.
 
-    Terms follow from each other up to a k that leaves less than ``TAIL`` (rate + 12 sqrt(rate) + 30).
+    Terms follow from each other up to a k that leaves less than 1e-12 (rate + 12 sqrt(rate) + 30).
     """
     last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("n"))
+    start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("c"))
 
     def step(s, k):
-        return F.struct(
-            (s["p"] * rate / k).alias("p"), (s["c"] + s["p"] * rate / k).alias("c"), (s["n"] + F.when(s["c"] <= u, 1).otherwise(0)).alias("n")
-        )
+        p = s["p"] * rate / k
+        return F.struct(p.alias("p"), F.concat(s["c"], F.array(F.element_at(s["c"], -1) + p)).alias("c"))
+
+    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: F.slice(s["c"], 1, last)))
 
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: s["n"])).otherwise(F.lit(0))
+
+def poisson_count(steps: Column, u: Column) -> Column:
+    """Inverse of the distribution: the number of k with P(X <= k) <= u."""
+    return F.coalesce(F.size(F.filter(steps, lambda c: c <= u)), F.lit(0))
 
 
 def rates(docs: DataFrame, weights: DataFrame, source: str, size: Column) -> DataFrame:
@@ -57,16 +60,19 @@ def replicate(docs: DataFrame, weights: DataFrame, key: str = "doc_id", source:
     New columns: the number of the copy (from 0) and the key of the order, a hash of seed, key and copy.
     ``scale`` multiplies all rates.  Rows with equal keys draw equal counts and are all kept; a null
     text has size 1, so that a source of nulls has a rate.  Sources meet rows in a null-safe join whose
-    hot side is never gathered: the rates are one row per source and are broadcast if Spark finds them
-    small.  No row is dropped other than by a count of 0.
+    hot side is never gathered: the distributions are one stored row per source, which Spark broadcasts if
+    the file is small.  No row is dropped other than by a count of 0.
     """
     docs = docs.drop(copy, order)
-    rate, _ = fresh(docs, "_rate_", "_")
-    per = rates(docs, weights, source, F.greatest(text_bytes(text), F.lit(1))).withColumnsRenamed({"_rate": rate})
-    drawn = docs.join(per, docs[source].eqNullSafe(per["_source"]), "left").drop("_source")
-    count = poisson_count(F.col(rate) * F.lit(float(scale)), uniform(F.lit(seed), F.lit("count"), F.col(key)))
-    n = F.col(rate)
-    drawn = drawn.withColumn(rate, count).where(n > 0).withColumn(copy, F.explode(F.sequence(F.lit(0), n - 1))).drop(rate)
+    steps, origin = fresh(docs, "_steps", "_origin")
+    per = rates(docs, weights, source, F.greatest(text_bytes(text), F.lit(1))).select(
+        F.col("_source").alias(origin), poisson_steps(F.col("_rate") * F.lit(float(scale))).alias(steps)
+    )
+    per = materialise(per, "rates")
+    drawn = docs.join(per, docs[source].eqNullSafe(per[origin]), "left").drop(origin)
+    n = F.col(steps)
+    drawn = drawn.withColumn(steps, poisson_count(n, uniform(F.lit(seed), F.lit("count"), F.col(key)))).where(n > 0)
+    drawn = drawn.withColumn(copy, F.explode(F.sequence(F.lit(0), n - 1))).drop(steps)
     mixed = drawn.withColumn(order, F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), F.coalesce(F.col(key).cast("string"), F.lit("~")), F.col(copy).cast("string"))))
     return mixed.orderBy(order, copy)
 
