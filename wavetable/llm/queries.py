@@ -1,6 +1,6 @@
 """All queries of this folder; importing it registers them."""
 
-from wavetable.llm import langid, mixing, sharding, substrings, suffixes, tokens, warc  # noqa: F401
+from wavetable.llm import jaccard, langid, mixing, sharding, substrings, suffixes, tokens, warc  # noqa: F401
 from wavetable.llm.common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
