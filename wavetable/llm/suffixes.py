@@ -26,9 +26,9 @@ from wavetable.llm.blocks import ASKED, LAST, Block, answer, answers, ask, block
 from wavetable.llm.common import query, table
 
 LENGTH = 200
-REACH = 16
+REACH = 32
 ANCHOR = 8  # bytes of an anchor
-RATE = 8  # one place in so many is an anchor
+RATE_BITS = 4  # one place in 2 ** RATE_BITS is an anchor
 BLOCK_BYTES = 4 << 20
 RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -46,7 +46,7 @@ class Stretches:
         n = len(raw)
         padded = np.append(raw, np.zeros(8, np.uint8))
         lanes = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (n,), (1,))
-        anchor = ((lanes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(61)) == 0
+        anchor = ((lanes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - RATE_BITS)) == 0
         last = b.start + b.length - length  # last window of each row
         rows = np.flatnonzero(last >= b.start)
         first, last = b.start[rows], last[rows]
@@ -189,22 +189,22 @@ def _fine(low: np.ndarray, _block: np.ndarray, e: np.ndarray) -> np.ndarray:
     return repeated_windows(one["core"], one["tail"], one["tails"], one["head"], one["heads"], many)[back]
 
 
-def _stretch(_low: np.ndarray, _block: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """1: the stretch occurs elsewhere as a whole; 2: a stretch with the same core may not."""
-    order = np.lexsort((e["whole"], e["core"]))
-    c, w = e["core"][order], e["whole"][order]
+def _stretch(low: np.ndarray, _block: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """1: the stretch occurs elsewhere as a whole; 2: a stretch with the same core may not.
+
+    ``e``: hash of the stretch; its last bit says that its block has it twice.
+    """
+    order = np.lexsort((e, low))
+    c, w, many = low[order], e[order] | np.uint64(1), (e[order] & np.uint64(1)).astype(bool)
     near = (c[1:] == c[:-1]) & (w[1:] == w[:-1])
     whole = np.append(False, near) | np.append(near, False)
     group = np.cumsum(np.append(True, c[1:] != c[:-1])) - 1
-    lone = np.bincount(group, weights=~whole & (e["many"][order] == 0)) > 0
+    lone = np.bincount(group, weights=~whole & ~many) > 0
     out = np.empty(len(e), np.uint8)
     out[order] = whole + 2 * lone[group]
     return out
 
 
-STRETCH = np.dtype([("core", "u8"), ("whole", "u8"), ("many", "u1")])
-
-
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, texts: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``docs``: key, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and, if wanted, ``kept`` (bytes).
 
@@ -220,44 +220,39 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         b = Block(t)
         return ask(b.number, np.unique(Stretches(b, length).cores()), blocks)
 
+    def candidates(x: Stretches, bits: bytes | None, told: pa.Table | None = None):
+        """Stretches whose core is repeated, their distinct kinds (core, stretch), and which kinds the block has twice."""
+        cores, index, n = np.unique(x.cores(), return_inverse=True, return_counts=True)
+        twice = (answers(told, cores, blocks) | (n > 1)) if bits is None else np.unpackbits(np.frombuffer(bits, np.uint8), count=len(cores)).astype(bool)
+        on = np.flatnonzero(twice[index])
+        core, whole = cores[index[on]], x.wholes(on) | np.uint64(1)
+        order = np.lexsort((whole, core))
+        c, w = core[order], whole[order]
+        begin = np.append(True, (c[1:] != c[:-1]) | (w[1:] != w[:-1])) if len(on) else np.zeros(0, bool)
+        kind = np.empty(len(on), np.int64)
+        kind[order] = np.cumsum(begin) - 1
+        many = np.bincount(kind, minlength=int(begin.sum())) > 1
+        return on, kind, c[begin], w[begin], many, np.packbits(twice).tobytes()
+
     def send_wholes(t: pa.Table, told: pa.Table) -> pa.Table:
         if not len(t):
             return ask(-1, np.zeros(0, np.uint64), blocks)
         b = Block(t)
-        x = Stretches(b, length)
-        cores, index, n = np.unique(x.cores(), return_inverse=True, return_counts=True)
-        on = np.flatnonzero((answers(told, cores, blocks) | (n > 1))[index])
-        e = np.zeros(len(on), STRETCH)
-        e["core"], e["whole"] = cores[index[on]], x.wholes(on)
-        order = np.lexsort((e["whole"], e["core"]))
-        e = e[order]
-        begin = np.append(True, (e["core"][1:] != e["core"][:-1]) | (e["whole"][1:] != e["whole"][:-1])) if len(e) else np.zeros(0, bool)
-        back = np.empty(len(on), np.int32)
-        back[order] = np.cumsum(begin) - 1
-        sent = e[begin]
-        sent["many"] = np.bincount(back, minlength=len(sent)) > 1
-        state = pickle.dumps((on.astype(np.int32), back, np.packbits(sent["many"])))
-        return ask(b.number, sent["core"].copy(), blocks, sent, state)
-
-    def resolved(b: Block, told: pa.Table):
-        """Candidates, their stretch among those sent, whether it is repeated as a whole, and whether it needs a closer look."""
-        x = Stretches(b, length)
-        on, back, many = pickle.loads(carried(told))
-        sizes = int(back.max(initial=-1)) + 1
-        many = np.unpackbits(many, count=sizes).astype(bool)
-        core = np.zeros(sizes, np.uint64)
-        core[back] = x.cores()[on]
-        code = answers(told, core, blocks, np.uint8)
-        return x, on, back, core, many, many | (code & 1).astype(bool), (code & 2).astype(bool)
+        _, _, core, whole, many, bits = candidates(Stretches(b, length), None, told)
+        return ask(b.number, core, blocks, np.where(many, whole, whole & ~np.uint64(1)), bits)
 
     def send_fine(t: pa.Table, told: pa.Table) -> pa.Table:
         if not len(t):
             return ask(-1, np.zeros(0, np.uint64), blocks)
         b = Block(t)
-        x, on, back, core, many, whole, look = resolved(b, told)
+        x = Stretches(b, length)
+        bits = carried(told)
+        on, kind, core, _, many, _ = candidates(x, bits)
+        code = answers(told, core, blocks, np.uint8)
+        whole, look = many | (code & 1).astype(bool), (code & 2).astype(bool)
         sent = np.flatnonzero(look)
         example = np.zeros(len(core), np.int64)
-        example[back] = on
+        example[kind] = on
         i = example[sent]
         e = np.zeros(len(sent), FINE)
         e["core"], e["many"] = core[sent], many[sent]
@@ -266,7 +261,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         j = np.arange(REACH)
         e["tail"] = np.where(j[1:] >= REACH - e["tails"][:, None], raw[x.s[i][:, None] + j[1:]], 0)
         e["head"] = np.where(j < e["heads"][:, None], raw[(x.s[i] + x.core + REACH)[:, None] + j], 0)
-        state = pickle.dumps((on.astype(np.int32), back, np.packbits(whole), np.packbits(look)))
+        state = pickle.dumps((bits, np.packbits(whole), np.packbits(look)))
         return ask(b.number, core[sent], blocks, e, state)
 
     def keep(t: pa.Table, told: pa.Table) -> pa.Table:
@@ -276,12 +271,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             return pa.table([pa.array([], k) for k in kinds[: len(names)]], names)
         b = Block(t)
         x = Stretches(b, length)
-        on, back, whole, look = pickle.loads(carried(told))
-        sizes = int(back.max(initial=-1)) + 1
-        whole, look = (np.unpackbits(v, count=sizes).astype(bool) for v in (whole, look))
-        core = np.zeros(sizes, np.uint64)
-        core[back] = x.cores()[on]
-        bits = np.zeros(sizes, np.uint32)
+        state, whole, look = pickle.loads(carried(told))
+        on, back, core, *_ = candidates(x, state)
+        whole, look = (np.unpackbits(v, count=len(core)).astype(bool) for v in (whole, look))
+        bits = np.zeros(len(core), np.uint32)
         bits[look] = answers(told, core[look], blocks, np.uint32)
         depth = np.zeros(len(b.raw) + length + 2, np.int32)
         full = on[whole[back]]
@@ -304,7 +297,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         return pa.table([*map(pa.array, out), shas] + [pa.array(parts, pa.binary())] * texts, names)
 
     once = answer(base.groupBy("block").applyInArrow(send_cores, ASKED), elsewhere)
-    wholes = answer(base.groupBy("block").cogroup(once.groupBy("block")).applyInArrow(send_wholes, ASKED), _stretch, STRETCH)
+    wholes = answer(base.groupBy("block").cogroup(once.groupBy("block")).applyInArrow(send_wholes, ASKED), _stretch, "u8")
     fine = answer(base.groupBy("block").cogroup(wholes.groupBy("block")).applyInArrow(send_fine, ASKED), _fine, FINE)
     out = base.groupBy("block").cogroup(fine.groupBy("block")).applyInArrow(keep, RESULT + ", kept binary" * texts)
     return out.select(F.when(F.col("id") != LAST, F.col("id")).alias(key), *[c for c in out.columns if c != "id"])
