@@ -55,23 +55,19 @@ def blocked(docs: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES
     return marked.select(F.pmod(F.xxhash64("id", "mark"), F.lit(blocks)).cast("int").alias("block"), "id", "mark", "text"), blocks
 
 
-class Block:
-    """The rows of one block in a fixed order, as one buffer with a space behind each text."""
+class Texts:
+    """Texts as one buffer with a space behind each; words and their hashes for all of them at once."""
 
-    def __init__(self, t: pa.Table, lower: bool = False):
-        t = t.sort_by([("id", "ascending"), ("mark", "ascending")]) if len(t) > 1 else t
-        self.number = t["block"][0].as_py() if len(t) else -1
-        self.id = t["id"].to_numpy()
-        texts = [x.as_py().encode() for x in t["text"]]
+    def __init__(self, texts: list[bytes], lower: bool = False):
         self.length = np.fromiter(map(len, texts), np.int64, len(texts))
         self.raw = np.frombuffer(b" ".join([*texts, b""]), np.uint8) if texts else np.zeros(0, np.uint8)
         if lower:
             self.raw = _LOWER[self.raw]
         self.start = np.cumsum(self.length + 1) - self.length - 1
 
-    def words(self) -> None:
+    def words(self, separator: np.ndarray = _SPACE) -> None:
         """``ws``, ``we``: first byte and end of each word; ``wd``: its row; ``w0``, ``wn``: first word and words of each row."""
-        space = _SPACE[self.raw]
+        space = separator[self.raw]
         edge = np.diff(space.view(np.int8), prepend=np.int8(1), append=np.int8(1))
         self.ws, self.we = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         self.w0 = np.searchsorted(self.ws, self.start)
@@ -106,6 +102,16 @@ class Block:
         return mix(h[inside]), inside
 
 
+class Block(Texts):
+    """The rows of one block in a fixed order."""
+
+    def __init__(self, t: pa.Table, lower: bool = False):
+        t = t.sort_by([("id", "ascending"), ("mark", "ascending")]) if len(t) > 1 else t
+        self.number = t["block"][0].as_py() if len(t) else -1
+        self.id = t["id"].to_numpy()
+        super().__init__([x.as_py().encode() for x in t["text"]], lower)
+
+
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
