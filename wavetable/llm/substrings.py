@@ -110,12 +110,15 @@ def paths(base: DataFrame, blocks: int, k: int) -> DataFrame:
 def repeated_spans(walked: DataFrame) -> DataFrame:
     """Walks of a path that a smaller document walks too.
 
-    The owner of a path is found by a pre-aggregated count; its row meets the walks in ``SALTS`` parts, so a path
-    that a third of all documents walk is no single task's work.
+    Walks are dealt by path and salt once; owners are pre-aggregated from that deal (with the place of the
+    owner's walk, so both readers need the same columns and Spark reuses the shuffle) and meet the walks in
+    ``SALTS`` parts, so a path that a third of all documents walk is no single task's work.
     """
-    salted = walked.withColumn("salt", F.pmod(F.xxhash64("block", "row", "first"), F.lit(SALTS)).cast("int")).repartition("path", "salt")
-    owners = salted.groupBy("path").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner < last")
-    owners = owners.select("path", "owner", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = walked.withColumn("salt", F.pmod(F.xxhash64("block", "row", "first"), F.lit(SALTS)).cast("int"))
+    # the filter is the one the join below implies; stated here, both readers share it
+    salted = salted.where("path is not null and salt is not null and id is not null").repartition("path", "salt")
+    owners = salted.groupBy("path").agg(F.min(F.struct("id", "block", "row", "first", "n")).alias("owner"), F.max("id").alias("last")).where("owner.id < last")
+    owners = owners.select("path", F.col("owner.id").alias("owner"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     return salted.join(owners, ["path", "salt"]).where("id > owner").select("block", "row", "first", "n")
 
 
