@@ -3,8 +3,9 @@
 1. Equal texts are one class; one row of each class goes on.
 2. A shingle in one class only cannot be in an intersection.  Blocks learn for each of their shingles how
    many blocks have it; a set whose shared shingles are too few for the threshold has no link and is done.
-3. The other sets are partitioned into groups: sets with the same smallest shingle hash form a group around its
-   most central member (the leader), and stay in it if they really link to the leader.
+3. The other sets are partitioned into groups: sets with the same smallest shingle hash join the most central of them
+   (the leader) if they really link to it.  Leaders and the sets left over do so again under other hashes, so that
+   groups of near copies grow together and hardly any links between groups are left.
 4. The token-group matrix has a row for each group and prefix shingle of its members (rarest first).  A
    set's prefix finds the groups it could link to; its overlap with the group's token union bounds its
    overlap with any member; only groups that the bound lets through are opened, member by member.
@@ -15,11 +16,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavetable.llm.blocks import ASKED, LAST, Block, answer, answers, ask, blocked, mix
-from wavetable.llm.common import query, table
+from wavetable.llm.common import fresh, query, table
 from wavetable.llm.components import components
 from wavetable.session import materialise
 
@@ -27,7 +28,8 @@ WORDS = 5
 PERCENT = 80
 SALTS = 8
 MEMBERS_PER_TASK = 256
-SETS = "class binary, id long, n long, central double, tokens array<long>, prefix int"
+GROUPINGS = 5
+SETS = "class binary, id long, mark long, n long, central double, tokens array<long>, prefix int"
 ONE_BLOCK = np.uint64(0x452821E638D01377)
 
 
@@ -78,7 +80,7 @@ def shared_sets(docs: DataFrame, key: str, text: str, k: int, percent: int) -> t
         return np.minimum(n, 65535).astype(np.uint16)[back]
 
     def sets(t: pa.Table, told: pa.Table) -> pa.Table:
-        schema = pa.schema([("class", pa.binary()), ("id", pa.int64()), ("n", pa.int64()), ("central", pa.float64()), ("tokens", pa.list_(pa.int64())), ("prefix", pa.int32())])
+        schema = pa.schema([("class", pa.binary()), ("id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("central", pa.float64()), ("tokens", pa.list_(pa.int64())), ("prefix", pa.int32())])
         t = pick(t, told.filter(pa.compute.is_valid(told["class"])))
         if not len(t):
             return schema.empty_table()
@@ -97,7 +99,7 @@ def shared_sets(docs: DataFrame, key: str, text: str, k: int, percent: int) -> t
         central = np.bincount(row, weights=count, minlength=rows) / np.maximum(n, 1)
         offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
         tokens = pa.ListArray.from_arrays(offsets, pa.array(h[order].view(np.int64)))
-        return pa.table([t["class"].combine_chunks(), pa.array(b.id), pa.array(n), pa.array(central), tokens, pa.array(np.where(able, c - need + 1, 0).astype(np.int32))], schema=schema)
+        return pa.table([t["class"].combine_chunks(), pa.array(b.id), t["mark"].combine_chunks(), pa.array(n), pa.array(central), tokens, pa.array(np.where(able, c - need + 1, 0).astype(np.int32))], schema=schema)
 
     counted = answer(base.groupBy("block").cogroup(chosen.groupBy("block")).applyInArrow(send, ASKED), senders)
     none = {"id": "long", "mark": "long", "class": "binary"}
@@ -113,45 +115,66 @@ def similar(a: Column, b: Column, n: Column, m: Column, percent: int) -> Column:
     return both * 100 >= (n + m - both) * percent
 
 
-def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs``: key, ``n_shingles`` and ``component_id``, the smallest key reachable by links.
+def leaders(sets: DataFrame, percent: int, turn: int) -> DataFrame:
+    """(class, leader) of the sets that really link to the most central set with the same smallest hash; each ``turn`` hashes anew."""
+    seed = F.array_min(F.transform("tokens", lambda t: F.xxhash64(t, F.lit(turn))))
+    narrow = materialise(sets.select("class", "central", seed.alias("seed")), "seeds")
+    heads = narrow.groupBy("seed").agg(F.max(F.struct("central", "class")).alias("l"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    heads = heads.select("seed", F.col("l.class").alias("leader"), F.ceil(F.col("size") / MEMBERS_PER_TASK).cast("int").alias("parts"))
+    # members meet a leader in as many parts as the group is large; the narrow side learns the parts first
+    member = narrow.join(heads, "seed").where("class <> leader")
+    member = member.select("class", "leader", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part"))
+    center = sets.join(heads.drop("seed"), F.col("class") == F.col("leader"))
+    center = center.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("n").alias("ln"), F.col("tokens").alias("lt"))
+    joined = sets.select("class", "n", "tokens").join(member, "class").join(center, ["leader", "part"])
+    return materialise(joined.where(similar(F.col("tokens"), F.col("lt"), F.col("n"), F.col("ln"), percent)).select("class", "leader"), "near")
 
-    A-Z are lower-cased; words are runs of bytes other than space and U+0009 to U+000D.  A text with fewer than ``k``
-    words has its whole sequence as one shingle; null texts and those without words have none and are
-    linked with nothing.  Rows with equal keys are linked by their texts only.  A null key counts as the largest.
-    """
+
+def components_of_classes(docs: DataFrame, key: str, text: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(classes of rows, one row per class: ``id`` and ``mark`` of its first row, ``n`` shingles, ``comp``)."""
     rows, found = shared_sets(docs, key, text, k, percent)
     sets = materialise(found, "sets")
-    able = sets.where("prefix > 0").select("class", "n", "central", "tokens", "prefix", F.array_min("tokens").alias("seed"))
-    able = materialise(able, "able")
-    leaders = able.groupBy("seed").agg(F.max(F.struct("central", "class")).alias("l"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    leaders = leaders.select("seed", F.col("l.class").alias("leader"), F.ceil(F.col("size") / MEMBERS_PER_TASK).cast("int").alias("parts"))
-    # members meet a leader in as many parts as the group is large; the narrow side learns the parts first
-    member = able.select("class", "seed").join(leaders, "seed").where("class <> leader")
-    member = member.select("class", "leader", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part"))
-    center = able.join(leaders.drop("seed"), F.col("class") == F.col("leader")).select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("n").alias("ln"), F.col("tokens").alias("lt"))
-    joined = able.select("class", "n", "tokens").join(member, "class").join(center, ["leader", "part"])
-    near = materialise(joined.where(similar(F.col("tokens"), F.col("lt"), F.col("n"), F.col("ln"), percent)).select("class", "leader"), "near")
-    grouped = able.join(near, "class", "left").select("class", "n", "tokens", "prefix", F.coalesce("leader", "class").alias("grp"))
-    grouped = materialise(grouped, "grouped")
-    # the token-group matrix, by prefix shingle: which groups hold it, and which sets ask for it
-    asks = grouped.select("class", "grp", F.explode(F.slice("tokens", 1, F.col("prefix"))).alias("token"))
-    matrix = asks.select("token", "grp").distinct()
-    several = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("g")).where("g > 1").select("token")
-    matrix, asks = matrix.join(several, "token"), asks.join(several, "token")
-    hits = asks.join(matrix.withColumnRenamed("grp", "other"), "token").where("grp > other").select("class", "grp", "other").distinct()
-    hits = materialise(hits, "hits")
+    able = materialise(sets.where("prefix > 0").select("class", "n", "central", "tokens", "prefix"), "able")
+    member = able.select("class", F.col("class").alias("grp"))
+    for r in range(GROUPINGS):
+        heads = able.join(member.where("class = grp").select("class"), "class", "left_semi") if r else able
+        near = leaders(heads, percent, r).withColumnsRenamed({"class": "grp", "leader": "to"})
+        member = materialise(member.join(near, "grp", "left").select("class", F.coalesce("to", "grp").alias("grp")), "member")
+    grouped = materialise(able.drop("central").join(member, "class"), "grouped")
+    # The token-group matrix.  In a linked pair let y be no longer than x.  Their intersection is at least p/(100 + p) of
+    # their sizes together, so at least 2p/(100 + p) of y: the rarest shingles of y up to there (its index prefix) meet those
+    # of x up to p % of x.  An intersection is within the shared shingles of either, which bounds the sizes that can meet.
+    shared, part = F.size("tokens"), 100 + percent
+    short = shared - F.ceil(F.col("n") * (2 * percent) / part).cast("int") + 1
+    held = grouped.where(short > 0).select("grp", F.col("n").alias("m"), F.explode(F.slice("tokens", 1, short)).alias("token"))
+    matrix = held.groupBy("token", "grp").agg(F.min("m").alias("least"), F.max("m").alias("most")).withColumnRenamed("grp", "other")
+    asks = grouped.select("class", "grp", "n", shared.alias("c"), F.explode(F.slice("tokens", 1, F.col("prefix"))).alias("token"))
+    fits = (F.col("least") <= F.col("n")) & (F.col("most") * 100 >= F.col("n") * percent) & (F.col("c") * part >= (F.col("n") + F.col("least")) * percent)
+    hits = materialise(asks.join(matrix, "token").where((F.col("grp") != F.col("other")) & fits).select("class", "grp", "other").distinct(), "hits")
     # the bound: shingles of the set in the union of the group
     union = grouped.join(hits.select(F.col("other").alias("grp")).distinct(), "grp", "left_semi").select(F.col("grp").alias("other"), F.explode("tokens").alias("token")).distinct()
     asked = grouped.select("class", "n", "tokens").join(hits, "class").select("class", "grp", "other", "n", F.explode("tokens").alias("token"))
     bound = asked.join(union, ["other", "token"]).groupBy("class", "grp", "other", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") * 100 >= F.col("n") * percent)
-    opened = bound.select("class", F.col("grp").alias("mine"), F.col("other"))
+    opened = bound.select("class", F.col("grp").alias("mine"), F.col("other"), "c")
     inside = grouped.select(F.col("grp").alias("other"), F.col("n").alias("m"), F.col("tokens").alias("ot"))
-    pairs = opened.join(grouped.select("class", "n", "tokens"), "class").join(inside, "other").where((F.col("m") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("m") * percent))
+    small = (F.col("m") <= F.col("n")) & (F.col("m") * 100 >= F.col("n") * percent)
+    room = (F.least("c", F.size("ot")) * part) >= (F.col("n") + F.col("m")) * percent
+    pairs = opened.join(grouped.select("class", "n", "tokens"), "class").join(inside, "other").where(small & room)
     links = pairs.where(similar(F.col("tokens"), F.col("ot"), F.col("n"), F.col("m"), percent)).select("mine", "other").distinct()
     roots = components(links, "mine", "other")
     of_class = grouped.select("class", "grp").join(roots.withColumnRenamed("node", "grp"), "grp", "left").select("class", F.coalesce("root", "grp").alias("comp"))
-    full = sets.select("class", "id", "n").join(of_class, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    full = sets.select("class", "id", "mark", "n").join(of_class, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    return rows, full
+
+
+def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row per row of ``docs``: key, ``n_shingles`` and ``component_id``, the smallest key reachable by links.
+
+    A-Z are lower-cased; words are runs of bytes other than space and U+0009 to U+000D.  A text with fewer than ``k``
+    words has its whole sequence as one shingle; null texts and those without words have none and are
+    linked with nothing.  Rows with equal keys are linked by their texts only.  A null key counts as the largest.
+    """
+    rows, full = components_of_classes(docs, key, text, k, percent)
     least = full.groupBy("comp").agg(F.min("id").alias("least"))
     per_class = full.join(least, "comp").select("class", "n", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     out = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(per_class, ["class", "salt"])
@@ -159,6 +182,26 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORD
     return out.select(real(F.col("id")).alias(key), F.col("n").alias("n_shingles"), real(F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id"))).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, with all their columns: of each linked group the one with the smallest key.
+
+    Texts without words are linked with nothing and stay.  Of rows with equal key and text the first
+    in order of the other columns stays.
+    """
+    rows, full = components_of_classes(docs, key, text, k, percent)
+    i, m, copies, turn = fresh(docs, "_id", "_mark", "_copies", "_turn")
+    first = full.where("n > 0").groupBy("comp").agg(F.min(F.struct("id", "mark")).alias("r")).select("r.*")
+    blank = rows.join(full.where("n = 0").select("class"), "class", "left_semi").select("id", "mark").distinct()
+    counted = rows.groupBy("id", "mark").agg(F.count(F.lit(1)).alias(copies))
+    chosen = counted.join(first.withColumn("one", F.lit(True)).unionByName(blank.withColumn("one", F.lit(False))), ["id", "mark"])
+    chosen = materialise(chosen.select(F.col("id").alias(i), F.col("mark").alias(m), F.when(F.col("one"), F.col(copies)).otherwise(1).alias(copies)), "chosen")
+    marked = docs.withColumn(i, F.coalesce(F.col(key).cast("long"), F.lit(LAST))).withColumn(m, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    kept = marked.join(chosen, [i, m])
+    again = Window.partitionBy(i, m).orderBy(*[c for c in docs.columns if c not in (key, text)] or [F.lit(0)])
+    single = kept.where(F.col(copies) > 1).dropDuplicates().withColumn(turn, F.row_number().over(again)).where(F.col(turn) == 1)
+    return kept.where(F.col(copies) == 1).select(*docs.columns).unionByName(single.select(*docs.columns))
+
+
 @query("op4_token_groups")
 def op4(spark, sf):
     return link(table(spark, sf, "documents").select("doc_id", "text"))
