@@ -28,7 +28,8 @@ WORDS = 5
 PERCENT = 80
 SALTS = 8
 MEMBERS_PER_TASK = 256
-GROUPINGS = 5
+GROUPINGS = 2
+CHUNK = 4_096  # shingles of a union that are compared at once
 SETS = "class binary, id long, mark long, n long, central double, tokens array<long>, prefix int"
 ONE_BLOCK = np.uint64(0x452821E638D01377)
 
@@ -124,9 +125,11 @@ def leaders(sets: DataFrame, percent: int, turn: int) -> DataFrame:
     # members meet a leader in as many parts as the group is large; the narrow side learns the parts first
     member = narrow.join(heads, "seed").where("class <> leader")
     member = member.select("class", "leader", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part"))
-    center = sets.join(heads.drop("seed"), F.col("class") == F.col("leader"))
-    center = center.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("n").alias("ln"), F.col("tokens").alias("lt"))
-    joined = sets.select("class", "n", "tokens").join(member, "class").join(center, ["leader", "part"])
+    center = heads.select(F.col("leader").alias("class"), "leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    # one join gives all their parts to members and leaders
+    met = sets.select("class", "n", "tokens").join(member.unionByName(center), "class")
+    center = met.where("class = leader").select("leader", "part", F.col("n").alias("ln"), F.col("tokens").alias("lt"))
+    joined = met.where("class <> leader").join(center, ["leader", "part"])
     return materialise(joined.where(similar(F.col("tokens"), F.col("lt"), F.col("n"), F.col("ln"), percent)).select("class", "leader"), "near")
 
 
@@ -151,10 +154,14 @@ def components_of_classes(docs: DataFrame, key: str, text: str, k: int, percent:
     asks = grouped.select("class", "grp", "n", shared.alias("c"), F.explode(F.slice("tokens", 1, F.col("prefix"))).alias("token"))
     fits = (F.col("least") <= F.col("n")) & (F.col("most") * 100 >= F.col("n") * percent) & (F.col("c") * part >= (F.col("n") + F.col("least")) * percent)
     hits = materialise(asks.join(matrix, "token").where((F.col("grp") != F.col("other")) & fits).select("class", "grp", "other").distinct(), "hits")
-    # the bound: shingles of the set in the union of the group
+    # the bound: shingles of the set in the union of the group, which is held in chunks of about CHUNK
     union = grouped.join(hits.select(F.col("other").alias("grp")).distinct(), "grp", "left_semi").select(F.col("grp").alias("other"), F.explode("tokens").alias("token")).distinct()
-    asked = grouped.select("class", "n", "tokens").join(hits, "class").select("class", "grp", "other", "n", F.explode("tokens").alias("token"))
-    bound = asked.join(union, ["other", "token"]).groupBy("class", "grp", "other", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") * 100 >= F.col("n") * percent)
+    sizes = union.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    at = F.pmod(F.xxhash64("token"), F.col("chunks")).cast("int")
+    unions = union.join(sizes, "other").groupBy("other", at.alias("chunk")).agg(F.collect_list("token").alias("held"))
+    asked = grouped.select("class", "n", "tokens").join(hits.join(sizes, "other"), "class").select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    bound = asked.join(unions, ["other", "chunk"]).select("class", "grp", "other", "n", F.size(F.array_intersect("tokens", "held")).alias("c"))
+    bound = bound.groupBy("class", "grp", "other", "n").agg(F.sum("c").cast("int").alias("c")).where(F.col("c") * 100 >= F.col("n") * percent)
     opened = bound.select("class", F.col("grp").alias("mine"), F.col("other"), "c")
     inside = grouped.select(F.col("grp").alias("other"), F.col("n").alias("m"), F.col("tokens").alias("ot"))
     small = (F.col("m") <= F.col("n")) & (F.col("m") * 100 >= F.col("n") * percent)
