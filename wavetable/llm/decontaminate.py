@@ -28,7 +28,9 @@ from wavetable.llm.common import query, table
 HALF = 24  # a passage has two halves of so many words; the next one starts one half later
 RANK = 64
 OVERSAMPLE = 16
-COSINE = 0.35
+COSINE = 0.45
+COMMON, RARE_COUNT = 0.05, 20  # words in more than this share of the documents (and so many more) have no weight, unless a piece has no other
+WEIGHT = 0.4  # a passage must hold this share of a piece's TF-IDF weight to be compared word by word
 VERBATIM = 0.8  # share of an item's words, in order, that proves it
 PARAPHRASE, ANSWER, RARE = 0.6, 0.75, 0.5  # or a smaller share, with the answer and this share of the item's TF-IDF weight
 SHORT = 8  # shorter items must appear word by word
@@ -84,6 +86,11 @@ def lookup(h: np.ndarray, vocabulary: np.ndarray, maybe: np.ndarray) -> np.ndarr
     return out
 
 
+def weighted(word: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Words without weight are as if they were not in the vocabulary."""
+    return np.where((word >= 0) & (idf[word] > 0), word, -1)
+
+
 def bitmap(vocabulary: np.ndarray) -> np.ndarray:
     m = np.zeros(1 << 20, bool)
     m[(vocabulary & np.uint64(len(m) - 1)).astype(np.int64)] = True
@@ -158,23 +165,43 @@ class Model:
     idf: np.ndarray
     latent: np.ndarray  # vocabulary x RANK
     pieces: np.ndarray  # pieces x RANK, of length 1
+    heavy: np.ndarray  # least TF-IDF length of a passage that can hold each piece
 
     def prepare(self) -> Model:
         self.maybe = bitmap(self.items.vocabulary)
         self.masks = [(places(w), places(w[-a:]), len(w), a) for w, a in zip(self.items.words, self.items.answers, strict=True)]
+        # the words of each piece with their share of its weight, as one sorted list of (piece, word)
+        size, keys, shares = len(self.items.vocabulary), [], []
+        for q, words in enumerate(self.items.piece_words):
+            w, tf = np.unique(np.searchsorted(self.items.vocabulary, words), return_counts=True)
+            keys.append(q * size + w)
+            shares.append(tf * self.idf[w] / (tf * self.idf[w]).sum())
+        self.piece_key, self.piece_share = np.concatenate(keys), np.concatenate(shares)
         self.weights = [self.idf[np.searchsorted(self.items.vocabulary, np.array(w, np.uint64))].tolist() for w in self.items.words]
         return self
 
+    def held(self, p: Passages, x: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Share of each piece's weight in words that the passage has."""
+        first = np.searchsorted(p.passage, x)
+        n = np.searchsorted(p.passage, x, "right") - first
+        pair = np.repeat(np.arange(len(x)), n)
+        word = p.word[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(len(pair))]
+        key = piece[pair] * len(self.items.vocabulary) + word
+        at = np.minimum(np.searchsorted(self.piece_key, key), len(self.piece_key) - 1)
+        return np.bincount(pair, weights=np.where(self.piece_key[at] == key, self.piece_share[at], 0.0), minlength=len(x))
+
     def hits(self, texts: list[str]) -> list[dict[int, tuple[float, float, float]]]:
         """For each text the items it holds, with cosine, share of the item and share of its answer."""
         out: list[dict] = [{} for _ in texts]
         for at, part in parts(texts):
             b, h = hashed(part)
-            p = Passages(b, lookup(h, self.items.vocabulary, self.maybe), self.idf)
-            on = np.flatnonzero(p.norm > 0)
+            p = Passages(b, weighted(lookup(h, self.items.vocabulary, self.maybe), self.idf), self.idf)
+            on = np.flatnonzero((p.norm > 0) & (p.norm >= self.heavy.min()))
             z = p.times(self.latent, on)
             near = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)) @ self.pieces.T
-            i, j = np.nonzero(near >= COSINE)
+            i, j = np.nonzero((near >= COSINE) & (p.norm[on][:, None] >= self.heavy))
+            enough = self.held(p, on[i], j) >= WEIGHT
+            i, j = i[enough], j[enough]
             for x, q, c in zip(on[i], self.items.piece_item[j], near[i, j], strict=True):
                 found, row = out[at + p.row[x]], p.row[x]
                 if q in found:
@@ -194,7 +221,7 @@ class Model:
                 told = common(answer, a, words) / a
                 weight = self.weights[q]
                 known = set(words)
-                rare = sum(v for w, v in zip(self.items.words[q], weight, strict=True) if w in known) / sum(weight)
+                rare = sum(v for w, v in zip(self.items.words[q], weight, strict=True) if w in known) / max(sum(weight), 1e-9)
                 if share >= VERBATIM or told >= ANSWER and rare >= RARE:
                     found[q] = (float(c), share, told)
         return out
@@ -221,6 +248,12 @@ def fit(docs: DataFrame, items: Items, text: str, seed: int = 11) -> Model:
     df[got["w"].to_numpy()] = got["n"].to_numpy()
     total = df[-1]
     idf = np.log((1 + total) / (1 + df[:-1])) + 0.1
+    usual = df[:-1] > COMMON * total + RARE_COUNT
+    for words in items.piece_words:
+        w = np.searchsorted(vocabulary, words)
+        if usual[w].all():
+            usual[w] = False
+    idf[usual] = 0.0
     width = min(RANK + OVERSAMPLE, len(vocabulary))
     omega = np.random.default_rng(seed).standard_normal((len(vocabulary), width)).astype(np.float32)
 
@@ -229,7 +262,7 @@ def fit(docs: DataFrame, items: Items, text: str, seed: int = 11) -> Model:
         for batch in batches:
             for _, part in parts(batch["t"].to_pylist()):
                 b, h = hashed(part)
-                p = Passages(b, lookup(h, vocabulary, maybe), idf)
+                p = Passages(b, weighted(lookup(h, vocabulary, maybe), idf), idf)
                 if not len(p.word):
                     continue
                 y = p.times(omega, np.arange(len(p.row)))
@@ -251,7 +284,8 @@ def fit(docs: DataFrame, items: Items, text: str, seed: int = 11) -> Model:
     for i, words in enumerate(items.piece_words):
         w, tf = np.unique(np.searchsorted(vocabulary, words), return_counts=True)
         pieces[i, w] = tf * idf[w]
-    pieces /= np.linalg.norm(pieces, axis=1, keepdims=True)
+    length = np.linalg.norm(pieces, axis=1)
+    pieces /= length[:, None]
     y += max(mass, 1.0) / len(pieces) * (pieces.T @ (pieces @ omega))
     # Nystrom: M is about Y (W' Y)^-1 Y' with W the random matrix; its eigenvectors are the singular vectors wanted
     core = omega.T @ y
@@ -260,7 +294,7 @@ def fit(docs: DataFrame, items: Items, text: str, seed: int = 11) -> Model:
     u, _, _ = np.linalg.svd(y @ (vector[:, good] / np.sqrt(value[good])), full_matrices=False)
     latent = np.ascontiguousarray(u[:, :RANK], dtype=np.float32)
     flat = pieces @ latent
-    return Model(items, idf, latent, (flat / np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-9)).astype(np.float32))
+    return Model(items, idf, latent, (flat / np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-9)).astype(np.float32), WEIGHT * length)
 
 
 def models(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str) -> list[Model]:
