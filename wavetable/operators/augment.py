@@ -14,14 +14,11 @@ from pyspark.sql import functions as F
 from wavetable.functions.series import norm, roll, row_reduce
 from wavetable.operators.scale import hash_bucket, hash_key, ranked, with_totals
 
-M = 2_147_483_647
-
-
 def uniform(key: str, salt: int, pos: Column | int = 0) -> Column:
-    """Uniform number in [0, 1) from an integer key, a position and a salt."""
+    """Uniform number in [0, 1) from a key, a position and a salt: 52 bits of an md5, so neighbours and salts are independent."""
     pos = F.lit(pos) if isinstance(pos, int) else pos
-    mixed = F.pmod(F.col(key), F.lit(M)) * 48271 + pos.cast("long") * 7919 + F.lit(salt * 104729)
-    return F.pmod(F.pmod(mixed, F.lit(M)) * 48271, F.lit(M)) / F.lit(float(M))
+    digest = F.md5(F.concat_ws("|", F.lit(str(salt)), F.col(key).cast("string"), pos.cast("string")))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def noise(df: DataFrame, key: str, y: str, *, p: float, lo: float, hi: float, salt: int) -> DataFrame:

@@ -106,7 +106,8 @@ def fingerprint(df: DataFrame, key: str, columns: Sequence[str], buckets: int =
     Each bucket hash sums the row hashes, so no task collects a group; a changed, added or lost row
     changes the result.
     """
-    row = F.xxhash64(*[c(x) for x in [key, *columns]])
+    # the text of a struct keeps nulls in place, which a hash of columns skips
+    row = F.xxhash64(F.to_json(F.struct(*[c(x) for x in [key, *columns]]), {"ignoreNullFields": "false"}))
     g = df.select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("_b"), row.alias("_h"))
     per = g.groupBy("_b").agg(F.sum(c("_h").cast("decimal(38,0)")).alias("_s"), F.count(F.lit(1)).alias("_n"))
     text = F.concat_ws(":", c("_b").cast("string"), c("_n").cast("string"), c("_s").cast("string"))

@@ -200,7 +200,7 @@ def silhouette(df: DataFrame, key: str, by: str, y: str = "y", max_clusters: int
 def bootstrap_means(df: DataFrame, keys: Sequence[str], order: str, value: str, draws: int, seed: int = 0) -> DataFrame:
     """Mean of ``value`` in each of ``draws`` resamples with replacement, per key.
 
-    Draw i of resample b picks dense row number hash(b, i) mod n: generated in parallel, joined on the
+    Draw i of resample b picks dense row number md5(seed, b, i) mod n: independent draws, generated in parallel, joined on the
     row number, averaged with partial aggregation.
     """
     keys = list(keys)
@@ -213,9 +213,8 @@ def bootstrap_means(df: DataFrame, keys: Sequence[str], order: str, value: str,
     picks = picks.select(*keys, "b", "_n", F.explode(chunk).alias("_c")).repartition(*keys, "b", "_c")
     last = F.least(c("_n"), (c("_c") + 1) * DRAW_CHUNK) - 1
     picks = picks.select(*keys, "b", "_n", F.explode(F.sequence(c("_c") * DRAW_CHUNK, last)).alias("_i"))
-    m = F.lit(2_147_483_647)
-    step = F.pmod(F.pmod(c("b").cast("long") * 1_000_003 + c("_i") * 7_919 + F.lit(seed * 104_729 + 12_345), m) * 48_271, m)
-    picks = picks.select(*keys, "b", F.pmod(F.pmod(step * 48_271, m), c("_n")).alias("_pick"))
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), c("b").cast("string"), c("_i").cast("string"))), 1, 13), 16, 10).cast("long")
+    picks = picks.select(*keys, "b", F.pmod(draw, c("_n")).alias("_pick"))
     return null_safe_join(picks, rows, [*keys, "_pick"]).groupBy(*keys, "b").agg(F.avg(value).alias("mean"))
 
 

@@ -296,7 +296,7 @@ def p16(spark, sf):
     return out.select("vec_id", *[r(c).alias(c) for c in out.columns if c != "vec_id"])
 
 
-U = "((({k} % 2147483647) * 48271 + {p} * 7919 + {s} * 104729) % 2147483647 * 48271 % 2147483647) / 2147483647e0"
+U = "(CAST(CAST('0x' || substr(md5(concat({s}, '|', {k}, '|', {p})), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496e0)"
 
 
 def u_sql(key: str, pos: str, salt: int) -> str:

@@ -186,7 +186,6 @@ def s13(spark, sf):
 
 
 BOOT = 400
-M31 = 2147483647
 
 
 @query(
@@ -198,7 +197,7 @@ M31 = 2147483647
         CORRECT,
         "RW AS (SELECT model, CASE WHEN pred = y_true THEN 1e0 ELSE 0e0 END AS ok, row_number() OVER (PARTITION BY model ORDER BY md5(concat('3|', file_id)), file_id) - 1 AS pick FROM OK)",
         "SZ AS (SELECT model, count(*) AS n FROM RW GROUP BY model)",
-        f"""DR AS (SELECT model, b.b AS b, ((((b.b * 1000003 + i.i * 7919 + {3 * 104729 + 12345}) % {M31} * 48271) % {M31}) * 48271 % {M31}) % n AS pick
+        f"""DR AS (SELECT model, b.b AS b, CAST('0x' || substr(md5(concat('3|', b.b, '|', i.i)), 1, 13) AS BIGINT) % n AS pick
           FROM SZ, range({BOOT}) b(b), range(100000) i(i) WHERE i.i < n)""",
     ),
 )
