@@ -107,9 +107,9 @@ def probabilities(scored: DataFrame, k: int, col: str = "probability") -> DataFr
     return d.withColumns({f"p{i}": c("_p")[i] for i in range(k)}).drop("_p")
 
 
-def raw_to_probabilities(scored: DataFrame, k: int, col: str = "rawPrediction") -> DataFrame:
-    """Logistic of one-vs-rest scores, scaled to sum to one."""
-    d = scored.withColumn("_r", F.transform(vector_to_array(col), lambda v: 1.0 / (1.0 + F.exp(-v))))
+def raw_to_probabilities(scored: DataFrame, k: int, col: str = "rawPrediction", slope: float = 2.0) -> DataFrame:
+    """Logistic of one-vs-rest scores, scaled to sum to one; the loss of boosted trees has 1 / (1 + exp(-2 v))."""
+    d = scored.withColumn("_r", F.transform(vector_to_array(col), lambda v: 1.0 / (1.0 + F.exp(-slope * v))))
     total = F.aggregate("_r", F.lit(0.0), lambda a, v: a + v)
     return d.withColumns({f"p{i}": c("_r")[i] / total for i in range(k)}).drop("_r")
 

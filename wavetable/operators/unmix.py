@@ -29,8 +29,8 @@ def shift_non_negative(df: DataFrame, y: str) -> DataFrame:
 def purest_variables(df: DataFrame, y: str, components: int, offset_pct: float = 5.0) -> tuple[np.ndarray, list[int]]:
     """Greedy pick of the positions that vary most independently, and a start spectrum for each.
 
-    The start spectrum is the series with the largest value at the picked position, cut at zero and
-    scaled to unit length.  Only the B x B cross-moment matrix is used for the picks.
+    The start spectrum is the series with the largest value at the picked position (of equal ones the last
+    in order), cut at zero and scaled to unit length.  Only the B x B cross-moment matrix is used for the picks.
     """
     _, mean, sd, moments = second_moments(df, y)
     alpha = offset_pct / 100.0 * float(mean.max())
@@ -45,7 +45,7 @@ def purest_variables(df: DataFrame, y: str, components: int, offset_pct: float =
         score = left * purity
         score[picked] = -np.inf
         picked.append(int(np.argmax(score)))
-    tops = df.agg(*[F.max_by(y, F.col(y)[p]).alias(f"t{k}") for k, p in enumerate(picked)]).first()
+    tops = df.agg(*[F.max_by(y, F.struct(F.col(y)[p], y)).alias(f"t{k}") for k, p in enumerate(picked)]).first()
     start = np.maximum(np.array([tops[f"t{k}"] for k in range(components)]), 0.0)
     lengths = np.linalg.norm(start, axis=1, keepdims=True)
     return start / np.where(lengths > 0, lengths, 1.0), picked

@@ -28,7 +28,7 @@ KEY = ["file_id", "pixel_idx"]
 LABELS = ["primary_class", "subclass"]
 
 
-def ingest(spark: SparkSession, root: str, *, axis: Sequence[float] | None = None, n_bins: int = catalog.AXIS_POINTS, cap: int | None = 200) -> tuple[DataFrame, DataFrame]:
+def ingest(spark: SparkSession, root: str, *, axis: Sequence[float] | None = None, n_bins: int = catalog.AXIS_POINTS, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Metadata per file and keyed series on the common axis."""
     axis = axis or catalog.reference_axis()
     files = ins.classify(ins.discover(spark, root), root if "://" in root or root.startswith("file:") else f"file:{root}")
@@ -42,7 +42,7 @@ def ingest(spark: SparkSession, root: str, *, axis: Sequence[float] | None = Non
 
 
 def build_store(
-    spark: SparkSession, root: str, out: str, *, axis: Sequence[float] | None = None, n_bins: int = catalog.AXIS_POINTS, cap: int | None = 200,
+    spark: SparkSession, root: str, out: str, *, axis: Sequence[float] | None = None, n_bins: int = catalog.AXIS_POINTS, cap: int | None = None,
     snr_threshold: float = 5.0, components: int = 8, half_width: float = 10.0, window: float = 30.0, enforce: bool = True, **clean_options,
 ) -> DataFrame:
     """Files to feature store: metadata, spectra, clean (with keep), four feature tables, contract report."""

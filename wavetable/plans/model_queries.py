@@ -134,7 +134,7 @@ def m7(spark, sf):
         model = ml.logistic().fit(ml.balanced(prep(train), "label"))
         return rounded(ml.with_prediction(ml.probabilities(model.transform(prep(s.where(F.col("fold_id") == f))), 4), 4), "vec_id", "cls")
 
-    return ml.per_fold(range(3), one)
+    return ml.per_fold(range(5), one)
 
 
 @query("m8_score_files")

@@ -124,7 +124,7 @@ def header_fields(entries: DataFrame) -> DataFrame:
 
 def parse_axis(starts: DataFrame, n: int | None) -> DataFrame:
     """Axis values of the axis line; a wrong count, bad number or non-increasing axis is a fatal error."""
-    cells = F.filter(F.slice(F.split("axis_line", TAB), 3, 1_000_000), lambda t: F.trim(t) != "")
+    cells = F.filter(F.slice(F.split("axis_line", TAB), 3, F.greatest(F.size(F.split("axis_line", TAB)) - 2, F.lit(0))), lambda t: F.trim(t) != "")
     a = starts.withColumn("axis", F.transform(cells, lambda t: number(t)))
     rising = F.forall(F.zip_with(F.slice("axis", 1, F.greatest(F.size("axis") - 1, F.lit(0))), F.slice("axis", 2, F.greatest(F.size("axis") - 1, F.lit(0))), lambda u, v: v > u), lambda ok: F.coalesce(ok, F.lit(False)))
     size_bad = (F.size("axis") != n) if n is not None else (F.size("axis") < 2)
@@ -257,7 +257,7 @@ def two_column_series(lines: DataFrame, starts: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- whole files
 
-def metadata(files: DataFrame, lines: DataFrame, n_bins: int, cap: int | None = 200) -> tuple[DataFrame, DataFrame, DataFrame]:
+def metadata(files: DataFrame, lines: DataFrame, n_bins: int, cap: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Metadata per file, accepted parsed rows, and axes.  ``files`` comes from ``classify``."""
     starts = body_start(lines)
     axes = materialise(parse_axis(starts, n_bins), "axes")  # one row per file, read by every later step
