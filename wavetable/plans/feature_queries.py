@@ -101,7 +101,7 @@ RATIO_SQL = "RT(rname, num, den) AS (VALUES " + ", ".join(
         """SELECT a.vec_id, concat('ratio_', rname) AS feature, round(a.auc / CASE WHEN abs(b.auc) < 1e-9 THEN sign(b.auc) * 1e-9 + 1e-9 ELSE b.auc END, 4) + 0.0 AS value
         FROM RT JOIN ALLV a ON a.name = num JOIN ALLV b ON b.name = den AND b.vec_id = a.vec_id""",
         *GROUP_CTES,
-        "ALLV AS (SELECT * FROM GV UNION ALL SELECT vec_id, name, auc FROM BA)",
+        "ALLV AS MATERIALIZED (SELECT * FROM GV UNION ALL SELECT vec_id, name, auc FROM BA)",
         RATIO_SQL,
     ),
 )
