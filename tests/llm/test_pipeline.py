@@ -57,6 +57,7 @@ def test_edge_rows_pass_every_stage(spark):
     rows = [(1, None, None, None, None), (None, "Word " * 40, "en", "s", 3), (2, "", "en", None, 0), (2, "", "en", None, 0), (3, "x" * 100_000, "fr", "s", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for docs in (df, df.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            assert stage(spark, docs, SF).count() <= 3 * len(rows) + 20
+        for name, stage in corpus_pipeline.STAGES:
+            # a source of a few bytes is repeated often to reach its weight
+            assert stage(spark, docs, SF).count() <= (10_000 if name == "mixture" else len(rows))
     assert re.match("[a-z]", corpus_pipeline.STAGES[0][0])
