@@ -134,3 +134,19 @@ def test_every_verbatim_item_of_a_table_is_found(spark):
 def test_common_subsequence():
     a, b = [1, 2, 3, 4, 2], [2, 4, 3, 9, 4, 1, 2]
     assert decontaminate.common(decontaminate.places(a), len(a), b) == 4
+
+
+def test_verbatim_items_of_any_length_are_found_between_other_items(spark):
+    r = np.random.default_rng(5)
+    words = np.array(["".join(r.choice(list("abcdefghijklmnop"), 6)) for _ in range(3000)])
+    items = [(i, " ".join(r.choice(words, int(r.choice([1, 2, 3, 5, 7, 8, 9, 12, 30]))))) for i in range(600)]
+    docs = []
+    for d in range(200):
+        i, a, b = (int(x) for x in r.choice(600, 3, replace=False))
+        docs.append((d, " ".join([*r.choice(words, 40), items[a][1], items[i][1], items[b][1], *r.choice(words, 40)]), [i, a, b]))
+    df = spark.createDataFrame([x[:2] for x in docs], "doc_id long, text string")
+    found = {(x["doc_id"], x["item_id"]) for x in decontaminate.find(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(d, i) for d, _, held in docs for i in held} <= found
+    # short items only where they stand word by word
+    text = dict(x[:2] for x in docs)
+    assert all(f" {items[i][1]} " in f" {text[d]} " for d, i in found if len(items[i][1].split()) < decontaminate.SHORT)

@@ -9,6 +9,8 @@ the words of the benchmark; other words have no part in a cosine.
    pieces enter with the weight of the corpus, so their directions are kept.
 3. Passages near a piece in the latent space are candidates.  The longest common subsequence of words with the whole item,
    around the passage, and that with its answer (the last sentence) decide, so paraphrases are found too.
+4. Beside the latent space, every place that shares a window of words with an item (the whole item if that is short) is a
+   candidate for the same decision, so no item that stands word by word in a text depends on a cosine.
 """
 
 from __future__ import annotations
@@ -26,14 +28,15 @@ from wavetable.llm.blocks import Texts
 from wavetable.llm.common import query, table
 
 HALF = 24  # a passage has two halves of so many words; the next one starts one half later
-RANK = 64
+RANK = 64  # at least; grows with the square root of the number of pieces
 OVERSAMPLE = 16
-COSINE = 0.45
+COSINE = 0.45  # for a piece of HALF words; shorter ones are diluted by the rest of a passage and need less
 COMMON, RARE_COUNT = 0.05, 20  # words in more than this share of the documents (and so many more) have no weight, unless a piece has no other
 WEIGHT = 0.4  # a passage must hold this share of a piece's TF-IDF weight to be compared word by word
 VERBATIM = 0.8  # share of an item's words, in order, that proves it
 PARAPHRASE, ANSWER, RARE = 0.6, 0.75, 0.5  # or a smaller share, with the answer and this share of the item's TF-IDF weight
 SHORT = 8  # shorter items must appear word by word
+WINDOW = 4  # consecutive words that lead to a longer item
 ITEMS = 20_000  # items of one pass; a larger benchmark takes several
 CHUNK = 1 << 20
 HITS = "item long, cosine double, lcs_share double, answer_share double"
@@ -92,7 +95,7 @@ def weighted(word: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def bitmap(vocabulary: np.ndarray) -> np.ndarray:
-    m = np.zeros(1 << 20, bool)
+    m = np.zeros(1 << max(20, (16 * len(vocabulary)).bit_length()), bool)
     m[(vocabulary & np.uint64(len(m) - 1)).astype(np.int64)] = True
     return m
 
@@ -152,6 +155,17 @@ def common(masks: dict[int, int], size: int, words: list[int]) -> int:
     return size - v.bit_count()
 
 
+def windows(h: np.ndarray, lengths: set[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each length the hashes of the runs of so many words, by their first word."""
+    run = np.zeros(len(h), np.uint64)
+    for n in range(1, max(lengths, default=0) + 1):
+        if n > len(h):
+            return
+        run = run[: len(h) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + h[n - 1 :]
+        if n in lengths:
+            yield n, run
+
+
 def places(words: list[int]) -> dict[int, int]:
     out: dict[int, int] = {}
     for i, w in enumerate(words):
@@ -163,8 +177,8 @@ def places(words: list[int]) -> dict[int, int]:
 class Model:
     items: Items
     idf: np.ndarray
-    latent: np.ndarray  # vocabulary x RANK
-    pieces: np.ndarray  # pieces x RANK, of length 1
+    latent: np.ndarray  # vocabulary x rank
+    pieces: np.ndarray  # pieces x rank, of length 1
     heavy: np.ndarray  # least TF-IDF length of a passage that can hold each piece
 
     def prepare(self) -> Model:
@@ -178,8 +192,58 @@ class Model:
             shares.append(tf * self.idf[w] / (tf * self.idf[w]).sum())
         self.piece_key, self.piece_share = np.concatenate(keys), np.concatenate(shares)
         self.weights = [self.idf[np.searchsorted(self.items.vocabulary, np.array(w, np.uint64))].tolist() for w in self.items.words]
+        size = np.array([len(w) for w in self.items.piece_words])
+        self.least = (COSINE * np.sqrt(np.minimum(size, HALF) / HALF)).astype(np.float32)
+        # windows by length, sorted by hash: (hashes, item, place in the item); those of common words alone are left out
+        entries: dict[int, list] = {}
+        for q, (words, weight) in enumerate(zip(self.items.words, self.weights, strict=True)):
+            n = len(words) if len(words) < SHORT else WINDOW
+            for _, run in windows(np.array(words, np.uint64), {n}):
+                entries.setdefault(n, []).extend((int(x), q, i) for i, x in enumerate(run) if n < WINDOW or len(words) < SHORT or any(weight[i : i + n]))
+        self.windows = {}
+        for n, e in entries.items():
+            e.sort()
+            key = np.array([x[0] for x in e], np.uint64)
+            self.windows[n] = (key, np.array([x[1] for x in e]), np.array([x[2] for x in e]), bitmap(key))
         return self
 
+    def shared(self, b: Texts, h: np.ndarray) -> np.ndarray:
+        """Distinct (text, item, first word of the item if it stood there as it is), the last coarse: one per item's length."""
+        out = [np.zeros((0, 3), np.int64)]
+        length = np.array([len(w) for w in self.items.words])
+        for n, run in windows(h, set(self.windows)):
+            key, item, place, maybe = self.windows[n]
+            at = np.flatnonzero(maybe[(run & np.uint64(len(maybe) - 1)).astype(np.int64)])
+            row = b.wd[at]
+            at = at[at + n <= b.w0[row] + b.wn[row]]
+            lo, hi = np.searchsorted(key, run[at]), np.searchsorted(key, run[at], "right")
+            many = hi - lo
+            e = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            at, q = np.repeat(at, many), item[e]
+            start = at - place[e]
+            if n != WINDOW:
+                out.append(np.stack([b.wd[at], q, start], 1))
+                continue
+            long = length[q] >= SHORT
+            step = np.where(long, length[q], 1)
+            out.append(np.stack([b.wd[at], q, start // step * step], 1))
+        return np.unique(np.concatenate(out), axis=0)
+
+    def judged(self, q: int, words: list[int]) -> tuple[float, float] | None:
+        """Share of the item and of its answer if these words hold it."""
+        masks, answer, n, a = self.masks[q]
+        if n < SHORT:
+            item = self.items.words[q]
+            return (1.0, 1.0) if any(words[s : s + n] == item for s in range(len(words) - n + 1)) else None
+        share = common(masks, n, words) / n
+        if share < PARAPHRASE:
+            return None
+        told = common(answer, a, words) / a
+        weight = self.weights[q]
+        known = set(words)
+        rare = sum(v for w, v in zip(self.items.words[q], weight, strict=True) if w in known) / max(sum(weight), 1e-9)
+        return (share, told) if share >= VERBATIM or told >= ANSWER and rare >= RARE else None
+
     def held(self, p: Passages, x: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Share of each piece's weight in words that the passage has."""
         first = np.searchsorted(p.passage, x)
@@ -199,7 +263,7 @@ class Model:
             on = np.flatnonzero((p.norm > 0) & (p.norm >= self.heavy.min()))
             z = p.times(self.latent, on)
             near = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)) @ self.pieces.T
-            i, j = np.nonzero((near >= COSINE) & (p.norm[on][:, None] >= self.heavy))
+            i, j = np.nonzero((near >= self.least) & (p.norm[on][:, None] >= self.heavy))
             enough = self.held(p, on[i], j) >= WEIGHT
             i, j = i[enough], j[enough]
             for x, q, c in zip(on[i], self.items.piece_item[j], near[i, j], strict=True):
@@ -207,23 +271,21 @@ class Model:
                 if q in found:
                     found[q] = (max(found[q][0], float(c)), *found[q][1:])
                     continue
-                masks, answer, n, a = self.masks[q]
+                n = self.masks[q][2]
                 first, end = b.w0[row], b.w0[row] + b.wn[row]
-                words = h[max(first, first + p.first[x] - n) : min(end, first + p.first[x] + 2 * HALF + n)].tolist()
-                if n < SHORT:
-                    item = self.items.words[q]
-                    if any(words[s : s + n] == item for s in range(len(words) - n + 1)):
-                        found[q] = (float(c), 1.0, 1.0)
-                    continue
-                share = common(masks, n, words) / n
-                if share < PARAPHRASE:
+                if told := self.judged(q, h[max(first, first + p.first[x] - n) : min(end, first + p.first[x] + 2 * HALF + n)].tolist()):
+                    found[q] = (float(c), *told)
+            for row, q, start in self.shared(b, h):
+                found = out[at + row]
+                if q in found:
                     continue
-                told = common(answer, a, words) / a
-                weight = self.weights[q]
-                known = set(words)
-                rare = sum(v for w, v in zip(self.items.words[q], weight, strict=True) if w in known) / max(sum(weight), 1e-9)
-                if share >= VERBATIM or told >= ANSWER and rare >= RARE:
-                    found[q] = (float(c), share, told)
+                n = self.masks[q][2]
+                first, end = b.w0[row], b.w0[row] + b.wn[row]
+                # a coarse start is up to one length early
+                if told := self.judged(q, h[max(first, start - n) : min(end, start + 3 * n)].tolist()):
+                    mine = np.flatnonzero(p.row[on] == row)
+                    mine = mine[(first + p.first[on[mine]] < start + 2 * n) & (first + p.first[on[mine]] + 2 * HALF > start)]
+                    found[q] = (float(near[np.ix_(mine, np.flatnonzero(self.items.piece_item == q))].max(initial=0.0)), *told)
         return out
 
 
@@ -254,7 +316,8 @@ def fit(docs: DataFrame, items: Items, text: str, seed: int = 11) -> Model:
         if usual[w].all():
             usual[w] = False
     idf[usual] = 0.0
-    width = min(RANK + OVERSAMPLE, len(vocabulary))
+    rank = max(RANK, int(2 * len(items.piece_words) ** 0.5))
+    width = min(rank + OVERSAMPLE, len(vocabulary))
     omega = np.random.default_rng(seed).standard_normal((len(vocabulary), width)).astype(np.float32)
 
     def sketch(batches):
@@ -292,7 +355,7 @@ def fit(docs: DataFrame, items: Items, text: str, seed: int = 11) -> Model:
     value, vector = np.linalg.eigh((core + core.T) / 2)
     good = value > value[-1] * 1e-9
     u, _, _ = np.linalg.svd(y @ (vector[:, good] / np.sqrt(value[good])), full_matrices=False)
-    latent = np.ascontiguousarray(u[:, :RANK], dtype=np.float32)
+    latent = np.ascontiguousarray(u[:, :rank], dtype=np.float32)
     flat = pieces @ latent
     return Model(items, idf, latent, (flat / np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-9)).astype(np.float32), WEIGHT * length)
 
