@@ -117,3 +117,15 @@ def test_mix_query_equals_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
     assert sorted(map(tuple, mixing.op7(spark, SF).collect())) == sorted(con.execute(SQL["op7_poisson_mix"]).fetchall())
+
+
+def test_counts_of_large_rates_are_poisson(spark):
+    rows = [(i, "a", "x") for i in range(200)] + [(1000, "b", "y" * 2_000_000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    weights = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "source string, weight double")
+    got = {r["doc_id"]: r["count"] for r in mixing.replicate(df, weights).where("source = 'a'").groupBy("doc_id").count().collect()}
+    n = np.array([got[i] for i in range(200)])
+    rate = 2_000_200 / 400
+    assert abs(n.mean() - rate) < 5 * (rate / 200) ** 0.5 and 0.6 < n.var(ddof=1) / rate < 1.5
+    drawn = np.sort(np.random.default_rng(0).poisson(rate, 100_000))
+    assert np.abs(np.searchsorted(drawn, np.sort(n)) / len(drawn) - (np.arange(200) + 0.5) / 200).max() < 0.13

@@ -2,7 +2,8 @@
 
 The mean repetition rate of a source is ``weight * total / size`` (bytes of text by default).  Each row draws
 its count by inverting the Poisson distribution at a number in [0, 1) that is a hash of seed and key, so
-a task that runs again draws the same.  Rows are exploded by their count and sorted by another hash.
+a task that runs again draws the same.  A rate above ``PART``, whose terms would underflow, is a sum of
+independent draws of equal parts.  Rows are exploded by their count and sorted by another hash.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from wavetable.llm.common import fresh, query, table, text_bytes
 from wavetable.session import materialise
 
+PART = 700  # exp(-rate) has all its digits up to 708
+
 
 def uniform(*parts: Column) -> Column:
     """A number in [0, 1) from the first 13 hex digits (52 bits) of an md5."""
@@ -39,6 +42,12 @@ def poisson_count(steps: Column, u: Column) -> Column:
     return F.coalesce(F.size(F.filter(steps, lambda c: c <= u)), F.lit(0))
 
 
+def poisson_sum(steps: Column, parts: Column, u: Column, *parts_of: Column) -> Column:
+    """Poisson count from the distribution of one of ``parts`` equal parts: the inverse at ``u``, or the sum over the parts' own hashes."""
+    each = F.transform(F.sequence(F.lit(1), parts), lambda j: uniform(*parts_of, j))
+    return F.when(parts > 1, F.aggregate(each, F.lit(0), lambda n, v: n + poisson_count(steps, v))).otherwise(poisson_count(steps, u))
+
+
 def rates(docs: DataFrame, weights: DataFrame, source: str, size: Column) -> DataFrame:
     """One row per source of ``docs``: its mean repetition rate for weights that need not sum to 1.
 
@@ -64,15 +73,17 @@ def replicate(docs: DataFrame, weights: DataFrame, key: str = "doc_id", source:
     the file is small.  No row is dropped other than by a count of 0.
     """
     docs = docs.drop(copy, order)
-    steps, origin = fresh(docs, "_steps", "_origin")
+    steps, origin, parts = fresh(docs, "_steps", "_origin", "_parts")
+    rate = F.col("_rate") * F.lit(float(scale))
+    many = F.greatest(F.ceil(rate / PART), F.lit(1)).cast("int")
     per = rates(docs, weights, source, F.greatest(text_bytes(text), F.lit(1))).select(
-        F.col("_source").alias(origin), poisson_steps(F.col("_rate") * F.lit(float(scale))).alias(steps)
+        F.col("_source").alias(origin), poisson_steps(rate / many).alias(steps), many.alias(parts)
     )
     per = materialise(per, "rates")
     drawn = docs.join(per, docs[source].eqNullSafe(per[origin]), "left").drop(origin)
     n = F.col(steps)
-    drawn = drawn.withColumn(steps, poisson_count(n, uniform(F.lit(seed), F.lit("count"), F.col(key)))).where(n > 0)
-    drawn = drawn.withColumn(copy, F.explode(F.sequence(F.lit(0), n - 1))).drop(steps)
+    drawn = drawn.withColumn(steps, poisson_sum(n, F.coalesce(F.col(parts), F.lit(1)), uniform(F.lit(seed), F.lit("count"), F.col(key)), F.lit(seed), F.lit("part"), F.col(key))).where(n > 0)
+    drawn = drawn.withColumn(copy, F.explode(F.sequence(F.lit(0), n - 1))).drop(steps, parts)
     mixed = drawn.withColumn(order, F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), F.coalesce(F.col(key).cast("string"), F.lit("~")), F.col(copy).cast("string"))))
     return mixed.orderBy(order, copy)
 
