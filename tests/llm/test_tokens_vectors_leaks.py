@@ -150,3 +150,20 @@ def test_verbatim_items_of_any_length_are_found_between_other_items(spark):
     # short items only where they stand word by word
     text = dict(x[:2] for x in docs)
     assert all(f" {items[i][1]} " in f" {text[d]} " for d, i in found if len(items[i][1].split()) < decontaminate.SHORT)
+
+
+def test_descent_converges_from_small_cells(spark):
+    n = 3000
+    x = np.random.default_rng(2).standard_normal((n, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, v array<double>")
+    got = {r["id"]: set(r["nbr"][:10]) for r in vectors.neighbour_graph(df, n, cell=60).collect()}
+    want = {q: {w[0] for w in nearest(x, np.arange(n), q, 10)} for q in range(0, n, 10)}
+    assert np.mean([len(got[q] & w) / 10 for q, w in want.items()]) > 0.95
+
+
+def test_walk_expands_all_inside_the_beam(spark):
+    n = 300
+    x = np.random.default_rng(4).standard_normal((n, 2))
+    nodes = spark.createDataFrame([(0, i, [float(v) for v in x[i]], [(i - 1) % n, (i + 1) % n, (i + 37) % n]) for i in range(n)], vectors.NODES)
+    starts = spark.createDataFrame([(0, [float(v) for v in x[0]], [0])], "q long, qv array<double>, adj array<long>")
+    assert sorted(vectors.walk(nodes, 1, starts, n).first()["best"]) == list(range(n))

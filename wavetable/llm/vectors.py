@@ -2,11 +2,11 @@
 
 Graph.  Random-projection cells of bounded size give each vector a first list of neighbours.  Then every round
 joins each vector with a sample of its neighbours and reverse neighbours and compares these with each other
-(neighbours of neighbours); lists keep their nearest ``NEIGHBOURS``.
+(neighbours of neighbours); lists keep their nearest.  Rounds end when less than ``CONVERGED`` of the entries change.
 
 Search.  A query walks from its own list: it asks the blocks that hold its candidates for their distances
-and, where these are near enough, their neighbours, keeps the nearest ``BEAM``, and ends when none of
-them has a neighbour it has not seen.  Distances of the search are computed in double precision on the given
+and, where these are near enough, their neighbours, keeps the nearest of a beam, and ends when the neighbours of
+all of them have been looked at.  Tree depth, list length and beam grow with the table.  Distances of the search are computed in double precision on the given
 vectors; only the graph is built from half-precision copies.
 """
 
@@ -20,13 +20,14 @@ from pyspark.sql import functions as F
 from wavetable.llm.common import query, table
 from wavetable.session import materialise
 
-NEIGHBOURS = 24  # length of a list
+GROWS = 20_000  # vectors above which lists and beam grow
+NEIGHBOURS = 24  # length of a list; 4 more for each doubling of the table
 TREES = 3
 CELL = 1_500  # vectors of a cell, in expectation at most
-SAMPLE = 20_000  # vectors that the cells are fitted on, in expectation at most
+SAMPLE, PER_CELL = 20_000, 20  # vectors that the cells are fitted on, in expectation: at most so many, or so many per cell if that is more
 JOINED = 10  # neighbours, and as many reverse ones, of a vector that a round compares
-ROUNDS = 2
-BEAM = 320
+CONVERGED = 0.02  # share of list entries that the last round may change
+BEAM = 320  # times the square root of the table's growth
 BLOCK = 2_048  # vectors of a block
 LISTS = "id long, nbr array<long>, dist array<float>"
 
@@ -78,7 +79,7 @@ def cells(vectors: DataFrame, n: int, trees: int, cell: int, seed: int) -> DataF
     A tree has one direction per level and the medians of a sample at its nodes; its depth is bounded by the sample. A cell
     that is larger than ``cell`` (equal vectors, or more vectors than the sample can tell apart) is split by hash.
     """
-    share = min(1.0, SAMPLE / max(n, 1))
+    share = min(1.0, max(SAMPLE, PER_CELL * n / cell) / max(n, 1))
     sample = _matrix(vectors.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").toArrow()["v"]) if n else np.zeros((0, 1))
     depth = int(max(0, min(np.ceil(np.log2(max(n, 1) / cell)), np.floor(np.log2(max(len(sample), 1) / 16)))))
     rng = np.random.default_rng(seed)
@@ -109,7 +110,7 @@ def cells(vectors: DataFrame, n: int, trees: int, cell: int, seed: int) -> DataF
     return split.withColumn("part", F.coalesce(F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("size") / cell)), F.lit(0)).cast("int")).drop("size")
 
 
-def neighbour_graph(vectors: DataFrame, n: int, keep: int = NEIGHBOURS, trees: int = TREES, cell: int = CELL, joined: int = JOINED, rounds: int = ROUNDS, seed: int = 7) -> DataFrame:
+def neighbour_graph(vectors: DataFrame, n: int, keep: int = NEIGHBOURS, trees: int = TREES, cell: int = CELL, joined: int = JOINED, converged: float = CONVERGED, seed: int = 7) -> DataFrame:
     """(id, nbr, dist): approximate nearest neighbours of every vector, nearest first, with squared distances."""
     blocks = max(1, n // BLOCK)
 
@@ -159,7 +160,8 @@ def neighbour_graph(vectors: DataFrame, n: int, keep: int = NEIGHBOURS, trees: i
 
     # different halves of the lists are sampled in each round; a hub keeps a sample of its reverse neighbours
     packed = materialise(vectors.mapInArrow(half, "id long, h binary"), "half")
-    for r in range(rounds):
+    r, changed = 0, 1.0
+    while n > 1 and changed > converged:
         edges = graph.select(F.col("id").alias("a"), F.explode("nbr").alias("b"))
         sampled = edges.where(F.pmod(F.xxhash64("a", "b", F.lit(seed + r)), F.lit(keep)) < joined)
         degree = sampled.groupBy("b").agg(F.count(F.lit(1)).alias("degree"))
@@ -168,22 +170,28 @@ def neighbour_graph(vectors: DataFrame, n: int, keep: int = NEIGHBOURS, trees: i
         around = sampled.select(F.col("a").alias("center"), F.col("b").alias("id")).union(back).distinct()
         known = packed.join(graph.select("id", F.when(F.size("dist") < keep, float("inf")).otherwise(F.array_max("dist")).cast("float").alias("worst")), "id")
         local = around.join(known, "id").groupBy(F.pmod(F.xxhash64("center"), F.lit(blocks * 4)).alias("part")).applyInArrow(lambda t: compare(t), LISTS)
-        graph = merged(graph.union(local), "graph")
+        last, graph = graph, merged(graph.union(local), "graph")
+        both = graph.join(last.select("id", F.col("nbr").alias("was")), "id", "left")
+        new = F.size(F.array_except("nbr", F.coalesce("was", F.array().cast("array<long>"))))
+        share = both.agg((F.sum(new) / F.sum(F.size("nbr"))).alias("share")).first()["share"]
+        r, changed = r + 1, share or 0.0
     return graph
 
 
+NEARLY = 1 + 1e-12
 NODES = "blk int, id long, v array<double>, adj array<long>"
-STATE = "q long, qv array<double>, width int, seen array<long>, best array<long>, dist array<double>, open array<long>"
+STATE = "q long, qv array<double>, width int, seen array<long>, done array<long>, best array<long>, dist array<double>, open array<long>"
 
 
 def walk(nodes: DataFrame, blocks: int, starts: DataFrame, beam: int) -> DataFrame:
     """(q, best, dist): the nearest ids that each query's walk has found, nearest first.
 
     ``nodes``: id, vector and adjacent ids by block; ``starts``: q, its vector and the ids to look at first.
-    Every round stores its state, so a lost executor costs one round.
+    An id is asked again when a grown width takes in a place that was too far before.  Every round stores its state, so a lost
+    executor costs one round.
     """
     parts = max(1, blocks)
-    state = starts.select("q", "qv", F.lit(32).alias("width"), F.array("q").alias("seen"), F.array().cast("array<long>").alias("best"), F.array().cast("array<double>").alias("dist"), F.col("adj").alias("open"))
+    state = starts.select("q", "qv", F.lit(32).alias("width"), F.array().cast("array<long>").alias("seen"), F.array().cast("array<long>").alias("done"), F.array().cast("array<long>").alias("best"), F.array().cast("array<double>").alias("dist"), F.col("adj").alias("open"))
     state = materialise(state, "walk")
 
     def measure(asked: pa.Table, held: pa.Table) -> pa.Table:
@@ -212,26 +220,33 @@ def walk(nodes: DataFrame, blocks: int, starts: DataFrame, beam: int) -> DataFra
         rows = []
         for r in range(len(old)):
             q, width = old["q"][r].as_py(), old["width"][r].as_py()
-            seen, best, dist, asked = (old[c][r].values.to_numpy() for c in ("seen", "best", "dist", "open"))
+            seen, done, best, dist, asked = (old[c][r].values.to_numpy() for c in ("seen", "done", "best", "dist", "open"))
             if len(asked):
+                reach = min(2 * width, beam)
+                bound = dist[reach - 1] * NEARLY if len(dist) >= reach else np.inf
                 got = replies.get(q, [])
                 ids, d, source, adj = (np.concatenate([g[i] for g in got]) if got else np.zeros(0, np.int64) for i in range(4))
+                new = ~np.isin(ids, seen)
+                best, dist = np.append(best, ids[new]), np.append(dist, d[new])
                 seen = np.union1d(seen, asked)
-                best, dist = np.append(best, ids), np.append(dist, d)
                 width = min(beam, width * 2)
                 order = np.lexsort((best, dist))[:beam]
                 best, dist = best[order], dist[order]
-                ahead = adj[np.isin(source, best[:width])]
-                asked = np.setdiff1d(ahead, seen)
-            rows.append((q, old["qv"][r].values.to_numpy(), width, seen, best, dist, asked))
-        kinds = [pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int64())]
-        return pa.Table.from_arrays([pa.array([x[i] for x in rows], kinds[i]) for i in range(7)], names=["q", "qv", "width", "seen", "best", "dist", "open"])
+                told_of = np.intersect1d(ids[d <= bound], best[:width])
+                done = np.union1d(done, told_of)
+                asked = np.union1d(np.setdiff1d(adj[np.isin(source, told_of)], seen), np.setdiff1d(best[:width], done))
+                while not len(asked) and width < min(beam, len(best)):
+                    width = min(beam, width * 2)
+                    asked = np.setdiff1d(best[:width], done)
+            rows.append((q, old["qv"][r].values.to_numpy(), width, seen, done, best, dist, asked))
+        kinds = [pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int64())]
+        return pa.Table.from_arrays([pa.array([x[i] for x in rows], kinds[i]) for i in range(8)], names=["q", "qv", "width", "seen", "done", "best", "dist", "open"])
 
     by_block = nodes.groupBy("blk")
     while state.where(F.size("open") > 0).limit(1).count():
         live = state.where(F.size("open") > 0)
         # a candidate is expanded if it could be among the nearest of this round's width
-        bound = F.coalesce(F.get("dist", F.least(F.col("width") * 2, F.lit(beam)) - 1), F.lit(float("inf")))
+        bound = F.coalesce(F.get("dist", F.least(F.col("width") * 2, F.lit(beam)) - 1) * NEARLY, F.lit(float("inf")))
         each = live.select("q", "qv", bound.alias("bound"), F.explode("open").alias("id")).withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
         asked = each.groupBy("blk", "q").agg(F.first("qv").alias("qv"), F.first("bound").alias("bound"), F.collect_list("id").alias("ids"))
         told = asked.groupBy("blk").cogroup(by_block).applyInArrow(measure, "q long, ids array<long>, d array<double>, from array<long>, adj array<long>")
@@ -266,11 +281,13 @@ def _search(rows: DataFrame, k: int, every: int, beam: int) -> DataFrame:
     firsts = hashed.withColumn("r", F.row_number().over(some)).where(F.col("r") <= k + 1).withColumn("r", F.row_number().over(every_salt)).where(F.col("r") <= k + 1)
     same = materialise(firsts.groupBy("v").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids")), "same")
     n = same.count()
-    graph = neighbour_graph(same.select("id", "v"), n)
+    growth = max(1.0, n / GROWS)
+    keep, beam = NEIGHBOURS + int(4 * np.log2(growth)), int(beam * growth**0.5)
+    graph = neighbour_graph(same.select("id", "v"), n, keep)
     edges = graph.select(F.col("id").alias("a"), F.explode("nbr").alias("b"))
     degree = edges.groupBy("b").agg(F.count(F.lit(1)).alias("degree"))
     u = F.pmod(F.xxhash64("b", "a"), F.lit(1 << 20)) / float(1 << 20)
-    back = edges.join(degree, "b").where(u * F.col("degree") < NEIGHBOURS).select(F.col("b").alias("a"), F.col("a").alias("b"))
+    back = edges.join(degree, "b").where(u * F.col("degree") < keep).select(F.col("b").alias("a"), F.col("a").alias("b"))
     both = edges.union(back).groupBy("a").agg(F.collect_set("b").alias("adj"))
     blocks = max(1, n // BLOCK)
     nodes = same.select("id", "v").join(both.withColumnRenamed("a", "id"), "id", "left").select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("blk"), "id", "v", F.coalesce("adj", F.array().cast("array<long>")).alias("adj"))
