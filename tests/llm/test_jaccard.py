@@ -50,3 +50,19 @@ def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()))
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_one_family_of_near_copies_beside_a_near_miss(spark):
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    docs = [(0, " ".join(base))]
+    for i in range(1, 3000):  # one changed word leaves 111 of 121 shingles
+        w = list(base)
+        w[r.randrange(120)] = f"x{i}"
+        docs.append((i, " ".join(w)))
+    miss = list(base)
+    for p in (10, 40, 70, 100):  # four spread changes leave 96 shingles of 136 in the union with the base
+        miss[p] = f"y{p}"
+    docs += [(5000 + i, " ".join([*miss[: 119 - i % 3], f"z{i}"])) for i in range(40)]
+    got = {x["doc_id"]: x["component_id"] for x in link(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == dict.fromkeys(range(3000), 0) | dict.fromkeys(range(5000, 5040), 5000)

@@ -40,3 +40,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def text_bytes(text: str | Column) -> Column:
     """UTF-8 length of a text; null counts as empty."""
     return F.coalesce(F.octet_length(F.col(text) if isinstance(text, str) else text), F.lit(0)).cast("long")
+
+
+def learn(rows: DataFrame, facts: DataFrame, keys: list[str], by: str, parts: int) -> DataFrame:
+    """Inner join of ``rows`` with ``facts`` (unique in ``keys``) when very many rows may share a key.
+
+    Rows are dealt in ``parts`` by the hash of column ``by``; each part asks for every key it holds once, so a hot key meets
+    ``parts`` askers and the rows of one key are spread over as many groups.
+    """
+    (part,) = fresh(rows, "_part")
+    dealt = rows.withColumn(part, F.pmod(F.xxhash64(F.col(by), F.lit(11)), F.lit(parts)).cast("int"))
+    told = dealt.select(part, *keys).distinct().join(facts, keys)
+    return dealt.join(told, [part, *keys]).drop(part)

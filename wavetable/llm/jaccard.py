@@ -8,7 +8,8 @@
    groups of near copies grow together and hardly any links between groups are left.
 4. The token-group matrix has a row for each group and prefix shingle of its members (rarest first).  A
    set's prefix finds the groups it could link to; its overlap with the group's token union bounds its
-   overlap with any member; only groups that the bound lets through are opened, member by member.
+   overlap with any member; only groups that the bound lets through are opened: the leader first, and members,
+   part by part, only if the two groups are not connected by then.
 5. Links between groups are joined to components.  Pairs inside a group are never listed.
 """
 
@@ -20,14 +21,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavetable.llm.blocks import ASKED, LAST, Block, answer, answers, ask, blocked, mix
-from wavetable.llm.common import fresh, query, table
+from wavetable.llm.common import fresh, learn, query, table
 from wavetable.llm.components import components
 from wavetable.session import materialise
 
 WORDS = 5
 PERCENT = 80
-SALTS = 8
 MEMBERS_PER_TASK = 256
+DEALT, PART_ROWS = 32, 65_536  # least number of parts, and rows of a part, in which rows ask for facts about their group
 GROUPINGS = 2
 CHUNK = 4_096  # shingles of a union that are compared at once
 SETS = "class binary, id long, mark long, n long, central double, tokens array<long>, prefix int"
@@ -133,8 +134,33 @@ def leaders(sets: DataFrame, percent: int, turn: int) -> DataFrame:
     return materialise(joined.where(similar(F.col("tokens"), F.col("lt"), F.col("n"), F.col("ln"), percent)).select("class", "leader"), "near")
 
 
-def components_of_classes(docs: DataFrame, key: str, text: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(classes of rows, one row per class: ``id`` and ``mark`` of its first row, ``n`` shingles, ``comp``)."""
+def token_unions(grouped: DataFrame, opened: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((other, chunk, held): tokens of all members of each group in ``opened``, (other, chunks)).
+
+    Parts of a group fold the tokens of their members before anything leaves them; chunks of about ``CHUNK`` tokens then fold the parts.
+    """
+    each = parts.join(opened.select(F.col("other").alias("grp")).distinct(), "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    folded = grouped.join(each, ["grp", "part"]).groupBy(F.col("grp").alias("other"), "part").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("held"))
+    folded = materialise(folded, "unions")
+    sizes = folded.groupBy("other").agg(F.ceil(F.sum(F.size("held")) / CHUNK).cast("int").alias("chunks"))
+    cut = folded.join(sizes, "other").select("other", "held", "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    mine = F.filter("held", lambda t: F.pmod(F.xxhash64(t), F.col("chunks")) == F.col("chunk"))
+    return cut.groupBy("other", "chunk").agg(F.array_distinct(F.flatten(F.collect_list(mine))).alias("held")), sizes
+
+
+def member_links(opened: DataFrame, grouped: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """(mine, other) of groups with a link between the asking set and some member, part by part of the opened group."""
+    asked = opened.join(grouped.select("class", "n", "tokens"), "class").join(parts.withColumnRenamed("grp", "other"), "other")
+    asked = asked.select("class", "mine", "other", "c", "n", "tokens", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    inside = grouped.select(F.col("grp").alias("other"), "part", F.col("n").alias("m"), F.col("tokens").alias("ot"))
+    small = (F.col("m") <= F.col("n")) & (F.col("m") * 100 >= F.col("n") * percent)
+    room = (F.least("c", F.size("ot")) * (100 + percent)) >= (F.col("n") + F.col("m")) * percent
+    pairs = asked.join(inside, ["other", "part"]).where(small & room)
+    return pairs.where(similar(F.col("tokens"), F.col("ot"), F.col("n"), F.col("m"), percent)).select("mine", "other").distinct()
+
+
+def components_of_classes(docs: DataFrame, key: str, text: str, k: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
+    """(classes of rows, one row per class: ``id`` and ``mark`` of its first row, ``n`` shingles, ``comp``; parts for :func:`learn`)."""
     rows, found = shared_sets(docs, key, text, k, percent)
     sets = materialise(found, "sets")
     able = materialise(sets.where("prefix > 0").select("class", "n", "central", "tokens", "prefix"), "able")
@@ -143,7 +169,11 @@ def components_of_classes(docs: DataFrame, key: str, text: str, k: int, percent:
         heads = able.join(member.where("class = grp").select("class"), "class", "left_semi") if r else able
         near = leaders(heads, percent, r).withColumnsRenamed({"class": "grp", "leader": "to"})
         member = materialise(member.join(near, "grp", "left").select("class", F.coalesce("to", "grp").alias("grp")), "member")
-    grouped = materialise(able.drop("central").join(member, "class"), "grouped")
+    # members learn the number of parts of their group
+    deal = max(DEALT, docs.count() // PART_ROWS)
+    parts = materialise(member.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_PER_TASK).cast("int").alias("parts")), "parts")
+    part = F.pmod(F.xxhash64("class", F.lit(1)), F.col("parts")).cast("int").alias("part")
+    grouped = materialise(able.drop("central").join(learn(member, parts, ["grp"], "class", deal).select("class", "grp", part), "class"), "grouped")
     # The token-group matrix.  In a linked pair let y be no longer than x.  Their intersection is at least p/(100 + p) of
     # their sizes together, so at least 2p/(100 + p) of y: the rarest shingles of y up to there (its index prefix) meet those
     # of x up to p % of x.  An intersection is within the shared shingles of either, which bounds the sizes that can meet.
@@ -154,24 +184,27 @@ def components_of_classes(docs: DataFrame, key: str, text: str, k: int, percent:
     asks = grouped.select("class", "grp", "n", shared.alias("c"), F.explode(F.slice("tokens", 1, F.col("prefix"))).alias("token"))
     fits = (F.col("least") <= F.col("n")) & (F.col("most") * 100 >= F.col("n") * percent) & (F.col("c") * part >= (F.col("n") + F.col("least")) * percent)
     hits = materialise(asks.join(matrix, "token").where((F.col("grp") != F.col("other")) & fits).select("class", "grp", "other").distinct(), "hits")
-    # the bound: shingles of the set in the union of the group, which is held in chunks of about CHUNK
-    union = grouped.join(hits.select(F.col("other").alias("grp")).distinct(), "grp", "left_semi").select(F.col("grp").alias("other"), F.explode("tokens").alias("token")).distinct()
-    sizes = union.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    at = F.pmod(F.xxhash64("token"), F.col("chunks")).cast("int")
-    unions = union.join(sizes, "other").groupBy("other", at.alias("chunk")).agg(F.collect_list("token").alias("held"))
-    asked = grouped.select("class", "n", "tokens").join(hits.join(sizes, "other"), "class").select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    bound = asked.join(unions, ["other", "chunk"]).select("class", "grp", "other", "n", F.size(F.array_intersect("tokens", "held")).alias("c"))
+    # the bound: shingles of the set in the union of the group, chunk by chunk
+    unions, sizes = token_unions(grouped, hits, parts)
+    asked = grouped.select("class", "n", "tokens").join(learn(hits, sizes, ["other"], "class", deal), "class").select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    bound = learn(asked, unions, ["other", "chunk"], "class", deal).select("class", "grp", "other", "n", F.size(F.array_intersect("tokens", "held")).alias("c"))
     bound = bound.groupBy("class", "grp", "other", "n").agg(F.sum("c").cast("int").alias("c")).where(F.col("c") * 100 >= F.col("n") * percent)
-    opened = bound.select("class", F.col("grp").alias("mine"), F.col("other"), "c")
-    inside = grouped.select(F.col("grp").alias("other"), F.col("n").alias("m"), F.col("tokens").alias("ot"))
-    small = (F.col("m") <= F.col("n")) & (F.col("m") * 100 >= F.col("n") * percent)
-    room = (F.least("c", F.size("ot")) * part) >= (F.col("n") + F.col("m")) * percent
-    pairs = opened.join(grouped.select("class", "n", "tokens"), "class").join(inside, "other").where(small & room)
-    links = pairs.where(similar(F.col("tokens"), F.col("ot"), F.col("n"), F.col("m"), percent)).select("mine", "other").distinct()
-    roots = components(links, "mine", "other")
-    of_class = grouped.select("class", "grp").join(roots.withColumnRenamed("node", "grp"), "grp", "left").select("class", F.coalesce("root", "grp").alias("comp"))
+    opened = materialise(bound.select("class", F.col("grp").alias("mine"), "other", "c"), "opened")
+    # only whether two groups are linked counts: leaders first, and no group is opened for one that it is connected with by then
+    leader = grouped.where("class = grp").select(F.col("grp").alias("other"), F.col("n").alias("m"), F.col("tokens").alias("ot"))
+    met = learn(opened.join(grouped.select("class", "n", "tokens"), "class"), leader, ["other"], "class", deal)
+    first = materialise(met.where(similar(F.col("tokens"), F.col("ot"), F.col("n"), F.col("m"), percent)).select("mine", "other").distinct(), "links")
+    so_far = components(first, "mine", "other")
+    groups = opened.select("mine", "other").distinct()
+    for c in ("mine", "other"):
+        groups = groups.join(so_far.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
+    unknown = groups.where("mine_root <> other_root").select("mine", "other")
+    links = first.unionByName(member_links(learn(opened, unknown, ["mine", "other"], "class", deal), grouped, parts, percent))
+    roots = components(links, "mine", "other").withColumnRenamed("node", "grp")
+    comp = parts.select("grp").join(roots, "grp", "left").select("grp", F.coalesce("root", "grp").alias("comp"))
+    of_class = learn(grouped.select("class", "grp"), comp, ["grp"], "class", deal).select("class", "comp")
     full = sets.select("class", "id", "mark", "n").join(of_class, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    return rows, full
+    return rows, full, deal
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -181,10 +214,10 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORD
     words has its whole sequence as one shingle; null texts and those without words have none and are
     linked with nothing.  Rows with equal keys are linked by their texts only.  A null key counts as the largest.
     """
-    rows, full = components_of_classes(docs, key, text, k, percent)
+    rows, full, deal = components_of_classes(docs, key, text, k, percent)
     least = full.groupBy("comp").agg(F.min("id").alias("least"))
-    per_class = full.join(least, "comp").select("class", "n", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    out = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(per_class, ["class", "salt"])
+    per_class = learn(full, least, ["comp"], "class", deal).select("class", "n", "least")
+    out = learn(rows, per_class, ["class"], "id", deal)
     real = lambda c: F.when(c != LAST, c)
     return out.select(real(F.col("id")).alias(key), F.col("n").alias("n_shingles"), real(F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id"))).alias("component_id"))
 
@@ -195,7 +228,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     Texts without words are linked with nothing and stay.  Of rows with equal key and text the first
     in order of the other columns stays.
     """
-    rows, full = components_of_classes(docs, key, text, k, percent)
+    rows, full, deal = components_of_classes(docs, key, text, k, percent)
     i, m, copies, turn = fresh(docs, "_id", "_mark", "_copies", "_turn")
     first = full.where("n > 0").groupBy("comp").agg(F.min(F.struct("id", "mark")).alias("r")).select("r.*")
     blank = rows.join(full.where("n = 0").select("class"), "class", "left_semi").select("id", "mark").distinct()
