@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavetable.session import shared_folder
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -52,3 +56,13 @@ def learn(rows: DataFrame, facts: DataFrame, keys: list[str], by: str, parts: in
     dealt = rows.withColumn(part, F.pmod(F.xxhash64(F.col(by), F.lit(11)), F.lit(parts)).cast("int"))
     told = dealt.select(part, *keys).distinct().join(facts, keys)
     return dealt.join(told, [part, *keys]).drop(part)
+
+
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, bucketed by ``key``: later joins and groups by the key read it without a shuffle."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table_name = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{table_name}"
+    df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table_name)
+    return spark.table(table_name)

@@ -1,8 +1,9 @@
 """Approximate nearest neighbours: an NN-descent graph and greedy search on it.
 
-Graph.  Random-projection cells of bounded size give each vector a first list of neighbours.  Then every round
-joins each vector with a sample of its neighbours and reverse neighbours and compares these with each other
-(neighbours of neighbours); lists keep their nearest.  Rounds end when less than ``CONVERGED`` of the entries change.
+Graph.  Random-projection cells of bounded size give each vector a first list of neighbours.  An entry of a list is new until
+a round has picked it.  Every round picks new and old neighbours and reverse neighbours of each vector and compares the new ones with
+each other and with the old ones (neighbours of neighbours), so a pair is not compared again because nothing changed; lists keep
+their nearest.  Rounds end when less than ``CONVERGED`` of the entries are new.
 
 Search.  A query walks from its own list: it asks the blocks that hold its candidates for their distances
 and, where these are near enough, their neighbours, keeps the nearest of a beam, and ends when the neighbours of
@@ -17,19 +18,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavetable.llm.common import query, table
+from wavetable.llm.blocks import mix
+from wavetable.llm.common import bucketed, query, table
 from wavetable.session import materialise
 
 GROWS = 20_000  # vectors above which lists and beam grow
 NEIGHBOURS = 24  # length of a list; 4 more for each doubling of the table
 TREES = 3
 CELL = 1_500  # vectors of a cell, in expectation at most
-SAMPLE, PER_CELL = 20_000, 20  # vectors that the cells are fitted on, in expectation: at most so many, or so many per cell if that is more
-JOINED = 10  # neighbours, and as many reverse ones, of a vector that a round compares
-CONVERGED = 0.02  # share of list entries that the last round may change
+SAMPLE, PER_LEAF = 20_000, 16  # vectors that the cells are fitted on, in expectation, and how many of them the smallest fitted node holds
+JOINED = 10  # new neighbours of a vector that a round picks; as many old ones and reverse ones of either kind
+CONVERGED = 0.02  # share of list entries that are new after the last round
 BEAM = 320  # times the square root of the table's growth
 BLOCK = 2_048  # vectors of a block
-LISTS = "id long, nbr array<long>, dist array<float>"
+LISTS = "id long, nbr array<long>, dist array<float>, new array<boolean>"
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -48,27 +50,31 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
 
 
-def _lists(rows: np.ndarray, nbr: np.ndarray, dist: np.ndarray, ids: np.ndarray, keep: int) -> pa.Table:
-    """The ``keep`` nearest distinct neighbours of each of ``ids`` from flat (row, neighbour, squared distance) triples."""
-    order = np.lexsort((nbr, rows))
-    rows, nbr, dist = rows[order], nbr[order], dist[order]
+def _lists(rows: np.ndarray, nbr: np.ndarray, dist: np.ndarray, new: np.ndarray, ids: np.ndarray, keep: int) -> pa.Table:
+    """The ``keep`` nearest distinct neighbours of each of ``ids`` from flat (row, neighbour, squared distance, new) rows.
+
+    A neighbour that is there more than once is as old as its oldest entry.
+    """
+    order = np.lexsort((new, nbr, rows))
+    rows, nbr, dist, new = rows[order], nbr[order], dist[order], new[order]
     first = np.append(True, (rows[1:] != rows[:-1]) | (nbr[1:] != nbr[:-1])) if len(rows) else np.zeros(0, bool)
-    rows, nbr, dist = rows[first], nbr[first], dist[first]
+    rows, nbr, dist, new = rows[first], nbr[first], dist[first], new[first]
     order = np.lexsort((nbr, dist, rows))
-    rows, nbr, dist = rows[order], nbr[order], dist[order]
+    rows, nbr, dist, new = rows[order], nbr[order], dist[order], new[order]
     start = np.searchsorted(rows, np.arange(len(ids)))
     top = np.arange(len(rows)) - start[rows] < keep
-    rows, nbr, dist = rows[top], nbr[top], dist[top]
+    rows, nbr, dist, new = rows[top], nbr[top], dist[top], new[top]
     cut = pa.array(np.searchsorted(rows, np.arange(len(ids) + 1)).astype(np.int32))
-    return pa.table([pa.array(ids), pa.ListArray.from_arrays(cut, pa.array(nbr)), pa.ListArray.from_arrays(cut, pa.array(dist.astype(np.float32)))], ["id", "nbr", "dist"])
+    columns = [pa.array(nbr), pa.array(dist.astype(np.float32)), pa.array(new.astype(bool))]
+    return pa.table([pa.array(ids), *[pa.ListArray.from_arrays(cut, c) for c in columns]], ["id", "nbr", "dist", "new"])
 
 
 def _merge(keep: int):
     def merge(t: pa.Table) -> pa.Table:
         ids, back = np.unique(t["id"].to_numpy(), return_inverse=True)
-        nbr, dist = t["nbr"].combine_chunks(), t["dist"].combine_chunks()
+        nbr, dist, new = (t[c].combine_chunks() for c in ("nbr", "dist", "new"))
         n = np.diff(nbr.offsets.to_numpy())
-        return _lists(np.repeat(back, n), nbr.flatten().to_numpy(), dist.flatten().to_numpy(), ids, keep)
+        return _lists(np.repeat(back, n), nbr.flatten().to_numpy(), dist.flatten().to_numpy(), new.flatten().to_numpy(zero_copy_only=False), ids, keep)
 
     return merge
 
@@ -76,12 +82,14 @@ def _merge(keep: int):
 def cells(vectors: DataFrame, n: int, trees: int, cell: int, seed: int) -> DataFrame:
     """(tree, cell, id, v): each vector in one cell per tree.
 
-    A tree has one direction per level and the medians of a sample at its nodes; its depth is bounded by the sample. A cell
-    that is larger than ``cell`` (equal vectors, or more vectors than the sample can tell apart) is split by hash.
+    A tree has one direction per level and the medians of a sample of bounded size at its nodes; levels below the smallest node that
+    the sample fits are cut at the medians of that node's sample along their own directions. A cell larger than
+    twice ``cell`` is split by hash.
     """
-    share = min(1.0, max(SAMPLE, PER_CELL * n / cell) / max(n, 1))
+    share = min(1.0, SAMPLE / max(n, 1))
     sample = _matrix(vectors.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").toArrow()["v"]) if n else np.zeros((0, 1))
-    depth = int(max(0, min(np.ceil(np.log2(max(n, 1) / cell)), np.floor(np.log2(max(len(sample), 1) / 16)))))
+    depth = int(max(0, np.ceil(np.log2(max(n, 1) / cell))))
+    fitted_depth = int(max(0, min(depth, np.floor(np.log2(max(len(sample), 1) / PER_LEAF)))))
     rng = np.random.default_rng(seed)
     dims = sample.shape[1]
     fitted = []
@@ -90,8 +98,11 @@ def cells(vectors: DataFrame, n: int, trees: int, cell: int, seed: int) -> DataF
         at, cuts = np.zeros(len(sample), np.int64), []
         for level in range(depth):
             p = sample @ directions[:, level]
-            cuts.append(np.array([np.median(p[at == c]) if (at == c).any() else 0.0 for c in range(1 << level)]))
-            at = 2 * at + (p > cuts[-1][at])
+            order = np.argsort(at, kind="stable")
+            nodes = np.split(p[order], np.searchsorted(at[order], np.arange(1, 1 << min(level, fitted_depth))))
+            cuts.append(np.array([np.median(x) if len(x) else 0.0 for x in nodes]))
+            if level < fitted_depth:
+                at = 2 * at + (p > cuts[-1][at])
         fitted.append((directions, cuts))
 
     def place(batches):
@@ -100,7 +111,7 @@ def cells(vectors: DataFrame, n: int, trees: int, cell: int, seed: int) -> DataF
             for tree, (directions, cuts) in enumerate(fitted):
                 at = np.zeros(len(x), np.int64)
                 for level, cut in enumerate(cuts):
-                    at = 2 * at + (x @ directions[:, level] > cut[at])
+                    at = 2 * at + (x @ directions[:, level] > cut[at >> max(0, level - fitted_depth)])
                 yield pa.record_batch([pa.array(np.full(len(x), tree, np.int32)), pa.array(at), b["id"], b["v"]], ["tree", "cell", "id", "v"])
 
     placed = vectors.mapInArrow(place, "tree int, cell long, id long, v array<double>")
@@ -126,7 +137,8 @@ def neighbour_graph(vectors: DataFrame, n: int, keep: int = NEIGHBOURS, trees: i
             top = np.argpartition(d, k - 1, 1)[:, :k]
             rows.append(np.repeat(np.arange(a, a + m), k)), nbr.append(ids[top].ravel()), dist.append(np.take_along_axis(d, top, 1).ravel())
         empty = np.zeros(0, np.int64)
-        return _lists(np.concatenate([empty, *rows]), np.concatenate([empty, *nbr]), np.concatenate([empty.astype(np.float32), *dist]), ids, keep)
+        rows, nbr, dist = np.concatenate([empty, *rows]), np.concatenate([empty, *nbr]), np.concatenate([empty.astype(np.float32), *dist])
+        return _lists(rows, nbr, dist, np.ones(len(rows), bool), ids, keep)
 
     def merged(lists: DataFrame, name: str) -> DataFrame:
         return materialise(lists.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks))).applyInArrow(_merge(keep), LISTS), name)
@@ -145,37 +157,70 @@ def neighbour_graph(vectors: DataFrame, n: int, keep: int = NEIGHBOURS, trees: i
     dims = vectors.select(F.size("v")).first()[0] if n else 0
 
     def compare(t: pa.Table) -> pa.Table:
+        """Per id of the part its nearest among those that a common vector brought it together with for the first time."""
         t = t.sort_by([("center", "ascending"), ("id", "ascending")])
-        center, ids, worst = (t[c].to_numpy() for c in ("center", "id", "worst"))
+        center, ids, worst, new = (t[c].to_numpy() for c in ("center", "id", "worst", "new"))
+        code = codes(ids)
+        known = np.repeat(code[:, None], keep, 1)  # short lists are filled up with the id itself
+        for row, k in enumerate(t["known"]):
+            k = np.frombuffer(k.as_py(), np.uint16)
+            known[row, : len(k)] = k
         x = vector_of(t["h"], dims)
         sq = (x * x).sum(1)
         edge = np.flatnonzero(np.append(True, center[1:] != center[:-1]))
         us, ws, ds = [], [], []
         for a, z in zip(edge, np.append(edge[1:], len(center)), strict=True):
             d = np.maximum(sq[a:z, None] + sq[a:z] - 2 * x[a:z] @ x[a:z].T, 0)
-            i, j = np.nonzero((d < worst[a:z, None]) & (ids[a:z, None] != ids[a:z]))
+            i, j = np.nonzero((d < worst[a:z, None]) & (ids[a:z, None] != ids[a:z]) & (new[a:z, None] | new[a:z]))
+            fresh = (known[a + i] != code[a + j, None]).all(1)
+            i, j = i[fresh], j[fresh]
             us.append(ids[a + i]), ws.append(ids[a + j]), ds.append(d[i, j])
         u, back = np.unique(np.concatenate(us), return_inverse=True)
-        return _lists(back, np.concatenate(ws), np.concatenate(ds), u, keep)
+        return _lists(back, np.concatenate(ws), np.concatenate(ds), np.ones(len(back), bool), u, keep)
 
-    # different halves of the lists are sampled in each round; a hub keeps a sample of its reverse neighbours
     packed = materialise(vectors.mapInArrow(half, "id long, h binary"), "half")
-    r, changed = 0, 1.0
-    while n > 1 and changed > converged:
-        edges = graph.select(F.col("id").alias("a"), F.explode("nbr").alias("b"))
-        sampled = edges.where(F.pmod(F.xxhash64("a", "b", F.lit(seed + r)), F.lit(keep)) < joined)
-        degree = sampled.groupBy("b").agg(F.count(F.lit(1)).alias("degree"))
-        u = F.pmod(F.xxhash64("b", "a", F.lit(seed - r)), F.lit(1 << 20)) / float(1 << 20)
-        back = sampled.join(degree, "b").where(u * F.col("degree") < joined).select(F.col("b").alias("center"), F.col("a").alias("id"))
-        around = sampled.select(F.col("a").alias("center"), F.col("b").alias("id")).union(back).distinct()
-        known = packed.join(graph.select("id", F.when(F.size("dist") < keep, float("inf")).otherwise(F.array_max("dist")).cast("float").alias("worst")), "id")
-        local = around.join(known, "id").groupBy(F.pmod(F.xxhash64("center"), F.lit(blocks * 4)).alias("part")).applyInArrow(lambda t: compare(t), LISTS)
-        last, graph = graph, merged(graph.union(local), "graph")
-        both = graph.join(last.select("id", F.col("nbr").alias("was")), "id", "left")
-        new = F.size(F.array_except("nbr", F.coalesce("was", F.array().cast("array<long>"))))
-        share = both.agg((F.sum(new) / F.sum(F.size("nbr"))).alias("share")).first()["share"]
-        r, changed = r + 1, share or 0.0
-    return graph
+    r, pending = 0, 1.0
+    while n > 1 and pending > converged:
+        graph, around = picked(graph, joined, seed + r)
+        ends = F.when(F.size("dist") < keep, float("inf")).otherwise(F.array_max("dist")).cast("float").alias("worst")
+        known = packed.join(graph.select("id", ends, "nbr"), "id").mapInArrow(coded, "id long, h binary, worst float, known binary")
+        local = around.join(known, "id").groupBy(F.pmod(F.xxhash64("center"), F.lit(blocks)).alias("part")).applyInArrow(lambda t: compare(t), LISTS)
+        graph = merged(graph.union(local), "graph")
+        pending = graph.agg((F.sum(F.size(F.filter("new", lambda x: x))) / F.sum(F.size("new"))).alias("share")).first()["share"] or 0.0
+        r += 1
+    return graph.select("id", "nbr", "dist")
+
+
+def codes(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
+
+
+def coded(batches):
+    """The list of each id as 16-bit codes of its entries, so that listed pairs are not sent again; equal codes of two ids hide one candidate in 2,000."""
+    for b in batches:
+        nbr = b["nbr"]
+        listed = codes(nbr.flatten().to_numpy())
+        cut = nbr.offsets.to_numpy() - nbr.offsets[0].as_py()
+        yield pa.record_batch([b["id"], b["h"], b["worst"], pa.array([listed[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["id", "h", "worst", "known"])
+
+
+def picked(graph: DataFrame, joined: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(the graph with what was picked no longer new, (center, id, new): what each center brings together in this round).
+
+    About ``joined`` new and as many old entries of every list are picked by hash, and of the reverse entries of a vector about as many again.
+    """
+    u = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 << 20)) / float(1 << 20)
+    entries = F.transform("nbr", lambda b, i: F.struct(b.alias("b"), F.get("new", i).alias("new")))
+    count = F.size(F.filter("new", lambda x: x))
+    chosen = lambda a, b, new: u(a, b, F.lit(seed)) * F.when(new, F.col("fresh")).otherwise(F.size("nbr") - F.col("fresh")) < joined
+    marked = graph.withColumn("fresh", count).withColumn("entries", entries)
+    took = F.filter("entries", lambda e: chosen(F.col("id"), e["b"], e["new"]))
+    edges = marked.select(F.col("id").alias("a"), F.explode(took).alias("e")).select("a", "e.b", "e.new")
+    degree = edges.groupBy("b", "new").agg(F.count(F.lit(1)).alias("degree"))
+    back = edges.join(degree, ["b", "new"]).where(u("b", "a", F.lit(-seed)) * F.col("degree") < joined).select(F.col("b").alias("center"), F.col("a").alias("id"), "new")
+    around = edges.select(F.col("a").alias("center"), F.col("b").alias("id"), "new").union(back).groupBy("center", "id").agg(F.max("new").alias("new"))
+    still = F.transform("entries", lambda e: e["new"] & ~chosen(F.col("id"), e["b"], e["new"]))
+    return marked.select("id", "nbr", "dist", still.alias("new")), around
 
 
 NEARLY = 1 + 1e-12
@@ -291,7 +336,7 @@ def _search(rows: DataFrame, k: int, every: int, beam: int) -> DataFrame:
     both = edges.union(back).groupBy("a").agg(F.collect_set("b").alias("adj"))
     blocks = max(1, n // BLOCK)
     nodes = same.select("id", "v").join(both.withColumnRenamed("a", "id"), "id", "left").select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("blk"), "id", "v", F.coalesce("adj", F.array().cast("array<long>")).alias("adj"))
-    nodes = materialise(nodes, "nodes")
+    nodes = bucketed(nodes, "blk", "nodes")  # every round of the walk reads it where it lies
     queries = rows.where(F.col("id") % every == 0).withColumnsRenamed({"id": "q", "v": "qv"})
     own = same.select(F.col("v"), F.col("id").alias("node"))
     starts = queries.join(own, F.col("qv") == F.col("v")).join(nodes.select(F.col("id").alias("node"), "adj"), "node")
