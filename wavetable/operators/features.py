@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from wavetable import catalog
 from wavetable.functions.linear import dot, is_narrow, linear_map, savgol_kernel, trapezoid_weights, wavelet_bank, window_mask
-from wavetable.functions.series import exploded, row_map
+from wavetable.functions.series import row_map
 from wavetable.functions.stats import safe_ratio, signed_ratio
 from wavetable.operators.moments import mean_vector, second_moments
+from wavetable.operators.vectorsums import vector_sums
 
 MAX_TEMPLATES = 10_000
 
@@ -278,12 +279,10 @@ def emsc(df: DataFrame, y: str, axis: Sequence[float], reference: np.ndarray | N
 
 def fit_templates(df: DataFrame, y: str, label: str) -> dict:
     """Mean series per label.  The number of labels is checked before anything reaches the driver."""
-    means = exploded(df, [label], y).groupBy(label, "pos").agg(F.avg("v").alias("m"))
-    packed = means.groupBy(label).agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("s"))
-    rows = packed.limit(MAX_TEMPLATES + 1).collect()
+    rows = vector_sums(df.where(F.col(label).isNotNull()), [label], y).limit(MAX_TEMPLATES + 1).collect()
     if len(rows) > MAX_TEMPLATES:
         raise ValueError(f"more than {MAX_TEMPLATES} distinct values of {label}")
-    return {r[label]: np.array([p.m for p in r.s]) for r in sorted(rows, key=lambda r: r[label])}
+    return {r[label]: np.array(r.s) / np.array(r.n) for r in sorted(rows, key=lambda r: r[label])}
 
 
 def angle_family(templates: dict, prefix: str, axis=None, region: tuple[float, float] | None = None) -> Family:

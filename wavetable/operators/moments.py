@@ -8,13 +8,13 @@ from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavetable.functions.series import exploded
+from wavetable.operators.vectorsums import vector_sums
 
 
 def mean_vector(df: DataFrame, y: str = "y") -> np.ndarray:
     """Mean series of a table.  Partial sums per position leave each task."""
-    rows = exploded(df, [], y).groupBy("pos").agg(F.avg("v").alias("m")).collect()
-    return np.array([r.m for r in sorted(rows, key=lambda r: r.pos)])
+    total = vector_sums(df, [], y).first()  # one row
+    return np.array(total.s) / np.array(total.n) if total else np.zeros(0)
 
 
 def second_moments(df: DataFrame, y: str) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:

@@ -16,6 +16,7 @@ from wavetable.functions.series import exploded
 from wavetable.functions.stats import corrected_kurtosis, corrected_skew
 from wavetable.operators import features as ft
 from wavetable.operators.scale import checked_broadcast, exact_percentiles, null_safe_join, ranked, with_totals
+from wavetable.operators.vectorsums import position_sums, vector_sums
 
 
 def mean_pool(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -32,15 +33,21 @@ def group_constant(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame
 
 def mean_series(df: DataFrame, keys: Sequence[str], y: str = "y") -> DataFrame:
     """Vector mean per key as an array in position order (group size is the axis length)."""
-    m = exploded(df, keys, y).groupBy(*keys, "pos").agg(F.avg("v").alias("m"))
-    packed = m.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("s"))
-    return packed.select(*keys, F.transform("s", lambda p: p["m"]).alias(y))
+    sums = vector_sums(df, keys, y)
+    return sums.where("exists(n, x -> x > 0)").select(*keys, means("s", "n").alias(y))
+
+
+def means(s: str, n: str) -> Column:
+    """Position-wise s / n where n is above 0."""
+    held = F.filter(F.arrays_zip(F.col(s).alias("s"), F.col(n).alias("n")), lambda p: p["n"] > 0)
+    return F.transform(held, lambda p: p["s"] / p["n"])
 
 
 def mean_series_kept(df: DataFrame, keys: Sequence[str], keep: str, y: str = "y") -> DataFrame:
     """As :func:`mean_series` over kept rows, or over all rows of a key that kept none. One pass."""
-    e = exploded(df, [*keys, keep], y)
-    m = e.groupBy(*keys, "pos").agg(F.coalesce(F.avg(F.when(F.col(keep), F.col("v"))), F.avg("v")).alias("m"))
+    e = position_sums(df, [*keys, keep], y)
+    kept = F.try_divide(F.sum(F.when(F.col(keep), F.col("s"))), F.sum(F.when(F.col(keep), F.col("n"))))
+    m = e.groupBy(*keys, "pos").agg(F.coalesce(kept, F.sum("s") / F.sum("n")).alias("m"))
     packed = m.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("s"))
     return packed.select(*keys, F.transform("s", lambda p: p["m"]).alias(y))
 
@@ -49,7 +56,7 @@ def envelope(df: DataFrame, keys: Sequence[str], y: str = "y", lo: float = 0.05,
     """Mean, population sd and a percentile band per (key, position)."""
     e = exploded(df, keys, y)
     by = [*keys, "pos"]
-    base = e.groupBy(*by).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    base = position_sums(df, keys, y).select(*by, (F.col("s") / F.col("n")).alias("mean"), F.sqrt(F.col("m2") / F.col("n")).alias("std"))
     return null_safe_join(base, exact_percentiles(e, by, "v", {"p_lo": lo, "p_hi": hi}), by)
 
 

@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavetable.functions import stats as fx
-from wavetable.functions.series import exploded, norm
+from wavetable.functions.series import norm
 from wavetable.operators.rollup import unpivot
 from wavetable.operators.scale import exact_percentiles, hash_bucket, hash_key, null_safe_join, ranked, running_totals, with_totals
+from wavetable.operators.vectorsums import position_sums
 from wavetable.session import materialise
 
 c = F.col
@@ -98,7 +99,7 @@ def anova(long_df: DataFrame, keys: Sequence[str], by: str, value: str = "value"
 
 def variance_ratio(df: DataFrame, by: str, y: str = "y") -> DataFrame:
     """Between-label share of the total variance of series."""
-    g = exploded(df, [by], y).groupBy("pos", by).agg(F.count("v").alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("s"))
+    g = position_sums(df, [by], y).select("pos", by, "n", (c("s") / c("n")).alias("m"), (c("m2") / c("n")).alias("s"))
     p = g.groupBy("pos").agg(
         F.sum(c("n") * c("m") * c("m")).alias("q"), F.sum(c("n") * c("m")).alias("t"), F.sum("n").alias("N"), F.sum(c("n") * c("s")).alias("w")
     )
@@ -140,8 +141,7 @@ def class_cosine(df: DataFrame, by: str, y: str = "y") -> DataFrame:
 
     With unit rows u, the sum of all cosines between classes a and b is <sum_a u, sum_b u>.
     """
-    e = exploded(_unit(df, [by], y), [by], "u")
-    s = e.groupBy(by, "pos").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"))
+    s = position_sums(_unit(df, [by], y), [by], "u")
     a = s.select(c(by).alias("a"), "pos", c("s").alias("sa"), c("n").alias("na"))
     b = s.select(c(by).alias("b"), "pos", c("s").alias("sb"), c("n").alias("nb"))
     g = a.join(b, "pos").where(c("a") <= c("b")).groupBy("a", "b").agg(F.sum(c("sa") * c("sb")).alias("d"), F.max("na").alias("na"), F.max("nb").alias("nb"))
@@ -156,8 +156,7 @@ def batch_effect(df: DataFrame, batch: str, y: str = "y") -> DataFrame:
 
     The sum over pairs inside a group is n * sum|x|^2 - |sum x|^2, so no pair is ever formed.
     """
-    e = exploded(df, [batch], y)
-    per = e.groupBy(batch, "pos").agg(F.count("v").alias("n"), F.sum("v").alias("s"), F.sum(c("v") * c("v")).alias("q"))
+    per = position_sums(df, [batch], y).select(batch, "pos", "n", "s", (c("m2") + c("s") * c("s") / c("n")).alias("q"))
     inner = per.agg(
         F.sum(c("n") * c("q") - c("s") * c("s")).alias("inside"),
         F.sum(F.when(c("pos") == 0, c("n") * (c("n") - 1) / 2)).alias("pairs_in"),
@@ -178,7 +177,8 @@ def silhouette(df: DataFrame, key: str, by: str, y: str = "y", max_clusters: int
     """
     from wavetable.functions.series import row_map
 
-    per = exploded(df, [by], y).groupBy(by, "pos").agg(F.avg("v").alias("m"), F.avg(c("v") * c("v")).alias("q"), F.count("v").alias("n"))
+    mean = c("s") / c("n")
+    per = position_sums(df, [by], y).select(by, "pos", mean.alias("m"), (c("m2") / c("n") + mean * mean).alias("q"), "n")
     packed = per.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("s"), F.sum("q").alias("q"), F.max("n").alias("n"))
     rows = packed.limit(max_clusters + 1).collect()
     if len(rows) > max_clusters:
