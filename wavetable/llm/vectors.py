@@ -31,6 +31,7 @@ JOINED = 10  # new neighbours of a vector that a round picks; as many old ones a
 CONVERGED = 0.02  # share of list entries that are new after the last round
 BEAM = 320  # times the square root of the table's growth
 BLOCK = 2_048  # vectors of a block
+CENTERS = 8_192  # vectors whose neighbours one task brings together; it sends one list per id, so the more, the fewer
 LISTS = "id long, nbr array<long>, dist array<float>, new array<boolean>"
 
 
@@ -184,7 +185,7 @@ def neighbour_graph(vectors: DataFrame, n: int, keep: int = NEIGHBOURS, trees: i
         graph, around = picked(graph, joined, seed + r)
         ends = F.when(F.size("dist") < keep, float("inf")).otherwise(F.array_max("dist")).cast("float").alias("worst")
         known = packed.join(graph.select("id", ends, "nbr"), "id").mapInArrow(coded, "id long, h binary, worst float, known binary")
-        local = around.join(known, "id").groupBy(F.pmod(F.xxhash64("center"), F.lit(blocks)).alias("part")).applyInArrow(lambda t: compare(t), LISTS)
+        local = around.join(known, "id").groupBy(F.pmod(F.xxhash64("center"), F.lit(max(1, n // CENTERS))).alias("part")).applyInArrow(lambda t: compare(t), LISTS)
         graph = merged(graph.union(local), "graph")
         pending = graph.agg((F.sum(F.size(F.filter("new", lambda x: x))) / F.sum(F.size("new"))).alias("share")).first()["share"] or 0.0
         r += 1
