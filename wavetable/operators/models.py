@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from wavetable.functions.linear import linear_map
 from wavetable.functions.series import exploded, row_map
 from wavetable.operators import features as ft
+from wavetable.operators import softmax
 from wavetable.operators.evaluate import class_metrics, confusion, soft_vote, summary_metrics, with_prediction
 from wavetable.operators.scale import checked_broadcast, hash_bucket, hash_key, ranked
 from wavetable.operators.splits import MAX_FOLDS
@@ -300,17 +301,20 @@ def permuted_importance(df: DataFrame, features: Sequence[str], label: str, key:
 
 
 def stack_per_fold(wide: DataFrame, features: Sequence[str], k: int, reg: float = 0.01) -> DataFrame:
-    """Logistic on the models' file probabilities, each fold predicted by a fit on the other folds."""
-    wide = materialise(wide, "stack")  # read once per fold
-    d = balanced(assembled(wide, features, "y_true"), "label")
-    folds = [r[0] for r in d.select("fold_id").distinct().orderBy("fold_id").collect()]  # one row per fold
+    """Logistic on the models' file probabilities, each fold predicted by a fit on the other folds.
 
-    def one(f):
-        m = logistic(reg=reg).fit(d.where(c("fold_id") != f))
-        out = probabilities(m.transform(d.where(c("fold_id") == f)), k)
-        return with_prediction(out, k).select("fold_id", "file_id", "subclass", "y_true", *[f"p{i}" for i in range(k)], "pred")
-
-    return reduce(lambda a, b: a.unionByName(b), in_parallel(wide.sparkSession, folds, one))
+    Scaling, class weights and coefficients of a fold's model come from the other folds alone; all folds are fitted in one job per iteration.
+    """
+    ready = wide.select("fold_id", "file_id", "subclass", "y_true", F.array(*[c(f).cast("double") for f in features]).alias("_x"))
+    ready = materialise(ready, "stack")
+    moments = softmax.fold_moments(ready, "_x", "fold_id")  # one entry per fold
+    models = {}
+    for f in sorted(moments):
+        shift, matrix = softmax.standardised(*softmax.training_side(moments, frozenset([f])))
+        models[f] = softmax.Softmax(f, frozenset([f]), shift, matrix, reg=reg)
+    softmax.fit_many(ready, "_x", "y_true", "fold_id", list(models.values()), k)
+    out = softmax.score_held_out(ready, "_x", "fold_id", models, "_p").withColumns({f"p{i}": c("_p")[i] for i in range(k)})
+    return with_prediction(out, k).select("fold_id", "file_id", "subclass", "y_true", *[f"p{i}" for i in range(k)], "pred")
 
 
 def mixture_curve(means: DataFrame, label: str, y: str, pairs: Sequence[tuple], alphas: Sequence[float]) -> DataFrame:
