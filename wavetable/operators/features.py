@@ -321,7 +321,11 @@ def fit_region_components(df: DataFrame, y: str, axis: Sequence[float], regions:
     The sign of a component is free; the largest loading is made positive.
     """
     _, mean, _, moments = second_moments(df, y)
-    cov = moments - np.outer(mean, mean)
+    return region_components(mean, moments - np.outer(mean, mean), axis, regions)
+
+
+def region_components(mean: np.ndarray, cov: np.ndarray, axis: Sequence[float], regions: dict | None = None) -> list[RegionComponents]:
+    """The same from moments that are already known."""
     out = []
     for name, (lo, hi, k) in (regions or catalog.PCA_REGIONS).items():
         mask = window_mask(axis, lo, hi)

@@ -142,9 +142,14 @@ class LatentModel:
 def fit_latent(df: DataFrame, y: str, label: str, components: int) -> LatentModel:
     """Partial least squares of one-hot labels on centred series, from cross-products only."""
     n, mean, _, moments = second_moments(df, y)
-    xx = n * (moments - np.outer(mean, mean))
     means = ft.fit_templates(df, y, label)
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per class
+    return latent_model(n, mean, moments - np.outer(mean, mean), means, counts, components)
+
+
+def latent_model(n: int, mean: np.ndarray, cov: np.ndarray, means: dict, counts: dict, components: int) -> LatentModel:
+    """The same from moments that are already known: population covariance, class means and class sizes."""
+    xx = n * cov
     classes = list(means)
     xy = np.stack([counts[k] * (means[k] - mean) for k in classes], axis=1)
     rotation, loadings, basis = [], [], []

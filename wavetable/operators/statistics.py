@@ -111,15 +111,20 @@ def variance_ratio(df: DataFrame, by: str, y: str = "y") -> DataFrame:
 
 def mutual_information(df: DataFrame, features: Sequence[str], label: str, bins: int = 10) -> DataFrame:
     """Mutual information (nats) between each feature, cut into exact quantile bins, and the label."""
+    return information(unpivot(df, [label], features), ["feature"], label, bins)
+
+
+def information(flat: DataFrame, keys: Sequence[str], label: str, bins: int = 10) -> DataFrame:
+    """Mutual information per ``keys`` of the long column ``value`` with the label; nulls and NaN are left out."""
     from wavetable.operators.ranking import quantile_bins
 
-    flat = materialise(unpivot(df, [label], features).where("value is not null and not isnan(value)"), "mi")
-    u = quantile_bins(flat, "value", bins, ["feature"])
-    cells = u.groupBy("feature", "bin", label).agg(F.count(F.lit(1)).alias("n"))
-    # the contingency table is at most bins x labels per feature
-    wf, wb, wl = Window.partitionBy("feature"), Window.partitionBy("feature", "bin"), Window.partitionBy("feature", label)
-    t = cells.select("feature", "n", F.sum("n").over(wf).alias("nt"), F.sum("n").over(wb).alias("nb"), F.sum("n").over(wl).alias("nl"))
-    return t.groupBy("feature").agg(F.sum(c("n") / c("nt") * F.log(c("n") * c("nt") / (c("nb") * c("nl")))).alias("mi"))
+    keys = list(keys)
+    u = quantile_bins(materialise(flat.where("value is not null and not isnan(value)"), "mi"), "value", bins, keys)
+    cells = u.groupBy(*keys, "bin", label).agg(F.count(F.lit(1)).alias("n"))
+    # the contingency table is at most bins x labels per key
+    wf, wb, wl = Window.partitionBy(*keys), Window.partitionBy(*keys, "bin"), Window.partitionBy(*keys, label)
+    t = cells.select(*keys, "n", F.sum("n").over(wf).alias("nt"), F.sum("n").over(wb).alias("nb"), F.sum("n").over(wl).alias("nl"))
+    return t.groupBy(*keys).agg(F.sum(c("n") / c("nt") * F.log(c("n") * c("nt") / (c("nb") * c("nl")))).alias("mi"))
 
 
 def correlations(df: DataFrame, features: Sequence[str]) -> DataFrame:

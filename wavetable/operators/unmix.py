@@ -33,6 +33,20 @@ def purest_variables(df: DataFrame, y: str, components: int, offset_pct: float =
     in order), cut at zero and scaled to unit length.  Only the B x B cross-moment matrix is used for the picks.
     """
     _, mean, sd, moments = second_moments(df, y)
+    picked = purest_positions(mean, sd, moments, components, offset_pct)
+    tops = df.agg(*[F.max_by(y, F.struct(F.col(y)[p], y)).alias(f"t{k}") for k, p in enumerate(picked)]).first()
+    return unit_rows(np.array([tops[f"t{k}"] for k in range(components)])), picked
+
+
+def unit_rows(spectra: np.ndarray) -> np.ndarray:
+    """Rows cut at zero and scaled to unit length."""
+    start = np.maximum(spectra, 0.0)
+    lengths = np.linalg.norm(start, axis=1, keepdims=True)
+    return start / np.where(lengths > 0, lengths, 1.0)
+
+
+def purest_positions(mean: np.ndarray, sd: np.ndarray, moments: np.ndarray, components: int, offset_pct: float = 5.0) -> list[int]:
+    """The greedy pick alone, from mean, population sd and X'X / n."""
     alpha = offset_pct / 100.0 * float(mean.max())
     purity = sd / (mean + alpha)
     length = np.sqrt(mean**2 + sd**2 + alpha**2)
@@ -45,10 +59,7 @@ def purest_variables(df: DataFrame, y: str, components: int, offset_pct: float =
         score = left * purity
         score[picked] = -np.inf
         picked.append(int(np.argmax(score)))
-    tops = df.agg(*[F.max_by(y, F.struct(F.col(y)[p], y)).alias(f"t{k}") for k, p in enumerate(picked)]).first()
-    start = np.maximum(np.array([tops[f"t{k}"] for k in range(components)]), 0.0)
-    lengths = np.linalg.norm(start, axis=1, keepdims=True)
-    return start / np.where(lengths > 0, lengths, 1.0), picked
+    return picked
 
 
 def solve_non_negative(d: np.ndarray, spectra: np.ndarray, sweeps: int = 500, tol: float = 1e-10) -> np.ndarray:
@@ -111,12 +122,17 @@ def fit(df: DataFrame, y: str, components: int, *, max_iter: int = 100, tol: flo
         out.errors.append(float(dd - 2 * (cd * out.spectra).sum() + ((cc @ out.spectra) * out.spectra).sum()))
         if len(out.errors) > 1 and abs(out.errors[-2] - out.errors[-1]) <= tol * max(dd, 1e-30):
             break
-        s = _solve_spectra(cc, cd, out.spectra)
-        lengths = np.linalg.norm(s, axis=1, keepdims=True)
-        out.spectra = np.where(lengths > 0, s / np.where(lengths > 0, lengths, 1.0), out.spectra)
+        out.spectra = next_spectra(cc, cd, out.spectra)
     return out
 
 
+def next_spectra(cc: np.ndarray, cd: np.ndarray, spectra: np.ndarray) -> np.ndarray:
+    """The spectra solved for the summed products, at unit length; a component that vanishes keeps its old one."""
+    s = _solve_spectra(cc, cd, spectra)
+    lengths = np.linalg.norm(s, axis=1, keepdims=True)
+    return np.where(lengths > 0, s / np.where(lengths > 0, lengths, 1.0), spectra)
+
+
 def _solve_spectra(cc: np.ndarray, cd: np.ndarray, start: np.ndarray, sweeps: int = 500) -> np.ndarray:
     s = start.copy()
     for _ in range(sweeps):

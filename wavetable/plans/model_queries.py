@@ -10,11 +10,13 @@ from wavetable.functions.linear import linear_map
 from wavetable.operators import combine as cb
 from wavetable.operators import features as ft
 from wavetable.operators import models as ml
+from wavetable.operators import refit
 from wavetable.operators import rollup as ru
 from wavetable.operators import splits as sp
 from wavetable.operators.evaluate import probs
 from wavetable.plans.registry import query
 from wavetable.plans.tables import AXIS, prediction, r, series, sql
+from wavetable.session import materialise
 
 
 def vectors(spark, sf):
@@ -120,21 +122,19 @@ def m7_templates(spark, sf):
     return ml.per_fold(sorted(t), one).select(F.col("fold").cast("long").alias("fold"), "vec_id", "cls", "angle")
 
 
+def fold_series(spark, sf):
+    """Series with the fold of their sample, stored: the refit reads it in several passes."""
+    return materialise(series(spark, sf).withColumn("fold_id", F.col("sample_id") % 5).select("sample_id", "fold_id", "cls", "subclass", "y"), "folds")
+
+
 @query("m7_per_fold_refit")
 def m7(spark, sf):
-    """Region components and a logistic, both fitted on each fold's training side only."""
-    s = series(spark, sf).withColumn("fold_id", F.col("sample_id") % 5).withColumn("label", F.col("cls").cast("double"))
-    regions = {"low": (400.0, 1200.0, 3)}
-
-    def one(f):
-        train = s.where(F.col("fold_id") != f)
-        fitted = ft.fit_region_components(train, "y", AXIS, regions)
-        names = [f"pca_low_PC{i + 1}" for i in range(3)]
-        prep = lambda d: ml.assembled(ft.region_scores(d, "y", AXIS, fitted), names, "cls")
-        model = ml.logistic().fit(ml.balanced(prep(train), "label"))
-        return rounded(ml.with_prediction(ml.probabilities(model.transform(prep(s.where(F.col("fold_id") == f))), 4), 4), "vec_id", "cls")
-
-    return ml.per_fold(range(5), one)
+    """Components, templates, scatter reference, unmixing, feature choice and three algorithms, all on each fold's training side only."""
+    s = fold_series(spark, sf)
+    fits = refit.fit_folds(s, "y", AXIS, "fold_id", "cls", "subclass", components=4)
+    table, _ = refit.fold_features(s, "y", AXIS, fits, "sample_id", ["fold_id", "cls"], [ft.wavelet_family(len(AXIS), 3), ft.moments_family(AXIS)])
+    out = refit.evaluate(table, "sample_id", "fold_id", "cls", 4, seeds=(7, 42), rounds=15)
+    return out.select("algorithm", "seed", "fold_id", "sample_id", "y_true", *[F.round(p, 5).alias(p) for p in probs(4)], "pred")
 
 
 @query("m8_score_files")
