@@ -162,3 +162,31 @@ def test_nearest_band_both_ways(spark):
     table = spark.createDataFrame(list(cat.items()), "name string, center double")
     cells = {r.id: r.band for r in relate.nearest_band_by_cells(df, "p", table, 25.0).collect()}
     assert small == cells == {1: "a", 2: "b", 3: None}
+
+
+def test_line_numbers_and_samples_do_not_depend_on_the_split(spark, tmp_path):
+    import random
+
+    r = random.Random(1)
+    body = [f"{i}\t{i % 7}\t" + "\t".join(f"{r.random():.4f}" for _ in range(30)) for i in range(900)]
+    (tmp_path / "H20").mkdir()
+    for name in ("a", "b"):
+        (tmp_path / "H20" / f"{name}.txt").write_text("\n".join(["#NUMX=\t2", "\t\t" + "\t".join(map(str, range(30))), *body]) + "\n")
+    seen, samples = [], []
+    for size in ("128m", "9k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            lines = ins.read_lines(spark, str(tmp_path))
+            seen.append(sorted((x.file_path, x.ord, x.line) for x in lines.collect()))
+            parsed = ins.parse_pixels(lines, ins.parse_axis(ins.body_start(lines), 30))
+            samples.append(sorted((x.file_path, x.ord, x.x_um) for x in ins.cap_rows(parsed, 50).collect()))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen[0] == seen[1] and [x[1] for x in seen[0][:902]] == list(range(902)) and seen[0][2][2] == body[0]
+    assert samples[0] == samples[1] and len(samples[0]) == 100
+
+
+def test_no_sort_or_shuffle_carries_text(spark, root):
+    lines = ins.read_lines(spark, str(root))
+    plan = ins.parse_axis(ins.body_start(lines), 4)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and not any("Exchange hash" in x and "line#" in x for x in plan.splitlines())

@@ -35,7 +35,7 @@ def ingest(spark: SparkSession, root: str, *, axis: Sequence[float] | None = Non
     meta, parsed, axes = ins.metadata(files, ins.read_lines(spark, root), n_bins, cap)
     good = parsed.where("reject is null").drop("reject")
     rows = ins.cap_rows(parsed, cap) if cap else good
-    rows = ins.number_rows(rows, c("ord.block"))
+    rows = ins.number_rows(rows, F.floor(c("ord") / ins.LINES_PER_BUCKET))
     named = meta.where(F.size("fatal_errors") == 0).select("file_path", "file_id", *LABELS)
     spectra = ins.resample(rows, axes, axis).join(named, "file_path")
     return meta, spectra.select(*KEY, *LABELS, "x_um", "y_um", "y")

@@ -1,6 +1,6 @@
 """Ingest of instrument text exports: headers, axis row and pixel rows to keyed series.
 
-Input of every step is a table of lines (file_path, ord, line); ``ord`` orders the lines of a file.
+Input of every step is a table of lines (file_path, ord, line); ``ord`` is the number of a line in its file.
 A file larger than a block is read by several tasks; nothing here needs a file in one task.
 """
 
@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,7 @@ from wavetable.session import materialise
 c = F.col
 GLOB = "*.{xls,txt}"
 TAB = "\t"
+LINES_PER_BUCKET = 65_536  # lines of one file that one task numbers
 
 
 # ---------------------------------------------------------------- reading
@@ -42,20 +43,25 @@ def plain_path() -> Column:
 
 
 def read_lines(spark: SparkSession, root: str) -> DataFrame:
-    """Lines of all export files.
+    """(file_path, ord, line) of all export files; ``ord`` is the number of the line in its file.
 
-    Order inside a file is (block start, line number inside the block); blocks of one file are read in
-    offset order whatever the partitioning.  Later steps compare this order between two scans, so the
-    split size is pinned: unpinned, Spark derives it from the cores the cluster has at that moment.
+    The text is read once, into a stored table, and all later steps read that.
     """
-    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
-        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     t = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", GLOB).text(root)
-    return t.select(
-        plain_path(),
-        F.struct(c("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no")).alias("ord"),
-        c("value").alias("line"),
-    )
+    return numbered_lines(t.select(plain_path(), c("_metadata.file_block_start").alias("block"), c("value").alias("line")))
+
+
+def numbered_lines(scan: DataFrame) -> DataFrame:
+    """Dense line numbers per file for (file_path, block, line) rows in the order of the file source.
+
+    A task reads the lines of a block one after the other, so inside a block numbers follow the row counter; each block
+    starts behind the lines of the blocks before it.  The numbers are those of the file, however it was split.
+    """
+    t = materialise(scan.select("file_path", "block", F.monotonically_increasing_id().alias("at"), "line"), "lines")
+    blocks = t.groupBy("file_path", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("size"))
+    ahead = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    start = blocks.select("file_path", "block", (F.coalesce(F.sum("size").over(ahead), F.lit(0)) - c("first")).alias("start"))
+    return t.join(checked_broadcast(start, 100_000), ["file_path", "block"]).select("file_path", (c("at") + c("start")).alias("ord"), "line")
 
 
 def classify(files: DataFrame, root: str = "", class_of: dict[str, str] | None = None, with_subclass: Sequence[str] | None = None) -> DataFrame:
@@ -87,9 +93,13 @@ def number(token: Column) -> Column:
 
 
 def body_start(lines: DataFrame) -> DataFrame:
-    """Per file: order key and text of the first line that is not a header."""
-    body = F.when(~F.startswith("line", F.lit("#")), F.struct("ord", "line"))
-    return lines.groupBy("file_path").agg(F.min(body).alias("_b")).select("file_path", c("_b.ord").alias("axis_ord"), c("_b.line").alias("axis_line"))
+    """Per file: number and text of the first line that is not a header.
+
+    The smallest number is a hash aggregate of longs; only the lines that have it are then looked up.
+    """
+    at = materialise(lines.groupBy("file_path").agg(F.min(F.when(~F.startswith("line", F.lit("#")), c("ord"))).alias("axis_ord")), "starts")
+    found = lines.join(checked_broadcast(at.select("file_path", c("axis_ord").alias("ord")).where("ord is not null"), 100_000), ["file_path", "ord"], "left_semi")
+    return at.join(found.select("file_path", c("line").alias("axis_line")), "file_path", "left")
 
 
 def header_entries(lines: DataFrame, starts: DataFrame) -> DataFrame:
@@ -100,9 +110,11 @@ def header_entries(lines: DataFrame, starts: DataFrame) -> DataFrame:
     key = F.trim(F.substring_index(body, "=", 1))
     value = F.trim(F.ltrim(F.substr(body, F.instr(body, "=") + 1), F.lit(TAB)))
     e = h.select("file_path", "ord", key.alias("key"), value.alias("value"))
-    return e.groupBy("file_path", "key").agg(F.max_by("value", "ord").alias("value"))
+    last = e.groupBy("file_path", "key").agg(F.max("ord").alias("ord"))
+    return e.join(last, ["file_path", "key", "ord"]).select("file_path", "key", "value")
 
 
+# fixed values of the export format and of its error report
 HEADER_KEYS = ("NUMX", "NUMY", "XSIZE", "YSIZE", "Laser", "ExposureTime", "Aquired", "Date", "AC")
 
 
@@ -158,6 +170,7 @@ def parse_pixels(lines: DataFrame, axes: DataFrame) -> DataFrame:
     return d.select("file_path", "ord", "x_um", "y_um", "y", reason.alias("reject"))
 
 
+# fixed values: the names of the reasons in the report
 REJECT_REASONS = ("bad_coord_row", "truncated_pixel_row", "nan_in_raw_spectrum")
 
 
@@ -275,6 +288,7 @@ def metadata(files: DataFrame, lines: DataFrame, n_bins: int, cap: int | None =
         "fatal_errors": F.array_compact(F.array("layout_error", empty, "axis_error", none)),
         "warnings": F.concat(F.coalesce("header_warnings", null), F.coalesce("row_warnings", null), F.array_compact(F.array("scan_warning", capped))),
         "is_complete_scan": F.coalesce("is_complete_scan", F.lit(True)),
+        "n_pixels_read": F.coalesce("n_pixels", F.lit(0)),
         "n_pixels": F.coalesce(F.least(c("n_pixels"), F.lit(cap)) if cap else c("n_pixels"), F.lit(0)),
         "grid_nx": F.coalesce("grid_nx", F.lit(0)), "grid_ny": F.coalesce("grid_ny", F.lit(0)),
     })

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavetable.sources.instrument import GLOB, plain_path
+from wavetable.sources.instrument import GLOB, numbered_lines, plain_path
 
 
 def stream_lines(spark: SparkSession, root: str, files_per_batch: int | None = None) -> DataFrame:
@@ -34,9 +34,7 @@ def ingest_new_files(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # line numbers exist only on the finished batch, not on the stream
-        order = F.struct("block", F.monotonically_increasing_id().alias("line_no"))
-        lines = batch.select("file_path", order.alias("ord"), "line")
-        transform(lines).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        transform(numbered_lines(batch)).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     q = (
         stream_lines(spark, root, files_per_batch)
