@@ -226,7 +226,22 @@ def picked(graph: DataFrame, joined: int, seed: int) -> tuple[DataFrame, DataFra
 
 NEARLY = 1 + 1e-12
 NODES = "blk int, id long, v array<double>, adj array<long>"
-STATE = "q long, qv array<double>, width int, seen array<long>, done array<long>, best array<long>, dist array<double>, open array<long>"
+STATE = "q long, qv array<double>, width int, seen array<long>, done array<long>, best array<long>, dist array<double>, open array<struct<blk:int,ids:array<long>>>"
+OPEN = pa.list_(pa.struct([("blk", pa.int32()), ("ids", pa.list_(pa.int64()))]))
+
+
+def block_of(ids: np.ndarray, blocks: int) -> np.ndarray:
+    return (mix(ids.astype(np.uint64)) % np.uint64(blocks)).astype(np.int32)
+
+
+def by_block(ids: np.ndarray, blocks: int) -> list[dict]:
+    """The ids that a query asks about, one list per block: a round sends a row per query and block, not per id."""
+    if not len(ids):
+        return []
+    at = block_of(ids, blocks)
+    order = np.argsort(at, kind="stable")
+    cut = np.flatnonzero(np.diff(at[order], prepend=-1))
+    return [{"blk": int(at[order[i]]), "ids": ids[order[i:j]]} for i, j in zip(cut, np.append(cut[1:], len(ids)), strict=True)]
 
 
 def walk(nodes: DataFrame, blocks: int, starts: DataFrame, beam: int) -> DataFrame:
@@ -237,8 +252,16 @@ def walk(nodes: DataFrame, blocks: int, starts: DataFrame, beam: int) -> DataFra
     executor costs one round.
     """
     parts = max(1, blocks)
-    state = starts.select("q", "qv", F.lit(32).alias("width"), F.array().cast("array<long>").alias("seen"), F.array().cast("array<long>").alias("done"), F.array().cast("array<long>").alias("best"), F.array().cast("array<double>").alias("dist"), F.col("adj").alias("open"))
-    state = materialise(state, "walk")
+
+    def begin(batches):
+        for b in batches:
+            none = [[]] * b.num_rows
+            kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64())]
+            empty = [pa.array(x, k) for x, k in zip([[32] * b.num_rows, none, none, none, none], kinds, strict=True)]
+            first = pa.array([by_block(np.unique(a.values.to_numpy()), blocks) for a in b["adj"]], OPEN)
+            yield pa.record_batch([b["q"], b["qv"], *empty, first], ["q", "qv", "width", "seen", "done", "best", "dist", "open"])
+
+    state = materialise(starts.select("q", "qv", "adj").mapInArrow(begin, STATE), "walk")
 
     def measure(asked: pa.Table, held: pa.Table) -> pa.Table:
         schema = pa.schema([("q", pa.int64()), ("ids", pa.list_(pa.int64())), ("d", pa.list_(pa.float64())), ("from", pa.list_(pa.int64())), ("adj", pa.list_(pa.int64()))])
@@ -266,7 +289,8 @@ def walk(nodes: DataFrame, blocks: int, starts: DataFrame, beam: int) -> DataFra
         rows = []
         for r in range(len(old)):
             q, width = old["q"][r].as_py(), old["width"][r].as_py()
-            seen, done, best, dist, asked = (old[c][r].values.to_numpy() for c in ("seen", "done", "best", "dist", "open"))
+            seen, done, best, dist = (old[c][r].values.to_numpy() for c in ("seen", "done", "best", "dist"))
+            asked = np.array([i for o in old["open"][r].as_py() for i in o["ids"]], np.int64)
             if len(asked):
                 reach = min(2 * width, beam)
                 bound = dist[reach - 1] * NEARLY if len(dist) >= reach else np.inf
@@ -284,18 +308,17 @@ def walk(nodes: DataFrame, blocks: int, starts: DataFrame, beam: int) -> DataFra
                 while not len(asked) and width < min(beam, len(best)):
                     width = min(beam, width * 2)
                     asked = np.setdiff1d(best[:width], done)
-            rows.append((q, old["qv"][r].values.to_numpy(), width, seen, done, best, dist, asked))
-        kinds = [pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int64())]
+            rows.append((q, old["qv"][r].values.to_numpy(), width, seen, done, best, dist, by_block(asked, blocks)))
+        kinds = [pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), OPEN]
         return pa.Table.from_arrays([pa.array([x[i] for x in rows], kinds[i]) for i in range(8)], names=["q", "qv", "width", "seen", "done", "best", "dist", "open"])
 
-    by_block = nodes.groupBy("blk")
+    held = nodes.groupBy("blk")
     while state.where(F.size("open") > 0).limit(1).count():
         live = state.where(F.size("open") > 0)
         # a candidate is expanded if it could be among the nearest of this round's width
         bound = F.coalesce(F.get("dist", F.least(F.col("width") * 2, F.lit(beam)) - 1) * NEARLY, F.lit(float("inf")))
-        each = live.select("q", "qv", bound.alias("bound"), F.explode("open").alias("id")).withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-        asked = each.groupBy("blk", "q").agg(F.first("qv").alias("qv"), F.first("bound").alias("bound"), F.collect_list("id").alias("ids"))
-        told = asked.groupBy("blk").cogroup(by_block).applyInArrow(measure, "q long, ids array<long>, d array<double>, from array<long>, adj array<long>")
+        asked = live.select("q", "qv", bound.alias("bound"), F.explode("open").alias("o")).select("o.blk", "q", "qv", "bound", "o.ids")
+        told = asked.groupBy("blk").cogroup(held).applyInArrow(measure, "q long, ids array<long>, d array<double>, from array<long>, adj array<long>")
         part = F.pmod(F.xxhash64("q"), F.lit(parts))
         state = materialise(state.groupBy(part).cogroup(told.groupBy(part)).applyInArrow(advance, STATE), "walk")
     return state.select("q", "best", "dist")
@@ -336,7 +359,13 @@ def _search(rows: DataFrame, k: int, every: int, beam: int) -> DataFrame:
     back = edges.join(degree, "b").where(u * F.col("degree") < keep).select(F.col("b").alias("a"), F.col("a").alias("b"))
     both = edges.union(back).groupBy("a").agg(F.collect_set("b").alias("adj"))
     blocks = max(1, n // BLOCK)
-    nodes = same.select("id", "v").join(both.withColumnRenamed("a", "id"), "id", "left").select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("blk"), "id", "v", F.coalesce("adj", F.array().cast("array<long>")).alias("adj"))
+    nodes = same.select("id", "v").join(both.withColumnRenamed("a", "id"), "id", "left").select("id", "v", F.coalesce("adj", F.array().cast("array<long>")).alias("adj"))
+
+    def placed(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array(block_of(b["id"].to_numpy(), blocks)), b["id"], b["v"], b["adj"]], ["blk", "id", "v", "adj"])
+
+    nodes = nodes.mapInArrow(placed, NODES)
     nodes = bucketed(nodes, "blk", "nodes")  # every round of the walk reads it where it lies
     queries = rows.where(F.col("id") % every == 0).withColumnsRenamed({"id": "q", "v": "qv"})
     own = same.select(F.col("v"), F.col("id").alias("node"))
