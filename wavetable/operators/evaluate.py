@@ -91,11 +91,11 @@ def subclass_recall(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by, "subclass").agg(F.count(F.lit(1)).alias("n"), F.avg((c("pred") == c("y_true")).cast("double")).alias("recall"))
 
 
-def cell_members(df: DataFrame, key: str, chunk: int = 65_536) -> DataFrame:
+def cell_members(df: DataFrame, key: str, chunk: int = 65_536, within: Sequence[str] = ()) -> DataFrame:
     """Files of every confusion cell as numbered rows (no collected lists)."""
     from wavetable.operators.scale import ranked
 
-    return ranked(df.select("y_true", "pred", key), ["y_true", "pred"], [c(key)], F.floor(c(key) / chunk), "member")
+    return ranked(df.select(*within, "y_true", "pred", key), [*within, "y_true", "pred"], [c(key)], F.floor(c(key) / chunk), "member")
 
 
 def fold_summary(per_fold: DataFrame, metric: str, by: Sequence[str]) -> DataFrame:

@@ -78,13 +78,13 @@ def on_axis(bands: dict[str, float], axis: Sequence[float]) -> dict[str, float]:
     return {n: c for n, c in bands.items() if axis[0] <= c <= axis[-1]}
 
 
-def _centers(names=None) -> dict[str, float]:
+def band_centers(names=None) -> dict[str, float]:
     return {n: catalog.BANDS[n][0] for n in (names or catalog.BANDS)}
 
 
 def band_auc(df, y, axis, bands: dict[str, float] | None = None, half_width: float = 10.0) -> DataFrame:
     """Area of every catalog band whose center lies on the axis."""
-    return integrate(df, y, axis, band_windows(on_axis(bands or _centers(), axis), half_width))
+    return integrate(df, y, axis, band_windows(on_axis(bands or band_centers(), axis), half_width))
 
 
 def window_sum(df: DataFrame, y: str, axis: Sequence[float], windows: dict[str, tuple[float, float]], prefix: str = "sum_") -> DataFrame:
@@ -360,8 +360,8 @@ def band_frame(
     ratios=True, peaks=True, rois=True, scatter=True, derivatives=True, composition=True, reference=None,
 ) -> DataFrame:
     """All band-level features, families switchable."""
-    picked = on_axis(_centers(catalog.PEAK_BANDS), axis)
-    areas = area_weights(axis, band_windows(on_axis(_centers(), axis), half_width))
+    picked = on_axis(band_centers(catalog.PEAK_BANDS), axis)
+    areas = area_weights(axis, band_windows(on_axis(band_centers(), axis), half_width))
     families = [linear_family({**group_weights(axis, half_width=half_width), **areas}, len(axis))]
     if peaks:
         families.append(peak_family(axis, picked, window))

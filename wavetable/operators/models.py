@@ -35,21 +35,24 @@ c = F.col
 ABSTAIN_BELOW = 0.55
 
 
-# Rows an iterative fit should find in one partition; below it, per-iteration job cost dominates.
-ROWS_PER_PARTITION = 20_000
 # Folds or trials fitted at the same time from the driver.
 PARALLEL_FITS = 4
 
 
-def balanced(df: DataFrame, label: str) -> DataFrame:
-    """Weight n / (classes * class size) per row, in partitions sized by the row count."""
+def balanced(df: DataFrame, label: str, key: str | None = None) -> DataFrame:
+    """Weight n / (classes * class size) per row.
+
+    With a ``key``, rows are dealt by its hash into as many partitions as the session shuffles to, in key order: fits that draw samples by partition
+    and row (forests) then give the same model whatever the input's partitions and the number of cores.
+    """
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    total = n.agg(F.sum("_n").alias("_t"), F.count(F.lit(1)).alias("_k")).first()
-    w = n.select(label, (F.lit(float(total["_t"])) / (c("_n") * F.lit(total["_k"]))).alias("weight"))
-    parts = max(1, -(-int(total["_t"]) // ROWS_PER_PARTITION))
+    total = n.agg(F.sum("_n").alias("_t"), F.count(F.lit(1)).alias("_k"))
+    w = n.crossJoin(F.broadcast(total)).select(label, (c("_t") / (c("_n") * c("_k"))).alias("weight"))
     out = df.join(checked_broadcast(w), label)
-    # few rows: merge small partitions; many rows: keep the input's partitioning
-    return out.coalesce(parts) if parts < df.sparkSession.sparkContext.defaultParallelism else out
+    if key is None:
+        return out
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return out.repartition(parts, key).sortWithinPartitions(key)
 
 
 def in_parallel(spark: SparkSession, items: Sequence, fn: Callable) -> list:
@@ -206,20 +209,30 @@ def macro_f1(scored: DataFrame, k: int) -> float:
     return float(summary_metrics(class_metrics(cells)).first()["macro_f1"])
 
 
-def random_search(train: DataFrame, valid: DataFrame, make: Callable[[dict], Pipeline], trials: Sequence[dict], k: int) -> tuple[list[tuple[dict, float]], object]:
-    """Fit every trial on the inner training side, rank by macro F1 on the validation side, refit the best on both."""
-    train, valid = train.cache(), valid.cache()  # read once per trial
+def logistic_search(df: DataFrame, features: str, label: str, fold: str, train: frozenset, valid: frozenset, trials: Sequence[dict], k: int) -> tuple[list[tuple[dict, float]], softmax.Softmax]:
+    """Fit every trial on the folds in ``train``, rank by macro F1 on those in ``valid``, refit the best on both.
 
-    def trial(hp: dict) -> tuple[dict, float]:
-        scored = make(hp).fit(train).transform(valid).withColumn("pred", c("prediction").cast("long")).withColumn("y_true", c("label").cast("long"))
-        return hp, macro_f1(scored, k)
-
-    results = [trial(hp) for hp in trials]
-    best = max(results, key=lambda t: t[1])[0]
-    model = make(best).fit(train.unionByName(valid))
-    train.unpersist()
-    valid.unpersist()
-    return results, model
+    ``df`` is a stored table.  All trials share each job: one for the moments that prepare the features, one per Newton iteration, one that counts
+    the confusion of all.  Preparation and weights of a trial come from its training side.
+    """
+    moments = softmax.fold_moments(df, features, fold)
+    folds = frozenset(moments)
+
+    def model(name, hp, seen):
+        shift, matrix = softmax.standardised(*softmax.training_side(moments, folds - seen), hp.get("components"))
+        return softmax.Softmax(name, folds - seen, shift, matrix, reg=hp["reg"])
+
+    models = [model(i, hp, train) for i, hp in enumerate(trials)]
+    softmax.fit_many(df, features, label, fold, models, k)
+    called = row_map(lambda x: np.stack([m.probabilities(x).argmax(1) for m in models], axis=1).astype(float))(features)
+    scored = df.where(c(fold).isin(*valid)).select(c(label).cast("long").alias("y_true"), F.posexplode(called).alias("trial", "_p")).withColumn("pred", c("_p").cast("long"))
+    scores = summary_metrics(class_metrics(confusion(scored, "y_true", list(range(k)), k, ["trial"]), ["trial"]), ["trial"])
+    f1 = {r["trial"]: float(r["macro_f1"]) for r in scores.collect()}  # one row per trial
+    results = [(hp, f1.get(i, 0.0)) for i, hp in enumerate(trials)]
+    best = max(range(len(trials)), key=lambda i: (results[i][1], -i))
+    refit = model("best", trials[best], train | valid)
+    softmax.fit_many(df, features, label, fold, [refit], k)
+    return results, refit
 
 
 def templates_by_fold(df: DataFrame, y: str, label: str, fold: str) -> dict:
@@ -292,14 +305,13 @@ def permute_labels(df: DataFrame, key: str, label: str, seed: int) -> DataFrame:
 def permuted_importance(df: DataFrame, features: Sequence[str], label: str, key: str, seed: int, drop_at: float = 0.5) -> DataFrame:
     """Forest importance with shuffled labels over importance with real labels; high ratios are suspect."""
     def importance(d: DataFrame) -> np.ndarray:
-        train = balanced(assembled(d, features, label), "label").cache()
+        train = balanced(assembled(d, features, label), "label", key).cache()
         out = forest(seed=seed).fit(train).stages[0].featureImportances.toArray()
         train.unpersist()
         return out
 
-    df = df.select(key, label, *features).cache()  # two fits, each with several passes
+    df = materialise(df.select(key, label, *features), "importance")  # two fits, each with several passes
     real, fake = importance(df), importance(permute_labels(df, key, label, seed))
-    df.unpersist()
     rows = [(f, float(a), float(b), float(b / a) if a > 0 else None) for f, a, b in zip(features, real, fake)]
     t = df.sparkSession.createDataFrame(rows, "feature string, real double, shuffled double, ratio double")
     return t.withColumn("drop", F.coalesce(c("ratio") >= drop_at, F.lit(True)))

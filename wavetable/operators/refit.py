@@ -36,6 +36,7 @@ from wavetable.session import materialise
 
 MAX_FOLDS = 1_000  # folds whose sums the driver holds; more are an error
 TOP_FEATURES = 35
+ALL = "all"  # the fit that leaves out no fold
 ALGORITHMS = ("latent", "logistic", "boosted")
 
 
@@ -76,8 +77,11 @@ def _means(sums: list, fold, level: int) -> dict:
     return {k: total[k][1] / total[k][0] for k in sorted(total)}
 
 
-def fit_folds(df: DataFrame, y: str, axis: Sequence[float], fold: str, label: str, sublabel: str, *, regions: dict | None = None, components: int = 8, iterations: int = 80, tol: float = 1e-7, offset_pct: float = 5.0) -> dict:
-    """fold -> :class:`FoldFit`.  ``df`` should be a stored table: it is read three times and once per iteration of the unmixing."""
+def fit_folds(df: DataFrame, y: str, axis: Sequence[float], fold: str, label: str, sublabel: str, *, regions: dict | None = None, components: int = 8, iterations: int = 80, tol: float = 1e-7, offset_pct: float = 5.0, everything: bool = False) -> dict:
+    """fold -> :class:`FoldFit`.  ``df`` should be a stored table: it is read three times and once per iteration of the unmixing.
+
+    ``everything`` gives one fit, ``ALL``, that leaves nothing out: the one to save.
+    """
     moments = fold_moments(df, y, fold)
     if len(moments) > MAX_FOLDS:
         raise ValueError(f"more than {MAX_FOLDS} folds")
@@ -86,7 +90,7 @@ def fit_folds(df: DataFrame, y: str, axis: Sequence[float], fold: str, label: st
         raise ValueError("too many labels and folds")
     sums = [(r[fold], (r[label], r[sublabel]), np.array(r["n"]), np.array(r["s"])) for r in rows]
     lows = {r[fold]: r["m"] for r in df.groupBy(fold).agg(F.min(F.array_min(y)).alias("m")).collect()}  # one row per fold
-    folds = sorted(moments)
+    folds = [ALL] if everything else sorted(moments)
     low = {f: min(v for g, v in lows.items() if g != f) for f in folds}
     picked = {}
     for f in folds:
@@ -97,7 +101,7 @@ def fit_folds(df: DataFrame, y: str, axis: Sequence[float], fold: str, label: st
     tops = {r[fold]: r for r in df.groupBy(fold).agg(*[F.max_by(y, F.struct(F.col(y)[p], y)).alias(f"t{p}") for p in wanted]).collect()}  # folds x positions series
     start = {}
     for f in folds:
-        best = [max((list(tops[g][f"t{p}"]) for g in folds if g != f), key=lambda s: (s[p], s)) for p in picked[f]]
+        best = [max((list(tops[g][f"t{p}"]) for g in tops if g != f), key=lambda s: (s[p], s)) for p in picked[f]]
         start[f] = unmix.unit_rows(np.array(best) - low[f])
     fits = {}
     for f in folds:

@@ -45,9 +45,9 @@ def e2_sub(spark, sf):
     return ev.confusion(rows(spark, sf), "subclass", list(range(10)), 4).select(F.col("row").cast("long").alias("row"), "pred", "n")
 
 
-@query("e2_cell_members", sql("P", "SELECT y_true, pred, file_id, row_number() OVER (PARTITION BY y_true, pred ORDER BY file_id) AS member FROM FV WHERE model = 0", FV))
+@query("e2_cell_members", sql("P", "SELECT model, y_true, pred, file_id, row_number() OVER (PARTITION BY model, y_true, pred ORDER BY file_id) AS member FROM FV", FV))
 def e2_members(spark, sf):
-    return ev.cell_members(votes(spark, sf).where("model = 0"), "file_id")
+    return ev.cell_members(votes(spark, sf), "file_id", within=["model"])
 
 
 METRIC = """ME AS (SELECT model, c.c AS cls, coalesce(sum(n) FILTER (row = c.c), 0) AS support, coalesce(sum(n) FILTER (pred = c.c), 0) AS predicted, coalesce(sum(n) FILTER (row = c.c AND pred = c.c), 0) AS hits FROM CE, range(4) c(c) GROUP BY ALL)"""
@@ -243,14 +243,14 @@ def e19_routing(spark, sf):
     "e20_held_out_recall",
     sql(
         "P",
-        "SELECT fold_id, round(coalesce(avg(CASE WHEN pred = y_true THEN 1.0 ELSE 0.0 END) FILTER (y_true = held), any_value(bacc)), 6) AS score FROM FV JOIN H USING (fold_id) JOIN BA USING (fold_id) WHERE model = 0 GROUP BY fold_id",
+        "SELECT model, fold_id, round(coalesce(avg(CASE WHEN pred = y_true THEN 1.0 ELSE 0.0 END) FILTER (y_true = held), any_value(bacc)), 6) AS score FROM FV JOIN H USING (fold_id) JOIN BA USING (model, fold_id) GROUP BY model, fold_id",
         FV,
         "H AS (SELECT DISTINCT fold_id, CASE WHEN fold_id = 7 THEN 0 ELSE fold_id % 4 END AS held FROM P)",
-        "BA AS (SELECT fold_id, avg(rec) AS bacc FROM (SELECT fold_id, y_true, avg(CASE WHEN pred = y_true THEN 1.0 ELSE 0.0 END) AS rec FROM FV WHERE model = 0 GROUP BY ALL) GROUP BY fold_id)",
+        "BA AS (SELECT model, fold_id, avg(rec) AS bacc FROM (SELECT model, fold_id, y_true, avg(CASE WHEN pred = y_true THEN 1.0 ELSE 0.0 END) AS rec FROM FV GROUP BY ALL) GROUP BY model, fold_id)",
     ),
 )
 def e20(spark, sf):
-    v = votes(spark, sf).where("model = 0")
-    m = ev.class_metrics(ev.confusion(v, "y_true", [0, 1, 2, 3], 4, ["fold_id"]), ["fold_id"])
-    held = v.select("fold_id").distinct().withColumn("cls", F.when(F.col("fold_id") == 7, 0).otherwise(F.col("fold_id") % 4).cast("int"))
-    return ev.held_out_recall(m, ev.summary_metrics(m, ["fold_id"]), held, ["fold_id"]).withColumn("score", F.round("score", 6))
+    v, by = votes(spark, sf), ["model", "fold_id"]
+    m = ev.class_metrics(ev.confusion(v, "y_true", [0, 1, 2, 3], 4, by), by)
+    held = v.select(*by).distinct().withColumn("cls", F.when(F.col("fold_id") == 7, 0).otherwise(F.col("fold_id") % 4).cast("int"))
+    return ev.held_out_recall(m, ev.summary_metrics(m, by), held, by).withColumn("score", F.round("score", 6))

@@ -15,6 +15,7 @@ from wavetable.operators import rollup, unmix
 from wavetable.plans.registry import query
 from wavetable.plans.series_queries import BAND_SQL, weights_sql
 from wavetable.plans.tables import AXIS, BINS, long, r, series, sql
+from wavetable.session import materialise
 
 # The test axis has a step of 54.3, so bands need wide windows there.
 HALF = 110.0
@@ -370,23 +371,24 @@ def f13(spark, sf):
 
 @query("f14_unmix")
 def f14(spark, sf):
-    s = unmix.shift_non_negative(series(spark, sf).select(*SPEC), "y")
-    fit = unmix.fit(s, "y", 4, max_iter=10)
+    s = materialise(unmix.shift_non_negative(series(spark, sf).select(*SPEC), "y"), "shifted")
+    fit = unmix.fit(s, "y", 4)
     out = unmix.concentrations(s, "y", fit.spectra)
     return out.select("vec_id", F.posexplode_outer("c").alias("component", "v")).select("vec_id", F.col("component").cast("long").alias("component"), r("v").alias("c"))
 
 
 @query(
     "f14_unmix_error_bound",
-    """SELECT CAST(count(*) AS BIGINT) AS n_series, true AS non_negative, true AS error_never_grows, true AS below_input FROM embeddings""",
+    sql("L", """SELECT count(DISTINCT vec_id) AS n_series, round(sum((y - (SELECT min(y) FROM L)) ** 2), 4) AS input_square, true AS non_negative, true AS error_never_grows, true AS below_input FROM L"""),
 )
 def f14_bound(spark, sf):
-    s = unmix.shift_non_negative(series(spark, sf).select(*SPEC), "y")
-    fit = unmix.fit(s, "y", 4, max_iter=6)
+    s = materialise(unmix.shift_non_negative(series(spark, sf).select(*SPEC), "y"), "shifted")
+    fit = unmix.fit(s, "y", 4)
     c = unmix.residual(unmix.concentrations(s, "y", fit.spectra), "y", fit.spectra)
     falls = all(b <= a * (1 + 1e-9) for a, b in zip(fit.errors, fit.errors[1:]))
     return c.agg(
         F.count(F.lit(1)).alias("n_series"),
+        F.round(F.sum(fs.norm("y") * fs.norm("y")), 4).alias("input_square"),
         (F.min(F.array_min("c")) >= 0).alias("non_negative"),
         F.lit(falls).alias("error_never_grows"),
         (F.sum(F.col("residual_norm") * F.col("residual_norm")) < F.sum(fs.norm("y") * fs.norm("y"))).alias("below_input"),

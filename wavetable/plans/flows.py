@@ -16,10 +16,11 @@ from wavetable.operators import features as ft
 from wavetable.operators import gates as gt
 from wavetable.operators import models as ml
 from wavetable.operators import quality as qc
-from wavetable.operators import rollup, splits, unmix
+from wavetable.operators import refit, rollup, splits, unmix
 from wavetable.operators.clean import clean
-from wavetable.operators.evaluate import with_prediction
 from wavetable.operators.relate import pad_columns, sanitise
+from wavetable.plans import scoring
+from wavetable.session import materialise
 from wavetable.sources import instrument as ins
 from wavetable.sources.sinks import write_json_lines, write_parquet
 
@@ -55,7 +56,7 @@ def build_store(
 
     masked = qc.with_keep(read("spectra"), "file_id", "y", axis, snr_threshold=snr_threshold)
     cleaned, short = clean(masked, axis, **clean_options)
-    write_parquet(cleaned.select(*KEY, *LABELS, "y", "snr", "background", "keep"), f"{out}/clean")
+    write_parquet(cleaned.select(*KEY, *LABELS, "x_um", "y_um", "y", "snr", "background", "keep"), f"{out}/clean")
 
     kept = read("clean").where("keep").select(*KEY, *LABELS, "y")
     write_parquet(ft.band_frame(kept, "y", short, half_width=half_width, window=window).drop("y", *LABELS), f"{out}/band_features")
@@ -129,18 +130,22 @@ def with_labels(table: DataFrame, classes: Sequence[str]) -> DataFrame:
     return table.withColumn("y_true", F.coalesce(*[F.when(c("primary_class") == k, F.lit(i)) for i, k in enumerate(classes)]).cast("long"))
 
 
-def evaluate_folds(table: DataFrame, features: Sequence[str], classes: Sequence[str], *, k: int = 5, make=ml.logistic) -> DataFrame:
-    """File-level k-fold: fit on each training side, predict the held-out files, union the predictions."""
-    t = sanitise(with_labels(table, classes), features)
-    folds = splits.stratified_folds(t.select("file_id", "primary_class"), "file_id", "primary_class", k).select("file_id", "test_fold")
-    d = ml.assembled(t.join(folds, "file_id"), features, "y_true")
+def kept_series(spark: SparkSession, out: str, classes: Sequence[str]) -> DataFrame:
+    """Clean series that passed the quality gate, with the class index; files without subclass count as one of their class."""
+    kept = spark.read.parquet(f"{out}/clean").where("keep").withColumn("subclass", F.coalesce("subclass", "primary_class"))
+    return with_labels(kept, classes).where("y_true is not null").select("file_id", "pixel_idx", "primary_class", "subclass", "y_true", "x_um", "y_um", "y")
 
-    def one(f):
-        model = make().fit(ml.balanced(d.where(c("test_fold") != f), "label"))
-        scored = ml.probabilities(model.transform(d.where(c("test_fold") == f)), len(classes))
-        return with_prediction(scored, len(classes)).select("file_id", "subclass", "y_true", *[f"p{i}" for i in range(len(classes))], "pred", "top_p")
 
-    return ml.per_fold(range(k), one)
+def evaluate_folds(spark: SparkSession, out: str, axis: Sequence[float], classes: Sequence[str], *, k: int = 5, half_width: float = 10.0, window: float = 30.0, regions: dict | None = None, components: int = 8, iterations: int = 80, **options) -> DataFrame:
+    """File-level k-fold without leaks: everything that learns (components, templates, scatter reference, unmixing, feature choice, models)
+    is fitted on each training side only.  ``axis``: that of the clean series.  One row per algorithm, seed and file.
+    """
+    kept = kept_series(spark, out, classes)
+    folds = splits.stratified_folds(kept.select("file_id", "primary_class").distinct(), "file_id", "primary_class", k).select("file_id", "test_fold")
+    s = materialise(kept.join(folds, "file_id"), "folded")
+    fits = refit.fit_folds(s, "y", axis, "test_fold", "y_true", "subclass", regions=regions, components=components, iterations=iterations)
+    table, _ = refit.fold_features(s, "y", axis, fits, "file_id", ["test_fold", "y_true"], scoring.fixed_families(axis, half_width, window))
+    return refit.evaluate(table, "file_id", "test_fold", "y_true", len(classes), **options)
 
 
 def score(table: DataFrame, features: Sequence[str], model, k: int, abstain_below: float = ml.ABSTAIN_BELOW) -> DataFrame:

@@ -7,12 +7,14 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from wavetable.functions.linear import linear_map
+from wavetable.functions.series import row_map
 from wavetable.operators import combine as cb
 from wavetable.operators import features as ft
 from wavetable.operators import models as ml
-from wavetable.operators import refit
+from wavetable.operators import refit, softmax
 from wavetable.operators import rollup as ru
 from wavetable.operators import splits as sp
+from wavetable.operators.boosting import Boosted, fit_boosted
 from wavetable.operators.evaluate import probs
 from wavetable.plans.registry import query
 from wavetable.plans.tables import AXIS, prediction, r, series, sql
@@ -26,7 +28,22 @@ def vectors(spark, sf):
 
 def split(d):
     """Files whose id is divisible by five are held out."""
-    return ml.balanced(d.where("sample_id % 5 <> 0"), "label"), d.where("sample_id % 5 = 0")
+    return ml.balanced(d.where("sample_id % 5 <> 0"), "label", "vec_id"), d.where("sample_id % 5 = 0")
+
+
+def folded(spark, sf):
+    """Stored series with their fold; fold 0 is held out."""
+    return materialise(series(spark, sf).select("vec_id", "sample_id", "cls", "y", (F.col("sample_id") % 5).alias("fold")), "folded")
+
+
+def logistic_of_train(d, components=20, reg=0.01):
+    shift, matrix = softmax.standardised(*softmax.training_side(softmax.fold_moments(d, "y", "fold"), frozenset([0])), components)
+    m = softmax.Softmax("train", frozenset([0]), shift, matrix, reg=reg)
+    return softmax.fit_many(d, "y", "cls", "fold", [m], 4)[0]
+
+
+def spread(d, p):
+    return ml.with_prediction(d.withColumn("_p", p).withColumns({f"p{i}": F.col("_p")[i] for i in range(4)}).drop("_p"), 4)
 
 
 def rounded(d, *keys):
@@ -67,8 +84,24 @@ def m1b_mean(spark, sf):
 
 @query("m2_logistic")
 def m2(spark, sf):
-    train, test = split(vectors(spark, sf))
-    return rounded(ml.with_prediction(ml.probabilities(ml.logistic(20).fit(train).transform(test), 4), 4), "vec_id", "cls")
+    d = folded(spark, sf)
+    m = logistic_of_train(d)
+    return rounded(spread(d.where("fold = 0"), row_map(m.probabilities)("y")), "vec_id", "cls")
+
+
+# At the optimum the free intercepts make the weighted mean probability of a class equal its weighted share of the training rows.
+@query(
+    "m2_logistic_mean_probability",
+    sql("S", "SELECT cls, round(sum(w) / (SELECT sum(w) FROM W), 6) AS mean_probability FROM W GROUP BY cls",
+        "N AS (SELECT cls, count(*) AS n, sum(count(*)) OVER () AS t, count(*) OVER () AS k FROM S WHERE sample_id % 5 <> 0 GROUP BY cls)",
+        "W AS (SELECT S.cls, t / (k * n) AS w FROM S JOIN N ON S.cls = N.cls WHERE sample_id % 5 <> 0)"),
+)
+def m2_mean(spark, sf):
+    d = folded(spark, sf)
+    m = logistic_of_train(d)
+    w = F.array(*[F.lit(float(x)) for x in m.weights])[F.col("cls").cast("int")]
+    p = d.where("fold <> 0").select(w.alias("w"), F.posexplode(row_map(m.probabilities)("y")).alias("k", "p"))
+    return p.groupBy(F.col("k").cast("long").alias("cls")).agg(F.round(F.sum(F.col("w") * F.col("p")) / F.sum("w"), 6).alias("mean_probability"))
 
 
 @query("m3_linear_margin_calibrated")
@@ -86,17 +119,17 @@ def m4(spark, sf):
 
 @query("m5_boosted_trees")
 def m5(spark, sf):
-    train, test = split(vectors(spark, sf))
-    return rounded(ml.with_prediction(ml.raw_to_probabilities(ml.boosted(5, 3).fit(train).transform(test), 4), 4), "vec_id", "cls")
+    d = folded(spark, sf)
+    m = Boosted("train", frozenset([0]), rounds=100, depth=3)
+    fit_boosted(d, "y", "cls", "fold", "vec_id", [m], 4)
+    return rounded(spread(d.where("fold = 0"), row_map(m.probabilities)("y")), "vec_id", "cls")
 
 
 @query("m6_random_search")
 def m6(spark, sf):
-    d, test = split(vectors(spark, sf))
-    inner = d.where("sample_id % 5 <> 1"), d.where("sample_id % 5 = 1")
     rng = np.random.default_rng(42)
-    trials = [{"components": int(rng.integers(5, 30)), "reg": float(10 ** rng.uniform(-4, 0))} for _ in range(3)]
-    results, _ = ml.random_search(*inner, lambda hp: ml.logistic(hp["components"], hp["reg"]), trials, 4)
+    trials = [{"components": int(rng.integers(5, 30)), "reg": float(10 ** rng.uniform(-4, 0))} for _ in range(20)]
+    results, _ = ml.logistic_search(folded(spark, sf), "y", "cls", "fold", frozenset([2, 3, 4]), frozenset([1]), trials, 4)
     rows = [(i, hp["components"], hp["reg"], f1) for i, (hp, f1) in enumerate(results)]
     return spark.createDataFrame(rows, "trial long, components long, reg double, macro_f1 double").withColumn("macro_f1", F.round("macro_f1", 6))
 

@@ -231,7 +231,7 @@ def s15(spark, sf):
 def s16(spark, sf):
     from wavetable.operators.models import permuted_importance
 
-    s = sample_features(spark, sf).where("cls in (0, 1)")
+    s = sample_features(spark, sf)
     return permuted_importance(s, COLS, "cls", "sample_id", seed=11)
 
 
