@@ -6,7 +6,9 @@ pairwise products follow from the sum vectors of the groups.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector
@@ -18,11 +20,13 @@ from wavetable.functions import stats as fx
 from wavetable.functions.series import norm
 from wavetable.operators.rollup import unpivot
 from wavetable.operators.scale import exact_percentiles, hash_bucket, hash_key, null_safe_join, ranked, running_totals, with_totals
-from wavetable.operators.vectorsums import position_sums
+from wavetable.operators.vectorsums import position_sums, vector_sums
 from wavetable.session import materialise
 
 c = F.col
-DRAW_CHUNK = 65_536
+DRAW_CHUNK = 128  # resamples whose sums travel as one vector
+#: P(X <= k) of a Poisson distribution with mean 1, for all k that 52 bits can tell apart
+POISSON_EDGES = [float(x) for x in np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])]
 
 
 def sides(df: DataFrame, by: str, contrasts: dict[str, tuple[Sequence, Sequence]]) -> DataFrame:
@@ -203,24 +207,28 @@ def silhouette(df: DataFrame, key: str, by: str, y: str = "y", max_clusters: int
 # ---------------------------------------------------------------- resampling and paired tests
 
 def bootstrap_means(df: DataFrame, keys: Sequence[str], order: str, value: str, draws: int, seed: int = 0) -> DataFrame:
-    """Mean of ``value`` in each of ``draws`` resamples with replacement, per key.
+    """Mean of ``value`` in each of ``draws`` resamples, per key; nulls are left out.
 
-    Draw i of resample b picks dense row number md5(seed, b, i) mod n: independent draws, generated in parallel, joined on the
-    row number, averaged with partial aggregation.
+    A row counts in resample b as often as a Poisson(1) number from md5(seed, b, its order key) says, so a resample is a sum over rows:
+    tasks add whole chunks of resamples as vectors, and what is shuffled does not grow with the number of rows.  A resample
+    that draws no row has no mean.
     """
     keys = list(keys)
-    h = df.withColumn("_h", hash_key(order, seed=seed))
-    rows = ranked(h, keys, [c("_h"), c(order)], hash_bucket(c("_h")), "_row").select(*keys, (c("_row") - 1).alias("_pick"), value)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    picks = sizes.select(*keys, "_n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
-    # draws are generated in chunks, so neither an array nor a task grows with the number of rows
-    chunk = F.sequence(F.lit(0).cast("long"), F.floor((c("_n") - 1) / DRAW_CHUNK))
-    picks = picks.select(*keys, "b", "_n", F.explode(chunk).alias("_c")).repartition(*keys, "b", "_c")
-    last = F.least(c("_n"), (c("_c") + 1) * DRAW_CHUNK) - 1
-    picks = picks.select(*keys, "b", "_n", F.explode(F.sequence(c("_c") * DRAW_CHUNK, last)).alias("_i"))
-    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), c("b").cast("string"), c("_i").cast("string"))), 1, 13), 16, 10).cast("long")
-    picks = picks.select(*keys, "b", F.pmod(draw, c("_n")).alias("_pick"))
-    return null_safe_join(picks, rows, [*keys, "_pick"]).groupBy(*keys, "b").agg(F.avg(value).alias("mean"))
+    chunk = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // DRAW_CHUNK)))
+    rows = df.where(c(value).isNotNull()).select(*keys, c(order).alias("_o"), c(value).cast("double").alias("_v"), chunk.alias("_c"))
+    mine = F.sequence(c("_c") * DRAW_CHUNK, F.least((c("_c") + 1) * DRAW_CHUNK, F.lit(draws)) - 1)
+
+    def weight(b: Column) -> Column:
+        u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), b.cast("string"), c("_o").cast("string"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
+        return reduce(lambda n, edge: n + F.when(u >= edge, 1.0).otherwise(0.0), POISSON_EDGES, F.lit(0.0))
+
+    drawn = rows.select(*keys, "_c", "_v", F.transform(mine, weight).alias("_w"))
+    both = F.concat(F.transform("_w", lambda w: w * c("_v")), c("_w"))
+    sums = vector_sums(drawn.select(*keys, "_c", both.alias("_s")), [*keys, "_c"], "_s")
+    half = (F.size("s") / 2).cast("int")
+    means = F.transform(F.slice("s", F.lit(1), half), lambda v, i: F.try_divide(v, F.get("s", half + i)))
+    out = sums.select(*keys, "_c", F.posexplode(means).alias("_i", "mean")).where("mean is not null")
+    return out.select(*keys, (c("_c") * DRAW_CHUNK + c("_i")).alias("b"), "mean")
 
 
 def bootstrap_interval(df: DataFrame, keys: Sequence[str], order: str, value: str, draws: int, seed: int = 0) -> DataFrame:

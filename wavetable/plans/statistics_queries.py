@@ -193,12 +193,11 @@ BOOT = 400
     sql(
         "P",
         """SELECT O.model, round(O.mean, 6) AS mean, O.n, round(B.lo, 6) AS lo, round(B.hi, 6) AS hi FROM (SELECT model, avg(ok) AS mean, count(*) AS n FROM RW GROUP BY model) O JOIN
-        (SELECT model, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM (SELECT RW.model, d.b, avg(ok) AS m FROM DR d JOIN RW ON RW.pick = d.pick AND RW.model = d.model GROUP BY ALL) GROUP BY model) B USING (model)""",
+        (SELECT model, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM (SELECT model, b, sum(w * ok) / sum(w) AS m FROM DR GROUP BY ALL) GROUP BY model) B USING (model)""",
         CORRECT,
-        "RW AS (SELECT model, CASE WHEN pred = y_true THEN 1e0 ELSE 0e0 END AS ok, row_number() OVER (PARTITION BY model ORDER BY md5(concat('3|', file_id)), file_id) - 1 AS pick FROM OK)",
-        "SZ AS (SELECT model, count(*) AS n FROM RW GROUP BY model)",
-        f"""DR AS (SELECT model, b.b AS b, CAST('0x' || substr(md5(concat('3|', b.b, '|', i.i)), 1, 13) AS BIGINT) % n AS pick
-          FROM SZ, range({BOOT}) b(b), range(100000) i(i) WHERE i.i < n)""",
+        "RW AS (SELECT model, file_id, CASE WHEN pred = y_true THEN 1e0 ELSE 0e0 END AS ok FROM OK)",
+        f"""DR AS (SELECT model, b, ok, len(list_filter([{', '.join(f'{e!r}e0' for e in st.POISSON_EDGES)}], lambda e: e <= u)) AS w FROM
+          (SELECT model, b.b AS b, ok, CAST('0x' || substr(md5(concat('3|', b.b, '|', file_id)), 1, 13) AS BIGINT) / 4503599627370496e0 AS u FROM RW, range({BOOT}) b(b)))""",
     ),
 )
 def s14(spark, sf):
