@@ -21,7 +21,9 @@ def test_damage_is_quarantined_and_later_records_recovered(packed):
     bad[-12 if packed else -40] ^= 255
     data = b"junk" + parts[0] + parts[1] + bytes(bad) + parts[3] + b"\x1f\x8b\x08 more junk" + parts[4][:-9]
     got = list(salvage(data))
-    assert [r["record_id"] for r in got if r["kind"] == "record"] == ["<urn:page:0>", "<urn:page:1>", "<urn:page:3>"]
+    found = [r["record_id"] for r in got if r["kind"] == "record"]
+    # the last member lacks its trailer only: its record is there and its digest holds
+    assert found == ["<urn:page:0>", "<urn:page:1>", "<urn:page:3>"] + ["<urn:page:4>"] * packed
     gaps = [(r["offset"], r["length"]) for r in got if r["kind"] == "gap"]
     assert gaps[0] == (0, 4) and gaps[1] == (4 + len(parts[0]) + len(parts[1]), len(bad)) and sum(gaps[-1]) == len(data)
     assert sum(r["length"] for r in got) == len(data)
@@ -65,3 +67,54 @@ def test_query_on_a_table(spark):
 def test_empty_table(spark, tmp_path):
     write_archives(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "e"))
     assert read_archives(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_records_of_a_shared_member_are_salvaged_one_by_one():
+    parts = records(5)
+    bad = parts[2].replace(b"<p>2", b"<q>2", 1)
+    plain = b"".join([*parts[:2], bad, *parts[3:]])
+    got = list(salvage(gzip.compress(plain, mtime=0)))
+    assert [r.get("record_id") for r in got] == ["<urn:page:0>", "<urn:page:1>", None, "<urn:page:3>", "<urn:page:4>"]
+    assert (got[2]["kind"], got[2]["inner"], got[2]["inner_length"], got[2]["error"]) == ("gap", len(parts[0]) + len(parts[1]), len(bad), "wrong block digest")
+    # a cut end loses only what is cut; the file's bytes are a gap
+    noise = [record(i, None, hashlib.sha512(b"%d" % i).hexdigest().encode() * 40, None, "2024-01-01T00:00:00Z") for i in range(6)]
+    member = gzip.compress(b"".join(noise), mtime=0)
+    cut = member[: len(member) * 2 // 3]
+    got = list(salvage(cut + gzip.compress(parts[0], mtime=0)))
+    found = [r["record_id"] for r in got if r["kind"] == "record"]
+    assert found[:3] == [f"<urn:page:{i}>" for i in range(3)] and found[-1] == "<urn:page:0>" and 4 <= len(found) < 7
+    assert [(r["offset"], r["length"]) for r in got if r["kind"] == "gap"] == [(0, len(cut))]
+    # a record without digest in a damaged member is not trusted
+    bare = b"\r\n".join(x for x in parts[0].split(b"\r\n") if b"Digest" not in x)
+    broken = bytearray(gzip.compress(bare, mtime=0))
+    broken[-6] ^= 255
+    assert [r["kind"] for r in salvage(bytes(broken))] == ["gap"]
+
+
+def test_a_very_long_payload_and_many_failures_in_a_row():
+    big = record(1, "u", b"WARC/1. " * 400_000, None, "2024-01-01T00:00:00Z")
+    data = b"WARC/1.1\r\nbroken\r\n\r\n" * 300 + big
+    got = list(salvage(data))
+    assert [r["kind"] for r in got] == ["gap", "record"] and got[1]["payload_bytes"] == 3_200_000
+
+
+def test_repeated_pages_of_a_table_become_revisits(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
+    again = pages.where("page_id % 3 = 0").withColumn("page_id", F.col("page_id") + 1_000_000)
+    rows = pages.unionByName(again).unionByName(pages.where("page_id % 6 = 0").withColumn("page_id", F.col("page_id") + 2_000_000))
+    write_archives(rows, str(tmp_path / "r"))
+    got = {r["record_id"]: r for r in read_archives(spark, str(tmp_path / "r"), payloads=False).collect()}
+    groups = {}
+    for r in rows.collect():
+        groups.setdefault((r["html"] or "").encode(), []).append(r["page_id"])
+    seen = 0
+    for data, ids in groups.items():
+        for i in ids:
+            r = got[f"<urn:page:{i}>"]
+            revisit = len(data) >= 1000 and i != max(ids)
+            seen += revisit
+            assert (r["record_type"], r["refers_to"]) == (("revisit", f"<urn:page:{max(ids)}>") if revisit else ("response", None))
+            assert (r["payload_bytes"], r["payload_digest"]) == (len(data), hashlib.sha1(data).hexdigest())
+    assert seen > 0

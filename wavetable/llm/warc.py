@@ -33,7 +33,7 @@ OUT_BYTES = 8 << 20
 
 _KINDS = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 READ_SCHEMA = (
-    "kind string, file string, offset long, length long, record_type string, record_id string, refers_to string, "
+    "kind string, file string, offset long, length long, inner long, inner_length long, record_type string, record_id string, refers_to string, "
     "target_uri string, payload_bytes long, payload_digest string, payload binary, error string"
 )
 ARROW_SCHEMA = pa.schema([(x.split()[0], _KINDS[x.split()[1]]) for x in READ_SCHEMA.split(", ")])
@@ -72,7 +72,9 @@ def write_archives(pages: DataFrame, path: str, number: str = "page_id", uri: st
     rows = rows.withColumn("d", F.when(F.length("p") >= revisit_from, F.sha1("p"))).withColumn("s", F.pmod(F.xxhash64("n"), F.lit(SALTS)).cast("int"))
     shared = rows.where(F.col("d").isNotNull()).groupBy("d").agg(F.max("n").alias("keep"), F.count(F.lit(1)).alias("k")).where("k > 1 and keep is not null")
     shared = shared.select("d", "keep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
-    linked = rows.join(shared, ["d", "s"], "left").select("n", "u", "p", F.when(~F.col("n").eqNullSafe(F.col("keep")), F.col("keep")).alias("r"))
+    large = rows.where(F.col("d").isNotNull()).join(shared, ["d", "s"], "left").select("n", "u", "p", F.when(~F.col("n").eqNullSafe(F.col("keep")), F.col("keep")).alias("r"))
+    small = rows.where(F.col("d").isNull()).select("n", "u", "p", F.lit(None).cast("long").alias("r"))  # never met by anything
+    linked = large.unionByName(small)
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -89,17 +91,31 @@ def write_archives(pages: DataFrame, path: str, number: str = "page_id", uri: st
     written.write.option("lineSep", EMPTY_MEMBER).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
-def _member(data: memoryview, at: int) -> tuple[bytes, int]:
-    """Content and end of the gzip member at a place; its checksum is verified."""
+def _inflate(data: memoryview, at: int) -> tuple[bytes, int, str | None]:
+    """Content of the gzip member at a place, its end, and what is wrong with it; a damaged one gives what could be read before the fault."""
     d = zlib.decompressobj(31)
     out, pos = [], at
     while not d.eof:
         piece = data[pos : pos + FEED]
         if not piece:
-            raise ValueError("truncated member")
-        out.append(d.decompress(piece))
+            return b"".join(out), pos, "truncated member"
+        before = d.copy()
+        try:
+            out.append(d.decompress(piece))
+        except zlib.error as e:
+            # the failing call gives nothing: feed its piece again in small steps
+            for step in (256, 1):
+                while len(piece):
+                    kept = before.copy()
+                    try:
+                        out.append(before.decompress(piece[:step]))
+                    except zlib.error:
+                        before = kept
+                        break
+                    piece = piece[step:]
+            return b"".join(out), pos, str(e)
         pos += len(piece)
-    return b"".join(out), pos - len(d.unused_data)
+    return b"".join(out), pos - len(d.unused_data), None
 
 
 def _parse(data: bytes | memoryview, at: int) -> tuple[dict, int]:
@@ -141,37 +157,80 @@ def _parse(data: bytes | memoryview, at: int) -> tuple[dict, int]:
         told = own
     return {
         "record_type": kind, "record_id": f.get("warc-record-id"), "refers_to": f.get("warc-refers-to"), "target_uri": f.get("warc-target-uri"),
-        "payload_bytes": size, "payload_digest": told, "payload": payload,
+        "payload_bytes": size, "payload_digest": told, "payload": payload, "digested": digest.startswith("sha1:"),
     }, end + 4
 
 
-def salvage(data: bytes) -> Iterator[dict]:
-    """Records and quarantined gaps of an archive, in order; compressed and plain records may alternate."""
-    view, at, lost, why = memoryview(data), 0, None, ""
-    while at < len(data):
-        found, end = [], at
+class _Places:
+    """Where a pattern comes next; each search goes on from the last find."""
+
+    def __init__(self, data: bytes, pattern: bytes):
+        self.data, self.pattern, self.at = data, pattern, -1
+
+    def after(self, at: int) -> int:
+        if self.at <= at:
+            found = self.data.find(self.pattern, at + 1)
+            self.at = found if found >= 0 else len(self.data)
+        return self.at
+
+
+def _lines(plain: bytes, sure: bool) -> Iterator[dict]:
+    """Records and gaps of plain bytes; with ``sure``, only records whose block digest holds are records."""
+    at, lost, why, places = 0, None, "", _Places(plain, VERSION)
+    while at < len(plain):
         try:
-            if data.startswith(MAGIC, at):
-                plain, end = _member(view, at)
-                p = 0
-                while p < len(plain):
-                    r, p = _parse(plain, p)
-                    found.append(r)
-            else:
-                r, end = _parse(data, at)
-                found.append(r)
-        except (ValueError, zlib.error) as e:
+            r, end = _parse(plain, at)
+            if sure and not r["digested"]:
+                raise ValueError("no digest in a damaged member")
+        except ValueError as e:
             if lost is None:
                 lost, why = at, str(e)
-            places = [x for x in (data.find(MAGIC, at + 1), data.find(VERSION, at + 1)) if x >= 0]
-            at = min(places, default=len(data))
+            at = places.after(at)
             continue
         if lost is not None:
+            yield {"kind": "gap", "inner": lost, "inner_length": at - lost, "error": why}
+            lost = None
+        r.pop("digested")
+        yield r | {"kind": "record", "inner": at, "inner_length": end - at}
+        at = end
+    if lost is not None:
+        yield {"kind": "gap", "inner": lost, "inner_length": len(plain) - lost, "error": why}
+
+
+def salvage(data: bytes) -> Iterator[dict]:
+    """Records and quarantined gaps of an archive, in order; compressed and plain records may alternate.
+
+    A member may hold many records: the search for the next version line runs inside it too, and gaps there are given by their
+    place in the member (``inner``).  Of a member that is cut or fails its checksum, the records whose own digest holds are
+    recovered with length 0, and its bytes up to the next valid member or version line are a gap.
+    """
+    view, at, lost, why = memoryview(data), 0, None, ""
+    members, versions = _Places(data, MAGIC), _Places(data, VERSION)
+    while at < len(data):
+        found, end, error = [], at, None
+        if data.startswith(MAGIC, at):
+            plain, end, error = _inflate(view, at)
+            found = list(_lines(plain, error is not None))
+            if error is not None:
+                found = [r for r in found if r["kind"] == "record"]
+        else:
+            try:
+                r, end = _parse(data, at)
+                r.pop("digested")
+                found = [r | {"kind": "record"}]
+            except ValueError as e:
+                error = str(e)
+        if lost is not None and (found or error is None):
             yield {"kind": "gap", "offset": lost, "length": at - lost, "error": why}
             lost = None
         for r in found:
-            yield r | {"kind": "record", "offset": at, "length": end - at}
-        at = end
+            yield r | {"offset": at, "length": 0 if error is not None else end - at}
+        if error is None:
+            at = end
+            continue
+        if lost is None:
+            lost, why = at, error
+        at = min(members.after(at), versions.after(at))
     if lost is not None:
         yield {"kind": "gap", "offset": lost, "length": len(data) - lost, "error": why}
 
@@ -179,7 +238,8 @@ def salvage(data: bytes) -> Iterator[dict]:
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Records (``kind`` record) and quarantined byte ranges (``kind`` gap) of all archives below ``path``.
 
-    A record that fails a check (member checksum, length, block or payload digest) is part of a gap.
+    A record that fails a check (length, block or payload digest, or no digest in a member that fails its checksum) is part of a gap; ``inner`` is a
+    place inside the decompressed member at ``offset``.
     ``payloads=False`` checks payloads and leaves them out of the result.  Empty files give no row.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
