@@ -129,3 +129,12 @@ def test_counts_of_large_rates_are_poisson(spark):
     assert abs(n.mean() - rate) < 5 * (rate / 200) ** 0.5 and 0.6 < n.var(ddof=1) / rate < 1.5
     drawn = np.sort(np.random.default_rng(0).poisson(rate, 100_000))
     assert np.abs(np.searchsorted(drawn, np.sort(n)) / len(drawn) - (np.arange(200) + 0.5) / 200).max() < 0.13
+
+
+def test_more_sources_than_a_broadcast_holds(spark, monkeypatch):
+    rows = [(i, f"s{i % 7}" if i % 9 else None, "x" * (1 + i % 5)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    w = mixing.tempered(df)
+    want = sorted((r["doc_id"], r["copy"], r["shuffle_key"]) for r in mixing.replicate(df, w, scale=2.0).collect())
+    monkeypatch.setattr(mixing, "SOURCES", 3)
+    assert sorted((r["doc_id"], r["copy"], r["shuffle_key"]) for r in mixing.replicate(df, w, scale=2.0).collect()) == want

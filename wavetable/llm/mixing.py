@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavetable.llm.common import fresh, query, table, text_bytes
+from wavetable.llm.common import fresh, learn, query, table, text_bytes
 from wavetable.session import materialise
 
+SOURCES = 10_000  # sources whose rates are broadcast: 400 KB
+PARTS = 256  # parts of the rows that ask for the rate of a source if there are more
 PART = 700  # exp(-rate) has all its digits up to 708
 
 
@@ -22,30 +24,26 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("~")) for p in parts])), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def poisson_steps(rate: Column) -> Column:
-    """P(X <= k) of a Poisson distribution for k = 0, 1, ...; a rate of 0 has none.
+def poisson_count(rate: Column, u: Column) -> Column:
+    """Inverse of the Poisson distribution: the number of k with P(X <= k) <= u.
 
-    Terms follow from each other up to a k that leaves less than 1e-12 (rate + 12 sqrt(rate) + 30).
+    Terms follow from each other up to a k that leaves less than 1e-12 (rate + 12 sqrt(rate) + 30).  Most rows are done with the first term.
     """
+    first = F.exp(-rate)
     last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("c"))
+    start = F.struct(first.alias("p"), first.alias("c"), F.lit(0).alias("n"))
 
     def step(s, k):
         p = s["p"] * rate / k
-        return F.struct(p.alias("p"), F.concat(s["c"], F.array(F.element_at(s["c"], -1) + p)).alias("c"))
+        return F.struct(p.alias("p"), (s["c"] + p).alias("c"), (s["n"] + F.when(s["c"] <= u, 1).otherwise(0)).alias("n"))
 
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: F.slice(s["c"], 1, last)))
+    return F.when(F.coalesce(rate, F.lit(0.0)) <= 0, 0).when(u < first, 0).otherwise(F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: s["n"]))
 
 
-def poisson_count(steps: Column, u: Column) -> Column:
-    """Inverse of the distribution: the number of k with P(X <= k) <= u."""
-    return F.coalesce(F.size(F.filter(steps, lambda c: c <= u)), F.lit(0))
-
-
-def poisson_sum(steps: Column, parts: Column, u: Column, *parts_of: Column) -> Column:
-    """Poisson count from the distribution of one of ``parts`` equal parts: the inverse at ``u``, or the sum over the parts' own hashes."""
+def poisson_sum(rate: Column, parts: Column, u: Column, *parts_of: Column) -> Column:
+    """Poisson count of ``parts`` draws with mean ``rate`` each: the inverse at ``u``, or the sum over the parts' own hashes."""
     each = F.transform(F.sequence(F.lit(1), parts), lambda j: uniform(*parts_of, j))
-    return F.when(parts > 1, F.aggregate(each, F.lit(0), lambda n, v: n + poisson_count(steps, v))).otherwise(poisson_count(steps, u))
+    return F.when(parts > 1, F.aggregate(each, F.lit(0), lambda n, v: n + poisson_count(rate, v))).otherwise(poisson_count(rate, u))
 
 
 def rates(docs: DataFrame, weights: DataFrame, source: str, size: Column) -> DataFrame:
@@ -63,27 +61,37 @@ def rates(docs: DataFrame, weights: DataFrame, source: str, size: Column) -> Dat
     )
 
 
+def with_source(docs: DataFrame, per: DataFrame, key: str, source: str, origin: str) -> DataFrame:
+    """``docs`` with the facts of their source (``_source`` and others, one row each), which is null-safe."""
+    if len(per.limit(SOURCES + 1).collect()) <= SOURCES:
+        facts = F.broadcast(per.withColumnRenamed("_source", origin))
+        return docs.join(facts, docs[source].eqNullSafe(F.col(origin))).drop(origin)
+    named = lambda c: F.xxhash64(c.isNull(), c)
+    # hashes stand for sources; a row whose hash two sources share is told apart by the source itself
+    facts = per.groupBy(named(F.col("_source")).alias(origin)).agg(F.collect_list(F.struct(*per.columns)).alias("_all"))
+    met = learn(docs.withColumn(origin, named(F.col(source))), facts, [origin], key, PARTS)
+    own = F.filter("_all", lambda f: f["_source"].eqNullSafe(F.col(source)))[0]
+    return met.select(*docs.columns, *[own[c].alias(c) for c in per.columns if c != "_source"])
+
+
 def replicate(docs: DataFrame, weights: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 0, scale: float = 1.0, copy: str = "copy", order: str = "shuffle_key") -> DataFrame:
     """``docs`` with each row repeated by its Poisson count, in global random order.
 
     New columns: the number of the copy (from 0) and the key of the order, a hash of seed, key and copy.
     ``scale`` multiplies all rates.  Rows with equal keys draw equal counts and are all kept; a null
-    text has size 1, so that a source of nulls has a rate.  Sources meet rows in a null-safe join whose
-    hot side is never gathered: the distributions are one stored row per source, which Spark broadcasts if
-    the file is small.  No row is dropped other than by a count of 0.
+    text has size 1, so that a source of nulls has a rate.  What rows learn about their source is a rate and a number: broadcast
+    up to 10,000 sources, beyond that met part by part of the rows, so a hot source is never gathered.  No row is dropped other than by a count of 0.
     """
     docs = docs.drop(copy, order)
-    steps, origin, parts = fresh(docs, "_steps", "_origin", "_parts")
+    mean, origin, parts = fresh(docs, "_mean", "_origin", "_parts")
     rate = F.col("_rate") * F.lit(float(scale))
     many = F.greatest(F.ceil(rate / PART), F.lit(1)).cast("int")
-    per = rates(docs, weights, source, F.greatest(text_bytes(text), F.lit(1))).select(
-        F.col("_source").alias(origin), poisson_steps(rate / many).alias(steps), many.alias(parts)
-    )
-    per = materialise(per, "rates")
-    drawn = docs.join(per, docs[source].eqNullSafe(per[origin]), "left").drop(origin)
-    n = F.col(steps)
-    drawn = drawn.withColumn(steps, poisson_sum(n, F.coalesce(F.col(parts), F.lit(1)), uniform(F.lit(seed), F.lit("count"), F.col(key)), F.lit(seed), F.lit("part"), F.col(key))).where(n > 0)
-    drawn = drawn.withColumn(copy, F.explode(F.sequence(F.lit(0), n - 1))).drop(steps, parts)
+    per = rates(docs, weights, source, F.greatest(text_bytes(text), F.lit(1)))
+    per = materialise(per.select("_source", (rate / many).alias(mean), many.alias(parts)), "rates")
+    drawn = with_source(docs, per, key, source, origin)
+    n = F.col(mean)
+    drawn = drawn.withColumn(mean, poisson_sum(n, F.coalesce(F.col(parts), F.lit(1)), uniform(F.lit(seed), F.lit("count"), F.col(key)), F.lit(seed), F.lit("part"), F.col(key))).where(n > 0)
+    drawn = drawn.withColumn(copy, F.explode(F.sequence(F.lit(0), n - 1))).drop(mean, parts)
     mixed = drawn.withColumn(order, F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), F.coalesce(F.col(key).cast("string"), F.lit("~")), F.col(copy).cast("string"))))
     return mixed.orderBy(order, copy)
 
