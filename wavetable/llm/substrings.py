@@ -21,7 +21,7 @@ from wavetable.llm.blocks import ASKED, LAST, Block, answer, answers, ask, block
 from wavetable.llm.common import query, table
 
 WORDS = 13
-SALTS = 8
+SALTS, BLOCKS_PER_SALT = 64, 16  # least number of parts of a path's walks, and blocks of text for each
 MIXED = np.uint64(0)  # the tag of an edge whose neighbours already differ inside one block
 PATHS = "path binary, block int, row int, first int, n int, id long"
 SPANS = "block int, row int, first int, n int"
@@ -107,18 +107,20 @@ def paths(base: DataFrame, blocks: int, k: int) -> DataFrame:
     return base.groupBy("block").cogroup(plain.groupBy("block")).applyInArrow(walk, PATHS)
 
 
-def repeated_spans(walked: DataFrame) -> DataFrame:
+def repeated_spans(walked: DataFrame, salts: int) -> DataFrame:
     """Walks of a path that a smaller document walks too.
 
     Walks are dealt by path and salt once; owners are pre-aggregated from that deal (with the place of the
-    owner's walk, so both readers need the same columns and Spark reuses the shuffle) and meet the walks in
-    ``SALTS`` parts, so a path that a third of all documents walk is no single task's work.
+    owner's walk, so both readers need the same columns and Spark reuses the shuffle) and meet the walks in as many
+    parts as ``salts``, which grows with the text: a path that a third of all documents walk is no single task's work.  Only salts that
+    hold walks of a path get its owner.
     """
-    salted = walked.withColumn("salt", F.pmod(F.xxhash64("block", "row", "first"), F.lit(SALTS)).cast("int"))
+    salted = walked.withColumn("salt", F.pmod(F.xxhash64("block", "row", "first"), F.lit(salts)).cast("int"))
     # the filter is the one the join below implies; stated here, both readers share it
     salted = salted.where("path is not null and salt is not null and id is not null").repartition("path", "salt")
-    owners = salted.groupBy("path").agg(F.min(F.struct("id", "block", "row", "first", "n")).alias("owner"), F.max("id").alias("last")).where("owner.id < last")
-    owners = owners.select("path", F.col("owner.id").alias("owner"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    held = salted.groupBy("path", "salt").agg(F.min(F.struct("id", "block", "row", "first", "n")).alias("owner"), F.max("id").alias("last"))
+    owners = held.groupBy("path").agg(F.min("owner").alias("owner"), F.max("last").alias("last"), F.collect_list("salt").alias("salts")).where("owner.id < last")
+    owners = owners.select("path", F.col("owner.id").alias("owner"), F.explode("salts").alias("salt"))
     return salted.join(owners, ["path", "salt"]).where("id > owner").select("block", "row", "first", "n")
 
 
@@ -131,7 +133,7 @@ def remove_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     key comes after all others.
     """
     base, blocks = blocked(docs, key, text)
-    spans = repeated_spans(paths(base, blocks, k))
+    spans = repeated_spans(paths(base, blocks, k), max(SALTS, blocks // BLOCKS_PER_SALT))
 
     def keep(t: pa.Table, told: pa.Table) -> pa.Table:
         names = ["id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * texts
