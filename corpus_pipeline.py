@@ -7,7 +7,7 @@ sharding.  Every stage but the last returns the columns of ``documents``; the la
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wavetable.llm import decontaminate, jaccard, langid, mixing, sharding
@@ -45,8 +45,15 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in shards of nearly equal bytes, equal texts together, with a gapless position in the shard."""
-    return sharding.slots(sharding.assign(docs, SHARDS), "shard", "doc_id")
+    """Documents in shards of nearly equal bytes, equal texts together, with a gapless position in the shard.
+
+    Positions follow a hash of the row and of the number of its copy, so copies that the mixture made are spread over the shard.
+    """
+    copy, order = fresh(docs, "_copy", "_order")
+    placed = sharding.assign(docs, SHARDS)
+    same = Window.partitionBy(F.xxhash64(*docs.columns)).orderBy("doc_id", *[c for c in docs.columns if c not in ("doc_id", "text")], "text")
+    numbered = placed.withColumn(copy, F.row_number().over(same)).withColumn(order, F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.xxhash64(*docs.columns).cast("string"), F.col(copy).cast("string"))))
+    return sharding.slots(numbered, "shard", order).drop(copy, order)
 
 
 STAGES = [
