@@ -140,3 +140,34 @@ def test_augmentations_off_change_nothing(spark):
 def test_roll(spark):
     assert one(spark, [1, 2, 3, 4], fs.roll("y", F.lit(1))) == [4, 1, 2, 3]
     assert one(spark, [1, 2, 3, 4], fs.roll("y", F.lit(-1))) == [2, 3, 4, 1]
+
+
+def test_penalised_baseline_equals_a_dense_solve(spark):
+    from wavetable.functions.series import penalised_baselines, penalised_fit
+
+    r = np.random.default_rng(0)
+    b, lam = 40, 50.0
+    x = np.sin(np.arange(b) / 15.0)[None] * 3 + r.standard_normal((6, b)) * 0.05
+    x[:, 18:22] += 5
+    d = np.diff(np.eye(b), n=2, axis=0)
+    w = r.random((6, b))
+    dense = np.stack([np.linalg.solve(np.diag(w[i]) + lam * d.T @ d, w[i] * x[i]) for i in range(6)])
+    assert np.allclose(penalised_fit(x, w, lam), dense, atol=1e-8)
+
+    def one(y):
+        w = np.ones(b)
+        for _ in range(50):
+            z = np.linalg.solve(np.diag(w) + lam * d.T @ d, w * y)
+            gap = y - z
+            low = gap[gap < 0]
+            m, s = low.mean(), low.std(ddof=1)
+            new = 1 / (1 + np.exp(2 * (gap - (2 * s - m)) / s))
+            if np.linalg.norm(new - w) / np.linalg.norm(w) < 1e-3:
+                break
+            w = new
+        return z
+
+    got = penalised_baselines(x, lam, 50, 1e-3)
+    assert np.allclose(got, np.stack([one(y) for y in x]), atol=1e-8)
+    assert np.abs(x - got)[:, [0, 5, 30]].max() < 0.5 and (x - got)[:, 20].min() > 3
+    assert np.array_equal(penalised_baselines(x[:, :2], lam, 5, 1e-3), x[:, :2])

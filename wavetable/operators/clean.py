@@ -35,6 +35,8 @@ def crop(c: Column | str, axis: Sequence[float], regions=catalog.CROP_REGIONS) -
 def step_column(step: str, c: Column | str, axis: Sequence[float], **opts) -> Column:
     if step == "despike":
         return fs.despike(c, threshold=opts.get("threshold", 5.0), window=opts.get("median_window", 7))
+    if step == "baseline" and "lam" in opts:
+        return fs.remove_penalised_baseline(c, lam=opts["lam"], max_iter=opts.get("max_iter", 50))
     if step == "baseline":
         return fs.remove_baseline(c, half_width=opts.get("half_width", 50), quantile=opts.get("quantile", 0.1))
     if step == "smooth":

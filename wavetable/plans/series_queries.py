@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,6 +131,25 @@ def lin_sql(matrix, digits=6) -> str:
     )
 
 
+LAM = 100.0
+
+
+def penalty_inverse() -> np.ndarray:
+    """(I + LAM D'D)^-1 as a dense matrix: the first step of the penalised baseline, where all weights are 1."""
+    d = np.diff(np.eye(BINS), n=2, axis=0)
+    return np.linalg.inv(np.eye(BINS) + LAM * d.T @ d)
+
+
+@query("p6_penalised_first_step", lin_sql(np.eye(BINS) - penalty_inverse()))
+def p6_first(spark, sf):
+    return points(series(spark, sf).select("vec_id", fs.remove_penalised_baseline("y", lam=LAM, max_iter=1).alias("y")))
+
+
+@query("p6_penalised_baseline")
+def p6_penalised(spark, sf):
+    return points(series(spark, sf).select("vec_id", fs.remove_penalised_baseline("y", lam=LAM).alias("y")))
+
+
 @query("p7_savgol_smooth", lin_sql(savgol_matrix(BINS, 9, 3)))
 def p7(spark, sf):
     return points(series(spark, sf).select("vec_id", savgol("y", window=9, polyorder=3).alias("y")))
