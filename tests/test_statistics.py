@@ -75,7 +75,7 @@ def test_pairless_similarity_equals_pairs(spark):
     for i in range(12):
         for j in range(i + 1, 12):
             d[lab[i] == lab[j]].append(((x[i] - x[j]) ** 2).sum())
-    assert b.same_batch == pytest.approx(np.mean(d[True])) and b.other_batch == pytest.approx(np.mean(d[False]))
+    assert b.same_batch_squared == pytest.approx(np.mean(d[True])) and b.other_batch_squared == pytest.approx(np.mean(d[False]))
 
 
 def test_verdict(spark):

@@ -175,7 +175,7 @@ def batch_effect(df: DataFrame, batch: str, y: str = "y") -> DataFrame:
     )
     same = F.try_divide(c("inside"), c("pairs_in"))
     other = F.try_divide(c("all") - c("inside"), c("pairs_all") - c("pairs_in"))
-    return with_totals(inner, total).select(same.alias("same_batch"), other.alias("other_batch"), F.try_divide(same, other).alias("ratio"))
+    return with_totals(inner, total).select(same.alias("same_batch_squared"), other.alias("other_batch_squared"), F.try_divide(same, other).alias("squared_ratio"))
 
 
 def silhouette(df: DataFrame, key: str, by: str, y: str = "y", max_clusters: int = 1_000) -> DataFrame:

@@ -135,7 +135,7 @@ def s9(spark, sf):
     "s10_batch_effect",
     sql(
         "L",
-        """SELECT round(avg(d) FILTER (i % 5 = j % 5), 6) AS same_batch, round(avg(d) FILTER (i % 5 <> j % 5), 6) AS other_batch, round(avg(d) FILTER (i % 5 = j % 5) / avg(d) FILTER (i % 5 <> j % 5), 6) AS ratio FROM (
+        """SELECT round(avg(d) FILTER (i % 5 = j % 5), 6) AS same_batch_squared, round(avg(d) FILTER (i % 5 <> j % 5), 6) AS other_batch_squared, round(avg(d) FILTER (i % 5 = j % 5) / avg(d) FILTER (i % 5 <> j % 5), 6) AS squared_ratio FROM (
         SELECT p.sample_id AS i, q.sample_id AS j, sum(pow(p.y - q.y, 2)) AS d FROM FMN p JOIN FMN q ON p.pos = q.pos AND p.sample_id < q.sample_id GROUP BY ALL)""",
         "FMN AS (SELECT sample_id, pos, avg(y) AS y FROM L GROUP BY ALL)",
     ),
@@ -143,22 +143,22 @@ def s9(spark, sf):
 def s10(spark, sf):
     m = ru.mean_series(series(spark, sf), ["sample_id"]).withColumn("batch", F.col("sample_id") % 5)
     b = st.batch_effect(m, "batch")
-    return b.select(*[F.round(x, 6).alias(x) for x in ("same_batch", "other_batch", "ratio")])
+    return b.select(*[F.round(x, 6).alias(x) for x in ("same_batch_squared", "other_batch_squared", "squared_ratio")])
 
 
 @query(
     "s11_silhouette",
     sql(
         "L",
-        """SELECT cls, count(*) AS n, round(avg((b - a) / greatest(a, b)), 6) + 0.0 AS mean_silhouette FROM (
+        """SELECT coalesce(CAST(cls AS VARCHAR), 'all') AS scope, count(*) AS n, round(avg((b - a) / greatest(a, b)), 6) + 0.0 AS mean_silhouette FROM (
           SELECT vec_id, cls, max(md * n / (n - 1)) FILTER (k = cls) AS a, min(md) FILTER (k <> cls) AS b FROM (
-            SELECT L.vec_id, L.cls, M.k, any_value(n) AS n, sum(y * y - 2 * y * m + q) AS md FROM L JOIN M USING (pos) GROUP BY L.vec_id, L.cls, M.k) GROUP BY ALL) GROUP BY cls""",
+            SELECT L.vec_id, L.cls, M.k, any_value(n) AS n, sum(y * y - 2 * y * m + q) AS md FROM L JOIN M USING (pos) GROUP BY L.vec_id, L.cls, M.k) GROUP BY ALL) GROUP BY GROUPING SETS ((cls), ())""",
         "M AS (SELECT cls AS k, pos, avg(y) AS m, avg(y * y) AS q, count(*) AS n FROM L GROUP BY ALL)",
     ),
 )
 def s11(spark, sf):
     s = st.silhouette(series(spark, sf).select("vec_id", "cls", "y"), "vec_id", "cls")
-    return s.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), r(F.avg("silhouette")).alias("mean_silhouette"))
+    return s.cube("cls").agg(F.count(F.lit(1)).alias("n"), r(F.avg("silhouette")).alias("mean_silhouette")).select(F.coalesce(F.col("cls").cast("string"), F.lit("all")).alias("scope"), "n", "mean_silhouette")
 
 
 @query(
