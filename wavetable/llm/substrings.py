@@ -21,7 +21,7 @@ from wavetable.llm.blocks import ASKED, LAST, Block, answer, answers, ask, block
 from wavetable.llm.common import query, table
 
 WORDS = 13
-SALTS, BLOCKS_PER_SALT = 64, 16  # least number of parts of a path's walks, and blocks of text for each
+SALTS, BLOCKS_PER_SALT = 8, 128  # least number of parts of a path's walks, and blocks of text for each
 MIXED = np.uint64(0)  # the tag of an edge whose neighbours already differ inside one block
 PATHS = "path binary, block int, row int, first int, n int, id long"
 SPANS = "block int, row int, first int, n int"
