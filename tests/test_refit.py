@@ -110,3 +110,39 @@ def test_boosted_trees_do_not_depend_on_partitions(spark, share):
         p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
         losses.append(-np.log(p[np.arange(seen.sum()), y[seen]]).mean())
     assert losses[0] > losses[1] > losses[2] and (a.probabilities(x[~seen]).argmax(1) == y[~seen]).mean() > 0.6
+
+
+def test_calibrated_margins_are_optimal_and_monotone(spark):
+    from wavetable.operators import margins
+
+    r = np.random.default_rng(6)
+    x, fold = r.standard_normal((240, 3)), np.arange(240) % 3
+    y = ((x[:, 0] + 0.7 * r.standard_normal(240)) > 0).astype(int)
+    df = spark.createDataFrame([([float(v) for v in np.round(x[i], 1)], int(y[i]), int(fold[i])) for i in range(240)], "x array<double>, y int, f int").repartition(5).cache()
+    x = np.round(x, 1)
+    models = [margins.Margins(softmax.Softmax(f, frozenset([f])), 0.5) for f in range(3)]
+    margins.fit_margins(df, "x", "y", "f", models, 2, width=3)
+    margins.calibrate(df, "x", "y", "f", models, 2)
+    for m in models:
+        on = fold != m.side.name
+        w = (on.sum() / (2 * np.bincount(y[on])))[y[on]]
+        z = m.side.prepared(x[on])
+        for k in range(2):
+            sign = np.where(y[on] == k, 1.0, -1.0)
+            gap = np.maximum(0, 1 - sign * (z @ m.theta[k]))
+            assert np.abs(m.theta[k] - 2 * 0.5 * z.T @ (w * sign * gap)).max() < 1e-4
+            s, hit = m.scores(x[~on])[:, k], (y[~on] == k).astype(float)
+            values = np.unique(s)
+            blocks = [[hit[s == v].sum(), (s == v).sum(), v, v] for v in values]
+            i = 0
+            while i < len(blocks) - 1:  # the plain pooling of all points
+                if blocks[i][0] * blocks[i + 1][1] >= blocks[i + 1][0] * blocks[i][1]:
+                    a, b = blocks[i], blocks.pop(i + 1)
+                    blocks[i] = [a[0] + b[0], a[1] + b[1], a[2], b[3]]
+                    i = max(i - 1, 0)
+                else:
+                    i += 1
+            want = ([v for b in blocks for v in b[2:]], [b[0] / b[1] for b in blocks for _ in (0, 1)])
+            assert np.allclose(m.curves[k][0], want[0]) and np.allclose(m.curves[k][1], want[1])
+    p = df.select(margins.probabilities(models)("x").alias("p"), "y").collect()
+    assert np.mean([int(np.argmax(q["p"])) == q["y"] for q in p]) > 0.7 and all(abs(sum(q["p"]) - 1) < 1e-9 for q in p)

@@ -17,14 +17,13 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavetable.functions.linear import linear_map
 from wavetable.functions.series import exploded, row_map
 from wavetable.operators import features as ft
-from wavetable.operators import softmax
+from wavetable.operators import margins, softmax
 from wavetable.operators.evaluate import class_metrics, confusion, soft_vote, summary_metrics, with_prediction
 from wavetable.operators.scale import checked_broadcast, hash_bucket, hash_key, ranked
 from wavetable.operators.splits import MAX_FOLDS
@@ -118,17 +117,20 @@ def raw_to_probabilities(scored: DataFrame, k: int, col: str = "rawPrediction",
     return d.withColumns({f"p{i}": c("_r")[i] / total for i in range(k)}).drop("_r")
 
 
-def calibrated_margins(model, train: DataFrame, df: DataFrame, k: int, key: str) -> DataFrame:
-    """Isotonic calibration of one-vs-rest margins per class, learned on ``train``, scaled to sum to one."""
-    t = model.transform(train).withColumn("_r", vector_to_array("rawPrediction"))
-    out = model.transform(df).withColumn("_r", vector_to_array("rawPrediction"))
-    for i in range(k):
-        iso = IsotonicRegression(featuresCol="_f", labelCol="_l", predictionCol=f"_p{i}")
-        fitted = iso.fit(t.select(array_to_vector(F.array(c("_r")[i])).alias("_f"), (c("label") == i).cast("double").alias("_l")))
-        out = fitted.transform(out.withColumn("_f", array_to_vector(F.array(c("_r")[i])))).drop("_f")
-    total = reduce(lambda a, b: a + b, [F.greatest(c(f"_p{i}"), F.lit(1e-9)) for i in range(k)])
-    keep = [x for x in df.columns if x != "features"]
-    return out.select(*keep, *[(F.greatest(c(f"_p{i}"), F.lit(1e-9)) / total).alias(f"p{i}") for i in range(k)])
+def calibrated_margins(df: DataFrame, features: str, label: str, key: str, k: int, *, components: int | None = 20, cost: float = 1.0, inner: int = 3) -> list[margins.Margins]:
+    """Squared-hinge linear models on standardised components with isotonic calibration, cross-fitted over ``inner`` folds by hash of ``key``.
+
+    Each model and its preparation see all inner folds but one; its curves come from that one.  ``margins.probabilities`` averages the models.
+    """
+    part = F.pmod(F.xxhash64(key), F.lit(inner)).cast("int")
+    d = materialise(df.select(c(features).alias("_x"), c(label).cast("int").alias("_y"), part.alias("_f")), "margins")
+    moments = softmax.fold_moments(d, "_x", "_f")
+    out = []
+    for f in sorted(moments):
+        shift, matrix = softmax.standardised(*softmax.training_side(moments, frozenset([f])), components)
+        out.append(margins.Margins(softmax.Softmax(f, frozenset([f]), shift, matrix), cost))
+    margins.fit_margins(d, "_x", "_y", "_f", out, k, width=out[0].side.matrix.shape[1])
+    return margins.calibrate(d, "_x", "_y", "_f", out, k)
 
 
 # ---------------------------------------------------------------- partial least squares

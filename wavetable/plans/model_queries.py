@@ -11,7 +11,7 @@ from wavetable.functions.series import row_map
 from wavetable.operators import combine as cb
 from wavetable.operators import features as ft
 from wavetable.operators import models as ml
-from wavetable.operators import refit, softmax
+from wavetable.operators import margins, refit, softmax
 from wavetable.operators import rollup as ru
 from wavetable.operators import splits as sp
 from wavetable.operators.boosting import Boosted, fit_boosted
@@ -106,9 +106,9 @@ def m2_mean(spark, sf):
 
 @query("m3_linear_margin_calibrated")
 def m3(spark, sf):
-    train, test = split(vectors(spark, sf))
-    model = ml.linear_margin().fit(train)
-    return rounded(ml.with_prediction(ml.calibrated_margins(model, train, test, 4, "vec_id"), 4), "vec_id", "cls")
+    d = folded(spark, sf)
+    models = ml.calibrated_margins(d.where("fold <> 0"), "y", "cls", "sample_id", 4)
+    return rounded(spread(d.where("fold = 0"), margins.probabilities(models)("y")), "vec_id", "cls")
 
 
 @query("m4_random_forest")
