@@ -324,6 +324,13 @@ def stack_per_fold(wide: DataFrame, features: Sequence[str], k: int, reg: float
 
     Scaling, class weights and coefficients of a fold's model come from the other folds alone; all folds are fitted in one job per iteration.
     """
+    ready, models = stack_models(wide, features, k, reg)
+    out = softmax.score_held_out(ready, "_x", "fold_id", models, "_p").withColumns({f"p{i}": c("_p")[i] for i in range(k)})
+    return with_prediction(out, k).select("fold_id", "file_id", "subclass", "y_true", *[f"p{i}" for i in range(k)], "pred")
+
+
+def stack_models(wide: DataFrame, features: Sequence[str], k: int, reg: float = 0.01) -> tuple[DataFrame, dict]:
+    """(stored feature rows, fold -> the model fitted on the other folds)."""
     ready = wide.select("fold_id", "file_id", "subclass", "y_true", F.array(*[c(f).cast("double") for f in features]).alias("_x"))
     ready = materialise(ready, "stack")
     moments = softmax.fold_moments(ready, "_x", "fold_id")  # one entry per fold
@@ -332,8 +339,7 @@ def stack_per_fold(wide: DataFrame, features: Sequence[str], k: int, reg: float
         shift, matrix = softmax.standardised(*softmax.training_side(moments, frozenset([f])))
         models[f] = softmax.Softmax(f, frozenset([f]), shift, matrix, reg=reg)
     softmax.fit_many(ready, "_x", "y_true", "fold_id", list(models.values()), k)
-    out = softmax.score_held_out(ready, "_x", "fold_id", models, "_p").withColumns({f"p{i}": c("_p")[i] for i in range(k)})
-    return with_prediction(out, k).select("fold_id", "file_id", "subclass", "y_true", *[f"p{i}" for i in range(k)], "pred")
+    return ready, models
 
 
 def mixture_curve(means: DataFrame, label: str, y: str, pairs: Sequence[tuple], alphas: Sequence[float]) -> DataFrame:

@@ -369,6 +369,20 @@ def f13(spark, sf):
     return spark.createDataFrame(rows, "component long, variable long, pos long, y double")
 
 
+# The first pick needs no residual: the largest population sd over mean plus offset, of series shifted to be non-negative.
+@query(
+    "f13_first_variable",
+    sql("L", "SELECT CAST(arg_max(pos, (purity, -pos)) AS BIGINT) AS variable, round(max(purity), 6) AS purity FROM (SELECT pos, sd / (m + 0.05 * (SELECT max(m) FROM V)) AS purity FROM V)",
+        "V AS (SELECT pos, avg(y - (SELECT min(y) FROM L)) AS m, stddev_pop(y) AS sd FROM L GROUP BY pos)"),
+)
+def f13_first(spark, sf):
+    s = unmix.shift_non_negative(series(spark, sf).select(*SPEC), "y")
+    _, picked = unmix.purest_variables(s, "y", 1)
+    at = s.agg(F.avg(F.col("y")[picked[0]]).alias("m"), F.stddev_pop(F.col("y")[picked[0]]).alias("sd"))
+    top = s.agg(*[F.avg(F.col("y")[p]).alias(f"m{p}") for p in range(BINS)]).select(F.greatest(*[f"m{p}" for p in range(BINS)]).alias("most"))
+    return at.crossJoin(top).select(F.lit(int(picked[0])).cast("long").alias("variable"), F.round(F.col("sd") / (F.col("m") + 0.05 * F.col("most")), 6).alias("purity"))
+
+
 @query("f14_unmix")
 def f14(spark, sf):
     s = materialise(unmix.shift_non_negative(series(spark, sf).select(*SPEC), "y"), "shifted")

@@ -213,6 +213,29 @@ def e13(spark, sf):
     return ml.stack_per_fold(wide, WIDE_COLS, 4).select("fold_id", "file_id", "y_true", "pred", *[F.round(p, 5).alias(p) for p in probs(4)])
 
 
+# At the optimum of each fold's model the weighted mean probability of a class over the other folds is its weighted share there.
+@query(
+    "e13_stacking_mean_probability",
+    sql(
+        "P",
+        "SELECT fold_id, cls, round(n * (t / (k * n)) / t, 6) AS mean_probability FROM (SELECT *, sum(n) OVER (PARTITION BY fold_id) AS t, count(*) OVER (PARTITION BY fold_id) AS k FROM N)",
+        "FI AS (SELECT DISTINCT fold_id, file_id, subclass, y_true FROM P)",
+        "N AS (SELECT f.fold_id, o.y_true AS cls, count(*) AS n FROM (SELECT DISTINCT fold_id FROM FI) f JOIN FI o ON o.fold_id <> f.fold_id GROUP BY ALL)",
+    ),
+)
+def e13_mean(spark, sf):
+    wide = cb.wide_over_models(prediction(spark, sf), ["fold_id", "file_id", "subclass", "y_true"], [0, 1, 2], 4)
+    ready, models = ml.stack_models(wide, WIDE_COLS, 4)
+    folds = list(models)
+    called = row_map(lambda x: np.concatenate([models[f].probabilities(x) for f in folds], axis=1))("_x")
+    held = F.array(*[F.lit(f) for f in folds])
+    weights = F.array(*[F.array(*[F.lit(float(w)) for w in models[f].weights]) for f in folds])
+    d = ready.select("fold_id", "y_true", F.posexplode(called).alias("i", "p")).withColumn("m", F.floor(F.col("i") / 4).cast("int"))
+    d = d.withColumn("fit", held[F.col("m")]).where("fit <> fold_id").withColumn("w", weights[F.col("m")][F.col("y_true").cast("int")])
+    g = d.groupBy(F.col("fit").alias("fold_id"), (F.col("i") % 4).cast("long").alias("cls")).agg((F.sum(F.col("w") * F.col("p")) / F.sum("w")).alias("mean_probability"))
+    return g.select("fold_id", "cls", F.round("mean_probability", 6).alias("mean_probability"))
+
+
 ALPHAS = [round(0.1 * i, 1) for i in range(11)]
 
 
