@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -16,9 +18,10 @@ from wavetable.operators import rollup as ru
 from wavetable.operators import splits as sp
 from wavetable.operators.boosting import Boosted, fit_boosted
 from wavetable.operators.evaluate import probs
+from wavetable.plans.feature_queries import HALF
 from wavetable.plans.registry import query
 from wavetable.plans.tables import AXIS, prediction, r, series, sql
-from wavetable.session import materialise
+from wavetable.session import materialise, shared_folder
 
 
 def vectors(spark, sf):
@@ -170,12 +173,37 @@ def m7(spark, sf):
     return out.select("algorithm", "seed", "fold_id", "sample_id", "y_true", *[F.round(p, 5).alias(p) for p in probs(4)], "pred")
 
 
+def saved_model(spark, sf) -> str:
+    """Fit everything on the samples outside fold 0, save it, and return the folder."""
+    from wavetable.plans import scoring
+
+    d = folded_labels(spark, sf).where("sample_id % 5 <> 0")
+    model = scoring.train(d, AXIS, AXIS, ["0", "1", "2", "3"], file="sample_id", label="cls", components=4, half_width=HALF, window=HALF, levels=3)
+    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    scoring.save(spark, model, path)
+    return path
+
+
+def folded_labels(spark, sf):
+    return series(spark, sf).select("sample_id", "cls", "subclass", "y")
+
+
 @query("m8_score_files")
 def m8(spark, sf):
-    d = vectors(spark, sf)
-    train, _ = split(d)
-    scored = ml.probabilities(ml.logistic(20).fit(train).transform(d), 4)
-    return ml.score_files(scored, "sample_id", 4).select("sample_id", "pred", F.round("top_p", 5).alias("top_p"), "decision")
+    from wavetable.plans import scoring
+
+    out = scoring.score(folded_labels(spark, sf), scoring.load(spark, saved_model(spark, sf)), "sample_id", preprocess=False)
+    return out.select("sample_id", "pred", F.round("top_p", 5).alias("top_p"), "decision", "n_rows")
+
+
+# What scoring must keep: one decision per file, from all its rows.
+@query("m8_files_and_rows", sql("S", "SELECT sample_id, count(*) AS n_rows, true AS sums_to_one FROM S GROUP BY sample_id"))
+def m8_rows(spark, sf):
+    from wavetable.plans import scoring
+
+    out = scoring.score(folded_labels(spark, sf), scoring.load(spark, saved_model(spark, sf)), "sample_id", preprocess=False)
+    total = sum((F.col(p) for p in probs(4)), F.lit(0.0))
+    return out.select("sample_id", "n_rows", (F.abs(total - 1) < 1e-9).alias("sums_to_one"))
 
 
 NEAREST = "T AS (SELECT cls, pos, avg(y) AS w FROM L GROUP BY ALL)"
