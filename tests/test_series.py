@@ -171,3 +171,29 @@ def test_penalised_baseline_equals_a_dense_solve(spark):
     assert np.allclose(got, np.stack([one(y) for y in x]), atol=1e-8)
     assert np.abs(x - got)[:, [0, 5, 30]].max() < 0.5 and (x - got)[:, 20].min() > 3
     assert np.array_equal(penalised_baselines(x[:, :2], lam, 5, 1e-3), x[:, :2])
+
+
+def test_line_shapes_find_planted_peaks():
+    from wavetable.functions import lineshapes as ls
+
+    axis = np.arange(970.0, 1040.0)
+    r = np.random.default_rng(1)
+    n = 40
+    t = np.stack([r.uniform(1, 4, n) * r.choice([-1, 1], n), r.uniform(995, 1012, n), r.uniform(3, 12, n), r.uniform(-1, 1, n)], axis=1)
+    y = ls.lorentz(t, axis)[0]
+    got = ls.fit_windows(y, axis, 1004.0, 30.0, 12.0, "lorentz")
+    assert (got[:, -1] == 1).all() and np.allclose(got[:, :3], np.stack([t[:, 1], t[:, 0], 2 * t[:, 2]], axis=1), atol=1e-4) and got[:, 5].max() < 1e-6
+    v = np.stack([r.uniform(2, 4, n), r.uniform(-5, 5, n), r.uniform(3, 8, n), r.uniform(3, 8, n), r.uniform(0.2, 0.8, n), r.uniform(-0.01, 0.01, n), r.uniform(-1, 1, n)], axis=1)
+    z = ls.voigt_like(v, axis - 1004.0)[0] + 0.001 * r.standard_normal((n, len(axis)))
+    fit = ls.fit_windows(z, axis, 1004.0, 30.0, 12.0, "voigt")
+    assert (fit[:, -1] == 1).mean() > 0.9 and np.nanmax(np.abs(fit[:, 0] - 1004 - v[:, 1])) < 0.1 and np.nanmax(fit[:, 9]) < 0.002
+    z[0, 30] = np.nan
+    assert ls.fit_windows(z[:1], axis, 1004.0, 30.0, 12.0, "voigt")[0, -1] == 0 and ls.fit_windows(z, axis, 1004.0, 2.0, 12.0, "lorentz")[:, -1].max() == 1
+    assert (ls.fit_windows(z, axis, 2000.0, 30.0, 12.0, "lorentz")[:, -1] == 0).all()
+    eps = 1e-6
+    for shape, p in ((ls.lorentz, t), (ls.voigt_like, v)):
+        x = axis if shape is ls.lorentz else axis - 1004.0
+        for i in range(p.shape[1]):
+            q = p.copy()
+            q[:, i] += eps
+            assert np.allclose((shape(q, x)[0] - shape(p, x)[0]) / eps, shape(p, x)[1][:, :, i], atol=1e-3)

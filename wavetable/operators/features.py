@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavetable import catalog
+from wavetable.functions import lineshapes
 from wavetable.functions.linear import dot, is_narrow, linear_map, savgol_kernel, trapezoid_weights, wavelet_bank, window_mask
 from wavetable.functions.series import row_map
 from wavetable.functions.stats import safe_ratio, signed_ratio
@@ -222,6 +223,29 @@ def peak_descriptors(df: DataFrame, y: str, axis: Sequence[float], bands: dict[s
     return with_families(df, y, [peak_family(axis, bands, window)])
 
 
+def line_family(axis: Sequence[float], bands: dict[str, float], window: float = 30.0, width: float = 12.0, shape: str = "lorentz") -> Family:
+    """A line shape fitted around every band: its parameters, area, error and ``success``; null where no fit was found."""
+    axis = np.asarray(axis, dtype=np.float64)
+    names = [f"line_{n}_{s}" for n in bands for s in (*lineshapes.SHAPES[shape].columns, "success")]
+    return Family(names, lambda x: np.concatenate([lineshapes.fit_windows(x, axis, c, window, width, shape) for c in bands.values()], axis=1))
+
+
+def line_fits(df: DataFrame, y: str, axis: Sequence[float], bands: dict[str, float], window: float = 30.0, width: float = 12.0, shape: str = "lorentz") -> DataFrame:
+    return with_families(df, y, [line_family(axis, bands, window, width, shape)])
+
+
+def line_quality(df: DataFrame, bands: dict[str, float]) -> DataFrame:
+    """Per band: rows, share of fits that succeeded, mean shift from the band's centre, mean width and error of those."""
+    good = lambda n, c: F.when(F.col(f"line_{n}_success") == 1, c)
+    parts = []
+    for n, centre in bands.items():
+        parts.append(F.struct(
+            F.lit(n).alias("band"), F.count(F.lit(1)).alias("n"), F.avg(f"line_{n}_success").alias("success_rate"),
+            F.avg(good(n, F.col(f"line_{n}_centre") - centre)).alias("centre_shift"), F.avg(good(n, F.col(f"line_{n}_fwhm"))).alias("mean_fwhm"), F.avg(good(n, F.col(f"line_{n}_rmse"))).alias("mean_rmse"),
+        ))
+    return df.agg(F.array(*parts).alias("b")).select(F.explode("b").alias("b")).select("b.*")
+
+
 def derivative_family(axis, bands: dict[str, float], deriv: int, half_width: float = 10.0, window: int = 11, polyorder: int = 3) -> Family:
     slope = savgol_kernel(window, polyorder, deriv, float(np.median(np.diff(axis))))
     areas = linear_family(area_weights(axis, band_windows(bands, half_width), f"d{deriv}_auc_"), len(axis))

@@ -259,6 +259,42 @@ def f9(spark, sf):
     )
 
 
+# Lines planted on a fine axis with the row's own values as parameters: SQL states what a fit must find.
+LINE_AXIS = [974.0 + i for i in range(61)]
+LINE_CTE = "P AS (SELECT vec_id, 2e0 + CAST(embedding[1] AS DOUBLE) AS a, 1004e0 + 5 * CAST(embedding[2] AS DOUBLE) AS x0, 6e0 + 3 * CAST(embedding[3] AS DOUBLE) AS g, CAST(embedding[4] AS DOUBLE) AS c FROM embeddings)"
+
+
+def planted_lines(spark, sf):
+    a, x0, g, c = (F.col("y")[i] for i in range(4))
+    x = F.array(*[F.lit(v) for v in LINE_AXIS])
+    line = F.transform(x, lambda v: (2 + a) / (1 + F.pow((v - (1004 + 5 * x0)) / (6 + 3 * g), F.lit(2))) + c)
+    return series(spark, sf).select("vec_id", line.alias("y"))
+
+
+@query(
+    "f9_lorentz_fit",
+    "WITH " + LINE_CTE + " SELECT vec_id, round(x0, 4) AS centre, round(a, 4) AS height, round(2 * g, 4) AS fwhm, round(pi() * a * g, 3) AS area, round(c, 4) + 0.0 AS base, 1.0 AS success FROM P",
+)
+def f9_lorentz(spark, sf):
+    f = ft.line_fits(planted_lines(spark, sf), "y", LINE_AXIS, {"b": 1004.0})
+    return f.select("vec_id", *[(F.round(f"line_b_{n}", 3 if n == "area" else 4) + F.lit(0.0)).alias(n) for n in ("centre", "height", "fwhm", "area", "base", "success")])
+
+
+@query(
+    "f9b_line_quality",
+    "WITH " + LINE_CTE + " SELECT count(*) AS n, 1.0 AS success_rate, round(avg(x0 - 1004), 5) + 0.0 AS centre_shift, round(avg(2 * g), 5) AS mean_fwhm FROM P",
+)
+def f9b_line(spark, sf):
+    q = ft.line_quality(ft.line_fits(planted_lines(spark, sf), "y", LINE_AXIS, {"b": 1004.0}, shape="lorentz"), {"b": 1004.0})
+    return q.select("n", "success_rate", (F.round("centre_shift", 5) + F.lit(0.0)).alias("centre_shift"), F.round("mean_fwhm", 5).alias("mean_fwhm"))
+
+
+@query("f9_voigt_fit")
+def f9_voigt(spark, sf):
+    f = ft.line_fits(planted_lines(spark, sf), "y", LINE_AXIS, {"b": 1004.0}, shape="voigt")
+    return f.select("vec_id", *[F.round(f"line_b_{n}", 4).alias(n) for n in ("centre", "height", "fwhm", "eta", "area", "rmse", "success")])
+
+
 @query(
     "f9b_peak_quality",
     sql(
