@@ -1,5 +1,6 @@
 """Published and hand-worked numbers."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +82,26 @@ def test_pairless_similarity_equals_pairs(spark):
 def test_verdict(spark):
     df = spark.createDataFrame([("a", True), ("a", True), ("b", True), ("b", False), ("c", False), ("c", False)], "c string, ok boolean")
     assert {r.c: r.branch for r in st.verdict(df, F.col("ok"), ["c"], 2).collect()} == {"a": "A", "b": "B", "c": "C"}
+
+
+def test_nearest_information_equals_brute_force(spark, monkeypatch):
+    from wavetable.operators import statistics
+
+    monkeypatch.setattr(statistics, "NEIGHBOUR_BLOCK", 7)
+    r = np.random.default_rng(0)
+    rows = [("a", int(i % 3), float(r.standard_normal() + (i % 3))) for i in range(150)] + [("b", int(i % 2), float(np.round(r.standard_normal(), 1))) for i in range(90)]
+    rows += [("a", 9, 5.0), ("a", 8, 1.5), ("a", 8, 1.7), ("a", 0, None), ("b", 1, float("nan"))]
+    df = spark.createDataFrame(rows, "feature string, cls int, value double").repartition(4)
+    got = {x["feature"]: x["mi"] for x in statistics.nearest_information(df, ["feature"], "cls").collect()}
+    psi = lambda n: sum(1.0 / i for i in range(1, int(n))) - statistics.EULER
+    for f in ("a", "b"):
+        pts = [(k, v) for g, k, v in rows if g == f and v is not None and v == v]
+        pts = [(k, v) for k, v in pts if sum(q == k for q, _ in pts) > 1]
+        ks, ns, ms = [], [], []
+        for i, (k, v) in enumerate(pts):
+            d = sorted(abs(v - u) for j, (q, u) in enumerate(pts) if q == k and j != i)
+            kk = min(3, len(d))
+            radius = d[kk - 1]
+            ks.append(psi(kk)), ns.append(psi(len(d) + 1))
+            ms.append(psi(sum(abs(v - u) <= 0 if radius == 0 else abs(v - u) < radius - 1e-12 for _, u in pts)))
+        assert got[f] == pytest.approx(max(0.0, psi(len(pts)) + np.mean(ks) - np.mean(ns) - np.mean(ms)), abs=1e-6 if f == "a" else 0.05)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from wavetable.functions import stats as fx
 from wavetable.functions.series import norm
 from wavetable.operators.rollup import unpivot
-from wavetable.operators.scale import exact_percentiles, hash_bucket, hash_key, null_safe_join, ranked, running_totals, with_totals
+from wavetable.operators.scale import checked_broadcast, exact_percentiles, hash_bucket, hash_key, null_safe_join, ranked, running_totals, with_totals
 from wavetable.operators.vectorsums import position_sums, vector_sums
 from wavetable.session import materialise
 
@@ -131,6 +131,56 @@ def information(flat: DataFrame, keys: Sequence[str], label: str, bins: int = 10
     return t.groupBy(*keys).agg(F.sum(c("n") / c("nt") * F.log(c("n") * c("nt") / (c("nb") * c("nl")))).alias("mi"))
 
 
+EULER = 0.5772156649015329
+NEIGHBOUR_BLOCK = 4_096  # ranks whose neighbours one task looks up; a few more on either side belong to it as a halo
+
+
+def digamma(n: Column) -> Column:
+    """Digamma of a whole number from 1: exact harmonic sums below 6, the asymptotic series above (error under 1e-9)."""
+    small = F.array(*[F.lit(sum(1.0 / i for i in range(1, m)) - EULER) for m in range(1, 6)])
+    x = n.cast("double")
+    series = F.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
+    return F.when(n < 6, F.get(small, (n - 1).cast("int"))).otherwise(series)
+
+
+def nearest_information(flat: DataFrame, keys: Sequence[str], label: str, k: int = 3) -> DataFrame:
+    """Mutual information per ``keys`` of the long column ``value`` with a label, from nearest neighbours.
+
+    The distance from a value to its k-th nearest of the same label (fewer, if the label has fewer) is compared with how many values of any
+    label lie closer.  Neighbours are found among ranks, in blocks with a halo from the blocks beside them; values inside a distance are counted
+    from running totals at its two ends.  No group is gathered and no pairs are made.  Labels with one value are left out.
+    """
+    keys = list(keys)
+    own = [*keys, label]
+    flat = materialise(flat.where(F.col("value").isNotNull() & ~F.isnan("value")).select(*own, (c("value") + 0.0).alias("value")), "values")
+    edges = flat.groupBy(*own).agg(F.percentile_approx("value", [i / 64 for i in range(1, 64)], 1_000).alias("_edges"), F.count(F.lit(1)).alias("_n"))
+    many = null_safe_join(flat, checked_broadcast(edges), own).where("_n > 1")
+    rows = ranked(many, own, [c("value")], F.size(F.filter("_edges", lambda e: e < c("value"))), "_r").drop("_edges")
+    at = F.floor((c("_r") - 1) / NEIGHBOUR_BLOCK)
+    near = F.filter(F.array(at - 1, at, at + 1), lambda b: (c("_r") - 1 >= b * NEIGHBOUR_BLOCK - k) & (c("_r") - 1 < (b + 1) * NEIGHBOUR_BLOCK + k))
+    blocks = rows.withColumn("_at", at).withColumn("_b", F.explode(near))
+    line = Window.partitionBy(*own, "_b").orderBy("_r")
+    sides = [F.struct((c("value") - F.lag("value", j).over(line)).alias("d"), F.lit(0).alias("side"), F.lag("value", j).over(line).alias("v")) for j in range(1, k + 1)]
+    sides += [F.struct((F.lead("value", j).over(line) - c("value")).alias("d"), F.lit(1).alias("side"), F.lead("value", j).over(line).alias("v")) for j in range(1, k + 1)]
+    kk = F.least(F.lit(k), c("_n") - 1).cast("int")
+    seen = blocks.withColumn("_s", F.array(*sides)).where("_b = _at").withColumn("_k", kk)
+    kth = F.element_at(F.array_sort(F.filter("_s", lambda s: s["d"].isNotNull())), c("_k"))
+    seen = seen.select(*own, "value", "_n", "_k", kth.alias("s")).select(
+        *own, "_n", "_k", c("s.d").alias("_d"), F.when(c("s.side") == 0, c("s.v")).otherwise(c("value") - c("s.d")).alias("_lo"), F.when(c("s.side") == 1, c("s.v")).otherwise(c("value") + c("s.d")).alias("_hi")
+    )
+    seen = materialise(seen, "neighbours")
+    points = many.select(*keys, "value", F.lit(1).alias("one"))
+    for end in ("_lo", "_hi"):
+        points = points.unionByName(seen.select(*keys, c(end).alias("value"), F.lit(0).alias("one")))
+    totals = materialise(running_totals(points, keys, "value", {"n": c("one")}), "totals")
+    below = totals.select(*keys, c("value").alias("_hi"), c("n_before").alias("_below"))
+    upto = totals.select(*keys, c("value").alias("_lo"), (c("n_before") + c("n")).alias("_upto"), c("n").alias("_same"))
+    met = null_safe_join(null_safe_join(seen, below, [*keys, "_hi"]), upto, [*keys, "_lo"])
+    m = F.when(c("_d") == 0, c("_same")).otherwise(c("_below") - c("_upto"))
+    g = met.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"), (F.avg(digamma(c("_k"))) - F.avg(digamma(c("_n"))) - F.avg(digamma(m))).alias("_part"))
+    return g.select(*keys, F.greatest(F.lit(0.0), digamma(c("_all")) + c("_part")).alias("mi"))
+
+
 def correlations(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Pearson r of every feature pair (i < j).  One pass builds the k x k matrix."""
     k = len(features)

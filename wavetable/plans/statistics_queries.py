@@ -107,6 +107,29 @@ def s7(spark, sf):
     return rk.top_k(mi, [F.round("mi", 9).desc(), F.col("feature")], 35, "mi_rank").select("feature", F.round("mi", 6).alias("mi"), "mi_rank")
 
 
+def digamma_sql(n: str) -> str:
+    small = " ".join(f"WHEN {n} = {m} THEN {sum(1.0 / i for i in range(1, m)) - st.EULER!r}e0" for m in range(1, 6))
+    x = f"CAST({n} AS DOUBLE)"
+    return f"CASE {small} ELSE ln({x}) - 1 / (2 * {x}) - 1 / (12 * {x} ** 2) + 1 / (120 * {x} ** 4) - 1 / (252 * {x} ** 6) END"
+
+
+@query(
+    "s7_nearest_information",
+    sql(
+        "L",
+        f"SELECT feature, round(greatest(0, any_value(pn) + avg({digamma_sql('3')}) - avg({digamma_sql('nc')}) - avg({digamma_sql('m')})), 6) AS mi FROM C GROUP BY feature",
+        *WIDE,
+        "PR AS (SELECT a.feature, a.vec_id, a.value AS x, abs(a.value - b.value) AS d, a.cls = b.cls AND a.vec_id <> b.vec_id AS own FROM LW a JOIN LW b ON a.feature = b.feature)",
+        "RD AS (SELECT feature, vec_id, list_sort(list(d) FILTER (own))[3] AS r FROM PR GROUP BY ALL)",
+        f"C AS (SELECT w.feature, w.vec_id, count(*) FILTER (p.d < RD.r) AS m, any_value(n.nc) AS nc, any_value(t.pn) AS pn FROM LW w JOIN PR p ON p.feature = w.feature AND p.vec_id = w.vec_id JOIN RD ON RD.feature = w.feature AND RD.vec_id = w.vec_id "
+        f"JOIN (SELECT feature, cls, count(*) AS nc FROM LW GROUP BY ALL) n ON n.feature = w.feature AND n.cls = w.cls JOIN (SELECT feature, {digamma_sql('count(*)')} AS pn FROM LW GROUP BY feature) t ON t.feature = w.feature GROUP BY w.feature, w.vec_id)",
+    ),
+)
+def s7_nearest(spark, sf):
+    flat = ru.unpivot(areas(spark, sf).select("cls", *COLS), ["cls"], COLS)
+    return st.nearest_information(flat, ["feature"], "cls").select("feature", F.round("mi", 6).alias("mi"))
+
+
 @query(
     "s8_correlations",
     sql("L", " UNION ALL ".join(f"SELECT 'auc_{a}' AS a, 'auc_{b}' AS b, round(corr(auc_{a}, auc_{b}), 6) + 0.0 AS r, abs(corr(auc_{a}, auc_{b})) > 0.85 AS redundant FROM WD" for i, a in enumerate(REG) for b in REG[i + 1 :]), *WIDE),
