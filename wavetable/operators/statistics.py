@@ -268,11 +268,12 @@ def bootstrap_means(df: DataFrame, keys: Sequence[str], order: str, value: str,
     rows = df.where(c(value).isNotNull()).select(*keys, c(order).alias("_o"), c(value).cast("double").alias("_v"), chunk.alias("_c"))
     mine = F.sequence(c("_c") * DRAW_CHUNK, F.least((c("_c") + 1) * DRAW_CHUNK, F.lit(draws)) - 1)
 
-    def weight(b: Column) -> Column:
-        u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), b.cast("string"), c("_o").cast("string"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
-        return reduce(lambda n, edge: n + F.when(u >= edge, 1.0).otherwise(0.0), POISSON_EDGES, F.lit(0.0))
+    def uniform(b: Column) -> Column:
+        return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), b.cast("string"), c("_o").cast("string"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
-    drawn = rows.select(*keys, "_c", "_v", F.transform(mine, weight).alias("_w"))
+    # two steps: inside one, the hash would be computed for every edge
+    weight = lambda u: reduce(lambda n, edge: n + F.when(u >= edge, 1.0).otherwise(0.0), POISSON_EDGES, F.lit(0.0))
+    drawn = rows.select(*keys, "_c", "_v", F.transform(F.transform(mine, uniform), weight).alias("_w"))
     both = F.concat(F.transform("_w", lambda w: w * c("_v")), c("_w"))
     sums = vector_sums(drawn.select(*keys, "_c", both.alias("_s")), [*keys, "_c"], "_s")
     half = (F.size("s") / 2).cast("int")
