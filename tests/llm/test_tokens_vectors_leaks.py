@@ -167,3 +167,31 @@ def test_walk_expands_all_inside_the_beam(spark):
     nodes = spark.createDataFrame([(0, i, [float(v) for v in x[i]], [(i - 1) % n, (i + 1) % n, (i + 37) % n]) for i in range(n)], vectors.NODES)
     starts = spark.createDataFrame([(0, [float(v) for v in x[0]], [0])], "q long, qv array<double>, adj array<long>")
     assert sorted(vectors.walk(nodes, 1, starts, n).first()["best"]) == list(range(n))
+
+
+def test_paraphrases_without_a_common_window_equal_all_pairs(spark):
+    r = np.random.default_rng(11)
+    word = lambda: "".join(r.choice(list("abcdefghijklmnop"), 6))
+    items = [(i, [word() for _ in range(36)]) for i in range(15)]
+    docs = []
+    for d in range(45):
+        words = [word() for _ in range(int(r.integers(20, 60)))]
+        if d % 3 == 0:
+            for j, w in enumerate(items[d // 3][1]):
+                words += [w] if j % 3 else [word(), w]  # runs of three words of the item at most
+        docs.append((d, words + [word() for _ in range(int(r.integers(0, 40)))]))
+    grams = {tuple(w[j : j + decontaminate.WINDOW]) for _, w in items for j in range(len(w) - decontaminate.WINDOW + 1)}
+    assert not any(tuple(w[j : j + decontaminate.WINDOW]) in grams for _, w in docs for j in range(len(w)))
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = last[j] + 1 if x == y else max(row[j], last[j + 1])
+        return row[-1]
+
+    want = {(d, i) for d, w in docs for i, t in items if longest(t, w) >= decontaminate.VERBATIM * len(t)}
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")
+    found = decontaminate.find(df, spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string"))
+    assert {(x["doc_id"], x["item_id"]) for x in found.collect()} == want and len(want) == 15
