@@ -195,3 +195,34 @@ def test_paraphrases_without_a_common_window_equal_all_pairs(spark):
     df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")
     found = decontaminate.find(df, spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string"))
     assert {(x["doc_id"], x["item_id"]) for x in found.collect()} == want and len(want) == 15
+
+
+def test_products_of_a_long_text_are_gathered_in_parts():
+    import tracemalloc
+
+    r = np.random.default_rng(2)
+    vocabulary = np.unique(decontaminate.hashed([" ".join(f"w{i}" for i in range(500))])[1])
+    b, h = decontaminate.hashed([" ".join(f"w{i}" for i in r.integers(0, 600, 60_000)), "", "w1 w2 w2", "none"])
+    word = decontaminate.lookup(h, vocabulary, decontaminate.bitmap(vocabulary))
+    p = decontaminate.Passages(b, word, r.random(len(vocabulary)) + 0.5)
+    m = r.standard_normal((len(vocabulary), 80)).astype(np.float32)
+    on = np.flatnonzero(p.norm > 0)[::3]
+    tracemalloc.start()
+    got = p.times(m, on)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = np.zeros((len(p.row), 80))
+    np.add.at(want, p.passage, m[p.word] * (p.weight / p.norm[p.passage])[:, None])
+    assert np.allclose(got, want[on], atol=1e-4)
+    assert len(p.word) / 3 > decontaminate.ENTRIES and peak < 14 << 20  # all rows at once are 22 MB
+
+
+@pytest.mark.parametrize("keys", [[1], [0, 0, 0], [0, 1, 1, 1, 1, 5, 5, 7], list(range(9))])
+def test_runs_cover_every_entry_once(monkeypatch, keys):
+    monkeypatch.setattr(decontaminate, "ENTRIES", 3)
+    key, seen = np.array(keys), []
+    for k, a, z, start in decontaminate.runs(key):
+        assert a == len(seen) and key[a + start].tolist() == k.tolist()
+        assert start[-1] < 3  # a run is not cut, so the last one may go beyond
+        seen += np.repeat(k, np.diff(np.append(start, z - a))).tolist()
+    assert seen == keys

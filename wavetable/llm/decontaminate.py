@@ -39,6 +39,7 @@ SHORT = 8  # shorter items must appear word by word
 WINDOW = 4  # consecutive words that lead to a longer item
 ITEMS = 20_000  # items of one pass; a larger benchmark takes several
 CHUNK = 1 << 20
+ENTRIES = 1 << 14  # rows of a matrix that are gathered at once
 HITS = "item long, cosine double, lcs_share double, answer_share double"
 
 _SEPARATOR = np.ones(256, bool)
@@ -100,6 +101,17 @@ def bitmap(vocabulary: np.ndarray) -> np.ndarray:
     return m
 
 
+def runs(key: np.ndarray) -> Iterator[tuple[np.ndarray, int, int, np.ndarray]]:
+    """Sorted keys in slices of whole runs, about ``ENTRIES`` at once: (key of each run, begin and end of the slice, starts inside it)."""
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    first = 0
+    while first < len(start):
+        a = start[first]
+        last = max(first + 1, int(np.searchsorted(start, a + ENTRIES)))
+        yield key[start[first:last]], a, start[last] if last < len(start) else len(key), start[first:last] - a
+        first = last
+
+
 class Passages:
     """Sparse TF-IDF rows of the passages of some texts: (passage, word, weight), and each passage's place and length."""
 
@@ -128,10 +140,9 @@ class Passages:
         e = np.flatnonzero(place[self.passage] >= 0)
         out = np.zeros((len(on), m.shape[1]), np.float32)
         if len(e):
-            to = place[self.passage[e]]
             scaled = (self.weight[e] / self.norm[self.passage[e]]).astype(np.float32)
-            start = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
-            out[to[start]] = np.add.reduceat(m[self.word[e]] * scaled[:, None], start, axis=0)
+            for to, a, b, start in runs(place[self.passage[e]]):
+                out[to] = np.add.reduceat(m[self.word[e[a:b]]] * scaled[a:b, None], start, axis=0)
         return out
 
 
@@ -331,10 +342,10 @@ def fit(docs: DataFrame, items: Items, text: str, seed: int = 11) -> Model:
                 y = p.times(omega, np.arange(len(p.row)))
                 scaled = p.weight / p.norm[p.passage]
                 order = np.argsort(p.word, kind="stable")
-                start = np.flatnonzero(np.append(True, np.diff(p.word[order]) != 0))
-                w = p.word[order][start]
-                total[w, :width] += np.add.reduceat(y[p.passage[order]] * scaled[order, None].astype(np.float32), start, axis=0)
-                total[w, width] += np.add.reduceat(scaled[order] ** 2, start)
+                for w, a, z, start in runs(p.word[order]):
+                    some = order[a:z]
+                    total[w, :width] += np.add.reduceat(y[p.passage[some]] * scaled[some, None].astype(np.float32), start, axis=0)
+                    total[w, width] += np.add.reduceat(scaled[some] ** 2, start)
         yield pa.record_batch([pa.array(np.arange(len(vocabulary), dtype=np.int32)), *[pa.array(c) for c in total.T]], ["w", *[f"y{i}" for i in range(width + 1)]])
 
     schema = "w int, " + ", ".join(f"y{i} double" for i in range(width + 1))
