@@ -3,10 +3,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import LOW
 
-from wavetable.llm.divergence import Terms, audit, op13
+from wavetable.llm import divergence
+from wavetable.llm.divergence import Terms, audit, op13, term_counts
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 DOCS = "doc_id long, lang string, source string, text string"
@@ -78,3 +80,54 @@ def test_empty_table(spark):
 def test_differs_compares_strings_not_digests():
     t = Terms([b"abcdefghi abcdefghj abcdefghi abcdefgh a"], 64)
     assert t.differs(np.array([0, 0, 0, 0]), np.array([1, 2, 3, 4])).tolist() == [True, False, True, True]
+
+
+class Tasks:
+    """Stands for a table whose task function is called here."""
+
+    def mapInArrow(self, task, _schema):
+        self.task = task
+        return self
+
+    def groupBy(self, *_keys):
+        return self
+
+    def agg(self, *_columns):
+        return self
+
+
+def test_a_task_gathers_and_sends_counts_in_parts_of_one_batch(spark, monkeypatch):
+    for name, value in (("PIECE_BYTES", 500), ("HELD", 400), ("SENT", 64)):
+        monkeypatch.setattr(divergence, name, value)
+    r = random.Random(5)
+    rows = [(r.choice(["en", "de"]), f"s{r.randrange(9)}", " ".join("".join(r.choices("abcdefgh", k=3)) for _ in range(40))) for _ in range(300)]
+    batches = [pa.record_batch([pa.array(c) for c in zip(*part, strict=True)], ["lang", "source", "text"]) for part in (rows[:200], rows[200:])]
+    n, docs, sizes, taken = Counter(), Counter(), [], []
+
+    def seen():
+        for b in batches:
+            taken.append(len(sizes))
+            yield b
+
+    frame = Tasks()
+    term_counts(frame, 64)
+    for b in frame.task(seen()):
+        sizes.append(len(b))
+        for lang, source, digest, times, of in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            n[lang, source, digest] += times
+            docs[lang, source, digest] += of
+    want_n, want_docs = Counter(), Counter()
+    for lang, source, text in rows:
+        found = Counter(Terms([text.encode()], 64).digest.view(np.int64).tolist())
+        for digest, times in found.items():
+            want_n[lang, source, digest] += times
+            want_docs[lang, source, digest] += 1
+    assert n == want_n and docs == want_docs
+    assert max(sizes) <= 64 and taken[1] >= 200 * 40 // (3 * 64)  # most of the first batch is sent before the second is read
+
+
+def test_rows_do_not_depend_on_what_a_task_holds(spark, monkeypatch):
+    for name, value in (("HELD", 20), ("HELD_STRINGS", 5), ("SENT", 3)):
+        monkeypatch.setattr(divergence, name, value)
+    rows = corpus(4)
+    assert sorted(tuple(r) for r in audit(spark.createDataFrame(rows, DOCS).repartition(3), least=3, top=7).collect()) == brute([r[1:] for r in rows], 3, 7)

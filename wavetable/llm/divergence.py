@@ -28,8 +28,10 @@ LEAST_DOCS = 30
 SMOOTH = 5
 SCALE = 1_000_000_000
 TOP = 50
-PIECE_BYTES = 8 << 20  # text that is looked at at once
+PIECE_BYTES = 2 << 20  # text that is looked at at once
 HELD = 1 << 19  # counts that a task gathers before it sends them
+HELD_STRINGS = 1 << 19  # terms whose strings a task gathers before it sends them
+SENT = 1 << 16  # rows of a batch that a task sends
 FILTER_WORDS = 1 << 18  # 64-bit words of the bit filter: 2 MB, whatever the number of kept terms
 PART_TERMS = 8_192  # kept terms whose differences one task sums, in expectation
 TILE = 256  # sources whose rows of the pair table one task sums
@@ -100,28 +102,32 @@ def term_counts(rows: DataFrame, bits: int) -> DataFrame:
 
         def sent():
             group, digest, n, docs = _summed(*map(np.concatenate, zip(*held, strict=True)))
-            langs, sources = (pa.array([g[i] for g in names], pa.string()).take(pa.array(group)) for i in range(2))
-            return pa.record_batch([langs, sources, pa.array(digest.view(np.int64)), pa.array(n), pa.array(docs)], ["lang", "source", "digest", "n", "docs"])
+            named = [pa.array([g[i] for g in names], pa.string()) for i in range(2)]
+            for at in range(0, len(group), SENT):
+                some = slice(at, at + SENT)
+                of = pa.array(group[some])
+                yield pa.record_batch([*(x.take(of) for x in named), pa.array(digest[some].view(np.int64)), pa.array(n[some]), pa.array(docs[some])], ["lang", "source", "digest", "n", "docs"])
 
         for b in batches:
-            of = np.array([names.setdefault(k, len(names)) for k in zip(b["lang"].to_pylist(), b["source"].to_pylist(), strict=True)], np.int64)
+            keys = list(zip(b["lang"].to_pylist(), b["source"].to_pylist(), strict=True))
             for where, texts in _pieces(b):
+                of = np.array([names.setdefault(k, len(names)) for k in keys[where]], np.int64)
                 t = Terms(texts, bits)
                 if not len(t.digest):
                     continue
                 distinct, index = np.unique(t.digest, return_inverse=True)
                 place, n = np.unique(index * np.int64(len(texts)) + t.wd, return_counts=True)
-                group, digest = of[where][place % len(texts)], distinct[place // len(texts)]
+                group, digest = of[place % len(texts)], distinct[place // len(texts)]
                 held.append(_summed(group, digest, n.astype(np.int64), np.ones(len(n), np.int64)))
                 size += len(held[-1][0])
-            if size > HELD:
-                held = [_summed(*map(np.concatenate, zip(*held, strict=True)))]
-                size = len(held[0][0])
-                if size > HELD // 2:
-                    yield sent()
-                    held, names, size = [], {}, 0
+                if size > HELD:
+                    held = [_summed(*map(np.concatenate, zip(*held, strict=True)))]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        yield from sent()
+                        held, names, size = [], {}, 0
         if size:
-            yield sent()
+            yield from sent()
 
     sent = rows.mapInArrow(count, COUNTS)
     return sent.groupBy("lang", "source", "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
@@ -167,9 +173,9 @@ def extremes(rows: DataFrame, kept: DataFrame, bits: int) -> DataFrame:
                         s = t.string(i)
                         low, high = held.get((lang, d), (s, s))
                         held[lang, d] = (min(low, s), max(high, s))
-            if len(held) > HELD:
-                yield sent()
-                held = {}
+                if len(held) > HELD_STRINGS:
+                    yield sent()
+                    held = {}
         if held:
             yield sent()
 
